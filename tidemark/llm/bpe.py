@@ -159,10 +159,11 @@ def bpe_decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFra
     return map_batches(encoded.select(id_col, "ids"), rows, f"`{id_col}` {kind}, ids array<int>, decoded string")
 
 
-def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """id, n_tokens and the SHA-256 of the ids and of the decoded text."""
+def digests(decoded: DataFrame, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, what is kept of the columns, n_tokens and the SHA-256 of the ids and of the decoded text."""
     return decoded.select(
         id_col,
+        *keep,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),

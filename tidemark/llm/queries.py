@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.bpe import op2_bpe
 from tidemark.llm.decontaminate import op7_benchmark_decontamination
+from tidemark.llm.html_extract import op4_html_extraction
 from tidemark.llm.license_scan import op3_license_scan
+from tidemark.llm.quality_classifier import op8_quality_classifier
 from tidemark.llm.quality_rules import op1_quality_rules
+from tidemark.llm.secret_scan import op6_secret_scan
 from tidemark.llm.simhash import op5_simhash_near_dedup
 from tidemark.llm.token_counts import op10_token_counts
+from tidemark.llm.warc import op9_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,8 +23,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": op1_quality_rules,
         "op2_bpe": op2_bpe,
         "op3_license_scan": op3_license_scan,
+        "op4_html_extraction": op4_html_extraction,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
+        "op6_secret_scan": op6_secret_scan,
         "op7_benchmark_decontamination": op7_benchmark_decontamination,
+        "op8_quality_classifier": op8_quality_classifier,
+        "op9_warc": op9_warc,
         "op10_token_counts": op10_token_counts,
     }
 

@@ -2,7 +2,7 @@
 
 Equal fingerprints are one node.  Two fingerprints within the radius r agree on n - r of any
 n blocks of their bits, so nodes meet in buckets of such block combinations; nothing is
-lost.  A bucket is compared in tiles with numpy exclusive-or and bit counts; a pair of
+lost.  (For a similarity instead of a radius, wide fingerprints meet in bands.)  A bucket is compared in tiles with numpy exclusive-or and bit counts; a pair of
 tiles whose population counts differ by more than the radius is skipped.  Buckets of more
 nodes than a tile holds are dealt out as pairs of tiles, so none falls to one task.  Each
 comparison returns the links of a spanning forest, which connect what all links connect.
@@ -15,13 +15,14 @@ result; columns other than the id and the text are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrow import map_batches
@@ -33,6 +34,8 @@ SEED = 42
 TILE = 1024
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 15
+#: Lanes of the fingerprints that stand for a similarity rather than for a radius, and the bits of their bands.
+WIDE, BAND_BITS = 4, 16
 
 
 def shingles(text: str | None, width: int) -> list[bytes]:
@@ -43,24 +46,30 @@ def shingles(text: str | None, width: int) -> list[bytes]:
     return list(map(b" ".join, zip(*[words[i:] for i in range(width)], strict=False)))
 
 
-def simhash(text: str | None, width: int) -> int:
-    digest, told = xxhash.xxh64_intdigest, shingles(text, width)
+def fingerprint(text: str | None, width: int, lanes: int = 1) -> list[int]:
+    """64 bits a lane, as longs. One lane counts XXH64 bits; more take 128 bits of XXH3 for every two."""
+    told = shingles(text, width)
     if not told:
-        return 0
-    counts, hashes = np.zeros(64, np.int64), np.fromiter((digest(s, SEED) for s in told), np.uint64, len(told))
+        return [0] * lanes
+    counts = np.zeros(64 * lanes, np.int64)
     for i in range(0, len(told), CHUNK):
-        counts += np.unpackbits(hashes[i : i + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(told), bitorder="little").view(np.int64)[0])
+        part = told[i : i + CHUNK]
+        if lanes == 1:
+            hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in part), np.uint64, len(part)).view(np.uint8).reshape(-1, 8)
+        else:
+            hashes = np.concatenate([np.frombuffer(b"".join([xxhash.xxh3_128_digest(s, SEED + k) for s in part]), np.uint8).reshape(-1, 16) for k in range(lanes // 2)], axis=1)
+        counts += np.unpackbits(hashes, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(told), bitorder="little").view(np.int64).tolist()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """id and fp, the 64 bits as a long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, lanes: int = 1) -> DataFrame:
+    """id and fp, an array of longs."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.record_batch([batch.column(0), pa.array([simhash(t, width) for t in batch.column(1).to_pylist()], pa.int64())], names=[id_col, "fp"])
+        return pa.record_batch([batch.column(0), pa.array([fingerprint(t, width, lanes) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], names=[id_col, "fp"])
 
-    return map_batches(docs.select(id_col, text_col), rows, f"`{id_col}` {kind}, fp long")
+    return map_batches(docs.select(id_col, text_col), rows, f"`{id_col}` {kind}, fp array<long>")
 
 
 def blocks_for(nodes: int, radius: int) -> int:
@@ -77,10 +86,21 @@ def masks(n: int, radius: int) -> list[int]:
     return [sum(whole[i] for i in kept) for kept in combinations(range(n), n - radius)]
 
 
+def exact_keys(n_nodes: int, radius: int) -> list[Column]:
+    """(c, key) of one-lane fingerprints: any two within the radius share a key."""
+    return [F.struct(F.lit(c).cast("int").alias("c"), F.col("fp")[0].bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for c, m in enumerate(masks(blocks_for(n_nodes, radius), radius))]
+
+
+def band_keys(lanes: int, bits: int = BAND_BITS) -> list[Column]:
+    """(c, key) of wide fingerprints, one for every `bits` bits of a lane."""
+    spots = [(lane, at) for lane in range(lanes) for at in range(0, 64 - bits + 1, bits)]
+    return [F.struct(F.lit(c).cast("int").alias("c"), F.shiftrightunsigned(F.col("fp")[lane], at).bitwiseAND(F.lit((1 << bits) - 1)).alias("key")) for c, (lane, at) in enumerate(spots)]
+
+
 def forest(fps: np.ndarray, radius: int, other: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
-    """Index pairs that connect what lies within the radius in fps, or across fps and other (its indices follow), tile by tile in order of bit counts."""
+    """Index pairs that connect what lies within the radius in fps (rows of lanes), or across fps and other (its indices follow), tile by tile in order of bit counts."""
     every = fps if other is None else np.concatenate([fps, other])
-    bits = np.bitwise_count(every).astype(np.int16)
+    bits = np.bitwise_count(every).sum(axis=1, dtype=np.int64)
     root = np.arange(len(every))
 
     def find(i: int) -> int:
@@ -89,70 +109,71 @@ def forest(fps: np.ndarray, radius: int, other: np.ndarray | None = None) -> Ite
             i = root[i]
         return i
 
-    sides = [np.arange(len(fps))[np.argsort(bits[: len(fps)], kind="stable")]]
+    sides = [np.argsort(bits[: len(fps)], kind="stable")]
     sides.append(sides[0] if other is None else len(fps) + np.argsort(bits[len(fps) :], kind="stable"))
     tiles = [[side[i : i + 128] for i in range(0, len(side), 128)] for side in sides]
     for x, a in enumerate(tiles[0]):
         for b in tiles[1][x:] if other is None else tiles[1]:
-            if int(bits[b[0]]) - int(bits[a[-1]]) > radius:
+            if bits[b[0]] - bits[a[-1]] > radius:
                 break
-            if int(bits[a[0]]) - int(bits[b[-1]]) > radius:
+            if bits[a[0]] - bits[b[-1]] > radius:
                 continue
-            near = np.bitwise_count(every[a][:, None] ^ every[b][None, :]) <= radius
-            for i, j in zip(*np.nonzero(near), strict=True):
+            apart = sum(np.bitwise_count(every[a, lane][:, None] ^ every[b, lane][None, :]).astype(np.int16) for lane in range(every.shape[1]))
+            for i, j in zip(*np.nonzero(apart <= radius), strict=True):
                 p, q = find(a[i]), find(b[j])
                 if p != q:
                     root[max(p, q)] = min(p, q)
                     yield int(a[i]), int(b[j])
 
 
-def links(nodes: DataFrame, n_nodes: int, radius: int) -> DataFrame:
-    """(a, b): links that connect all nodes (fp, node) whose fingerprints differ in at most `radius` bits."""
-    keys = [F.struct(F.lit(c).cast("int").alias("c"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for c, m in enumerate(masks(blocks_for(n_nodes, radius), radius))]
-    keyed = nodes.select("fp", "node", F.bit_count("fp").alias("bits"), F.explode(F.array(*keys)).alias("k")).select("fp", "node", "bits", "k.c", "k.key")
+def links(nodes: DataFrame, keys: list[Column], radius: int, lanes: int = 1) -> DataFrame:
+    """(a, b): links that connect all nodes (fp, node) that share a key and whose fingerprints differ in at most `radius` bits."""
+    names = [f"f{i}" for i in range(lanes)]
+    bits = sum((F.bit_count(F.col("fp")[i]) for i in range(lanes)), F.lit(0))
+    keyed = nodes.select(*[F.col("fp")[i].alias(n) for i, n in enumerate(names)], "node", bits.alias("bits"), F.explode(F.array(*keys)).alias("k")).select(*names, "node", "bits", "k.c", "k.key")
     sizes = keyed.groupBy("c", "key").agg(F.count("*").alias("n")).where("n > 1")
     met = keyed.join(sizes, ["c", "key"])
     # A large bucket's tiles: one bit count and one of `parts` shares of its fingerprints each.
-    parts = F.ceil(F.col("n") / F.lit(TILE))
-    cut = met.where(F.col("n") > TILE).withColumn("parts", parts.cast("int")).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    cut = met.where(F.col("n") > TILE).withColumn("parts", F.ceil(F.col("n") / F.lit(TILE) / 8).cast("int")).withColumn("part", F.pmod(F.xxhash64(*names), F.col("parts")).cast("int"))
     mine = F.col("bits") * F.col("parts") + F.col("part")
     span = F.sequence((F.col("bits") - radius) * F.col("parts"), (F.col("bits") + radius + 1) * F.col("parts") - 1)
-    dealt = cut.select("c", "key", "fp", "node", mine.alias("mine"), F.explode(span).alias("theirs"))
-    large = dealt.select("c", "key", F.least("mine", "theirs").alias("t"), F.greatest("mine", "theirs").alias("u"), (F.col("mine") > F.col("theirs")).alias("side"), "fp", "node")
-    small = met.where(F.col("n") <= TILE).select("c", "key", F.lit(-1).alias("t"), F.lit(-1).alias("u"), F.lit(False).alias("side"), "fp", "node")
+    dealt = cut.select("c", "key", *names, "node", mine.alias("mine"), F.explode(span).alias("theirs"))
+    large = dealt.select("c", "key", F.least("mine", "theirs").alias("t"), F.greatest("mine", "theirs").alias("u"), (F.col("mine") > F.col("theirs")).alias("side"), "node", *names)
+    small = met.where(F.col("n") <= TILE).select("c", "key", F.lit(-1).alias("t"), F.lit(-1).alias("u"), F.lit(False).alias("side"), "node", *names)
     unit = ["c", "key", "t", "u"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Units come sorted; rows of the unit that is still open wait for the next batch."""
-        rest = None
+        rest: list[np.ndarray] | None = None
         for batch in batches:
-            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
+            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6 + lanes)]
             now = now if rest is None else [np.concatenate(x) for x in zip(rest, now, strict=True)]
-            changes = 1 + np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in now[:4]]))
-            starts = np.concatenate([[0], changes]) if len(now[0]) else changes
-            last = int(starts[-1]) if len(starts) else 0
+            if not len(now[0]):
+                continue
+            starts = np.concatenate([[0], 1 + np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in now[:4]]))])
+            last = int(starts[-1])
             rest = [x[last:] for x in now]
-            if out := made([x[:last] for x in now], starts[:-1]):
+            if last and (out := made([x[:last] for x in now], starts[:-1])):
                 yield out
         if rest is not None and len(rest[0]) and (out := made(rest, np.array([0]))):
             yield out
 
     def made(rows: list[np.ndarray], starts: np.ndarray) -> pa.RecordBatch | None:
-        t, u, side, fps, nodes = rows[2], rows[3], rows[4], rows[5].view(np.uint64), rows[6]
-        found: list[tuple[int, int]] = []
+        t, u, side, nodes, fps = rows[2], rows[3], rows[4], rows[5], np.stack([x.view(np.uint64) for x in rows[6:]], axis=1)
         sizes = np.diff(np.append(starts, len(fps)))
-        for i in starts[sizes == 2]:
-            if t[i] < 0 and int(fps[i] ^ fps[i + 1]).bit_count() <= radius:
-                found.append((i, i + 1))
-        for i, n in zip(starts, sizes, strict=True):
-            if n == 2 and t[i] < 0 or n < 2:
+        pairs = starts[(sizes == 2) & (t[starts] < 0)]
+        near = pairs[np.bitwise_count(fps[pairs] ^ fps[pairs + 1]).sum(axis=1, dtype=np.int64) <= radius]
+        found: list[tuple[int, int]] = [(i, i + 1) for i in near.tolist()]
+        for i, n in zip(starts.tolist(), sizes.tolist(), strict=True):
+            if n < 2 or n == 2 and t[i] < 0:
                 continue
             if t[i] == u[i]:
                 found += [(i + p, i + q) for p, q in forest(fps[i : i + n], radius)]
-            else:
-                at = i + np.concatenate([np.flatnonzero(~side[i : i + n]), np.flatnonzero(side[i : i + n])])
-                k = int((~side[i : i + n]).sum())
-                found += [(at[p], at[q]) for p, q in forest(fps[at[:k]], radius, fps[at[k:]])]
+                continue
+            ours, theirs = i + np.flatnonzero(~side[i : i + n]), i + np.flatnonzero(side[i : i + n])
+            if len(ours) and len(theirs):
+                at = np.concatenate([ours, theirs])
+                found += [(at[p], at[q]) for p, q in forest(fps[ours], radius, fps[theirs])]
         if not found:
             return None
         a, b = np.array(found).T
@@ -161,23 +182,37 @@ def links(nodes: DataFrame, n_nodes: int, radius: int) -> DataFrame:
     return small.union(large).repartition(*unit).sortWithinPartitions(*unit).mapInArrow(compare, "a long, b long")
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
-    """id (a long), fp and component_id, the smallest id that links reach."""
-    fps = written(fingerprints(docs, id_col, text_col, width), "fingerprints")
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, lanes: int = 1) -> DataFrame:
+    """id (a long), fp and component_id, the smallest id that links reach.
+
+    With one lane every link within the radius counts. With more, links are sought among
+    fingerprints that share a band: the recall for a share p of differing bits is
+    1 - (1 - (1 - p) ** BAND_BITS) ** bands, and it is the same at every size.
+    """
+    fps = written(fingerprints(docs, id_col, text_col, width, lanes), "fingerprints")
     nodes = written(fps.groupBy("fp").agg(F.min(id_col).alias("node")), "nodes")
-    labels = components(links(nodes.where("node is not null"), nodes.count(), radius))
+    keys = exact_keys(nodes.count(), radius) if lanes == 1 else band_keys(lanes)
+    labels = components(links(nodes.where("node is not null"), keys, radius, lanes))
     known = nodes.join(labels, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return fps.join(known, "fp", "left").select(id_col, "fp", "component_id")
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 2) -> DataFrame:
-    """docs with one document of each component: that of the smallest id; of repeated rows of an id one stays. Rows without an id stay."""
-    found = simhash_components(docs, id_col, text_col, width, radius)
+def bits_apart(similarity: float, lanes: int) -> int:
+    """Bits in which fingerprints of that Jaccard similarity differ on average, and one standard deviation, so that most pairs at the border are met."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(64 * lanes * p + math.sqrt(64 * lanes * p * (1 - p)))
+
+
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, lanes: int = WIDE) -> DataFrame:
+    """docs with one document of each near-duplicate component: that of the smallest id; of repeated rows of an id one stays. Rows without an id stay."""
+    found = written(simhash_components(docs, id_col, text_col, width, bits_apart(similarity, lanes), lanes), "groups")
     gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
     left = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    if found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
+        return left
     return left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(left.where(F.col(id_col).isNull()))
 
 
 def op5_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     found = simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lpad(F.lower(F.hex(F.col("fp")[0])), 16, "0").alias("fingerprint"), "component_id")
