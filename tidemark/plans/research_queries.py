@@ -167,3 +167,216 @@ def premia(spark, sf_dir: str) -> DataFrame:
     returns = bars(spark, sf_dir).select("id", (price - F.lag(price).over(Window.partitionBy("id").orderBy("date"))).alias("x"))
     told = transforms.realized_premium(returns, by=("id",))
     return told.select("id", r("premium").alias("premium"), r("standard_error").alias("standard_error"), r("t", 6).alias("t"), "n", transforms.verdict(F.col("t"), F.col("premium"), F.lit(0.03), F.lit(0.3), 0.02).alias("verdict"))
+
+
+from itertools import combinations  # noqa: E402
+
+from pyspark.sql import Window  # noqa: E402
+
+from tidemark.operators import costs, labels, splits  # noqa: E402
+
+RETURNS = f"{BARS}, ret AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY date) - 1 AS i, ln(close) - lag(ln(close)) OVER (PARTITION BY id ORDER BY date) AS r FROM bars)"
+
+
+def returns(spark, sf_dir: str) -> DataFrame:
+    return labels.log_returns(bars(spark, sf_dir))
+
+
+@BOOK.add("log_returns", f"WITH {RETURNS} SELECT id, date, i, round(r, 8) AS r FROM ret")
+def log_returns(spark, sf_dir: str) -> DataFrame:
+    return returns(spark, sf_dir).select("id", "date", "i", r("r").alias("r"))
+
+
+VOL = f"{RETURNS}, vol AS (SELECT *, CASE WHEN count(r) OVER w = 20 THEN stddev_samp(r) OVER w END AS sigma FROM ret WINDOW w AS (PARTITION BY id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))"
+
+
+@BOOK.add("trailing_vol", f"WITH {VOL} SELECT id, date, round(sigma, 7) AS sigma FROM vol")
+def trailing_vol(spark, sf_dir: str) -> DataFrame:
+    return labels.trailing_volatility(returns(spark, sf_dir), 20).select("id", "date", r("sigma", 7).alias("sigma"))
+
+
+BARRIERS = f"""{VOL}, c AS (SELECT *, coalesce(sum(r) OVER (PARTITION BY id ORDER BY i), 0) AS c, count(*) OVER (PARTITION BY id) AS n FROM vol),
+ e AS (SELECT id, date, i, c, sigma * sqrt(10.0) * 0.5 AS width FROM c WHERE i >= 20 AND i < n - 10 AND sigma IS NOT NULL),
+ h AS (SELECT e.id, e.date, e.i, min(CASE WHEN p.c - e.c >= e.width THEN p.i END) AS u, min(CASE WHEN p.c - e.c <= -e.width THEN p.i END) AS d FROM e JOIN c p ON p.id = e.id AND p.i > e.i AND p.i <= e.i + 10 GROUP BY 1, 2, 3),
+ lab AS (SELECT id, date, i, CASE WHEN u IS NULL AND d IS NULL THEN 0 WHEN d IS NULL OR u < d THEN 1 ELSE -1 END AS outcome, coalesce(least(u, d), i + 10) AS i_end FROM h)"""
+
+
+@BOOK.add("triple_barrier", f"WITH {BARRIERS} SELECT id, date, i, outcome, i_end FROM lab")
+def triple_barrier(spark, sf_dir: str) -> DataFrame:
+    return labels.triple_barrier(returns(spark, sf_dir), 20, 10, 0.5).drop("width")
+
+
+@BOOK.add("label_counts", f"WITH {BARRIERS} SELECT outcome, count(*) AS n FROM lab GROUP BY outcome")
+def label_counts(spark, sf_dir: str) -> DataFrame:
+    return labels.class_labels(labels.triple_barrier(returns(spark, sf_dir), 20, 10, 0.5)).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@BOOK.add(
+    "uniqueness",
+    f"""WITH {BARRIERS}, s AS (SELECT id, i, i + 1 AS first, i_end AS last FROM lab WHERE id < 20), c AS (SELECT s.id, b, count(*) AS c FROM s, LATERAL (SELECT unnest(range(s.first, s.last + 1)) AS b) GROUP BY 1, 2)
+ SELECT s.id, s.i, round(avg(1.0 / c.c), 8) AS weight FROM s JOIN c ON c.id = s.id AND c.b BETWEEN s.first AND s.last GROUP BY 1, 2""".replace("), c AS (SELECT s.id", "), cc AS (SELECT s.id").replace("avg(1.0 / c.c)", "avg(1.0 / cc.c)").replace("JOIN c ON c.id = s.id AND c.b", "JOIN cc ON cc.id = s.id AND cc.b"),
+)
+def uniqueness(spark, sf_dir: str) -> DataFrame:
+    found = labels.triple_barrier(returns(spark, sf_dir), 20, 10, 0.5).where("id < 20")
+    spans = found.select("id", "i", (F.col("i") + 1).cast("long").alias("first"), F.col("i_end").alias("last"))
+    return labels.uniqueness(spans).select("id", "i", r("weight").alias("weight"))
+
+
+EVENT_TIMES = "ev AS (SELECT event_id AS id, date_diff('minute', TIMESTAMP '2024-01-01', ts) AS start, date_diff('minute', TIMESTAMP '2024-01-01', ts) + 60 + event_id % 600 AS \"end\" FROM events)"
+
+
+def event_times(spark, sf_dir: str) -> DataFrame:
+    minute = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60_000_000) - F.floor(F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp")) / 60_000_000)
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), minute.alias("start"), (minute + 60 + F.col("event_id") % 600).alias("end"))
+
+
+FOLDS = f"{EVENT_TIMES}, f AS (SELECT *, ntile(5) OVER (ORDER BY start, id) - 1 AS fold FROM ev), t AS (SELECT fold AS split, min(start) AS t0, max(\"end\") AS t1 FROM f GROUP BY fold)"
+ROLE = "CASE WHEN f.fold = t.split THEN 'test' WHEN start <= t1 AND \"end\" >= t0 THEN 'purged' WHEN start > t1 AND start <= t1 + 100 THEN 'embargoed' ELSE 'train' END"
+
+
+@BOOK.add("purged_kfold", f"WITH {FOLDS} SELECT id, split, {ROLE} AS role FROM f, t")
+def purged_kfold(spark, sf_dir: str) -> DataFrame:
+    return splits.purged_kfold(event_times(spark, sf_dir), 5, 100)
+
+
+CHOICES = ", ".join(f"({s}, {a}, {b})" for s, c in enumerate(combinations(range(5), 2)) for a, b in splits.runs(c))
+TESTED = ", ".join(f"({s}, {g})" for s, c in enumerate(combinations(range(5), 2)) for g in c)
+
+
+@BOOK.add(
+    "cpcv_splits",
+    f"""WITH {FOLDS}, ch(split, a, b) AS (VALUES {CHOICES}), te(split, g) AS (VALUES {TESTED}), sp AS (SELECT ch.split, a, min(t0) AS t0, max(t1) AS t1 FROM ch JOIN t ON t.split BETWEEN a AND b GROUP BY 1, 2),
+ x AS (SELECT f.id, sp.split, f.fold, bool_or(start <= t1 AND "end" >= t0) AS m, bool_or(start > t1 AND start <= t1 + 100) AS w FROM f, sp GROUP BY 1, 2, 3)
+ SELECT x.split, x.fold, CASE WHEN te.g IS NOT NULL THEN 'test' WHEN m THEN 'purged' WHEN w THEN 'embargoed' ELSE 'train' END AS role, count(*) AS n, CAST(sum(x.id) AS BIGINT) AS ids FROM x LEFT JOIN te ON te.split = x.split AND te.g = x.fold GROUP BY 1, 2, 3""",
+)
+def cpcv_splits(spark, sf_dir: str) -> DataFrame:
+    return splits.cpcv(event_times(spark, sf_dir), 5, 2, 100).groupBy("split", "fold", "role").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
+@BOOK.add("cpcv_paths", f"WITH te(split, grp) AS (VALUES {TESTED}) SELECT row_number() OVER (PARTITION BY grp ORDER BY split) - 1 AS path, grp, split FROM te")
+def cpcv_paths(spark, sf_dir: str) -> DataFrame:
+    return splits.cpcv_paths(spark, 5, 2)
+
+
+@BOOK.add(
+    "sharpe_moments",
+    f"WITH {RETURNS}, q AS (SELECT id, count(r) AS n, avg(r) AS m, stddev_samp(r) AS s, var_pop(r) AS v FROM ret GROUP BY id) SELECT q.id, any_value(q.n) AS n, round(any_value(m / s), 7) AS sharpe, round(avg(pow(r - m, 3)) / pow(any_value(v), 1.5), 6) AS skew, round(avg(pow(r - m, 4)) / pow(any_value(v), 2), 6) AS kurtosis FROM q JOIN ret ON ret.id = q.id WHERE r IS NOT NULL GROUP BY q.id",
+)
+def sharpe_moments(spark, sf_dir: str) -> DataFrame:
+    told = splits.moments(returns(spark, sf_dir).where("r IS NOT NULL"), "r", ("id",))
+    return told.select("id", "n", r("sharpe", 7).alias("sharpe"), r("skew", 6).alias("skew"), r("kurtosis", 6).alias("kurtosis"))
+
+
+@BOOK.add("average_ranks", "SELECT l_suppkey, l_orderkey, l_linenumber, l_quantity, rank() OVER (PARTITION BY l_suppkey ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_suppkey, l_quantity) - 1) / 2.0 AS rank FROM lineitem")
+def average_ranks(spark, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_quantity", splits.average_rank(["l_suppkey"], F.col("l_quantity")).alias("rank"))
+
+
+PANEL = f"{RETURNS}, pan AS (SELECT i - 1 AS t, id AS config, r FROM ret WHERE i BETWEEN 1 AND 202 AND id < 12)"
+
+
+def panel(spark, sf_dir: str) -> DataFrame:
+    return returns(spark, sf_dir).where("i BETWEEN 1 AND 202 AND id < 12").select((F.col("i") - 1).alias("t"), F.col("id").alias("config"), "r")
+
+
+SIDES = ", ".join(f"({i}, {b}, {str(b in c).lower()})" for i, c in enumerate(combinations(range(6), 3)) for b in range(6))
+PBO = f"""{PANEL}, bs AS (SELECT CASE WHEN t < 136 THEN t // 34 ELSE 4 + (t - 136) // 33 END AS block, config, count(r) AS n, sum(r) AS s, sum(r * r) AS q FROM pan GROUP BY 1, 2), sd(split, block, inside) AS (VALUES {SIDES}),
+ a AS (SELECT split, config, inside, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM bs JOIN sd USING (block) GROUP BY 1, 2, 3), v AS (SELECT split, config, inside, s / n / sqrt((q - s * s / n) / (n - 1)) AS v FROM a),
+ p AS (SELECT split, config, max(v) FILTER (inside) AS vi, max(v) FILTER (NOT inside) AS vo FROM v GROUP BY 1, 2), k AS (SELECT *, rank() OVER (PARTITION BY split ORDER BY vo) AS rank, row_number() OVER (PARTITION BY split ORDER BY vi DESC, config) AS rn, count(*) OVER (PARTITION BY split) AS n FROM p),
+ best AS (SELECT split, config AS best, CAST(rank AS DOUBLE) AS rank, ln((rank / (n + 1)) / (1 - rank / (n + 1))) AS logit FROM k WHERE rn = 1)"""
+
+
+@BOOK.add("pbo_splits", f"WITH {PBO} SELECT split, best, rank, round(logit, 8) AS logit FROM best")
+def pbo_splits(spark, sf_dir: str) -> DataFrame:
+    return splits.pbo_splits(panel(spark, sf_dir), 6, 202).withColumn("logit", r("logit"))
+
+
+@BOOK.add("pbo", f"WITH {PBO} SELECT count(*) AS splits, round(avg(CASE WHEN logit <= 0 THEN 1.0 ELSE 0.0 END), 8) AS pbo FROM best")
+def pbo(spark, sf_dir: str) -> DataFrame:
+    return splits.pbo(splits.pbo_splits(panel(spark, sf_dir), 6, 202)).withColumn("pbo", r("pbo"))
+
+
+TRADES = "tr AS (SELECT l_orderkey, l_suppkey, l_linenumber, l_extendedprice AS notional, 1000000.0 + l_suppkey * 1000 AS adv, CASE WHEN l_linenumber % 2 = 0 THEN 150.0 + l_linenumber END AS volatility_bps, l_returnflag = 'R' AS is_short, l_quantity AS days FROM lineitem)"
+
+
+@BOOK.add(
+    "trade_cost",
+    f"""WITH {TRADES} SELECT is_short, count(*) AS n, round(sum(notional * 5 / 10000), 2) AS spread, round(sum(notional / 10000), 2) AS commission, round(sum(coalesce(volatility_bps, 200) * sqrt(notional / adv) / 10000 * notional), 2) AS impact, round(sum(CASE WHEN is_short THEN 100 * days / 360 / 10000 * notional ELSE 0 END), 2) AS borrow FROM tr GROUP BY is_short""",
+)
+def trade_cost(spark, sf_dir: str) -> DataFrame:
+    line = table(spark, sf_dir, "lineitem")
+    orders = line.select(F.col("l_extendedprice").alias("notional"), (1_000_000.0 + F.col("l_suppkey") * 1000).alias("adv"), F.when(F.col("l_linenumber") % 2 == 0, 150.0 + F.col("l_linenumber")).alias("volatility_bps"), (F.col("l_returnflag") == "R").alias("is_short"), F.col("l_quantity").alias("days"))
+    told = costs.trade_costs(orders)
+    return told.groupBy("is_short").agg(F.count("*").alias("n"), *[F.round(F.sum(f"{c}_usd"), 2).alias(c) for c in ("spread", "commission", "impact", "borrow")])
+
+
+TARGETS = f"{RETURNS}, tg AS (SELECT id % 4 AS strategy, i AS t, id AS asset, CASE WHEN (id + i) % 7 < 5 THEN 0.04 ELSE -0.02 END AS w, least(0.2, greatest(-0.2, r)) AS r FROM ret WHERE i BETWEEN 1 AND 250)"
+
+
+def targets(spark, sf_dir: str) -> DataFrame:
+    weight = F.when((F.col("id") + F.col("i")) % 7 < 5, 0.04).otherwise(-0.02)
+    return returns(spark, sf_dir).where("i BETWEEN 1 AND 250").select((F.col("id") % 4).alias("strategy"), F.col("i").alias("t"), F.col("id").alias("asset"), weight.alias("w"), F.least(F.lit(0.2), F.greatest(F.lit(-0.2), F.col("r"))).alias("r"))
+
+
+NET = f"""{TARGETS}, pe AS (SELECT strategy, t, sum(w * r) AS gross, sum(CASE WHEN w < 0 THEN -w ELSE 0 END) AS short FROM tg GROUP BY 1, 2), dr AS (SELECT tg.strategy, asset, tg.t, w, lag(w * (1 + r) / (1 + gross)) OVER (PARTITION BY tg.strategy, asset ORDER BY tg.t) AS p FROM tg JOIN pe ON pe.strategy = tg.strategy AND pe.t = tg.t),
+ tu AS (SELECT strategy, t, sum(abs(w - coalesce(p, 0))) AS turnover FROM dr GROUP BY 1, 2), net AS (SELECT pe.strategy, pe.t, turnover, turnover * 6 / 10000 AS cost, short * 100 / 10000 / 360 AS borrow, (1 - turnover * 6 / 10000) * (1 - short * 100 / 10000 / 360) * (1 + gross) - 1 AS net FROM pe JOIN tu ON pe.strategy = tu.strategy AND pe.t = tu.t),
+ eq AS (SELECT *, exp(sum(ln(1 + net)) OVER (PARTITION BY strategy ORDER BY t)) AS equity FROM net)"""
+
+
+@BOOK.add("backtest_equity", f"WITH {NET} SELECT strategy, t, round(turnover, 8) AS turnover, round(cost, 9) AS cost, round(borrow, 9) AS borrow, round(net, 8) AS net, round(equity, 7) AS equity FROM eq")
+def backtest_equity(spark, sf_dir: str) -> DataFrame:
+    told = costs.backtest(targets(spark, sf_dir))
+    return told.select("strategy", "t", r("turnover").alias("turnover"), r("cost", 9).alias("cost"), r("borrow", 9).alias("borrow"), r("net").alias("net"), r("equity", 7).alias("equity"))
+
+
+@BOOK.add("max_drawdown", f"WITH {NET} SELECT strategy, round(max(1 - equity / greatest(1.0, peak)), 7) AS max_drawdown FROM (SELECT *, max(equity) OVER (PARTITION BY strategy ORDER BY t) AS peak FROM eq) GROUP BY strategy")
+def max_drawdown(spark, sf_dir: str) -> DataFrame:
+    return costs.drawdowns(costs.backtest(targets(spark, sf_dir))).select("strategy", r("max_drawdown", 7).alias("max_drawdown"))
+
+
+@BOOK.add("performance", f"WITH {NET} SELECT strategy, count(*) AS n, round(exp(sum(ln(1 + net))) - 1, 7) AS total, round(pow(exp(sum(ln(1 + net))), 252.0 / count(*)) - 1, 7) AS annual, round(stddev_samp(net) * sqrt(252), 7) AS volatility, round(avg(net) / stddev_samp(net) * sqrt(252), 6) AS sharpe FROM net GROUP BY strategy")
+def performance(spark, sf_dir: str) -> DataFrame:
+    told = costs.performance(costs.backtest(targets(spark, sf_dir)))
+    return told.select("strategy", "n", r("total", 7).alias("total"), r("annual", 7).alias("annual"), r("volatility", 7).alias("volatility"), r("sharpe", 6).alias("sharpe"))
+
+
+WINDOWS = costs.walk_forward(250, 100, 30, 5)
+WINDOW_SQL = ", ".join(f"({w}, '{role}', {a}, {b})" for w, a0, a1, b0, b1 in WINDOWS for role, a, b in (("train", a0, a1), ("test", b0, b1)))
+
+
+@BOOK.add("walk_forward", f"WITH {NET}, w(\"window\", role, a, b) AS (VALUES {WINDOW_SQL}) SELECT strategy, \"window\", role, count(*) AS n, round(avg(net) / stddev_samp(net), 6) AS sharpe FROM net JOIN w ON t >= a AND t < b GROUP BY 1, 2, 3")
+def walk_forward(spark, sf_dir: str) -> DataFrame:
+    told = costs.in_windows(costs.backtest(targets(spark, sf_dir)), WINDOWS)
+    return told.groupBy("strategy", "window", "role").agg(F.count("*").alias("n"), r(splits.sharpe("net"), 6).alias("sharpe"))
+
+
+@BOOK.add("bootstrap")
+def bootstrap(spark, sf_dir: str) -> DataFrame:
+    return costs.bootstrap(costs.backtest(targets(spark, sf_dir)), 10, 500, 7)
+
+
+@BOOK.add("drift_weights", f"WITH {TARGETS} SELECT strategy, t, asset, round(w * (1 + r) / (1 + sum(w * r) OVER (PARTITION BY strategy, t)), 9) AS drifted FROM tg")
+def drift_weights(spark, sf_dir: str) -> DataFrame:
+    return costs.drifted(targets(spark, sf_dir), ("strategy", "t")).select("strategy", "t", "asset", r("drifted", 9).alias("drifted"))
+
+
+@BOOK.add("sample_cov", f"WITH {PANEL} SELECT a.config AS a, b.config AS b, round(covar_pop(a.r, b.r), 8) AS cov FROM pan a JOIN pan b ON a.t = b.t AND a.config <= b.config GROUP BY 1, 2")
+def sample_cov(spark, sf_dir: str) -> DataFrame:
+    return costs.covariance(panel(spark, sf_dir).withColumnRenamed("config", "asset")).withColumn("cov", r("cov"))
+
+
+@BOOK.add(
+    "constraint_breaches",
+    f"""WITH {TARGETS}, x AS (SELECT t, asset, strategy AS sector, w FROM tg WHERE t <= 20) SELECT t, 'position' AS "limit", CAST(asset AS VARCHAR) AS what, round(abs(w), 8) AS value FROM x WHERE abs(w) > 0.03 + 1e-6 UNION ALL SELECT t, 'gross', '', round(sum(abs(w)), 8) FROM x GROUP BY t HAVING sum(abs(w)) > 3.3 + 1e-6 UNION ALL SELECT t, 'sector', CAST(sector AS VARCHAR), round(sum(abs(w)), 8) FROM x GROUP BY t, sector HAVING sum(abs(w)) > 0.85 + 1e-6""",
+)
+def constraint_breaches(spark, sf_dir: str) -> DataFrame:
+    weights = targets(spark, sf_dir).where("t <= 20").withColumnRenamed("strategy", "sector")
+    return costs.constraint_breaches(weights, 0.03, 3.3, 0.85).withColumn("value", r("value"))
+
+
+@BOOK.add("residual_fit")
+def residual_fit(spark, sf_dir: str) -> DataFrame:
+    """Each security's trailing regression on the means of its day and of its sector on that day."""
+    told = returns(spark, sf_dir).where("r IS NOT NULL AND id < 20")
+    day, sector = Window.partitionBy("date"), Window.partitionBy("date", F.col("id") % 5)
+    return labels.residual_fit(told.select("id", "i", "r", F.avg("r").over(day).alias("m"), F.avg("r").over(sector).alias("s")), 60)
