@@ -33,5 +33,36 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = r"regexp_extract_all(" + LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+RULES_SQL = r"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS k, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
+p AS (SELECT k, unnest(range(1, len(w) - 3)) AS i, w FROM w WHERE len(w) >= 5),
+g AS (SELECT k, i, array_to_string(w[i:i + 4], ' ') AS g FROM p),
+r AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS n FROM g) WHERE n > 1),
+c AS (SELECT k, count(DISTINCT i + o) AS n FROM r, (SELECT unnest(range(5)) AS o) GROUP BY k),
+m AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
+  len(l) AS n_lines, length(regexp_replace(text, '[^\p{L}]+', '', 'g')) AS n_letters, length(regexp_replace(text, '[^\p{Lu}]+', '', 'g')) AS n_capitals FROM w LEFT JOIN c USING (k)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > n_words OR 100 * n_dup_lines > 30 * n_lines OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 2 * n_capitals > n_letters OR 10 * n_letters < 6 * word_chars) AS kept FROM b
+"""
+
+DECONTAMINATION_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce({WORDS}, []) AS w FROM documents),
+q AS (SELECT item_id, coalesce({WORDS}, []) AS w FROM benchmark WHERE item_id IS NOT NULL),
+n AS (SELECT DISTINCT item_id, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS g, least(10, len(w)) AS n FROM (SELECT *, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM q WHERE len(w) > 0)),
+z AS (SELECT DISTINCT n FROM n),
+p AS (SELECT doc_id, z.n, w, unnest(range(1, len(w) - z.n + 2)) AS i FROM d, z WHERE len(w) >= z.n),
+h AS (SELECT doc_id, i, p.n, item_id FROM p JOIN n ON n.n = p.n AND n.g = array_to_string(w[i:i + p.n - 1], ' ')),
+c AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM h) GROUP BY doc_id),
+s AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM h GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN s USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others have tokens, fingerprints, models, matches' places or archives, which SQL does not express; brute force tests them."""
+    return {"op1_quality_rules": RULES_SQL, "op7_benchmark_decontamination": DECONTAMINATION_SQL}
