@@ -221,7 +221,7 @@ def roots(n, pairs):
     return [find(i) for i in range(n)]
 
 
-@pytest.mark.parametrize("tile", [1024, 4])
+@pytest.mark.parametrize("tile", [4096, 4])
 def test_simhash_by_brute_force(spark, tile, monkeypatch):
     monkeypatch.setattr(simhash, "TILE", tile)
     rng = random.Random(6)

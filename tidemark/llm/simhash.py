@@ -30,12 +30,12 @@ from tidemark.llm.components import components
 from tidemark.llm.shared import written
 
 SEED = 42
-#: Fingerprints in one tile of a bucket.
-TILE = 1024
+#: Fingerprints of a bucket that one task compares; of larger buckets, about so many a tile.
+TILE = 4096
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 15
 #: Lanes of the fingerprints that stand for a similarity rather than for a radius, and the bits of their bands.
-WIDE, BAND_BITS = 4, 16
+WIDE, BAND_BITS = 4, 14
 
 
 def shingles(text: str | None, width: int) -> list[bytes]:
@@ -101,14 +101,7 @@ def forest(fps: np.ndarray, radius: int, other: np.ndarray | None = None) -> Ite
     """Index pairs that connect what lies within the radius in fps (rows of lanes), or across fps and other (its indices follow), tile by tile in order of bit counts."""
     every = fps if other is None else np.concatenate([fps, other])
     bits = np.bitwise_count(every).sum(axis=1, dtype=np.int64)
-    root = np.arange(len(every))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
+    label = np.arange(len(every))
     sides = [np.argsort(bits[: len(fps)], kind="stable")]
     sides.append(sides[0] if other is None else len(fps) + np.argsort(bits[len(fps) :], kind="stable"))
     tiles = [[side[i : i + 128] for i in range(0, len(side), 128)] for side in sides]
@@ -119,11 +112,13 @@ def forest(fps: np.ndarray, radius: int, other: np.ndarray | None = None) -> Ite
             if bits[a[0]] - bits[b[-1]] > radius:
                 continue
             apart = sum(np.bitwise_count(every[a, lane][:, None] ^ every[b, lane][None, :]).astype(np.int16) for lane in range(every.shape[1]))
-            for i, j in zip(*np.nonzero(apart <= radius), strict=True):
-                p, q = find(a[i]), find(b[j])
-                if p != q:
-                    root[max(p, q)] = min(p, q)
-                    yield int(a[i]), int(b[j])
+            near = apart <= radius
+            # Pairs that are connected already are passed over at once, however many they are.
+            while (news := near & (label[a][:, None] != label[b][None, :])).any():
+                i, j = divmod(int(news.argmax()), len(b))
+                p, q = sorted((label[a[i]], label[b[j]]))
+                label[label == q] = p
+                yield int(a[i]), int(b[j])
 
 
 def links(nodes: DataFrame, keys: list[Column], radius: int, lanes: int = 1) -> DataFrame:
@@ -133,10 +128,10 @@ def links(nodes: DataFrame, keys: list[Column], radius: int, lanes: int = 1) ->
     keyed = nodes.select(*[F.col("fp")[i].alias(n) for i, n in enumerate(names)], "node", bits.alias("bits"), F.explode(F.array(*keys)).alias("k")).select(*names, "node", "bits", "k.c", "k.key")
     sizes = keyed.groupBy("c", "key").agg(F.count("*").alias("n")).where("n > 1")
     met = keyed.join(sizes, ["c", "key"])
-    # A large bucket's tiles: one bit count and one of `parts` shares of its fingerprints each.
-    cut = met.where(F.col("n") > TILE).withColumn("parts", F.ceil(F.col("n") / F.lit(TILE) / 8).cast("int")).withColumn("part", F.pmod(F.xxhash64(*names), F.col("parts")).cast("int"))
-    mine = F.col("bits") * F.col("parts") + F.col("part")
-    span = F.sequence((F.col("bits") - radius) * F.col("parts"), (F.col("bits") + radius + 1) * F.col("parts") - 1)
+    # A large bucket's tiles: ranges of bit counts as wide as the radius, so that links reach the next range at most, in `parts` shares each.
+    cut = met.where(F.col("n") > TILE).withColumns({"parts": F.ceil(F.col("n") / F.lit(TILE)).cast("int"), "range": F.floor(F.col("bits") / (radius + 1)).cast("int")})
+    mine = F.col("range") * F.col("parts") + F.pmod(F.xxhash64(*names), F.col("parts")).cast("int")
+    span = F.sequence((F.col("range") - 1) * F.col("parts"), (F.col("range") + 2) * F.col("parts") - 1)
     dealt = cut.select("c", "key", *names, "node", mine.alias("mine"), F.explode(span).alias("theirs"))
     large = dealt.select("c", "key", F.least("mine", "theirs").alias("t"), F.greatest("mine", "theirs").alias("u"), (F.col("mine") > F.col("theirs")).alias("side"), "node", *names)
     small = met.where(F.col("n") <= TILE).select("c", "key", F.lit(-1).alias("t"), F.lit(-1).alias("u"), F.lit(False).alias("side"), "node", *names)
