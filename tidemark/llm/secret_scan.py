@@ -53,8 +53,8 @@ def labelled_samples(spark: SparkSession, rows: int = 3000) -> DataFrame:
     word = lambda k: F.element_at(words, (F.pmod(F.xxhash64("id", F.lit(k)), F.size(words)) + 1).cast("int"))
     a, b, c, d = (word(k) for k in range(4))
     ordinary = F.element_at(
-        F.array(F.concat_ws("_", a, b, c, d), F.concat(a, F.initcap(b), F.initcap(c), F.initcap(d)), F.concat_ws("-", a, b, c), F.concat_ws("/", a, b, c, d), F.upper(F.concat_ws("_", a, b, c)), F.concat(a, b, c, d), F.concat_ws("_", a, b, c, F.lit("v2")), F.concat_ws("-", a, b, F.lit("2024-01-15"))),
-        (F.pmod("id", F.lit(8)) + 1).cast("int"),
+        F.array(F.concat_ws("_", a, b, c, d), F.concat(a, F.initcap(b), F.initcap(c), F.initcap(d)), F.concat_ws("-", a, b, c), F.concat_ws("/", a, b, c, d), F.upper(F.concat_ws("_", a, b, c)), F.concat(a, b, c, d), F.concat_ws("_", a, b, c, F.lit("v2")), F.concat_ws("-", a, b, F.lit("2024-01-15")), F.repeat(F.element_at(F.split(F.lit("- = _ /"), " "), (F.pmod(F.col("id"), F.lit(4)) + 1).cast("int")), F.lit(24)), F.concat_ws("--", F.lit(""), a, b, c)),
+        (F.pmod("id", F.lit(10)) + 1).cast("int"),
     )
     digest = F.unhex(F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")), 512))
     coded = F.base64(digest)
