@@ -3,6 +3,7 @@
 The merges of one word run on a segment tree: a leaf holds the rank of the pair that starts
 at its position, the root the lowest rank and of equal ranks the leftmost.  A merge takes
 the root, writes three leaves and mends their paths, so a word of n bytes takes O(n log n).
+Nodes are wide, since the least of a few dozen numbers costs about as much as that of two.
 Words repeat, so each Python worker keeps the tokens of words it has seen, up to a bound.
 
 Defined results: a null text is an empty text and has no tokens; an empty table gives an
@@ -25,11 +26,15 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.arrow import map_batches
 
-#: Words whose tokens a worker keeps; beyond that it starts anew. It bounds memory only.
+#: Words of one generation whose tokens a worker keeps, two generations at most. It bounds memory only.
 KEPT_WORDS = 400_000
 #: Longer words are not kept.
 KEPT_CHARS = 64
 FREE = 1 << 60
+#: Bits of a token in a pair.
+SHIFT = 20
+#: Children of a node of the segment tree.
+FAN = 64
 
 #: Fixed value: the public split pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -42,49 +47,59 @@ def byte_names() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-def merged(tokens: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """tokens after all merges, lowest rank first and leftmost among equals; ranks: pair to (rank, merged token)."""
-    n = len(tokens)
-    if n < 2:
+def merged(tokens: list[int], ranks: dict[int, int], made: list[int]) -> list[int]:
+    """tokens after all merges, lowest rank first and leftmost among equals.
+
+    ranks: of a pair, as left << SHIFT | right; made: the token that the merge of a rank makes.
+    A node of the segment tree has up to FAN children and is the least of them. A word of no
+    more pairs than that is one node; its pairs close up when one goes, and equal ranks keep their order.
+    """
+    if len(tokens) < 2:
         return tokens
-    size = 1 << (n - 2).bit_length() if n > 2 else 1
-    tree = [FREE] * (2 * size)
-    for i in range(n - 1):
-        if found := ranks.get((tokens[i], tokens[i + 1])):
-            tree[size + i] = found[0] * n + i
-    for i in range(size - 1, 0, -1):
-        tree[i] = min(tree[2 * i], tree[2 * i + 1])
-    after, before, tokens = [*range(1, n), -1], [-1, *range(n - 1)], list(tokens)
-
-    def put(i: int, value: int) -> None:
-        i += size
-        tree[i] = value
-        while i > 1:
-            i >>= 1
-            least = min(tree[2 * i], tree[2 * i + 1])
-            if tree[i] == least:
-                return
-            tree[i] = least
-
-    def pair(i: int) -> int:
-        j = after[i]
-        found = ranks.get((tokens[i], tokens[j])) if j >= 0 else None
-        return found[0] * n + i if found else FREE
-
-    while tree[1] != FREE:
-        i = tree[1] % n
+    get = ranks.get
+    leaves = [get(a << SHIFT | b, FREE) for a, b in zip(tokens, tokens[1:])]  # noqa: B905
+    if len(leaves) > FAN:
+        return merged_long(tokens, leaves, ranks, made)
+    while leaves and (rank := min(leaves)) != FREE:
+        i = leaves.index(rank)
+        token = tokens[i] = made[rank]
+        del tokens[i + 1], leaves[i]
+        if i < len(leaves):
+            leaves[i] = get(token << SHIFT | tokens[i + 1], FREE)
+        if i:
+            leaves[i - 1] = get(tokens[i - 1] << SHIFT | token, FREE)
+    return tokens
+
+
+def merged_long(tokens: list[int], leaves: list[int], ranks: dict[int, int], made: list[int]) -> list[int]:
+    """The same with several levels of nodes. Leaf i is rank * n + i of the pair at i, so the root is the leftmost of the lowest."""
+    n, get = len(tokens), ranks.get
+    levels = [[FREE if x == FREE else x * n + i for i, x in enumerate(leaves)]]
+    while len(levels[-1]) > 1:
+        below = levels[-1]
+        levels.append([min(below[i : i + FAN]) for i in range(0, len(below), FAN)])
+    after, before = list(range(1, n + 1)), list(range(-1, n))
+    top = levels[-1]
+    while (best := top[0]) != FREE:
+        rank, i = divmod(best, n)
         gone = after[i]
-        tokens[i] = ranks[tokens[i], tokens[gone]][1]
+        j = after[gone]
+        token = tokens[i] = made[rank]
         tokens[gone] = -1
-        after[i] = after[gone]
-        if after[gone] >= 0:
-            before[after[gone]] = i
+        after[i], before[j] = j, i
+        new = [(i, get(token << SHIFT | tokens[j]) if j < n else None)]
         if gone < n - 1:
-            put(gone, FREE)
-        if i < n - 1:
-            put(i, pair(i))
-        if before[i] >= 0:
-            put(before[i], pair(before[i]))
+            new.append((gone, None))
+        if (p := before[i]) >= 0:
+            new.append((p, get(tokens[p] << SHIFT | token)))
+        for k, rank in new:
+            levels[0][k] = FREE if rank is None else rank * n + k
+            for below, level in zip(levels, levels[1:]):  # noqa: B905
+                k //= FAN
+                least = min(below[k * FAN : (k + 1) * FAN])
+                if level[k] == least:
+                    break
+                level[k] = least
     return [t for t in tokens if t >= 0]
 
 
@@ -100,23 +115,27 @@ class Bpe:
         for name, byte in names.items():
             self.of_byte[byte] = vocab[name]
         self.bytes_of = {i: bytes(names[c] for c in token) for token, i in vocab.items()}
-        self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
+        self.ranks: dict[int, int] = {}
+        self.made: list[int] = []
         for rank, merge in enumerate(model["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
-            self.ranks[vocab[left], vocab[right]] = rank, vocab[left + right]
+            self.ranks[vocab[left] << SHIFT | vocab[right]] = rank
+            self.made.append(vocab[left + right])
         self.special = {t["content"]: t["id"] for t in told.get("added_tokens", [])}
         self.bytes_of |= {i: text.encode() for text, i in self.special.items()}
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words = regex.compile(PATTERN)
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def word(self, word: str) -> bytes:
-        """The tokens of one word as native 32-bit integers."""
+        """The tokens of one word as native 32-bit integers. Words seen since the generation before last are kept."""
         if (found := self.kept.get(word)) is None:
-            found = array("i", merged([self.of_byte[b] for b in word.encode()], self.ranks)).tobytes()
+            if (found := self.older.get(word)) is None:
+                found = array("i", merged([self.of_byte[b] for b in word.encode()], self.ranks, self.made)).tobytes()
             if len(word) <= KEPT_CHARS:
                 if len(self.kept) >= KEPT_WORDS:
-                    self.kept.clear()
+                    self.older, self.kept = self.kept, {}
                 self.kept[word] = found
         return found
 
