@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 #: Rows on which costs and selectivities are estimated; it bounds the sample, not the result.
-SAMPLE_ROWS = 2000
+SAMPLE_ROWS, SAMPLE_CHARS = 1000, 20_000
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -118,8 +118,12 @@ def _measure(name: str, ready: frozenset[str] = frozenset()) -> Column:
 
 
 def estimate(texts: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """(rule, seconds a document, share rejected) on at most `rows` rows of `texts` (column _text), each rule by itself."""
-    kept = texts.sample(False, 0.1, 7).limit(rows).persist()
+    """(rule, seconds a document, share rejected) on at most `rows` rows of `texts` (column _text), each rule by itself.
+
+    take() reads as few partitions as it needs; texts over SAMPLE_CHARS are left out of the sample.
+    """
+    spark = texts.sparkSession
+    kept = spark.createDataFrame(texts.where(F.length("_text") <= SAMPLE_CHARS).sample(False, 0.1, 7).take(rows), "_text string").persist()
     try:
         n, sample = kept.count(), parts(kept)
         found = []

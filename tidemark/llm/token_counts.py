@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.arrow import map_batches
 from tidemark.llm.bpe import bpe, vocabulary
+from tidemark.llm.shared import written
 
 #: Lengths in one range of the two-level sums.
 SPAN = 1024
@@ -66,4 +67,5 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
 
 
 def op10_token_counts(spark, sf_dir: str) -> DataFrame:
-    return suffix_sums(length_histogram(token_lengths(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary())))
+    lengths = token_lengths(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary())
+    return suffix_sums(written(length_histogram(lengths), "histogram"))  # it is read three times

@@ -216,3 +216,42 @@ def constraint_breaches(weights: DataFrame, cap: float, gross: float, sector_cap
     total = weights.groupBy("t").agg(F.sum(F.abs("w")).alias("value")).where(F.col("value") > gross + tolerance).select("t", F.lit("gross").alias("limit"), F.lit("").alias("what"), "value")
     sector = weights.groupBy("t", "sector").agg(F.sum(F.abs("w")).alias("value")).where(F.col("value") > sector_cap + tolerance).select("t", F.lit("sector").alias("limit"), F.col("sector").cast("string").alias("what"), "value")
     return single.unionByName(total).unionByName(sector)
+
+
+def buy_and_hold(returns: DataFrame, weights: DataFrame, fee_bps: float = 6.0, by: tuple[str, ...] = ("strategy",)) -> DataFrame:
+    """returns (strategy, t, asset, r) and entry weights (strategy, asset, w): net equity of a book that is bought once and drifts.
+
+    A position grows by itself, so equity is the sum of positions: one window for growth, one aggregation.
+    """
+    keys = list(by)
+    returns = refuse(returns, F.col("r").isNull(), "a held asset without a return")
+    grown = F.exp(F.sum(F.log1p("r")).over(Window.partitionBy(*keys, "asset").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)))
+    cost = weights.groupBy(*keys).agg((1 - F.sum(F.abs("w")) * fee_bps / 10_000).alias("_after"), (1 - F.sum("w")).alias("_cash"))
+    held = returns.withColumn("_g", grown).join(weights, [*keys, "asset"])
+    return held.groupBy(*keys, "t").agg(F.sum(F.col("w") * F.col("_g")).alias("_v")).join(cost, keys).select(*keys, "t", (F.col("_after") * (F.col("_v") + F.col("_cash"))).alias("equity"))
+
+
+def relaxed(alpha: np.ndarray, cov: np.ndarray, current: np.ndarray, ladder: list[dict], **limits: float) -> tuple[np.ndarray, int]:
+    """The optimum under the first rung of limits that is feasible, and the rung: 0 is no relaxation."""
+    for rung, change in enumerate([{}, *ladder]):
+        try:
+            return optimize(alpha, cov, current, **(limits | change)), rung
+        except Refused:
+            continue
+    raise Refused("infeasible on every rung")
+
+
+def schedule_cost(children: DataFrame, params: dict[str, float] | None = None) -> DataFrame:
+    """Cost by parent of child orders (parent, notional, adv, ...)."""
+    return trade_costs(children, params).groupBy("parent").agg(F.count("*").alias("children"), F.sum("cost_usd").alias("cost_usd"))
+
+
+def seed_sweep(spark, seeds: int, periods: int, assets: int, alpha: float, sigma: float) -> DataFrame:
+    """Synthetic markets r = alpha + sigma e, one seed a group: the realised Sharpe ratio of the equal-weight book of each."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        seed = int(group["seed"].iloc[0])
+        r = np.random.Generator(np.random.PCG64(seed)).normal(alpha, sigma, size=(periods, assets)).mean(axis=1)
+        return pd.DataFrame([(seed, float(r.mean() / r.std(ddof=1)))], columns=["seed", "sharpe"])
+
+    return spark.range(seeds).withColumnRenamed("id", "seed").groupBy("seed").applyInPandas(run, "seed long, sharpe double")

@@ -111,3 +111,25 @@ def residual_fit(paths: DataFrame, window: int, limit: float = 1e8) -> DataFrame
         return pd.DataFrame(out, columns=["id", "i", "alpha", "market", "sector", "sigma"])
 
     return paths.groupBy("id").applyInPandas(fit, "id long, i int, alpha double, market double, sector double, sigma double")
+
+
+def residual_barrier(paths: DataFrame, fits: DataFrame, horizon: int, multiple: float = 1.0) -> DataFrame:
+    """id, i, outcome and i_end of the barriers of residual returns r - market m - sector s (alpha stays in).
+
+    paths (id, i, r, m, s) give the returns after an event, fits (id, i, market, sector, sigma) the
+    betas known at it. The path is an array over the next bars, so the betas of the event apply to all of it.
+    """
+    order = Window.partitionBy("id").orderBy("i")
+    ahead = F.collect_list(F.struct("r", "m", "s")).over(order.rowsBetween(1, horizon))
+    told = paths.select("id", "i", ahead.alias("_path")).where(F.size("_path") == horizon).join(fits, ["id", "i"])
+    width = F.lit(multiple) * F.col("sigma") * F.sqrt(F.lit(float(horizon)))
+    start = F.struct(F.lit(0.0).alias("c"), F.lit(0).alias("k"), F.lit(0).alias("hit"), F.lit(0).alias("at"))
+
+    def step(acc, x):
+        c, k = acc["c"] + x["r"] - F.col("market") * x["m"] - F.col("sector") * x["s"], acc["k"] + 1
+        now = F.when(c >= width, UP).when(c <= -width, DOWN).otherwise(NEITHER)
+        first = (acc["hit"] == 0) & (now != NEITHER)
+        return F.struct(c.alias("c"), k.alias("k"), F.when(first, now).otherwise(acc["hit"]).alias("hit"), F.when(first, k).otherwise(acc["at"]).alias("at"))
+
+    told = told.withColumn("_r", F.aggregate("_path", start, step))
+    return told.select("id", "i", F.col("_r.hit").alias("outcome"), (F.col("i") + F.when(F.col("_r.at") > 0, F.col("_r.at")).otherwise(horizon)).cast("long").alias("i_end"))

@@ -380,3 +380,27 @@ def residual_fit(spark, sf_dir: str) -> DataFrame:
     told = returns(spark, sf_dir).where("r IS NOT NULL AND id < 20")
     day, sector = Window.partitionBy("date"), Window.partitionBy("date", F.col("id") % 5)
     return labels.residual_fit(told.select("id", "i", "r", F.avg("r").over(day).alias("m"), F.avg("r").over(sector).alias("s")), 60)
+
+
+@BOOK.add("residual_labels")
+def residual_labels(spark, sf_dir: str) -> DataFrame:
+    """Barriers of what day and sector leave of each security's return."""
+    told = returns(spark, sf_dir).where("r IS NOT NULL AND id < 20")
+    day, sector = Window.partitionBy("date"), Window.partitionBy("date", F.col("id") % 5)
+    paths = told.select("id", "i", "r", F.avg("r").over(day).alias("m"), F.avg("r").over(sector).alias("s"))
+    return labels.residual_barrier(paths, labels.residual_fit(paths, 60), 10, 0.5)
+
+
+@BOOK.add(
+    "buy_and_hold",
+    f"WITH {TARGETS}, x AS (SELECT strategy, t, asset, exp(sum(ln(1 + r)) OVER (PARTITION BY strategy, asset ORDER BY t)) AS g FROM tg), n AS (SELECT strategy, count(DISTINCT asset) * 0.04 AS gross FROM tg GROUP BY 1) SELECT x.strategy, t, round((1 - any_value(gross) * 6 / 10000) * (sum(0.04 * g) + 1 - any_value(gross)), 7) AS equity FROM x JOIN n ON n.strategy = x.strategy GROUP BY 1, 2",
+)
+def buy_and_hold(spark, sf_dir: str) -> DataFrame:
+    rows = targets(spark, sf_dir)
+    entry = rows.select("strategy", "asset").distinct().withColumn("w", F.lit(0.04))
+    return costs.buy_and_hold(rows.drop("w"), entry).withColumn("equity", r("equity", 7))
+
+
+@BOOK.add("seed_sweep")
+def seed_sweep(spark, sf_dir: str) -> DataFrame:
+    return costs.seed_sweep(spark, 32, 252, 8, 0.0, 0.01)
