@@ -9,7 +9,7 @@ Words repeat, so each Python worker keeps the tokens of words it has seen, up to
 Defined results: a null text is an empty text and has no tokens; an empty table gives an
 empty result; repeated rows are encoded row by row; columns other than the id and the text
 are ignored.  Special tokens written out in a text are encoded as such.  Ids that are not in
-the vocabulary are refused by decode.
+the vocabulary are refused by decode; a null list of ids has an empty text.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -172,7 +173,11 @@ def bpe_decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFra
     kind = encoded.schema[id_col].dataType.simpleString()
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [bpe(path).decode(ids or []) for ids in batch.column(1).to_pylist()]
+        lists = batch.column(1)
+        # Slices of one list of plain integers; to_pylist would make an Arrow scalar of every id.
+        ids = lists.flatten().to_numpy(zero_copy_only=False).tolist()
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)).tolist()
+        texts = [bpe(path).decode(ids[start:end]) for start, end in zip([0, *ends], ends)]  # noqa: B905
         return pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=[id_col, "ids", "decoded"])
 
     return map_batches(encoded.select(id_col, "ids"), rows, f"`{id_col}` {kind}, ids array<int>, decoded string")
