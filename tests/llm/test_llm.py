@@ -276,6 +276,40 @@ def test_dedup_stage(spark, odd, none):
     assert simhash.simhash_dedup(none).columns == none.columns and simhash.simhash_dedup(none).count() == 0
 
 
+def test_dedup_links_by_true_similarity(spark):
+    """Pairs planted from 0.7 to 0.95 among unrelated texts, some of repeated lines: what goes is what brute force on shingle sets finds."""
+    rng = random.Random(16)
+    rows = []
+    for n in (9, 40, 300):
+        for k in range(60):
+            base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            want = 0.7 + 0.25 * k / 60
+            cut = round((n - 4) * (1 - want) / (1 + want))
+            rows += [base, base[: n - cut] + [f"x{rng.randrange(10**6)}" for _ in range(cut)]]
+    block = [f"l{k}" for k in range(30)]
+    rows += [block * 2, block * 20, block * 2 + ["end"]] + [block[:20] + [f"y{k}{j}" for j in range(12)] for k in range(8)]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in rows]
+    near = [(a, b) for a, b in combinations(range(len(rows)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    found = simhash.simhash_dedup(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string"))
+    assert len(near) > 60 and sorted(r.doc_id for r in found.collect()) == sorted(set(roots(len(rows), near)))
+
+
+def test_sets_of_large_components_are_dealt_out(spark, monkeypatch):
+    """One chain of near duplicates in parts of a few sets; the text after it is at 0.6."""
+    monkeypatch.setattr(simhash, "PART", 3)
+    words = [f"w{k}" for k in range(200)]
+    rows = [" ".join(words[k * 4 : k * 4 + 100]) for k in range(20)] + [" ".join(words[100:]), "far away from all the others"]
+    kept = simhash.simhash_dedup(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == [0, 20, 21]
+
+
+def test_rows_of_one_id_join_their_groups(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
+    rows = [(1, b), (3, a), (3, b), (5, a + " more"), (7, "other")]
+    kept = simhash.simhash_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 7]
+
+
 def slow_spans(text):
     t = text or ""
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)

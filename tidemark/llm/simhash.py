@@ -2,11 +2,16 @@
 
 Equal fingerprints are one node.  Two fingerprints within the radius r agree on n - r of any
 n blocks of their bits, so nodes meet in buckets of such block combinations; nothing is
-lost.  (For a similarity instead of a radius, wide fingerprints meet in bands.)  A bucket is compared in tiles with numpy exclusive-or and bit counts; a pair of
+lost.  A bucket is compared in tiles with numpy exclusive-or and bit counts; a pair of
 tiles whose population counts differ by more than the radius is skipped.  Buckets of more
 nodes than a tile holds are dealt out as pairs of tiles, so none falls to one task.  Each
 comparison returns the links of a spanning forest, which connect what all links connect.
 
+For a Jaccard similarity instead of a radius, wide fingerprints of the sets of shingles only
+find candidates: sets that share a MinHash band and lie within a generous radius. Members of a
+component of candidates are then compared with each other on their true sets, and only pairs
+that reach the similarity are links.
+
 Defined results: a null or empty text has the fingerprint zero and links like any other;
 rows of equal ids are one document for linking and keep their own rows; null ids get
 fingerprints, and the smallest id of a component ignores them; an empty table gives an empty
@@ -34,8 +39,13 @@ SEED = 42
 TILE = 4096
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 15
-#: Lanes of the fingerprints that stand for a similarity rather than for a radius, and the bits of their bands.
-WIDE, BAND_BITS = 4, 14
+#: Lanes of the fingerprints that stand for a similarity rather than for a radius.
+WIDE = 4
+#: Odd multipliers of the MinHash values of a set, and the most that a pair at the similarity may miss all bands by chance.
+MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 64, 288, np.uint64) | np.uint64(1)
+MISSED = 1e-6
+#: Sets of a component of candidates that are compared in one unit; a larger component is dealt out as pairs of such parts.
+PART = 128
 
 
 def shingles(text: str | None, width: int) -> list[bytes]:
@@ -46,32 +56,66 @@ def shingles(text: str | None, width: int) -> list[bytes]:
     return list(map(b" ".join, zip(*[words[i:] for i in range(width)], strict=False)))
 
 
-def fingerprint(text: str | None, width: int, lanes: int = 1) -> list[int]:
-    """64 bits a lane, as longs. One lane counts XXH64 bits; more take 128 bits of XXH3 for every two."""
+def fingerprint(text: str | None, width: int) -> list[int]:
+    """64 counted XXH64 bits, as a long in a list."""
     told = shingles(text, width)
     if not told:
-        return [0] * lanes
-    counts = np.zeros(64 * lanes, np.int64)
+        return [0]
+    counts = np.zeros(64, np.int64)
     for i in range(0, len(told), CHUNK):
         part = told[i : i + CHUNK]
-        if lanes == 1:
-            hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in part), np.uint64, len(part)).view(np.uint8).reshape(-1, 8)
-        else:
-            hashes = np.concatenate([np.frombuffer(b"".join([xxhash.xxh3_128_digest(s, SEED + k) for s in part]), np.uint8).reshape(-1, 16) for k in range(lanes // 2)], axis=1)
+        hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in part), np.uint64, len(part)).view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(hashes, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return np.packbits(2 * counts > len(told), bitorder="little").view(np.int64).tolist()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, lanes: int = 1) -> DataFrame:
-    """id and fp, an array of longs."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+    """id and fp, an array of one long."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.record_batch([batch.column(0), pa.array([fingerprint(t, width, lanes) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], names=[id_col, "fp"])
+        return pa.record_batch([batch.column(0), pa.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], names=[id_col, "fp"])
 
     return map_batches(docs.select(id_col, text_col), rows, f"`{id_col}` {kind}, fp array<long>")
 
 
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The 64-bit hashes of the distinct shingles, sorted."""
+    told = shingles(text, width)
+    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, told), np.uint64, len(told)))
+
+
+def set_digest(told: np.ndarray) -> int:
+    return int.from_bytes(xxhash.xxh3_64_digest(told.tobytes()), "little", signed=True)
+
+
+def wide_fingerprint(told: np.ndarray, lanes: int) -> list[int]:
+    """64 counted bits a lane of a set of hashes, as longs; each lane mixes the hashes anew."""
+    counts = np.zeros(64 * lanes, np.int64)
+    for i in range(0, len(told), CHUNK):
+        mixed = told[i : i + CHUNK, None] + np.arange(1, lanes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        mixed ^= mixed >> np.uint64(31)
+        counts += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(told), bitorder="little").view(np.int64).tolist()
+
+
+def band_width(similarity: float) -> int:
+    """The most MinHash values a band such that a pair at the similarity shares one of the bands but for a chance of MISSED."""
+    return max((r for r in range(1, 17) if (1 - similarity**r) ** (len(MULTIPLIERS) // r) <= MISSED), default=1)
+
+
+def band_keys(told: np.ndarray, width: int) -> list[int]:
+    """A key for every `width` MinHash values of a set of hashes; an empty set has none. The band is part of its key."""
+    if not len(told):
+        return []
+    bands = len(MULTIPLIERS) // width
+    used = MULTIPLIERS[: bands * width]
+    least = np.min([(told[i : i + 256, None] * used).min(axis=0) for i in range(0, len(told), 256)], axis=0).reshape(bands, width)
+    return [int.from_bytes(xxhash.xxh3_64_digest(row.tobytes(), seed=k), "little", signed=True) for k, row in enumerate(least)]
+
+
 def blocks_for(nodes: int, radius: int) -> int:
     """Blocks of the 64 bits such that a bucket of n - r of them has about 16 nodes or fewer if bits are even."""
     n = radius + 1
@@ -91,12 +135,6 @@ def exact_keys(n_nodes: int, radius: int) -> list[Column]:
     return [F.struct(F.lit(c).cast("int").alias("c"), F.col("fp")[0].bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for c, m in enumerate(masks(blocks_for(n_nodes, radius), radius))]
 
 
-def band_keys(lanes: int, bits: int = BAND_BITS) -> list[Column]:
-    """(c, key) of wide fingerprints, one for every `bits` bits of a lane."""
-    spots = [(lane, at) for lane in range(lanes) for at in range(0, 64 - bits + 1, bits)]
-    return [F.struct(F.lit(c).cast("int").alias("c"), F.shiftrightunsigned(F.col("fp")[lane], at).bitwiseAND(F.lit((1 << bits) - 1)).alias("key")) for c, (lane, at) in enumerate(spots)]
-
-
 def forest(fps: np.ndarray, radius: int, other: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
     """Index pairs that connect what lies within the radius in fps (rows of lanes), or across fps and other (its indices follow), tile by tile in order of bit counts."""
     every = fps if other is None else np.concatenate([fps, other])
@@ -121,13 +159,25 @@ def forest(fps: np.ndarray, radius: int, other: np.ndarray | None = None) -> Ite
                 yield int(a[i]), int(b[j])
 
 
-def links(nodes: DataFrame, keys: list[Column], radius: int, lanes: int = 1) -> DataFrame:
-    """(a, b): links that connect all nodes (fp, node) that share a key and whose fingerprints differ in at most `radius` bits."""
-    names = [f"f{i}" for i in range(lanes)]
-    bits = sum((F.bit_count(F.col("fp")[i]) for i in range(lanes)), F.lit(0))
-    keyed = nodes.select(*[F.col("fp")[i].alias(n) for i, n in enumerate(names)], "node", bits.alias("bits"), F.explode(F.array(*keys)).alias("k")).select(*names, "node", "bits", "k.c", "k.key")
+def links(nodes: DataFrame, keys: list[Column], radius: int) -> DataFrame:
+    """(a, b): links that connect all nodes (fp of one lane, node) that share a key and whose fingerprints differ in at most `radius` bits."""
+    keyed = nodes.select(F.col("fp")[0].alias("f0"), "node", F.bit_count(F.col("fp")[0]).alias("bits"), F.explode(F.array(*keys)).alias("k")).select("f0", "node", "bits", "k.c", "k.key")
     sizes = keyed.groupBy("c", "key").agg(F.count("*").alias("n")).where("n > 1")
-    met = keyed.join(sizes, ["c", "key"])
+    return compared(keyed.join(sizes, ["c", "key"]), radius, 1)
+
+
+def band_links(nodes: DataFrame, radius: int, lanes: int) -> DataFrame:
+    """(a, b): links that connect all nodes (fp, keys, node) that share a key of a band and whose fingerprints differ in at most `radius` bits. Fingerprints join the keys that meet only."""
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    met = keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+    bits = sum((F.bit_count(F.col("fp")[i]) for i in range(lanes)), F.lit(0))
+    fps = nodes.select("node", bits.alias("bits"), *[F.col("fp")[i].alias(f"f{i}") for i in range(lanes)])
+    return compared(met.join(fps, "node").withColumn("c", F.lit(0)), radius, lanes)
+
+
+def compared(met: DataFrame, radius: int, lanes: int) -> DataFrame:
+    """(a, b) of the rows (c, key, n, node, bits, f0...) of the buckets (c, key) of n nodes."""
+    names = [f"f{i}" for i in range(lanes)]
     # A large bucket's tiles: ranges of bit counts as wide as the radius, so that links reach the next range at most, in `parts` shares each.
     cut = met.where(F.col("n") > TILE).withColumns({"parts": F.ceil(F.col("n") / F.lit(TILE)).cast("int"), "range": F.floor(F.col("bits") / (radius + 1)).cast("int")})
     mine = F.col("range") * F.col("parts") + F.pmod(F.xxhash64(*names), F.col("parts")).cast("int")
@@ -177,33 +227,115 @@ def links(nodes: DataFrame, keys: list[Column], radius: int, lanes: int = 1) ->
     return small.union(large).repartition(*unit).sortWithinPartitions(*unit).mapInArrow(compare, "a long, b long")
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, lanes: int = 1) -> DataFrame:
-    """id (a long), fp and component_id, the smallest id that links reach.
-
-    With one lane every link within the radius counts. With more, links are sought among
-    fingerprints that share a band: the recall for a share p of differing bits is
-    1 - (1 - (1 - p) ** BAND_BITS) ** bands, and it is the same at every size.
-    """
-    fps = written(fingerprints(docs, id_col, text_col, width, lanes), "fingerprints")
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
+    """id (a long), fp and component_id, the smallest id that links reach; every link within the radius counts."""
+    fps = written(fingerprints(docs, id_col, text_col, width), "fingerprints")
     nodes = written(fps.groupBy("fp").agg(F.min(id_col).alias("node")), "nodes")
-    keys = exact_keys(nodes.count(), radius) if lanes == 1 else band_keys(lanes)
-    labels = components(links(nodes.where("node is not null"), keys, radius, lanes))
+    labels = components(links(nodes.where("node is not null"), exact_keys(nodes.count(), radius), radius))
     known = nodes.join(labels, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return fps.join(known, "fp", "left").select(id_col, "fp", "component_id")
 
 
 def bits_apart(similarity: float, lanes: int) -> int:
-    """Bits in which fingerprints of that Jaccard similarity differ on average, and one standard deviation, so that most pairs at the border are met."""
+    """Bits in which fingerprints of that Jaccard similarity differ on average, and eight standard deviations."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(64 * lanes * p + math.sqrt(64 * lanes * p * (1 - p)))
+    return round(64 * lanes * p + 8 * math.sqrt(64 * lanes * p * (1 - p)))
+
+
+def near_sets(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which pairs of sets (of distinct values) reach the Jaccard similarity."""
+    sizes = np.array([len(x) for x in sets])
+    place, owner = np.unique(np.concatenate(sets), return_inverse=True)[1], np.repeat(np.arange(len(sets)), sizes)
+    shared = np.bincount(place) > 1
+    kept = shared[place]
+    column, row = (np.cumsum(shared) - 1)[place[kept]], owner[kept]
+    order = np.argsort(column, kind="stable")
+    column, row, common = column[order], row[order], np.zeros((len(sets), len(sets)))
+    for at in range(0, int(shared.sum()), 4096):
+        i, j = np.searchsorted(column, [at, at + 4096])
+        held = np.zeros((len(sets), 4096), np.float32)
+        held[row[i:j], column[i:j] - at] = 1
+        common += held @ held.T
+    return common / np.maximum(sizes[:, None] + sizes[None, :] - common, 1) >= similarity
+
+
+def spanning(near: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Index pairs of a symmetric matrix that connect what it connects."""
+    label = np.arange(len(near))
+    for i in range(len(near)):
+        while (news := near[i] & (label != label[i])).any():
+            j = int(news.argmax())
+            label[label == label[j]] = label[i]
+            yield i, j
+
+
+def verified(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
+    """(a, b): links that connect all sets of shingles of one component whose similarity is reached. members: digest, node (the id of a document with that set) and component; docs have ids."""
+    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / F.lit(PART)).cast("int").alias("parts"))
+    texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).join(members.join(sizes, "component"), "node").select("component", "parts", "digest", "node", "text")
+
+    def told(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """The sets; texts of other rows of the id go."""
+        sets = [shingle_set(t, width) for t in batch.column(4).to_pylist()]
+        right = [set_digest(x) == d for x, d in zip(sets, batch.column(2).to_pylist(), strict=True)]
+        return pa.record_batch([*batch.columns[:4], pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["component", "parts", "digest", "node", "told"]).filter(pa.array(right, pa.bool_()))
+
+    sets = map_batches(texts, told, "component long, parts int, digest long, node long, told array<long>")
+    mine = F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int")
+    dealt = sets.withColumn("mine", mine).withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("parts = 1 or mine != theirs")
+    unit = ["component", "t", "u"]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Units come sorted; one is held at a time."""
+        held: dict[int, tuple[int, np.ndarray]] = {}
+        open_unit = None
+        for batch in batches:
+            values, ends = batch.column(5).values.to_numpy().view(np.uint64), batch.column(5).offsets.to_numpy()
+            for i, (*now, digest, node) in enumerate(zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True)):
+                if now != open_unit:
+                    yield from ended(held)
+                    held, open_unit = {}, now
+                held[digest] = node, values[ends[i] : ends[i + 1]].copy()
+        yield from ended(held)
+
+    def ended(held: dict[int, tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        if len(held) > 1 and (found := list(spanning(near_sets([x for _, x in held.values()], similarity)))):
+            nodes = [node for node, _ in held.values()]
+            yield pa.record_batch([pa.array([nodes[i] for i, _ in found], pa.int64()), pa.array([nodes[j] for _, j in found], pa.int64())], names=["a", "b"])
+
+    units = dealt.select("component", F.least("mine", "theirs").alias("t"), F.greatest("mine", "theirs").alias("u"), "digest", "node", "told")
+    return units.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(compare, "a long, b long")
+
+
+def similar_components(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float, lanes: int) -> DataFrame:
+    """id and component_id, the smallest id that links reach; docs have ids, which are longs. Every link is a pair of shingle sets whose similarity was computed."""
+    kind, band = docs.schema[id_col].dataType.simpleString(), band_width(similarity)
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
+        longs = pa.list_(pa.int64())
+        return pa.record_batch([batch.column(0), pa.array(map(set_digest, sets), pa.int64()), pa.array([wide_fingerprint(x, lanes) for x in sets], longs), pa.array([band_keys(x, band) for x in sets], longs)], names=[id_col, "digest", "fp", "keys"])
+
+    prints = written(map_batches(docs.select(id_col, text_col), rows, f"`{id_col}` {kind}, digest long, fp array<long>, keys array<long>"), "fingerprints")
+    # Equal sets are one node, and the document of the smallest id shows its set.
+    nodes = written(prints.groupBy("digest").agg(F.min(id_col).cast("long").alias("node"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "nodes")
+    ids = nodes.select("digest", "node")
+    loose = components(band_links(nodes.select("fp", "keys", F.col("digest").alias("node")), bits_apart(similarity, lanes), lanes))
+    near = verified(docs, loose.select(F.col("node").alias("digest"), "component").join(ids, "digest"), id_col, text_col, width, similarity)
+    # Rows of one id with different texts are one document.
+    several = prints.groupBy(id_col).agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least != most").select(id_col)
+    same = prints.join(several, id_col).join(ids, "digest").select(F.col("node").alias("a"), F.col(id_col).cast("long").alias("b"))
+    labels = components(near.union(same))
+    known = ids.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+    return prints.select(id_col, "digest").join(known, "digest").select(id_col, "component_id")
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, lanes: int = WIDE) -> DataFrame:
     """docs with one document of each near-duplicate component: that of the smallest id; of repeated rows of an id one stays. Rows without an id stay."""
-    found = written(simhash_components(docs, id_col, text_col, width, bits_apart(similarity, lanes), lanes), "groups")
+    found = written(similar_components(docs.where(F.col(id_col).isNotNull()), id_col, text_col, width, similarity, lanes), "groups")
     gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
     left = docs.join(gone, id_col, "left_anti").select(*docs.columns)
-    if found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
+    if found.groupBy(id_col).count().where("count > 1").isEmpty():
         return left
     return left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(left.where(F.col(id_col).isNull()))
 
