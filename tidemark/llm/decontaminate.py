@@ -7,8 +7,9 @@ Every test suffix, that is every benchmark position where a window starts, is lo
 binary search in each shard.  Windows at consecutive positions of both texts join to the
 longest verbatim matches, whose places are returned.
 
-Defined results: a null text has no words; benchmark items without words have no windows, and
-items without an id none either; repeated rows are judged row by row; an empty benchmark hits
+Defined results: a null text has no words; benchmark items without words have no windows;
+items without an id cannot be named, so they are not among the matches, as in the SQL of op7, but
+documents that hold their windows are removed; repeated rows are judged row by row; an empty benchmark hits
 nothing; columns other than ids and texts are ignored.
 """
 
@@ -18,6 +19,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrow import map_batches
+from tidemark.llm.shared import written
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 WINDOW = 10
@@ -39,7 +42,7 @@ def words_of(text: str | None) -> list[bytes]:
 class Tests:
     """The windows of a block of benchmark items, by length, each once, with the items that hold it."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW) -> None:
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW) -> None:
         told = [(item, words_of(text)) for item, text in items]
         self.vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for _, ws in told for w in ws}))}
         self.names = [item for item, _ in told]
@@ -119,10 +122,10 @@ def matches(shard: list[list[bytes]], tests: Tests) -> list[list[tuple[int, int,
     return out
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str | None]]]:
+def blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int = BLOCK_BYTES) -> Iterator[list[tuple[str | None, str | None]]]:
     """The items, in blocks of bounded size."""
     block, held = [], 0
-    for item, text in benchmark.select(F.col(id_col).cast("string"), text_col).where(F.col(id_col).isNotNull()).toLocalIterator():
+    for item, text in benchmark.select(F.col(id_col).cast("string"), text_col).toLocalIterator():
         if block and held + len(text or "") > most:
             yield block
             block, held = [], 0
@@ -141,22 +144,25 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     context = docs.sparkSession.sparkContext
     schema = pa.list_(pa.struct([("item", pa.string()), ("item_word", pa.int64()), ("doc_word", pa.int64()), ("n_words", pa.int64())]))
 
-    def scan(block: list[tuple[str, str | None]]) -> DataFrame:
+    def scan(rows_in: DataFrame, block: list[tuple[str | None, str | None]]) -> DataFrame:
         sent = context.broadcast(Tests(block, window))  # at most block_bytes of text
 
         def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
             tests = sent.value
             shard = [words_of(t) for t in batch.column(1).to_pylist()]
             told = [[{"item": tests.names[k], "item_word": i, "doc_word": at, "n_words": n} for k, i, at, n in sorted(found)] for found in matches(shard, tests)]
-            return pa.record_batch([batch.column(0), pa.array([len(x) for x in shard], pa.int64()), pa.array(told, schema)], names=[id_col, "n_words", "matches"])
-
-        return map_batches(docs.select(id_col, text_col), rows, f"`{id_col}` {kind}, n_words long, matches {MATCHES}")
-
-    found = [scan(block) for block in blocks(benchmark, item_col, item_text_col, block_bytes)] or [scan([])]
-    if len(found) == 1:
-        return found[0]
-    # Several blocks: rows of one id are one document here.
-    return reduce(DataFrame.unionAll, found).groupBy(id_col).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches"))
+            return pa.record_batch([batch.column(0), pa.array([len(x) for x in shard], pa.int64()), pa.array(told, schema), *batch.columns[2:]], names=[id_col, "n_words", "matches", *["tidemark_row"] * (batch.num_columns - 2)])
+
+        return map_batches(rows_in, rows, f"`{id_col}` {kind}, n_words long, matches {MATCHES}" + ", tidemark_row long" * (len(rows_in.columns) - 2))
+
+    told, docs = blocks(benchmark.where(F.col(item_col).isNotNull()), item_col, item_text_col, block_bytes), docs.select(id_col, text_col)
+    first, second = next(told, []), next(told, None)
+    if second is None:
+        return scan(docs, first)
+    # Several blocks: each row has a number that is written before the scans.
+    numbered = written(docs.withColumn("tidemark_row", F.monotonically_increasing_id()), "numbered")
+    found = reduce(DataFrame.unionAll, [scan(numbered, block) for block in chain([first, second], told)])
+    return found.groupBy("tidemark_row").agg(F.first(id_col).alias(id_col), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches")).drop("tidemark_row")
 
 
 def covered_words(matches: Column) -> Column:
