@@ -1,10 +1,14 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-Every rule is a native boolean expression over the text.  On a bounded sample the cascade
-measures what each rule costs and how many documents it rejects, then puts the rules in
-order of rejections per second.  The verdict is one CASE expression in that order, so a
-document pays for the rules up to its first rejection and no further.  The order changes the
-cost and the rule that is named, never which documents are kept.
+A rule is a native boolean expression over measures of a text; a measure may need others, down
+to the text itself.  On a bounded sample one scan tells which rules reject each document and how
+much text, words and lines it has.  From these the rules are put in order: next is always the
+rule with the most rejections for its cost among the sampled documents that all rules before it
+keep, and its cost is that of the measures that no rule before it has made.
+
+The cascade is a row of columns.  Every measure that is not asked for in the result is made
+only for documents that no earlier rule has rejected, and once, however many rules use it. The
+order changes the cost and the rule that is named, never which documents are kept.
 
 Defined results: a null text is an empty text; an empty text has no words and fails the
 word-count rule; repeated rows are judged row by row; an empty table gives an empty result;
@@ -13,7 +17,6 @@ columns other than the id and the text are ignored, so their names cannot clash.
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -73,21 +76,29 @@ def repeated_window_words(words: Column, hashes: Column, width: int = 5) -> Colu
     return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), exact()).otherwise(F.lit(0))
 
 
-def parts(texts: DataFrame) -> DataFrame:
-    """_text with its words, lines and window hashes as columns; columns, since an expression inside a lambda is computed for every element."""
-    return texts.withColumns({"_words": words_of(F.col("_text")), "_lines": lines_of(F.col("_text"))}).withColumn("_windows", window_hashes(F.col("_words"), 5))
-
-
-#: Measures of a document. Each takes the text and its words and lines.
-MEASURES: dict[str, Callable[[Column, Column, Column], Column]] = {
-    "n_words": lambda text, words, lines: F.size(words),
-    "word_chars": lambda text, words, lines: F.length(F.array_join(words, "")),
-    "n_symbols": lambda text, words, lines: F.length(text) - F.length(F.regexp_replace(text, "[#*$%&|<>]", "")),
-    "n_dup_lines": lambda text, words, lines: F.size(lines) - F.size(F.array_distinct(lines)),
-    "n_repeat_words": lambda text, words, lines: repeated_window_words(words, F.col("_windows")),
-    "n_lines": lambda text, words, lines: F.size(lines),
-    "n_letters": lambda text, words, lines: F.length(F.regexp_replace(text, "\\P{L}+", "")),
-    "n_capitals": lambda text, words, lines: F.length(F.regexp_replace(text, "\\P{Lu}+", "")),
+@dataclass(frozen=True)
+class Measure:
+    """make: from a lookup of measures to a column; needs: the measures that it looks up; cost: per unit of `per`, in nanoseconds as once measured, which only order the rules."""
+
+    make: Callable[[Callable[[str], Column]], Column]
+    needs: tuple[str, ...] = ()
+    cost: float = 1.0
+    per: str = "chars"
+
+
+#: Of a document. "text" is given; words, lines and windows are arrays that others need.
+MEASURES: dict[str, Measure] = {
+    "words": Measure(lambda m: words_of(m("text")), ("text",), 135.0),
+    "lines": Measure(lambda m: lines_of(m("text")), ("text",), 16.0),
+    "windows": Measure(lambda m: window_hashes(m("words"), 5), ("words",), 1200.0, "words"),
+    "n_words": Measure(lambda m: F.size(m("words")), ("words",), 1.0, "rows"),
+    "word_chars": Measure(lambda m: F.length(F.array_join(m("words"), "")), ("words",), 30.0, "words"),
+    "n_symbols": Measure(lambda m: F.length(m("text")) - F.length(F.regexp_replace(m("text"), "[#*$%&|<>]", "")), ("text",), 45.0),
+    "n_dup_lines": Measure(lambda m: F.size(m("lines")) - F.size(F.array_distinct(m("lines"))), ("lines",), 200.0, "lines"),
+    "n_repeat_words": Measure(lambda m: repeated_window_words(m("words"), m("windows")), ("words", "windows"), 2100.0, "words"),
+    "n_lines": Measure(lambda m: F.size(m("lines")), ("lines",), 1.0, "rows"),
+    "n_letters": Measure(lambda m: F.length(F.regexp_replace(m("text"), "\\P{L}+", "")), ("text",), 45.0),
+    "n_capitals": Measure(lambda m: F.length(F.regexp_replace(m("text"), "\\P{Lu}+", "")), ("text",), 16.0),
 }
 #: Those that the digest returns.
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -98,62 +109,93 @@ class Rule:
     """rejects: from a lookup of measures to a boolean column; base rules stay whatever the cascade adds."""
 
     name: str
+    needs: tuple[str, ...]
     rejects: Callable[[Callable[[str], Column]], Column]
     base: bool = False
 
 
 RULES = (
-    Rule("few_words", lambda m: m("n_words") < 10, base=True),
-    Rule("repeated_windows", lambda m: 100 * m("n_repeat_words") > 20 * m("n_words"), base=True),
-    Rule("symbols", lambda m: 10 * m("n_symbols") > m("n_words")),
-    Rule("duplicate_lines", lambda m: 100 * m("n_dup_lines") > 30 * m("n_lines")),
-    Rule("word_length", lambda m: (m("word_chars") < 2 * m("n_words")) | (m("word_chars") > 20 * m("n_words"))),
-    Rule("capitals", lambda m: 2 * m("n_capitals") > m("n_letters")),
-    Rule("few_letters", lambda m: 10 * m("n_letters") < 6 * m("word_chars")),
+    Rule("few_words", ("n_words",), lambda m: m("n_words") < 10, base=True),
+    Rule("repeated_windows", ("n_repeat_words", "n_words"), lambda m: 100 * m("n_repeat_words") > 20 * m("n_words"), base=True),
+    Rule("symbols", ("n_symbols", "n_words"), lambda m: 10 * m("n_symbols") > m("n_words")),
+    Rule("duplicate_lines", ("n_dup_lines", "n_lines"), lambda m: 100 * m("n_dup_lines") > 30 * m("n_lines")),
+    Rule("word_length", ("word_chars", "n_words"), lambda m: (m("word_chars") < 2 * m("n_words")) | (m("word_chars") > 20 * m("n_words"))),
+    Rule("capitals", ("n_capitals", "n_letters"), lambda m: 2 * m("n_capitals") > m("n_letters")),
+    Rule("few_letters", ("n_letters", "word_chars"), lambda m: 10 * m("n_letters") < 6 * m("word_chars")),
 )
 
 
-def _measure(name: str, ready: frozenset[str] = frozenset()) -> Column:
-    return F.col(name) if name in ready else MEASURES[name](F.col("_text"), F.col("_words"), F.col("_lines"))
+def look(name: str) -> Column:
+    return F.col(f"_{name}")
+
+
+def missing(needs: tuple[str, ...], known: set[str]) -> list[str]:
+    """The measures to make for `needs`, each after those that it needs itself."""
+    out: list[str] = []
+    for name in needs:
+        if name not in known and name not in out:
+            out += [x for x in missing(MEASURES[name].needs, known) if x not in out] + [name]
+    return out
 
 
-def estimate(texts: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """(rule, seconds a document, share rejected) on at most `rows` rows of `texts` (column _text), each rule by itself.
+def with_measures(texts: DataFrame, needs: tuple[str, ...], known: set[str], only: Column | None = None) -> DataFrame:
+    """texts (column _text) with a column for each measure that is not known yet; null where `only` does not hold. Columns, since an expression inside a lambda is computed for every element."""
+    for name in missing(needs, known):
+        value = MEASURES[name].make(look)
+        texts = texts.withColumn(f"_{name}", value if only is None else F.when(only, value))
+        known.add(name)
+    return texts
 
-    take() reads as few partitions as it needs; texts over SAMPLE_CHARS are left out of the sample.
+
+def sampled(texts: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> list[tuple[frozenset[str], dict[str, int]]]:
+    """Of at most `rows` texts of up to SAMPLE_CHARS characters: the rules that reject each and its sizes.
+
+    Rules run in the JVM on as few partitions as hold the sample; only flags and sizes return.
     """
-    spark = texts.sparkSession
-    kept = spark.createDataFrame(texts.where(F.length("_text") <= SAMPLE_CHARS).sample(False, 0.1, 7).take(rows), "_text string").persist()
-    try:
-        n, sample = kept.count(), parts(kept)
-        found = []
-        for rule in rules:
-            began = time.perf_counter()
-            out = sample.agg(F.count_if(rule.rejects(_measure)).alias("n")).first()["n"]
-            found.append((rule, (time.perf_counter() - began) / max(n, 1), out / max(n, 1)))
-        return found
-    finally:
-        kept.unpersist()
+    short = texts.where(F.length("_text") <= SAMPLE_CHARS).sample(False, 0.1, 7)
+    all_of = with_measures(short, ("words", "lines", *[n for r in rules for n in r.needs]), {"text"})
+    flags = [F.coalesce(r.rejects(look), F.lit(False)).alias(f"r{k}") for k, r in enumerate(rules)]
+    told = all_of.select(*flags, F.length("_text").alias("chars"), F.size("_words").alias("words"), F.size("_lines").alias("lines")).take(rows)
+    return [(frozenset(r.name for k, r in enumerate(rules) if row[f"r{k}"]), {"rows": 1, "chars": row["chars"], "words": row["words"], "lines": row["lines"]}) for row in told]
 
 
 def in_order(estimates: list[tuple[Rule, float, float]]) -> list[Rule]:
-    """Most rejections per second first; ties by name."""
+    """(rule, cost, share rejected): most rejections per cost first; ties by name."""
     return [r for r, cost, share in sorted(estimates, key=lambda x: (-x[2] / max(x[1], 1e-9), x[0].name))]
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """id, the BASE measures, base_failed, kept, and rejected_by (the first rule of the cascade that rejects; null if kept)."""
+def cascade(sample: list[tuple[frozenset[str], dict[str, int]]], rules: tuple[Rule, ...] = RULES, ready: tuple[str, ...] = ()) -> list[Rule]:
+    """The rules in order. ready: measures that are made for every document anyway and so cost a rule nothing."""
+    known, left, kept, order = {"text"}, list(rules), sample, []
+    known |= set(missing(ready, known))
+    while left:
+        n = max(len(kept), 1)
+        cost = lambda rule: 1.0 + sum(MEASURES[m].cost * sum(size[MEASURES[m].per] for _, size in kept) / n for m in missing(rule.needs, known))  # noqa: B023, E731
+        best = in_order([(r, cost(r), sum(r.name in out for out, _ in kept) / n) for r in left])[0]
+        order.append(best)
+        left.remove(best)
+        known |= set(missing(best.needs, known))
+        kept = [x for x in kept if best.name not in x[0]]
+    return order
+
+
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, measures: tuple[str, ...] = BASE) -> DataFrame:
+    """id, the measures asked for (longs, of every document), kept and rejected_by (the first rule of the cascade that rejects; null if kept).
+
+    base_failed, whether a base rule rejects, comes with them if the measures of the base rules are asked for. With
+    measures=() a document pays for the rules up to its first rejection and no further.
+    """
     texts = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    order = in_order(estimate(texts.select("_text"), rules, sample_rows))
-    told = parts(texts).select(id_col, "_text", "_words", "_lines", *[_measure(n).cast("long").alias(n) for n in (*BASE, "n_lines")])
-    known = frozenset({*BASE, "n_lines"})
-    look = lambda n: _measure(n, known)
-    base = F.lit(False)
-    for rule in rules:
-        base = base | rule.rejects(look) if rule.base else base
-    first = F.coalesce(*[F.when(rule.rejects(look), F.lit(rule.name)) for rule in order]) if order else F.lit(None).cast("string")
-    judged = told.select(id_col, *BASE, base.alias("base_failed"), first.alias("rejected_by"))
-    return judged.select(id_col, *BASE, "base_failed", (~F.col("base_failed") & F.col("rejected_by").isNull()).alias("kept"), "rejected_by")
+    order = cascade(sampled(texts.select("_text"), rules, sample_rows), rules, measures)
+    known = {"text"}
+    told = with_measures(texts, measures, known).withColumn("_rejected_by", F.lit(None).cast("string"))
+    open_ = F.col("_rejected_by").isNull()
+    for rule in order:
+        told = with_measures(told, rule.needs, known, open_)
+        told = told.withColumn("_rejected_by", F.when(open_ & rule.rejects(look), F.lit(rule.name)).otherwise(F.col("_rejected_by")))
+    firm = [r for r in rules if r.base]
+    failed = [F.coalesce(F.greatest(F.lit(False), *[r.rejects(look) for r in firm]), F.lit(False)).alias("base_failed")] if all(n in measures for r in firm for n in r.needs) else []
+    return told.select(id_col, *[look(n).cast("long").alias(n) for n in measures], *failed, open_.alias("kept"), F.col("_rejected_by").alias("rejected_by"))
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
