@@ -160,10 +160,11 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><b
 
 def test_extraction():
     want = "Title & more\nFirst bold para, two lines.\nSecond é.\none\ntwo"
-    assert html_extract.extract(PAGE, [0.0] * 7) == want
-    assert html_extract.extract(None, [0.0] * 7) == html_extract.extract("", [0.0] * 7) == ""
-    assert html_extract.extract(PAGE[: PAGE.index("<ul><li>one")], [0.0] * 7).startswith("Title & more\nFirst")
-    assert len(html_extract.extract("<article>" + "<p>word word</p>" * 5000, [0.0] * 7).split("\n")) == 5000
+    weights = html_extract.trained()
+    assert html_extract.extract(PAGE, weights) == want
+    assert html_extract.extract(None, weights) == html_extract.extract("", weights) == ""
+    assert html_extract.extract(PAGE[: PAGE.index("<ul><li>one")], weights).startswith("Title & more\nFirst")
+    assert len(html_extract.extract("<article>" + "<p>word word</p>" * 5000, weights).split("\n")) == 5000
 
 
 def test_cut_is_minimal():
@@ -178,20 +179,22 @@ def test_cut_is_minimal():
 
 
 def test_settled_blocks_are_those_of_the_cut():
-    rng = random.Random(5)
-    for _ in range(40):
-        blocks = [html_extract.Block("x. " * rng.randrange(1, 9), rng.randrange(3), False, False, "p", rng.randrange(4), 9) for _ in range(rng.randrange(1, 9))]
-        weights = [rng.uniform(-2, 2) for _ in range(7)]
-        got = html_extract.label(blocks, weights)
-        n = len(blocks)
-        edges = [(i, i + 1, html_extract.SIBLING if blocks[i].parent == blocks[i + 1].parent else html_extract.NEXT) for i in range(n - 1)]
-        last = {}
-        for i, b in enumerate(blocks):
-            if b.parent in last and last[b.parent] < i - 1:
-                edges.append((last[b.parent], i, html_extract.SIBLING / 2))
-            last[b.parent] = i
-        cost = lambda side, blocks=blocks, edges=edges: sum(b.costs[0] if s else b.costs[1] for s, b in zip(side, blocks, strict=True)) + sum(w for u, v, w in edges if side[u] != side[v])
-        assert cost(got) == pytest.approx(min(cost([bool(m >> i & 1) for i in range(n)]) for m in range(1 << n)))
+    """Brute force over all labellings; some blocks take their neighbours' label against their own costs, and max-flow runs."""
+    rng, flips, flows, flow = random.Random(5), 0, [], html_extract.max_flow_side
+    html_extract.max_flow_side = lambda n, *rest: flows.append(n) or flow(n, *rest)
+    try:
+        for _ in range(80):
+            said = lambda: html_extract.Evidence(word=float(rng.random() < 0.3), inside=float(rng.random() < 0.5))
+            blocks = [html_extract.Block("x. " * rng.randrange(1, 9), (1, rng.randrange(2, 4), 10 + k)[: rng.randrange(2, 4)], "p", said(), rng.randrange(4)) for k in range(rng.randrange(1, 10))]
+            weights = [rng.uniform(-1, 1) for _ in range(html_extract.N_FEATURES)]
+            got, n = html_extract.label(blocks, weights), len(blocks)
+            edges = html_extract.edges_of(blocks)
+            cost = lambda side, blocks=blocks, edges=edges: sum(b.costs[0] if s else b.costs[1] for s, b in zip(side, blocks, strict=True)) + sum(w for u, v, w in edges if side[u] != side[v])
+            assert cost(got) == pytest.approx(min(cost([bool(m >> i & 1) for i in range(n)]) for m in range(1 << n)))
+            flips += sum(s != (b.costs[0] < b.costs[1]) for s, b in zip(got, blocks, strict=True))
+    finally:
+        html_extract.max_flow_side = flow
+    assert flips > 20 and len(flows) > 20
 
 
 def test_pages(spark):
