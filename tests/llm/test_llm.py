@@ -117,8 +117,13 @@ def test_bpe_digests(spark, odd, none):
     made = lambda df: bpe.digests(bpe.bpe_decode(bpe.bpe_encode(df, path), path))
     got, want = made(odd).collect(), texts(odd)
     assert len(got) == odd.count() and made(none).count() == 0
+    from tokenizers import Tokenizer
+
+    theirs = Tokenizer.from_file(path)
     for r in got:
         if r.doc_id is not None:
+            ids = theirs.encode(want[r.doc_id] or "", add_special_tokens=False).ids
+            assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
             assert r.decoded_sha256 == hashlib.sha256((want[r.doc_id] or "").encode()).hexdigest()
     assert {r.n_tokens for r in got if r.doc_id in (0, 1)} == {0}
 

@@ -3,7 +3,6 @@
 The merges of one word run on a segment tree: a leaf holds the rank of the pair that starts
 at its position, the root the lowest rank and of equal ranks the leftmost.  A merge takes
 the root, writes three leaves and mends their paths, so a word of n bytes takes O(n log n).
-Nodes are wide, since the least of a few dozen numbers costs about as much as that of two.
 Words repeat, so each Python worker keeps the tokens of words it has seen, up to a bound.
 
 Defined results: a null text is an empty text and has no tokens; an empty table gives an
@@ -16,6 +15,7 @@ from __future__ import annotations
 
 import json
 from array import array
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
@@ -32,10 +32,10 @@ KEPT_WORDS = 400_000
 #: Longer words are not kept.
 KEPT_CHARS = 64
 FREE = 1 << 60
+#: A handful of pairs.
+FEW = 4
 #: Bits of a token in a pair.
 SHIFT = 20
-#: Children of a node of the segment tree.
-FAN = 64
 
 #: Fixed value: the public split pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -52,58 +52,62 @@ def merged(tokens: list[int], ranks: dict[int, int], made: list[int]) -> list[in
     """tokens after all merges, lowest rank first and leftmost among equals.
 
     ranks: of a pair, as left << SHIFT | right; made: the token that the merge of a rank makes.
-    A node of the segment tree has up to FAN children and is the least of them. A word of no
-    more pairs than that is one node; its pairs close up when one goes, and equal ranks keep their order.
+    The tree is one list: node k has the children 2k and 2k + 1 and holds the least of them, and leaf m + i
+    holds rank * m + i of the pair of the token at i and the one after it, so the root is the leftmost of the lowest.
+    A word of no more than FEW pairs has its ranks in the root alone.
     """
-    if len(tokens) < 2:
-        return tokens
-    get = ranks.get
-    leaves = [get(a << SHIFT | b, FREE) for a, b in zip(tokens, tokens[1:])]  # noqa: B905
-    if len(leaves) > FAN:
-        return merged_long(tokens, leaves, ranks, made)
-    while leaves and (rank := min(leaves)) != FREE:
-        i = leaves.index(rank)
-        token = tokens[i] = made[rank]
-        del tokens[i + 1], leaves[i]
-        if i < len(leaves):
-            leaves[i] = get(token << SHIFT | tokens[i + 1], FREE)
-        if i:
-            leaves[i - 1] = get(tokens[i - 1] << SHIFT | token, FREE)
-    return tokens
-
-
-def merged_long(tokens: list[int], leaves: list[int], ranks: dict[int, int], made: list[int]) -> list[int]:
-    """The same with several levels of nodes. Leaf i is rank * n + i of the pair at i, so the root is the leftmost of the lowest."""
     n, get = len(tokens), ranks.get
-    levels = [[FREE if x == FREE else x * n + i for i, x in enumerate(leaves)]]
-    while len(levels[-1]) > 1:
-        below = levels[-1]
-        levels.append([min(below[i : i + FAN]) for i in range(0, len(below), FAN)])
-    after, before = list(range(1, n + 1)), list(range(-1, n))
-    top = levels[-1]
-    while (best := top[0]) != FREE:
-        rank, i = divmod(best, n)
+    found = [get(a << SHIFT | b, FREE) for a, b in zip(tokens, tokens[1:])]  # noqa: B905
+    if n <= FEW + 1:
+        return merged_in_root(tokens, found, get, made)
+    m = 1 << (n - 2).bit_length()
+    tree = [FREE] * m + [rank * m + i if rank != FREE else FREE for i, rank in enumerate(found)] + [FREE] * (m - n + 1)
+    for k in range(m - 1, 0, -1):
+        a, b = tree[2 * k], tree[2 * k + 1]
+        tree[k] = a if a < b else b
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    while (best := tree[1]) != FREE:
+        rank, i = divmod(best, m)
         gone = after[i]
-        j = after[gone]
+        j = after[i] = after[gone]
         token = tokens[i] = made[rank]
         tokens[gone] = -1
-        after[i], before[j] = j, i
-        new = [(i, get(token << SHIFT | tokens[j]) if j < n else None)]
-        if gone < n - 1:
-            new.append((gone, None))
+        tree[m + i], changed = FREE, [i]
+        if j < n:
+            # The last token starts no pair, so only here does the one that went have a leaf.
+            before[j], tree[m + gone] = i, FREE
+            changed.append(gone)
+            if (rank := get(token << SHIFT | tokens[j])) is not None:
+                tree[m + i] = rank * m + i
         if (p := before[i]) >= 0:
-            new.append((p, get(tokens[p] << SHIFT | token)))
-        for k, rank in new:
-            levels[0][k] = FREE if rank is None else rank * n + k
-            for below, level in zip(levels, levels[1:]):  # noqa: B905
-                k //= FAN
-                least = min(below[k * FAN : (k + 1) * FAN])
-                if level[k] == least:
+            tree[m + p] = FREE if (rank := get(tokens[p] << SHIFT | token)) is None else rank * m + p
+            changed.append(p)
+        for k in changed:
+            k += m
+            while k > 1:
+                a, b = tree[k], tree[k ^ 1]
+                k >>= 1
+                if b < a:
+                    a = b
+                if tree[k] == a:
                     break
-                level[k] = least
+                tree[k] = a
     return [t for t in tokens if t >= 0]
 
 
+def merged_in_root(tokens: list[int], found: list[int], get: Callable, made: list[int]) -> list[int]:
+    """The same for a few pairs, which close up when one goes; of equal ranks the first is the leftmost."""
+    while found and (rank := min(found)) != FREE:
+        i = found.index(rank)
+        token = tokens[i] = made[rank]
+        del tokens[i + 1], found[i]
+        if i < len(found):
+            found[i] = get(token << SHIFT | tokens[i + 1], FREE)
+        if i:
+            found[i - 1] = get(tokens[i - 1] << SHIFT | token, FREE)
+    return tokens
+
+
 class Bpe:
     """A vocabulary with its merges, read from a tokenizers JSON file."""
 
