@@ -2,7 +2,8 @@
 
 Documents are encoded in tasks and reduced to one row per length before anything moves.
 Suffix sums over that histogram answer every limit L: how many documents exceed it, how many
-tokens remain if each document is cut at L, and which quantile L is.  The sums run in two
+tokens remain if each document is cut at L, and which quantile L is; `at_limits` answers limits
+that no document has as its length, and `quantiles` the lengths of given shares.  The sums run in two
 levels (ranges of lengths, then lengths within a range), so no task holds the histogram whole.
 
 Defined results: a null or empty text has length 0 and is counted there; repeated rows count
@@ -66,6 +67,35 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     )
 
 
+def at_limits(histogram: DataFrame, limits: list[int]) -> DataFrame:
+    """For each context limit of a list, whether a document has that length or not: the documents within and beyond it, the tokens kept if longer ones are cut, and those cut off.
+
+    One aggregation whose rows are the caller's limits; an empty histogram has zeros. Repeated limits are one row.
+    """
+    wanted = sorted({int(x) for x in limits})
+    n, d = F.col("n_tokens"), F.col("n_docs")
+    parts = []
+    for k, limit in enumerate(wanted):
+        parts += [F.sum(F.when(n <= limit, d).otherwise(0)).alias(f"w{k}"), F.sum(F.when(n > limit, d).otherwise(0)).alias(f"l{k}"), F.sum(F.least(n, F.lit(limit)) * d).alias(f"t{k}"), F.sum(F.greatest(n - limit, F.lit(0)) * d).alias(f"c{k}")]
+    if not wanted:
+        return histogram.sparkSession.createDataFrame([], "context_limit long, n_within long, n_longer long, tokens_truncated long, tokens_cut long")
+    zero = lambda name: F.coalesce(F.col(name), F.lit(0)).cast("long")
+    rows = [F.struct(F.lit(x).cast("long").alias("context_limit"), *[zero(f"{c}{k}").alias(name) for c, name in zip("wltc", ("n_within", "n_longer", "tokens_truncated", "tokens_cut"), strict=True)]) for k, x in enumerate(wanted)]
+    return histogram.agg(*parts).select(F.inline(F.array(*rows)))
+
+
+def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
+    """For each share in (0, 1], the smallest length that at least that share of the documents does not exceed (quantile, n_tokens). sums: of suffix_sums; of an empty one every length is null."""
+    wanted = sorted(set(shares))
+    if any(not 0 < q <= 1 for q in wanted):
+        raise ValueError(f"shares must lie in (0, 1]: {wanted}")
+    if not wanted:
+        return sums.sparkSession.createDataFrame([], "quantile double, n_tokens long")
+    least = [F.min(F.when(F.col("quantile") >= q, F.col("context_limit"))).alias(f"q{k}") for k, q in enumerate(wanted)]
+    rows = [F.struct(F.lit(float(q)).alias("quantile"), F.col(f"q{k}").cast("long").alias("n_tokens")) for k, q in enumerate(wanted)]
+    return sums.agg(*least).select(F.inline(F.array(*rows)))
+
+
 def op10_token_counts(spark, sf_dir: str) -> DataFrame:
     lengths = token_lengths(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary())
     return suffix_sums(written(length_histogram(lengths), "histogram"))  # it is read three times
