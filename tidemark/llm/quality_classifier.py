@@ -8,7 +8,7 @@ hash of the id, so the same at every size) outside the held-out fold; texts stay
 Labels, language, source and id are no inputs of a score.
 
 Defined results: a null text is an empty text and is scored as one; rows without a label, or
-with several that disagree, train nothing; without any usable label, or with one class only,
+with several that disagree, train nothing; of several texts of an id the least in order trains; without any usable label, or with one class only,
 every score is the share of label 1 (1 without labels); repeated rows are scored row by row; an
 empty table gives an empty result; other columns are ignored.
 """
@@ -127,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     told = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where(F.col("_id").isNotNull() & F.col("_y").isNotNull())
     chosen = told.where(~held_out("_id")).groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_z")).where("_y = _z").drop("_z").orderBy(F.xxhash64("_id"), "_id").limit(sample)
     # At most `sample` ids, far below any size that a broadcast minds.
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(chosen), "_id").dropDuplicates(["_id"]).select("_id", "_t", "_y")
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(chosen), "_id").groupBy("_id", "_y").agg(F.min("_t").alias("_t")).select("_id", "_t", "_y")
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         told = [features(t) for t in batch.column(1).to_pylist()]
