@@ -157,11 +157,16 @@ def dictionary(pages: DataFrame, html_col: str, rows: int = SAMPLE_PAGES) -> byt
 
 
 def with_revisits(pages: DataFrame, id_col: str, url_col: str, html_col: str, least: int) -> DataFrame:
-    """page_id, url, html and refers_to."""
+    """page_id, url, html and refers_to.
+
+    Groups of equal payloads are found on digests alone, so a popular payload gathers short rows only, which partial
+    aggregates and skewed joins take; the pages themselves meet their own reference by id and digest.
+    """
     keyed = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html")).withColumns({"sha": F.sha1("html"), "n": F.octet_length("html")})
-    firsts = keyed.where(F.col("n") >= least).groupBy("sha", "n").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").drop("last")
-    joined = keyed.join(firsts, ["sha", "n"], "left")
-    return joined.select("page_id", "url", "html", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("refers_to"))
+    bare = keyed.select("page_id", "sha", "n").where((F.col("n") >= least) & F.col("page_id").isNotNull()).distinct()
+    firsts = bare.groupBy("sha", "n").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("refers_to < last").drop("last")
+    revisits = bare.join(firsts, ["sha", "n"]).where("page_id > refers_to")
+    return keyed.join(revisits, ["page_id", "sha", "n"], "left").select("page_id", "url", "html", "refers_to")
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, level: int = 3) -> DataFrame:
