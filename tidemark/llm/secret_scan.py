@@ -40,7 +40,7 @@ PIECE = 256
 IDENTIFIER_WORDS = (
     "account address amount array base batch block buffer build cache call channel check class client code collection column command config connection content context control core count create current customer data database date default delete description device directory document "
     "domain download element email encode engine entry error event example execute export factory field file filter folder format frame function gateway generate group handler header helper history host image import index information input instance interface internal item iterator key language layer "
-    "length level library limit link list listener load local location logger manager message method metric model module monitor name network node notification number object operation option order output package page parameter parent parser partition password path payment permission pipeline platform "
+    "length level library limit link list listener load local location logger manager message method metric model module monitor name network node notification number object operation option order output package page parameter parent parser partition password path payment permission pipeline "
     "plugin pointer position process product profile project property protocol provider proxy query queue reader record reference register remote report repository request resource response result role route row rule schema scope search section security segment select sequence server service session setting "
     "size snapshot source stage start state status storage stream string structure style sub summary support switch system table target task template test text thread time title token tool trace transaction transfer transport tree type update upload user utility validate value variable version view visitor window worker writer"
 )
