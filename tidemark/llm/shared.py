@@ -7,18 +7,26 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders that this process has made, by application, for `discard`.
+MADE: dict[str, list[str]] = {}
+
 
 def folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset, as in local tests."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a temporary one if driver and tasks are one process, as in tests; on a cluster it is refused."""
     told = spark.conf.get("spark.checkpoint.dir", None)
     if not told:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         told = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", told)
     return told.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -26,3 +34,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession) -> int:
+    """Removes the tables and archives that this application has made here, and tells how many there were. Results read them, so store those first."""
+    paths = MADE.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
