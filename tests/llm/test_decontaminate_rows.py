@@ -1,5 +1,7 @@
 """Decontamination keeps to rows whatever the size of the benchmark, and removes by items without an id."""
 
+import random
+
 import pytest
 
 from tidemark.llm import decontaminate
@@ -22,3 +24,25 @@ def test_items_without_an_id_remove_documents(spark, block):
     bench = spark.createDataFrame([(None, "a b c d"), (8, "e f g h")], "item_id long, text string")
     assert [r.doc_id for r in decontaminate.decontaminate(docs, bench, window=4, block_bytes=block).collect()] == [3]
     assert sorted(r.doc_id for r in decontaminate.find_contamination(docs, bench, window=4, block_bytes=block).collect() if r.matches) == [2]
+
+
+def test_shards_and_bounded_search(spark, monkeypatch):
+    """Small shards and few suffixes at once change nothing; long texts of known words stay within bounds."""
+    rng = random.Random(3)
+    bench = [(str(k), " ".join(rng.choice("abcd") for _ in range(rng.randrange(1, 14)))) for k in range(12)]
+    texts = [None, "", "zz"] + [" ".join(rng.choice("abcdz") for _ in range(rng.randrange(80))) for _ in range(40)]
+    tests = decontaminate.Tests(bench, 5)
+    want = [x for shard in decontaminate.shards(texts) for x in decontaminate.matches(shard, tests)]
+    monkeypatch.setattr(decontaminate, "SOUGHT", 3)
+    got = [x for shard in decontaminate.shards(texts, 50) for x in decontaminate.matches(shard, tests)]
+    assert [sorted(x) for x in got] == [sorted(x) for x in want] and sum(map(len, want)) > 100
+    assert [len(s) for s in decontaminate.shards(["a" * 9, "b" * 9, None, "c"], 10)] == [1, 3]
+
+
+def test_empty_tables(spark):
+    docs = spark.createDataFrame([(1, "a b c d"), (None, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "a b c d")], "item_id long, text string")
+    assert decontaminate.find_contamination(docs.where("false"), bench).count() == 0 and decontaminate.decontaminate(docs.where("false"), bench).count() == 0
+    clean = decontaminate.find_contamination(docs, bench.where("false")).collect()
+    assert sorted(r.n_words for r in clean) == [0, 4] and all(r.matches == [] for r in clean)
+    assert decontaminate.decontaminate(docs, bench.where("false")).count() == 2

@@ -1,6 +1,6 @@
 """Benchmark decontamination with suffix arrays over the training text.
 
-The documents of a batch are one shard.  Words become numbers of the benchmark's vocabulary;
+The documents of a batch are cut into shards of bounded size.  Words become numbers of the benchmark's vocabulary;
 a word that it lacks ends every match, so only runs of known words as long as the shortest
 window can hold one, and the shard's suffix array is built over those runs by prefix doubling.
 Every test suffix, that is every benchmark position where a window starts, is looked up by
@@ -31,6 +31,10 @@ from tidemark.llm.shared import written
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 WINDOW = 10
+#: Characters of documents that make one shard; a longer document is a shard by itself.
+SHARD_CHARS = 2_000_000
+#: Test suffixes that are searched for at once.
+SOUGHT = 1 << 16
 #: Bytes of benchmark text that are sent to the tasks at once; a larger benchmark goes in several blocks.
 BLOCK_BYTES = 16_000_000
 
@@ -62,6 +66,34 @@ def keys(rows: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(rows.astype(">u4")).view(f"S{4 * n}").ravel()
 
 
+def bounds(windows: np.ndarray, order: np.ndarray, text: np.ndarray, n: int, after: bool) -> np.ndarray:
+    """For each window the number of suffixes of `order` that sort before it, or with `after` before or with it, by their first n words; a binary search that spells out only the suffixes it probes."""
+    out = np.empty(len(windows), np.int64)
+    for at in range(0, len(windows), SOUGHT):
+        sought = windows[at : at + SOUGHT]
+        low, high = np.zeros(len(sought), np.int64), np.full(len(sought), len(order), np.int64)
+        while (open_ := low < high).any():
+            mid = (low + high) // 2
+            probed = keys(text[order[np.minimum(mid, len(order) - 1)][:, None] + np.arange(n)])
+            before = open_ & ((probed <= sought) if after else (probed < sought))
+            low, high = np.where(before, mid + 1, low), np.where(open_ & ~before, mid, high)
+        out[at : at + SOUGHT] = low
+    return out
+
+
+def shards(texts: list[str | None], most: int | None = None) -> Iterator[list[list[bytes]]]:
+    """The words of the texts in shards of at most `most` characters, or of one text."""
+    most, held, size = most or SHARD_CHARS, [], 0
+    for text in texts:
+        if held and size + len(text or "") > most:
+            yield held
+            held, size = [], 0
+        held.append(words_of(text))
+        size += len(text or "")
+    if held:
+        yield held
+
+
 def runs(ids: np.ndarray, shortest: int) -> np.ndarray:
     """Positions of the runs of known words (ids above 0) that are at least `shortest` long."""
     known = np.concatenate([[False], ids > 0, [False]])
@@ -104,8 +136,7 @@ def matches(shard: list[list[bytes]], tests: Tests) -> list[list[tuple[int, int,
     padded = np.concatenate([text, np.zeros(deep, np.int64)])
     hits: dict[tuple[int, int, int], list[int]] = defaultdict(list)
     for n, (windows, holders) in tests.windows.items():
-        suffixes = keys(padded[order[:, None] + np.arange(n)])
-        low, high = np.searchsorted(suffixes, windows, "left"), np.searchsorted(suffixes, windows, "right")
+        low, high = bounds(windows, order, padded, n, False), bounds(windows, order, padded, n, True)
         for w in np.flatnonzero(high > low):
             for at in where[order[low[w] : high[w]]]:
                 d = int(np.searchsorted(starts, at, "right")) - 1
@@ -149,9 +180,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
         def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
             tests = sent.value
-            shard = [words_of(t) for t in batch.column(1).to_pylist()]
-            told = [[{"item": tests.names[k], "item_word": i, "doc_word": at, "n_words": n} for k, i, at, n in sorted(found)] for found in matches(shard, tests)]
-            return pa.record_batch([batch.column(0), pa.array([len(x) for x in shard], pa.int64()), pa.array(told, schema), *batch.columns[2:]], names=[id_col, "n_words", "matches", *["tidemark_row"] * (batch.num_columns - 2)])
+            sizes, told = [], []
+            for shard in shards(batch.column(1).to_pylist()):
+                sizes += [len(x) for x in shard]
+                told += [[{"item": tests.names[k], "item_word": i, "doc_word": at, "n_words": n} for k, i, at, n in sorted(found)] for found in matches(shard, tests)]
+            return pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(told, schema), *batch.columns[2:]], names=[id_col, "n_words", "matches", *["tidemark_row"] * (batch.num_columns - 2)])
 
         return map_batches(rows_in, rows, f"`{id_col}` {kind}, n_words long, matches {MATCHES}" + ", tidemark_row long" * (len(rows_in.columns) - 2))
 
@@ -182,7 +215,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         sent = context.broadcast(Tests(block, window))
 
         def rows(batch: pa.RecordBatch, sent=sent) -> pa.RecordBatch:
-            found = matches([words_of(t) for t in batch.column(fields.names.index(text_col)).to_pylist()], sent.value)
+            found = [x for shard in shards(batch.column(fields.names.index(text_col)).to_pylist()) for x in matches(shard, sent.value)]
             return batch.filter(pa.array([not x for x in found], pa.bool_()))
 
         docs = map_batches(docs, rows, fields)
