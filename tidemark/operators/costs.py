@@ -136,15 +136,31 @@ def bootstrap(net: DataFrame, block: int, draws: int, seed: int, by: tuple[str,
     return net.groupBy(*by).applyInPandas(draw, f"{kind}, mean double, low double, high double")
 
 
-def covariance(panel: DataFrame) -> DataFrame:
-    """(a, b, cov): population covariances of all pairs of assets a <= b of a complete panel (t, asset, r).
+def covariance(panel: DataFrame, block: int = 64) -> DataFrame:
+    """(a, b, cov): population covariances of all pairs of assets a <= b of a complete panel (t, asset, r); null if the two have different periods.
 
-    The self-join is on the period, so it makes periods times pairs of assets, which is what the result sums up.
+    Assets are dealt into blocks of about `block`, by hash, and each pair of blocks is one group: two strips of periods
+    times assets whose products are one matrix product, so what moves is the panel once for each block, never a row for
+    each period and pair.
     """
-    mean = panel.groupBy("asset").agg(F.avg("r").alias("m"))
-    x = panel.join(F.broadcast(mean), "asset").select("t", "asset", (F.col("r") - F.col("m")).alias("d"))
-    pairs = x.select("t", F.col("asset").alias("a"), F.col("d").alias("da")).join(x.select("t", F.col("asset").alias("b"), F.col("d").alias("db")), "t").where("a <= b")
-    return pairs.groupBy("a", "b").agg(F.avg(F.col("da") * F.col("db")).alias("cov"))
+    kind = panel.schema["asset"].dataType.simpleString()
+    n = panel.select("asset").distinct().count()
+    parts = max(1, -(-n // block))
+    mine = F.pmod(F.xxhash64("asset"), F.lit(parts)).cast("int")
+    dealt = panel.select("t", "asset", F.col("r").cast("double").alias("r"), mine.alias("mine")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    units = dealt.select("t", "asset", "r", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), (F.col("mine") <= F.col("other")).alias("left"), (F.col("mine") >= F.col("other")).alias("right"))
+
+    def products(group: pd.DataFrame) -> pd.DataFrame:
+        x, y = (group[group[side]].pivot(index="t", columns="asset", values="r") for side in ("left", "right"))
+        y = y.reindex(x.index.union(y.index))
+        x = x.reindex(y.index)
+        found = (x - x.mean()).to_numpy().T @ (y - y.mean()).to_numpy() / max(len(x), 1)
+        a, b = np.repeat(x.columns.to_numpy(), y.shape[1]), np.tile(y.columns.to_numpy(), x.shape[1])
+        once = (a <= b) if group["p"].iloc[0] == group["q"].iloc[0] else np.ones(len(a), bool)
+        out = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "cov": found.ravel()})[once]
+        return out.astype({"cov": object}).where(out["cov"].notna(), None)
+
+    return units.groupBy("p", "q").applyInPandas(products, f"a {kind}, b {kind}, cov double")
 
 
 def matrix(cov: DataFrame) -> tuple[list, np.ndarray]:

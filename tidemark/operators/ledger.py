@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,8 +69,10 @@ def replay(log: DataFrame, quantity: str = "quantity") -> DataFrame:
 
 
 def idempotency_key(*parts: Column) -> Column:
-    """SHA-256 of the parts as sorted-key JSON; give named columns in the order of their names."""
-    return F.sha2(F.to_json(F.struct(*parts)), 256)
+    """SHA-256 of the named parts as JSON, whatever their order; nulls are written as such."""
+    told = F.from_json(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}), "map<string,string>")
+    pairs = F.array_sort(F.map_entries(told))
+    return F.sha2(F.to_json(pairs, {"ignoreNullFields": "false"}), 256)
 
 
 def reconcile(ours: DataFrame, theirs: DataFrame, key: tuple[str, ...] = ("account", "security")) -> DataFrame:
@@ -103,19 +108,27 @@ def committed(ledger: DataFrame) -> DataFrame:
 def admitted(requests: DataFrame, cap: Column) -> DataFrame:
     """requests (provider, window, seq, amount) in order, with whether each fits: what came before and it stay within the cap.
 
-    A request that does not fit takes nothing. That makes admission a fold, so a provider's window
-    is one group; it is as large as the calls that a budget pays for.
+    A request that does not fit takes nothing. That makes admission a fold along a provider's window: its rows come
+    sorted, in batches, and all that is held between rows is the sum so far, however many requests there are.
+    Ties of seq are taken by amount.
     """
-    told = requests.withColumn("_cap", cap)
-    listed = told.groupBy("provider", "window").agg(F.first("_cap").alias("_cap"), F.array_sort(F.collect_list(F.struct("seq", "amount"))).alias("_r"))
-    start = F.struct(F.lit(0).cast("decimal(38,10)").alias("sum"), F.array().cast("array<boolean>").alias("ok"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fits = acc["sum"] + x["amount"] <= F.col("_cap")
-        return F.struct(F.when(fits, acc["sum"] + x["amount"]).otherwise(acc["sum"]).cast("decimal(38,10)").alias("sum"), F.concat(acc["ok"], F.array(fits)).alias("ok"))
-
-    ok = listed.withColumn("_ok", F.aggregate("_r", start, step, lambda acc: acc["ok"]))
-    return ok.select("provider", "window", F.explode(F.arrays_zip("_r", "_ok")).alias("_x")).select("provider", "window", F.col("_x._r.seq").alias("seq"), F.col("_x._r.amount").alias("amount"), F.col("_x._ok").alias("admitted"))
+    kinds = {c: requests.schema[c].dataType.simpleString() for c in ("provider", "window", "seq", "amount")}
+    told = requests.select("provider", "window", "seq", "amount", cap.cast(kinds["amount"]).alias("_cap"))
+    sorted_ = told.repartition("provider", "window").sortWithinPartitions("provider", "window", "seq", "amount")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, spent = None, 0
+        for batch in batches:
+            ok = []
+            for provider, window, amount, limit in zip(*[batch.column(k).to_pylist() for k in (0, 1, 3, 4)], strict=True):
+                if group != (provider, window):
+                    group, spent = (provider, window), 0
+                fits = amount is not None and limit is not None and spent + amount <= limit
+                spent += amount if fits else 0
+                ok.append(fits)
+            yield pa.record_batch([*batch.columns[:4], pa.array(ok, pa.bool_())], names=["provider", "window", "seq", "amount", "admitted"])
+
+    return sorted_.mapInArrow(fold, ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", admitted boolean")
 
 
 def call_cost(text: Column, usd_per_million: Column, extra_tokens: int = 1024) -> Column:

@@ -133,15 +133,24 @@ def coverage(rows: DataFrame, day: str = "day") -> DataFrame:
     return rows.agg(F.countDistinct(day).alias("days"), F.count("*").alias("n"), F.min(day).alias("first_day"), F.max(day).alias("last_day"))
 
 
-def weekday_gaps(rows: DataFrame, day: str = "day") -> DataFrame:
-    """Maximal runs of missing weekdays between the first and the last day; a weekend ends a run."""
-    ends = rows.agg(F.min(day).alias("a"), F.max(day).alias("b")).where("a IS NOT NULL")
-    every = ends.select(F.explode(F.sequence("a", "b")).alias("d")).where("dayofweek(d) BETWEEN 2 AND 6")
-    gone = every.join(rows.select(F.col(day).alias("d")).distinct(), "d", "left_anti")
-    # Weekdays of one week are consecutive; a week is a partition, so a run never leaves it.
+def weekday_gaps(rows: DataFrame, day: str = "day", by: tuple[str, ...] = ()) -> DataFrame:
+    """By source, maximal runs of missing weekdays between its first and its last day; a weekend ends a run."""
+    keys = list(by)
+    ends = rows.groupBy(*keys).agg(F.min(day).alias("a"), F.max(day).alias("b")).where("a IS NOT NULL")
+    every = ends.select(*keys, F.explode(F.sequence("a", "b")).alias("d")).where("dayofweek(d) BETWEEN 2 AND 6")
+    gone = every.join(rows.select(*keys, F.col(day).alias("d")).distinct(), [*keys, "d"], "left_anti")
+    # Weekdays of one week are consecutive; a week of a source is a partition, so a run never leaves it.
     week = F.date_trunc("week", "d")
-    island = gone.select("d", week.alias("w"), (F.datediff("d", F.lit("1970-01-01").cast("date")) - F.row_number().over(Window.partitionBy(week).orderBy("d"))).alias("g"))
-    return island.groupBy("w", "g").agg(F.min("d").alias("first_day"), F.max("d").alias("last_day"), F.count("*").alias("n_days")).select("first_day", "last_day", "n_days")
+    island = gone.select(*keys, "d", week.alias("w"), (F.datediff("d", F.lit("1970-01-01").cast("date")) - F.row_number().over(Window.partitionBy(*keys, week).orderBy("d"))).alias("g"))
+    return island.groupBy(*keys, "w", "g").agg(F.min("d").alias("first_day"), F.max("d").alias("last_day"), F.count("*").alias("n_days")).select(*keys, "first_day", "last_day", "n_days")
+
+
+def weekdays(first: Column, last: Column) -> Column:
+    """Weekdays from first to last, both included, in arithmetic; none if last lies before first."""
+    # Days since a Monday: whole weeks have five, and of a part of a week at most five count.
+    upto = lambda n: F.floor(n / 7) * 5 + F.least(F.pmod(n, F.lit(7)), F.lit(5))
+    monday = F.lit("1970-01-05").cast("date")
+    return F.greatest(F.lit(0), upto(F.datediff(last, monday) + 1) - upto(F.datediff(first, monday))).cast("long")
 
 
 def staleness(runs_log: DataFrame) -> DataFrame:

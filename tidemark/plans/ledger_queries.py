@@ -77,13 +77,13 @@ def spend_committed(spark, sf_dir: str) -> DataFrame:
 
 @BOOK.add(
     "spend_admission",
-    """WITH RECURSIVE q AS (SELECT event_type AS provider, CAST(date_trunc('day', ts) AS DATE) AS w, event_id AS seq, CAST(value AS DECIMAL(20,4)) AS amount, row_number() OVER (PARTITION BY event_type, date_trunc('day', ts) ORDER BY event_id) AS k FROM events WHERE user_id < 30),
+    """WITH RECURSIVE q AS (SELECT event_type AS provider, CAST(date_trunc('day', ts) AS DATE) AS w, event_id AS seq, CAST(value AS DECIMAL(20,4)) AS amount, row_number() OVER (PARTITION BY event_type, date_trunc('day', ts) ORDER BY event_id) AS k FROM events),
  f AS (SELECT provider, w, seq, amount, k, amount <= 300 AS admitted, CASE WHEN amount <= 300 THEN amount ELSE 0 END::DECIMAL(38,4) AS s FROM q WHERE k = 1
  UNION ALL SELECT q.provider, q.w, q.seq, q.amount, q.k, f.s + q.amount <= 300, (CASE WHEN f.s + q.amount <= 300 THEN f.s + q.amount ELSE f.s END)::DECIMAL(38,4) FROM f JOIN q ON q.provider = f.provider AND q.w = f.w AND q.k = f.k + 1)
  SELECT provider, w AS "window", seq, CAST(amount AS DOUBLE) AS amount, admitted FROM f""",
 )
 def spend_admission(spark, sf_dir: str) -> DataFrame:
-    calls = table(spark, sf_dir, "events").where("user_id < 30").select(F.col("event_type").alias("provider"), F.to_date("ts").alias("window"), F.col("event_id").alias("seq"), F.col("value").cast("decimal(20,4)").alias("amount"))
+    calls = table(spark, sf_dir, "events").select(F.col("event_type").alias("provider"), F.to_date("ts").alias("window"), F.col("event_id").alias("seq"), F.col("value").cast("decimal(20,4)").alias("amount"))
     return ledger.admitted(calls, F.lit(300).cast("decimal(20,4)")).withColumn("amount", F.col("amount").cast("double"))
 
 
@@ -92,12 +92,12 @@ def call_cost(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", ledger.call_cost(F.col("text"), F.lit("2.5").cast("decimal(12,4)")).cast("double").alias("usd"))
 
 
-SESSIONS = "ss AS (SELECT l_suppkey AS security, CAST(date_trunc('month', l_shipdate) AS DATE) AS session_date, CAST(l_linenumber % 4 AS INTEGER) AS bucket, CAST(sum(CAST(round(l_quantity) AS BIGINT)) AS BIGINT) AS v FROM lineitem WHERE l_suppkey < 20 GROUP BY 1, 2, 3)"
+SESSIONS = "ss AS (SELECT l_suppkey AS security, CAST(date_trunc('month', l_shipdate) AS DATE) AS session_date, CAST(l_linenumber % 4 AS INTEGER) AS bucket, CAST(sum(CAST(round(l_quantity) AS BIGINT)) AS BIGINT) AS v FROM lineitem GROUP BY 1, 2, 3)"
 
 
 @BOOK.add("volume_profile", f"WITH {SESSIONS}, d AS (SELECT DISTINCT security, session_date FROM ss), g AS (SELECT d.*, b.bucket, coalesce(ss.v, 0) AS v FROM d CROSS JOIN (SELECT unnest(range(4)) AS bucket) b LEFT JOIN ss ON ss.security = d.security AND ss.session_date = d.session_date AND ss.bucket = b.bucket) SELECT security, session_date, bucket, CAST(sum(v) OVER (PARTITION BY security, bucket ORDER BY session_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT) AS before FROM g")
 def volume_profile(spark, sf_dir: str) -> DataFrame:
-    line = table(spark, sf_dir, "lineitem").where("l_suppkey < 20")
+    line = table(spark, sf_dir, "lineitem")
     q = F.round("l_quantity").cast("long")
     sums = [F.sum(F.when(F.col("l_linenumber") % 4 == b, q).otherwise(0)) for b in range(4)]
     sessions = line.groupBy(F.col("l_suppkey").alias("security"), F.to_date(F.date_trunc("month", "l_shipdate")).alias("session_date")).agg(F.array(*sums).alias("volumes"))
@@ -179,11 +179,11 @@ def coverage(spark, sf_dir: str) -> DataFrame:
 
 @BOOK.add(
     "gaps",
-    """WITH r AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS d FROM lineitem WHERE l_suppkey = 7), e AS (SELECT unnest(range((SELECT min(d) FROM r), (SELECT max(d) FROM r) + 1, INTERVAL 1 DAY))::DATE AS d), m AS (SELECT d FROM e WHERE isodow(d) <= 5 AND d NOT IN (SELECT d FROM r)),
- g AS (SELECT d, d - CAST(row_number() OVER (ORDER BY d) AS INTEGER) AS g FROM m) SELECT min(d) AS first_day, max(d) AS last_day, count(*) AS n_days FROM g GROUP BY g""",
+    """WITH r AS (SELECT DISTINCT l_suppkey AS source, CAST(l_shipdate AS DATE) AS d FROM lineitem), e AS (SELECT source, unnest(range(min(d), max(d) + 1, INTERVAL 1 DAY))::DATE AS d FROM r GROUP BY source), m AS (SELECT e.source, e.d FROM e ANTI JOIN r ON r.source = e.source AND r.d = e.d WHERE isodow(e.d) <= 5),
+ g AS (SELECT source, d, d - CAST(row_number() OVER (PARTITION BY source ORDER BY d) AS INTEGER) AS g FROM m) SELECT source, min(d) AS first_day, max(d) AS last_day, count(*) AS n_days FROM g GROUP BY source, g""",
 )
 def gaps(spark, sf_dir: str) -> DataFrame:
-    return monitoring.weekday_gaps(table(spark, sf_dir, "lineitem").where("l_suppkey = 7").select(F.to_date("l_shipdate").alias("day")))
+    return monitoring.weekday_gaps(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("source"), F.to_date("l_shipdate").alias("day")), by=("source",))
 
 
 @BOOK.add("open_halts", "SELECT event_id AS halt_id, user_id FROM events WHERE event_type = 'error' AND event_id NOT IN (SELECT event_id - 1 FROM events WHERE event_type = 'click')")

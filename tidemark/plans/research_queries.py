@@ -213,11 +213,11 @@ def label_counts(spark, sf_dir: str) -> DataFrame:
 
 @BOOK.add(
     "uniqueness",
-    f"""WITH {BARRIERS}, s AS (SELECT id, i, i + 1 AS first, i_end AS last FROM lab WHERE id < 20), c AS (SELECT s.id, b, count(*) AS c FROM s, LATERAL (SELECT unnest(range(s.first, s.last + 1)) AS b) GROUP BY 1, 2)
+    f"""WITH {BARRIERS}, s AS (SELECT id, i, i + 1 AS first, i_end AS last FROM lab), c AS (SELECT s.id, b, count(*) AS c FROM s, LATERAL (SELECT unnest(range(s.first, s.last + 1)) AS b) GROUP BY 1, 2)
  SELECT s.id, s.i, round(avg(1.0 / c.c), 8) AS weight FROM s JOIN c ON c.id = s.id AND c.b BETWEEN s.first AND s.last GROUP BY 1, 2""".replace("), c AS (SELECT s.id", "), cc AS (SELECT s.id").replace("avg(1.0 / c.c)", "avg(1.0 / cc.c)").replace("JOIN c ON c.id = s.id AND c.b", "JOIN cc ON cc.id = s.id AND cc.b"),
 )
 def uniqueness(spark, sf_dir: str) -> DataFrame:
-    found = labels.triple_barrier(returns(spark, sf_dir), 20, 10, 0.5).where("id < 20")
+    found = labels.triple_barrier(returns(spark, sf_dir), 20, 10, 0.5)
     spans = found.select("id", "i", (F.col("i") + 1).cast("long").alias("first"), F.col("i_end").alias("last"))
     return labels.uniqueness(spans).select("id", "i", r("weight").alias("weight"))
 
@@ -272,15 +272,23 @@ def average_ranks(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_quantity", splits.average_rank(["l_suppkey"], F.col("l_quantity")).alias("rank"))
 
 
-PANEL = f"{RETURNS}, pan AS (SELECT i - 1 AS t, id AS config, r FROM ret WHERE i BETWEEN 1 AND 202 AND id < 12)"
+PANEL = f"""{RETURNS}, pan AS (SELECT t, config, coalesce(r, 0.0) AS r FROM (SELECT DISTINCT i - 1 AS t FROM ret WHERE i >= 1) CROSS JOIN (SELECT DISTINCT id AS config FROM ret WHERE i >= 1) LEFT JOIN (SELECT i - 1 AS t, id AS config, r FROM ret) USING (t, config)), np AS (SELECT max(t) + 1 AS n FROM pan)"""
 
 
 def panel(spark, sf_dir: str) -> DataFrame:
-    return returns(spark, sf_dir).where("i BETWEEN 1 AND 202 AND id < 12").select((F.col("i") - 1).alias("t"), F.col("id").alias("config"), "r")
+    """The returns of all securities over all periods; one that trades no more is flat."""
+    told = returns(spark, sf_dir).where("i >= 1").select((F.col("i") - 1).alias("t"), F.col("id").alias("config"), "r")
+    # A row a period and a row a security, both read from the returns.
+    periods = told.agg(F.max("t").alias("n")).where("n IS NOT NULL").select(F.explode(F.sequence(F.lit(0), "n")).alias("t"))
+    return told.select("config").distinct().crossJoin(periods).join(told, ["t", "config"], "left").select("t", "config", F.coalesce("r", F.lit(0.0)).alias("r"))
+
+
+def periods_of(rows: DataFrame) -> int:
+    return (rows.agg(F.max("t")).first()[0] or 0) + 1
 
 
 SIDES = ", ".join(f"({i}, {b}, {str(b in c).lower()})" for i, c in enumerate(combinations(range(6), 3)) for b in range(6))
-PBO = f"""{PANEL}, bs AS (SELECT CASE WHEN t < 136 THEN t // 34 ELSE 4 + (t - 136) // 33 END AS block, config, count(r) AS n, sum(r) AS s, sum(r * r) AS q FROM pan GROUP BY 1, 2), sd(split, block, inside) AS (VALUES {SIDES}),
+PBO = f"""{PANEL}, bs AS (SELECT CASE WHEN t < n % 6 * (n // 6 + 1) THEN t // (n // 6 + 1) ELSE n % 6 + (t - n % 6 * (n // 6 + 1)) // (n // 6) END AS block, config, count(r) AS n, sum(r) AS s, sum(r * r) AS q FROM pan, np GROUP BY 1, 2), sd(split, block, inside) AS (VALUES {SIDES}),
  a AS (SELECT split, config, inside, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM bs JOIN sd USING (block) GROUP BY 1, 2, 3), v AS (SELECT split, config, inside, s / n / sqrt((q - s * s / n) / (n - 1)) AS v FROM a),
  p AS (SELECT split, config, max(v) FILTER (inside) AS vi, max(v) FILTER (NOT inside) AS vo FROM v GROUP BY 1, 2), k AS (SELECT *, rank() OVER (PARTITION BY split ORDER BY vo) AS rank, row_number() OVER (PARTITION BY split ORDER BY vi DESC, config) AS rn, count(*) OVER (PARTITION BY split) AS n FROM p),
  best AS (SELECT split, config AS best, CAST(rank AS DOUBLE) AS rank, ln((rank / (n + 1)) / (1 - rank / (n + 1))) AS logit FROM k WHERE rn = 1)"""
@@ -288,12 +296,14 @@ PBO = f"""{PANEL}, bs AS (SELECT CASE WHEN t < 136 THEN t // 34 ELSE 4 + (t - 13
 
 @BOOK.add("pbo_splits", f"WITH {PBO} SELECT split, best, rank, round(logit, 8) AS logit FROM best")
 def pbo_splits(spark, sf_dir: str) -> DataFrame:
-    return splits.pbo_splits(panel(spark, sf_dir), 6, 202).withColumn("logit", r("logit"))
+    told = panel(spark, sf_dir)
+    return splits.pbo_splits(told, 6, periods_of(told)).withColumn("logit", r("logit"))
 
 
 @BOOK.add("pbo", f"WITH {PBO} SELECT count(*) AS splits, round(avg(CASE WHEN logit <= 0 THEN 1.0 ELSE 0.0 END), 8) AS pbo FROM best")
 def pbo(spark, sf_dir: str) -> DataFrame:
-    return splits.pbo(splits.pbo_splits(panel(spark, sf_dir), 6, 202)).withColumn("pbo", r("pbo"))
+    told = panel(spark, sf_dir)
+    return splits.pbo(splits.pbo_splits(told, 6, periods_of(told))).withColumn("pbo", r("pbo"))
 
 
 TRADES = "tr AS (SELECT l_orderkey, l_suppkey, l_linenumber, l_extendedprice AS notional, 1000000.0 + l_suppkey * 1000 AS adv, CASE WHEN l_linenumber % 2 = 0 THEN 150.0 + l_linenumber END AS volatility_bps, l_returnflag = 'R' AS is_short, l_quantity AS days FROM lineitem)"
@@ -310,12 +320,12 @@ def trade_cost(spark, sf_dir: str) -> DataFrame:
     return told.groupBy("is_short").agg(F.count("*").alias("n"), *[F.round(F.sum(f"{c}_usd"), 2).alias(c) for c in ("spread", "commission", "impact", "borrow")])
 
 
-TARGETS = f"{RETURNS}, tg AS (SELECT id % 4 AS strategy, i AS t, id AS asset, CASE WHEN (id + i) % 7 < 5 THEN 0.04 ELSE -0.02 END AS w, least(0.2, greatest(-0.2, r)) AS r FROM ret WHERE i BETWEEN 1 AND 250)"
+TARGETS = f"{RETURNS}, tg AS (SELECT id % 4 AS strategy, i AS t, id AS asset, CASE WHEN (id + i) % 7 < 5 THEN 0.04 ELSE -0.02 END AS w, least(0.2, greatest(-0.2, r)) AS r FROM ret WHERE i >= 1)"
 
 
 def targets(spark, sf_dir: str) -> DataFrame:
     weight = F.when((F.col("id") + F.col("i")) % 7 < 5, 0.04).otherwise(-0.02)
-    return returns(spark, sf_dir).where("i BETWEEN 1 AND 250").select((F.col("id") % 4).alias("strategy"), F.col("i").alias("t"), F.col("id").alias("asset"), weight.alias("w"), F.least(F.lit(0.2), F.greatest(F.lit(-0.2), F.col("r"))).alias("r"))
+    return returns(spark, sf_dir).where("i >= 1").select((F.col("id") % 4).alias("strategy"), F.col("i").alias("t"), F.col("id").alias("asset"), weight.alias("w"), F.least(F.lit(0.2), F.greatest(F.lit(-0.2), F.col("r"))).alias("r"))
 
 
 NET = f"""{TARGETS}, pe AS (SELECT strategy, t, sum(w * r) AS gross, sum(CASE WHEN w < 0 THEN -w ELSE 0 END) AS short FROM tg GROUP BY 1, 2), dr AS (SELECT tg.strategy, asset, tg.t, w, lag(w * (1 + r) / (1 + gross)) OVER (PARTITION BY tg.strategy, asset ORDER BY tg.t) AS p FROM tg JOIN pe ON pe.strategy = tg.strategy AND pe.t = tg.t),
@@ -323,10 +333,10 @@ NET = f"""{TARGETS}, pe AS (SELECT strategy, t, sum(w * r) AS gross, sum(CASE WH
  eq AS (SELECT *, exp(sum(ln(1 + net)) OVER (PARTITION BY strategy ORDER BY t)) AS equity FROM net)"""
 
 
-@BOOK.add("backtest_equity", f"WITH {NET} SELECT strategy, t, round(turnover, 8) AS turnover, round(cost, 9) AS cost, round(borrow, 9) AS borrow, round(net, 8) AS net, round(equity, 7) AS equity FROM eq")
+@BOOK.add("backtest_equity", f"WITH {NET} SELECT strategy, t, round(turnover, 8) AS turnover, round(cost, 12) AS cost, round(borrow, 12) AS borrow, round(net, 8) AS net, round(equity, 7) AS equity FROM eq")
 def backtest_equity(spark, sf_dir: str) -> DataFrame:
     told = costs.backtest(targets(spark, sf_dir))
-    return told.select("strategy", "t", r("turnover").alias("turnover"), r("cost", 9).alias("cost"), r("borrow", 9).alias("borrow"), r("net").alias("net"), r("equity", 7).alias("equity"))
+    return told.select("strategy", "t", r("turnover").alias("turnover"), r("cost", 12).alias("cost"), r("borrow", 12).alias("borrow"), r("net").alias("net"), r("equity", 7).alias("equity"))
 
 
 @BOOK.add("max_drawdown", f"WITH {NET} SELECT strategy, round(max(1 - equity / greatest(1.0, peak)), 7) AS max_drawdown FROM (SELECT *, max(equity) OVER (PARTITION BY strategy ORDER BY t) AS peak FROM eq) GROUP BY strategy")
@@ -340,13 +350,15 @@ def performance(spark, sf_dir: str) -> DataFrame:
     return told.select("strategy", "n", r("total", 7).alias("total"), r("annual", 7).alias("annual"), r("volatility", 7).alias("volatility"), r("sharpe", 6).alias("sharpe"))
 
 
-WINDOWS = costs.walk_forward(250, 100, 30, 5)
-WINDOW_SQL = ", ".join(f"({w}, '{role}', {a}, {b})" for w, a0, a1, b0, b1 in WINDOWS for role, a, b in (("train", a0, a1), ("test", b0, b1)))
-
-
-@BOOK.add("walk_forward", f"WITH {NET}, w(\"window\", role, a, b) AS (VALUES {WINDOW_SQL}) SELECT strategy, \"window\", role, count(*) AS n, round(avg(net) / stddev_samp(net), 6) AS sharpe FROM net JOIN w ON t >= a AND t < b GROUP BY 1, 2, 3")
+@BOOK.add(
+    "walk_forward",
+    f"""WITH {NET}, k AS (SELECT unnest(range((SELECT max(t) - 105 FROM net) // 30)) AS k), w("window", role, a, b) AS (SELECT k, 'train', 30 * k, 30 * k + 100 FROM k UNION ALL SELECT k, 'test', 105 + 30 * k, 135 + 30 * k FROM k)
+ SELECT strategy, CAST("window" AS INTEGER) AS "window", role, count(*) AS n, round(avg(net) / stddev_samp(net), 6) AS sharpe FROM net JOIN w ON t >= a AND t < b GROUP BY 1, 2, 3""",
+)
 def walk_forward(spark, sf_dir: str) -> DataFrame:
-    told = costs.in_windows(costs.backtest(targets(spark, sf_dir)), WINDOWS)
+    rows = targets(spark, sf_dir)
+    windows = costs.walk_forward(periods_of(rows) - 1, 100, 30, 5)
+    told = costs.in_windows(costs.backtest(rows), windows)
     return told.groupBy("strategy", "window", "role").agg(F.count("*").alias("n"), r(splits.sharpe("net"), 6).alias("sharpe"))
 
 
@@ -367,17 +379,17 @@ def sample_cov(spark, sf_dir: str) -> DataFrame:
 
 @BOOK.add(
     "constraint_breaches",
-    f"""WITH {TARGETS}, x AS (SELECT t, asset, strategy AS sector, w FROM tg WHERE t <= 20) SELECT t, 'position' AS "limit", CAST(asset AS VARCHAR) AS what, round(abs(w), 8) AS value FROM x WHERE abs(w) > 0.03 + 1e-6 UNION ALL SELECT t, 'gross', '', round(sum(abs(w)), 8) FROM x GROUP BY t HAVING sum(abs(w)) > 3.3 + 1e-6 UNION ALL SELECT t, 'sector', CAST(sector AS VARCHAR), round(sum(abs(w)), 8) FROM x GROUP BY t, sector HAVING sum(abs(w)) > 0.85 + 1e-6""",
+    f"""WITH {TARGETS}, x AS (SELECT t, asset, strategy AS sector, w FROM tg) SELECT t, 'position' AS "limit", CAST(asset AS VARCHAR) AS what, round(abs(w), 8) AS value FROM x WHERE abs(w) > 0.03 + 1e-6 UNION ALL SELECT t, 'gross', '', round(sum(abs(w)), 8) FROM x GROUP BY t HAVING sum(abs(w)) > 3.3 + 1e-6 UNION ALL SELECT t, 'sector', CAST(sector AS VARCHAR), round(sum(abs(w)), 8) FROM x GROUP BY t, sector HAVING sum(abs(w)) > 0.85 + 1e-6""",
 )
 def constraint_breaches(spark, sf_dir: str) -> DataFrame:
-    weights = targets(spark, sf_dir).where("t <= 20").withColumnRenamed("strategy", "sector")
+    weights = targets(spark, sf_dir).withColumnRenamed("strategy", "sector")
     return costs.constraint_breaches(weights, 0.03, 3.3, 0.85).withColumn("value", r("value"))
 
 
 @BOOK.add("residual_fit")
 def residual_fit(spark, sf_dir: str) -> DataFrame:
     """Each security's trailing regression on the means of its day and of its sector on that day."""
-    told = returns(spark, sf_dir).where("r IS NOT NULL AND id < 20")
+    told = returns(spark, sf_dir).where("r IS NOT NULL")
     day, sector = Window.partitionBy("date"), Window.partitionBy("date", F.col("id") % 5)
     return labels.residual_fit(told.select("id", "i", "r", F.avg("r").over(day).alias("m"), F.avg("r").over(sector).alias("s")), 60)
 
@@ -385,7 +397,7 @@ def residual_fit(spark, sf_dir: str) -> DataFrame:
 @BOOK.add("residual_labels")
 def residual_labels(spark, sf_dir: str) -> DataFrame:
     """Barriers of what day and sector leave of each security's return."""
-    told = returns(spark, sf_dir).where("r IS NOT NULL AND id < 20")
+    told = returns(spark, sf_dir).where("r IS NOT NULL")
     day, sector = Window.partitionBy("date"), Window.partitionBy("date", F.col("id") % 5)
     paths = told.select("id", "i", "r", F.avg("r").over(day).alias("m"), F.avg("r").over(sector).alias("s"))
     return labels.residual_barrier(paths, labels.residual_fit(paths, 60), 10, 0.5)

@@ -53,10 +53,15 @@ def eastern_to_utc(spark, sf_dir: str) -> DataFrame:
 PAGES = "ob AS (SELECT user_id AS series_id, CAST(ts AS DATE) AS d, event_id, CASE WHEN event_type = 'error' THEN '.' ELSE CAST(CAST(value AS DECIMAL(20,4)) AS VARCHAR) END AS v FROM events)"
 
 
+#: Events from which one page takes its observations.
+PAGE_ROWS = 1000
+
+
 def pages(spark, sf_dir: str) -> DataFrame:
+    """The observations of each user in pages of bounded size."""
     day = F.date_format("ts", "yyyy-MM-dd")
     item = F.struct(day.alias("date"), day.alias("realtime_start"), F.when(F.col("event_id") % 2 == 0, "9999-12-31").otherwise(F.date_format(F.date_add("ts", 7), "yyyy-MM-dd")).alias("realtime_end"), F.when(F.col("event_type") == "error", ".").otherwise(F.col("value").cast("decimal(20,4)").cast("string")).alias("value"))
-    return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("series_id")).agg(F.collect_list(item).alias("observations"))
+    return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("series_id"), F.floor(F.col("event_id") / PAGE_ROWS).alias("page")).agg(F.collect_list(item).alias("observations")).drop("page")
 
 
 @BOOK.add("observation_parse", f"WITH {PAGES} SELECT series_id, d AS observation_date, CASE WHEN v <> '.' THEN CAST(v AS DOUBLE) END AS value, v = '.' AS is_missing, CASE WHEN event_id % 2 = 1 THEN d + 7 END AS vintage_end, CAST((CAST(d + 1 AS TIMESTAMP) AT TIME ZONE 'America/New_York') AT TIME ZONE 'UTC' AS TIMESTAMP) AS knowledge_time FROM ob")
@@ -90,14 +95,25 @@ def chunk_tiling(spark, sf_dir: str) -> DataFrame:
     return parts.select("doc_id", F.sha2(F.array_join("c.text", ""), 256).alias("sha"), F.element_at("c", -1)["end"].cast("long").alias("n"))
 
 
+#: Names that the masking query masks besides times.
+NAMES = [("COMPANY", "Apache Software Foundation"), ("COMPANY", "Creative Commons Corp"), ("PERSON", "Mary Ann Johnson"), ("TICKER", "MIT"), ("IDENTIFIER", "0000320193")]
+
+
 @BOOK.add("mask")
 def mask(spark, sf_dir: str) -> DataFrame:
-    return text.masked(table(spark, sf_dir, "documents"))
+    return text.masked(table(spark, sf_dir, "documents"), NAMES)
 
 
-@BOOK.add("leak_scan", "SELECT doc_id, 'literal:license' AS kind, unnest(regexp_extract_all(text, '(?i)\\blicense\\b')) AS found FROM documents UNION ALL SELECT doc_id, 'date', unnest(regexp_extract_all(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}')) FROM documents")
+@BOOK.add(
+    "leak_scan",
+    """WITH run AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?s).?[0-9A-Za-z]+')) AS x FROM documents)
+ SELECT doc_id, 'literal:license' AS kind, unnest(regexp_extract_all(text, '(?i)\\blicense\\b')) AS found FROM documents
+ UNION ALL SELECT doc_id, 'date', unnest(regexp_extract_all(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}')) FROM documents
+ UNION ALL SELECT doc_id, 'quarter', unnest(regexp_extract_all(text, '(?i)\\bQ[1-4]\\b')) FROM documents
+ UNION ALL SELECT doc_id, 'year', right(x, 4) FROM run WHERE regexp_full_match(x, '(?s)[^0-9A-Za-z.,$€£¥#]?(19|20)[0-9]{2}')""",
+)
 def leak_scan(spark, sf_dir: str) -> DataFrame:
-    return text.leaks(table(spark, sf_dir, "documents"), ["license"]).where("kind IN ('literal:license', 'date')")
+    return text.leaks(table(spark, sf_dir, "documents"), ["license"])
 
 
 @BOOK.add("content_hash", "SELECT doc_id, sha256(lang || '|' || text) AS key FROM documents")
