@@ -1,0 +1,98 @@
+"""Nothing but versions is reached through the facade, and baselines are the latest that was known."""
+
+import datetime as dt
+import random
+
+import pytest
+from pyspark.errors import PySparkException
+
+from tidemark.operators import facts as B
+
+SPEC = B.FactSpec("price", ("id",), ("x",), ("x",))
+SCHEMA = "id long, valid_from timestamp_ntz, valid_to timestamp_ntz, knowledge_time timestamp_ntz, x double, is_retraction boolean"
+day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+
+
+@pytest.fixture
+def view(spark):
+    rows = [(1, day(0), day(9), day(1), 1.0, False), (1, day(0), day(9), day(2), 2.0, False), (2, day(0), day(9), day(1), 5.0, False), (2, day(0), day(9), day(3), None, True)]
+    raw = spark.createDataFrame(rows, SCHEMA)
+    raw.createOrReplaceTempView("raw_price")
+    plain = spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string")
+    return B.AsOf(spark, day(5).replace(tzinfo=dt.UTC)).with_facts(raw, SPEC).with_plain("anchor", plain)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "SELECT * FROM price, raw_price",
+        "SELECT * FROM raw_price",
+        "SELECT * FROM price WHERE id IN (SELECT id FROM raw_price)",
+        "SELECT (SELECT max(x) FROM raw_price) FROM price",
+        "WITH w AS (SELECT * FROM raw_price) SELECT * FROM w",
+        "SELECT * FROM price UNION ALL SELECT * FROM parquet.`/tmp/x`",
+        "SELECT * FROM price JOIN default.other USING (id)",
+        "WITH price AS (SELECT * FROM anchor) SELECT * FROM price",
+        "SELECT 'CTE [raw_price]' FROM price, raw_price",
+        "INSERT INTO price SELECT * FROM price",
+        "CREATE TEMP VIEW v AS SELECT * FROM price",
+        "DROP TABLE price",
+        "SHOW TABLES",
+        "SELECT 1",
+    ],
+)
+def test_what_is_not_versioned_is_refused(view, text):
+    with pytest.raises(B.Refused):
+        view.sql(text)
+
+
+def test_shapes_that_are_read(view):
+    rows = lambda q: sorted(map(tuple, view.sql(q).collect()))
+    assert rows("SELECT id, x FROM price") == [(1, 2.0)]
+    assert rows("SELECT name, 'FROM raw_price, from price' FROM PRICE p, anchor a WHERE p.id = a.id") == [("a", "FROM raw_price, from price")]
+    assert rows("WITH w AS (SELECT * FROM price), v AS (SELECT id FROM w) SELECT * FROM v UNION SELECT id FROM anchor") == [(1,), (2,)]
+    assert rows("SELECT a.name FROM anchor a WHERE NOT EXISTS (SELECT 1 FROM price p WHERE p.id = a.id)") == [("b",)]
+    assert rows("SELECT (SELECT count(*) FROM price) AS n FROM anchor ORDER BY 1 LIMIT 1") == [(1,)]
+
+
+def test_views_of_the_caller_come_back(spark, view):
+    spark.range(3).createOrReplaceTempView("price")
+    assert view.sql("SELECT * FROM price").count() == 1 and spark.table("price").count() == 3
+    spark.catalog.dropTempView("price")
+
+
+def test_mask_and_loaded_retractions(spark, view):
+    spark.table("raw_price").createOrReplaceTempView("price")
+    assert B.unmasked(spark.sql("SELECT * FROM price"), ["price"]) == ["price"]
+    spark.catalog.dropTempView("price")
+    with pytest.raises(PySparkException):
+        B.no_retractions(spark.table("raw_price")).collect()
+    assert B.no_retractions(spark.table("raw_price").where("NOT is_retraction")).count() == 3
+
+
+def slow(rows):
+    out = {}
+    for k, a, kn, i in rows:
+        fit = [(x, s) for q, x, n, s in rows if q == k and x < a and n <= kn]
+        top = [s for x, s in fit if x == max(fit)[0]]
+        out[i] = None if not top else top[0] if len(top) == 1 else "tie"
+    return out
+
+
+def test_baselines_by_brute_force(spark):
+    rng, seen = random.Random(1), 0
+    for trial in range(6):
+        times = rng.sample(range(40), 25) if trial % 2 else [rng.randrange(12) for _ in range(12)]
+        rows = [(rng.randrange(2), a, rng.randrange(30), i) for i, a in enumerate(times)]
+        want = slow(rows)
+        df = spark.createDataFrame(rows, "id int, at int, known int, seq int")
+        if "tie" in want.values():
+            with pytest.raises(PySparkException, match="two latest"):
+                B.baseline_of(df, ("id",), "at", "known").collect()
+        else:
+            seen += 1
+            assert {r.seq: r.baseline for r in B.baseline_of(df, ("id",), "at", "known").collect()} == want
+    assert seen
+    odd = spark.createDataFrame([(1, None, 3, 1), (1, 5, 5, 2), (None, 6, 6, 3), (1, 7, None, 4), (1, 8, 8, 5)], "id int, at int, known int, seq int")
+    assert {r.seq: r.baseline for r in B.baseline_of(odd, ("id",), "at", "known").collect()} == {1: None, 2: None, 3: None, 4: None, 5: 2}
+    assert B.baseline_of(odd.where("false"), ("id",), "at", "known").count() == 0

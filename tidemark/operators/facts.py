@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: The open end of an interval, and its opposite.
 INFINITY = dt.datetime(9999, 12, 31, 23, 59, 59, 999999, tzinfo=dt.UTC)
@@ -118,15 +122,75 @@ class AsOf:
         return visible(df, spec, self.at, columns)
 
     def sql(self, text: str) -> DataFrame:
-        """A query whose tables are the registered names; every reference to one is versioned at the same instant."""
-        names = [*self.facts, *self.plain]
-        told = text.replace("{", "{{").replace("}", "}}")
-        used = [n for n in names if re.search(rf"\b{re.escape(n)}\b", told, re.I)]
+        """A query whose tables are the registered names, every one of them versioned at the same instant.
+
+        Spark parses the text, and the relations of the parsed plan, those of subqueries and joins by comma included, must be registered
+        names or the query's own; a catalog table, a path and anything but a query are refused. Views of the names stand while the query is
+        analysed and no longer.
+        """
+        used = self.references(text)
         if not used:
             raise Refused("the query names no registered table")
-        for n in used:
-            told = re.sub(rf"(\b(?:from|join)\s+){re.escape(n)}\b", rf"\1{{{n}}}", told, flags=re.I)
-        return self.spark.sql(told, **{n: self.table(n) for n in used if f"{{{n}}}" in told})
+        before = {n: self.spark.table(n) for n in used if any(t.isTemporary and t.name.lower() == n.lower() for t in self.spark.catalog.listTables())}
+        try:
+            for n in used:
+                self.table(n).createOrReplaceTempView(n)
+            told = self.spark.sql(text)
+        finally:
+            for n in used:
+                self.spark.catalog.dropTempView(n)
+            for n, df in before.items():
+                df.createOrReplaceTempView(n)
+        if open_ := unmasked(told, [n for n in used if n in self.facts]):
+            raise Refused(f"a path to {open_} does not pass the check for retractions")
+        return no_retractions(told)
+
+    def references(self, text: str) -> list[str]:
+        """The registered names that a query reads; refused if it reads anything else."""
+        tree = parsed_plan(self.spark, text)
+        kind = re.match(r"[\s:+\-']*(\w+)", tree)[1]
+        if kind not in QUERIES:
+            raise Refused(f"only queries are read here, not {kind}")
+        own = {n.strip().lower() for m in re.finditer(r"^[\s:+\-']*(?:CTE|UnresolvedWith) \[([^\]]*)\]$", tree, re.M) for n in m[1].split(",")}
+        names = {n.lower(): n for n in [*self.facts, *self.plain]}
+        if hidden := own & set(names):
+            raise Refused(f"the query's own names hide registered tables: {sorted(hidden)}")
+        read = {m[1].strip().lower() for m in re.finditer(r"UnresolvedRelation \[([^\]]*)\]", tree)} - own
+        if strange := read - set(names):
+            raise Refused(f"not registered, so not versioned: {sorted(strange)}")
+        return sorted(names[n] for n in read)
+
+
+#: Nodes that a parsed query can begin with.
+QUERIES = frozenset("Project Filter Aggregate Sort GlobalLimit LocalLimit Distinct Deduplicate Union Intersect Except CTE UnresolvedWith Join SubqueryAlias UnresolvedRelation UnresolvedHaving WithWindowDefinition Offset UnresolvedSubqueryColumnAliases LateralJoin Pivot Unpivot".split())
+
+
+def parsed_plan(spark: SparkSession, text: str) -> str:
+    """The tree of a text as Spark parses it, before any name is looked up. Texts that could forge a line of the tree are refused."""
+    if re.search(r"(?:CTE|UnresolvedWith)\s*\[", text):
+        raise Refused("the text holds what the plan's own lines look like")
+    return spark._jsparkSession.sessionState().sqlParser().parsePlan(text).treeString()
+
+
+def unmasked(df: DataFrame, names: list[str]) -> list[str]:
+    """The fact tables among `names` that a query reads by a path without the filter that drops retractions."""
+    lines = df._jdf.queryExecution().analyzed().treeString().split("\n")
+    depth = [len(re.match(r"[\s:+\-]*", x)[0]) for x in lines]
+    out = []
+    for i, line in enumerate(lines):
+        m = re.match(r"[\s:+\-]*SubqueryAlias (\S+)", line)
+        if m and (n := m[1].split(".")[-1].lower()) in {x.lower() for x in names} and any("View (" in x or "View [" in x for x in lines[i + 1 : i + 2]):
+            end = next((k for k in range(i + 1, len(lines)) if depth[k] <= depth[i]), len(lines))
+            if not any(re.search(r"Filter NOT _won#?\d*\.is_retraction", x) for x in lines[i + 1 : end]):
+                out.append(n)
+    return out
+
+
+def no_retractions(df: DataFrame) -> DataFrame:
+    """df, which fails as a whole if a retraction is about to reach the caller; nothing to do where the column is not carried."""
+    if "is_retraction" not in df.columns or df.schema["is_retraction"].dataType.simpleString() != "boolean":
+        return df
+    return refuse(df, F.col("is_retraction"), "a retraction reached the result")
 
 
 def close_interval(open_rows: DataFrame, spec: FactSpec, valid_to: Column, knowledge_time: Column, now: dt.datetime | None = None) -> DataFrame:
@@ -172,11 +236,44 @@ def new_rows(batch: DataFrame, target: DataFrame, key: tuple[str, ...]) -> DataF
 
 
 def baseline_of(rows: DataFrame, key: tuple[str, ...], at: str = "valid_from", known: str = "knowledge_time", id_col: str = "seq") -> DataFrame:
-    """rows with baseline, the id of the latest earlier row of the same key that was known at the row's own knowledge time; null if none. Ties are refused."""
-    earlier = rows.select(*[F.col(k).alias(f"_{k}") for k in key], F.col(at).alias("_at"), F.col(known).alias("_known"), F.col(id_col).alias("_id"))
-    same = F.lit(True)
-    for k in key:
-        same = same & (F.col(k) == F.col(f"_{k}"))
-    joined = rows.join(earlier, same & (F.col("_at") < F.col(at)) & (F.col("_known") <= F.col(known)), "left")
-    best = joined.groupBy(*rows.columns).agg(F.max("_at").alias("_best"), F.max_by(F.struct("_id"), F.struct("_at", "_id")).alias("_pick"))
-    return best.select(*rows.columns, F.col("_pick._id").alias("baseline"))
+    """rows with baseline, the id of the latest earlier row of the same key that was known at the row's own knowledge time; null if none. Two latest ones are refused.
+
+    One sort by key and time. Along a key only rows are held that can still be a baseline: of two, the later one that was known no later is
+    always the better, so those held are sorted by knowledge time and the answer is a binary search. A row without a time has no baseline and is none.
+    """
+    fields = rows.schema
+    place = [fields.names.index(c) for c in (*key, at, known, id_col)]
+    n = len(key)
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_key, held_at, held_known, held_id = None, [], [], []
+        waiting: list[tuple] = []  # rows of one time, which are no baselines of each other
+
+        def push() -> None:
+            for a, k, i in waiting:
+                while held_known and held_known[-1] > k:
+                    del held_at[-1], held_known[-1], held_id[-1]
+                held_at.append(a), held_known.append(k), held_id.append(i)
+            waiting.clear()
+
+        for batch in batches:
+            out = []
+            for values in zip(*[batch.column(c).to_pylist() for c in place], strict=True):
+                now, (a, k, i) = values[:n], values[n:]
+                if now != open_key:
+                    open_key, held_at, held_known, held_id = now, [], [], []
+                    waiting.clear()
+                if a is None or k is None or None in now:
+                    out.append(None)
+                    continue
+                if waiting and waiting[-1][0] != a:
+                    push()
+                j = bisect_right(held_known, k) - 1
+                if j > 0 and held_at[j] == held_at[j - 1]:
+                    raise Refused(f"two latest earlier rows of {now} at {held_at[j]}: {held_id[j - 1]} and {held_id[j]}")
+                out.append(held_id[j] if j >= 0 else None)
+                waiting.append((a, k, i))
+            yield pa.record_batch([*batch.columns, pa.array(out, batch.schema.field(place[-1]).type)], names=[*fields.names, "baseline"])
+
+    schema = StructType([*fields.fields, StructField("baseline", fields[id_col].dataType)])
+    return rows.repartition(*key).sortWithinPartitions(*key, at, known, id_col).mapInArrow(resolve, schema)
