@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from itertools import combinations
 from statistics import NormalDist
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.facts import Refused
+from tidemark.operators.facts import Refused, refuse
 
 EULER = 0.5772156649015329
 
@@ -25,7 +28,28 @@ def purged_kfold(events: DataFrame, k: int, embargo: float = 0.0) -> DataFrame:
         raise Refused("two folds or more, and an embargo of zero or more")
     numbered = with_fold(events, k)
     tests = numbered.groupBy("fold").agg(F.min("start").alias("t0"), F.max("end").alias("t1"))
-    return _roles(numbered, tests, embargo)
+    return with_training(_roles(numbered, tests, embargo))
+
+
+def with_training(roles: DataFrame) -> DataFrame:
+    """roles (id, split, role), which fail as a whole if purge and embargo leave a split nothing to train on."""
+    left = roles.groupBy("split").agg(F.count_if(F.col("role") == "train").alias("_n"))
+    # One row a split.
+    return refuse(roles.join(F.broadcast(left), "split"), F.col("_n") == 0, "a split without training rows").select(*roles.columns)
+
+
+def embargo_of(events: DataFrame, duration: float | None = None, fraction: float | None = None) -> float:
+    """The embargo in units of the events' time: a duration as it is, or a fraction of the time from the first start to the last end; just one of the two."""
+    if (duration is None) == (fraction is None):
+        raise Refused("give a duration or a fraction")
+    if duration is not None:
+        if duration < 0:
+            raise Refused("an embargo of zero or more")
+        return float(duration)
+    if not 0 <= fraction < 1:
+        raise Refused("a fraction from 0 up to 1")
+    span = events.agg(F.min("start").alias("a"), F.max("end").alias("b")).first()
+    return 0.0 if span["a"] is None else float(fraction) * float(span["b"] - span["a"])
 
 
 def with_fold(events: DataFrame, k: int) -> DataFrame:
@@ -84,7 +108,7 @@ def cpcv(events: DataFrame, n: int, k: int, embargo: float = 0.0) -> DataFrame:
     meets = F.exists("spans", lambda s: (F.col("start") <= s["t1"]) & (F.col("end") >= s["t0"]))
     waits = F.exists("spans", lambda s: (F.col("start") > s["t1"]) & (F.col("start") <= s["t1"] + F.lit(embargo)))
     role = F.when(F.array_contains("groups", F.col("fold")), "test").when(meets, "purged").when(waits, "embargoed").otherwise("train")
-    return numbered.join(F.broadcast(spans)).select("id", "split", "fold", role.alias("role"))
+    return with_training(numbered.join(F.broadcast(spans)).select("id", "split", "fold", role.alias("role")))
 
 
 def cpcv_paths(spark, n: int, k: int) -> DataFrame:
@@ -93,6 +117,24 @@ def cpcv_paths(spark, n: int, k: int) -> DataFrame:
     return told.select((F.row_number().over(Window.partitionBy("grp").orderBy("split")) - 1).alias("path"), "grp", "split")
 
 
+def path_sharpes(returns: DataFrame, paths: DataFrame, periods: float = 1.0) -> DataFrame:
+    """path, n and sharpe of the returns (split, grp, t, r) put together along each path (path, grp, split); a path without dispersion is refused.
+
+    paths has one row a path and group and is what is broadcast.
+    """
+    told = returns.join(F.broadcast(paths), ["split", "grp"]).groupBy("path").agg(F.count("r").alias("n"), F.avg("r").alias("_m"), F.stddev_samp("r").alias("_s"))
+    told = refuse(told, ~F.coalesce(F.col("_s") > 0, F.lit(False)), "a path without dispersion")
+    return told.select("path", "n", (F.col("_m") / F.col("_s") * math.sqrt(periods)).alias("sharpe"))
+
+
+def distribution(values: DataFrame, col: str = "sharpe", level: float = 0.95) -> DataFrame:
+    """One row over the paths: n, mean, median, std (sample), low and high of the percentile interval, and the share above zero."""
+    if not 0 < level < 1:
+        raise Refused("a level between 0 and 1")
+    quantile = lambda q: F.percentile(col, F.lit(q))
+    return values.agg(F.count(col).alias("n"), F.avg(col).alias("mean"), quantile(0.5).alias("median"), F.stddev_samp(col).alias("std"), quantile((1 - level) / 2).alias("low"), quantile((1 + level) / 2).alias("high"), F.avg((F.col(col) > 0).cast("double")).alias("positive"))
+
+
 def sharpe(excess: Column | str, periods: float = 1.0) -> Column:
     """Mean over sample deviation; missing without dispersion."""
     s = F.stddev_samp(excess)
@@ -132,6 +174,47 @@ def deflated_sharpe(observed: float, n: int, skew: float, kurtosis: float, trial
     return probabilistic_sharpe(observed, expected_max_sharpe(trials, variance), n, skew, kurtosis)
 
 
+def deflated_sharpe_of_returns(returns: list[float], trials: int, variance: float) -> float:
+    """From the returns themselves, which one strategy's calendar bounds; refused without dispersion."""
+    n = len(returns)
+    if n < 3:
+        raise Refused("three returns or more")
+    mean = math.fsum(returns) / n
+    central = lambda k: math.fsum((x - mean) ** k for x in returns) / n
+    v = central(2)
+    if v <= 0:
+        raise Refused("returns without dispersion")
+    return deflated_sharpe(mean / math.sqrt(v * n / (n - 1)), n, central(3) / v**1.5, central(4) / v**2, trials, variance)
+
+
+def normal_cdf(z: Column) -> Column:
+    """Of the standard normal distribution, by a rational approximation whose error is below 1.2e-7 of the tail."""
+    x = F.abs(z) / math.sqrt(2.0)
+    t = 1.0 / (1.0 + 0.5 * x)
+    # Coefficients of the public Chebyshev fit of the complementary error function.
+    poly = F.lit(0.17087277)
+    for c in (-0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223):
+        poly = poly * t + c
+    tail = 0.5 * t * F.exp(-x * x + poly)
+    return F.when(z >= 0, 1.0 - tail).otherwise(tail)
+
+
+def deflated_sharpe_of_trials(trials: DataFrame, by: str = "trial", col: str = "r") -> DataFrame:
+    """trials (trial, r) to trial, n, sharpe, benchmark and dsr: each trial against the best that so many trials of this spread of ratios are expected to show without skill.
+
+    One aggregation over the returns; what returns to the driver is the number and the variance of the ratios.
+    """
+    told = moments(trials, col, (by,))
+    told = refuse(told, F.col("sharpe").isNull(), "a trial without dispersion")
+    spread = told.agg(F.count("*").alias("k"), F.coalesce(F.var_samp("sharpe"), F.lit(0.0)).alias("v")).first()
+    best = expected_max_sharpe(spread["k"], spread["v"]) if spread["k"] else 0.0
+    s = F.col("sharpe")
+    told = told.withColumn("_width", 1 - F.col("skew") * s + (F.col("kurtosis") - 1) / 4 * s * s)
+    told = refuse(told, (F.col("n") < 2) | (F.col("_width") <= 0), "two returns or more, and a positive variance")
+    told = told.withColumn("_z", (s - best) * F.sqrt(F.col("n") - 1.0) / F.sqrt("_width"))
+    return told.select(by, "n", "sharpe", F.lit(best).alias("benchmark"), normal_cdf(F.col("_z")).alias("dsr"))
+
+
 def block_sums(panel: DataFrame, blocks: int, periods: int) -> DataFrame:
     """panel (t, config, r) to n, sum and sum of squares by block and config; earlier blocks are a period longer."""
     size, more = divmod(periods, blocks)
@@ -154,6 +237,37 @@ def pbo_splits(panel: DataFrame, blocks: int, periods: int) -> DataFrame:
     variance = (F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1)
     ratio = F.when(variance > 0, F.col("s") / F.col("n") / F.sqrt(variance))
     scored = by.select("split", "config", "inside", ratio.alias("v")).groupBy("split", "config").agg(F.max(F.when(F.col("inside"), F.col("v"))).alias("inside"), F.max(F.when(~F.col("inside"), F.col("v"))).alias("outside"))
+    return _best(scored)
+
+
+def pbo_splits_by(panel: DataFrame, blocks: int, periods: int, performance: Callable[[np.ndarray], float]) -> DataFrame:
+    """pbo_splits with a performance of the caller's own: from the returns of a configuration on one side of a split, in order of time, to a number; more is better.
+
+    A configuration's returns are one group, as long as its calendar; what it gives is one row a split.
+    """
+    if blocks % 2 or blocks < 2 or blocks > periods:
+        raise Refused("an even number of blocks, at most one a period")
+    choices = list(combinations(range(blocks), blocks // 2))
+    cuts = np.array_split(np.arange(periods), blocks)
+    kind = panel.schema["config"].dataType.simpleString()
+
+    def score(group: pd.DataFrame) -> pd.DataFrame:
+        r = group.set_index("t")["r"].reindex(range(periods)).to_numpy(float)
+        out = []
+        for i, c in enumerate(choices):
+            sides = [np.concatenate([cuts[b] for b in range(blocks) if (b in c) == inside]) for inside in (True, False)]
+            inside, outside = (float(performance(x[np.isfinite(x)])) for x in (r[s] for s in sides))
+            if not (math.isfinite(inside) and math.isfinite(outside)):
+                raise Refused("a performance that is no number")
+            out.append((i, group["config"].iloc[0], inside, outside))
+        return pd.DataFrame(out, columns=["split", "config", "inside", "outside"])
+
+    scored = panel.select("t", "config", "r").groupBy("config").applyInPandas(score, f"split int, config {kind}, inside double, outside double")
+    return _best(scored)
+
+
+def _best(scored: DataFrame) -> DataFrame:
+    """Of (split, config, inside, outside): the best inside, its rank outside and the logit of that."""
     ranked = scored.withColumn("rank", average_rank(["split"], F.col("outside")))
     best = ranked.groupBy("split").agg(F.max_by(F.struct("config", "rank"), F.struct(F.col("inside"), -F.col("config"))).alias("b"), F.count("*").alias("n"))
     omega = F.col("b.rank") / (F.col("n") + 1)

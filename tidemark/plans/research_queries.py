@@ -306,6 +306,39 @@ def pbo(spark, sf_dir: str) -> DataFrame:
     return splits.pbo(splits.pbo_splits(told, 6, periods_of(told))).withColumn("pbo", r("pbo"))
 
 
+PATHS = f"{RETURNS}, te(split, grp) AS (VALUES {TESTED}), pth AS (SELECT row_number() OVER (PARTITION BY grp ORDER BY split) - 1 AS path, grp, split FROM te), sr AS (SELECT te.split, te.grp, ret.id, ret.i, r * (1 + te.split % 3) + te.split * 0.0001 AS r FROM ret JOIN te ON te.grp = ret.i % 5 WHERE r IS NOT NULL), psh AS (SELECT path, count(r) AS n, avg(r) / stddev_samp(r) AS sharpe FROM sr JOIN pth USING (split, grp) GROUP BY path)"
+
+
+def split_returns(spark, sf_dir: str) -> DataFrame:
+    """What a strategy that was fitted on each split earns in the groups that the split tests: the returns, scaled by the split."""
+    told = returns(spark, sf_dir).where("r IS NOT NULL").withColumn("grp", (F.col("i") % 5).cast("int"))
+    tested = spark.createDataFrame([(s, g) for s, c in enumerate(combinations(range(5), 2)) for g in c], "split int, grp int")
+    return told.join(F.broadcast(tested), "grp").select("split", "grp", F.col("i").alias("t"), (F.col("r") * (1 + F.col("split") % 3) + F.col("split") * 0.0001).alias("r"))
+
+
+@BOOK.add("cpcv_path_sharpes", f"WITH {PATHS} SELECT path, n, round(sharpe, 8) AS sharpe FROM psh")
+def cpcv_path_sharpes(spark, sf_dir: str) -> DataFrame:
+    return splits.path_sharpes(split_returns(spark, sf_dir), splits.cpcv_paths(spark, 5, 2)).withColumn("sharpe", r("sharpe"))
+
+
+@BOOK.add("cpcv_distribution", f"WITH {PATHS} SELECT count(*) AS n, round(avg(sharpe), 8) AS mean, round(quantile_cont(sharpe, 0.5), 8) AS median, round(stddev_samp(sharpe), 8) AS std, round(quantile_cont(sharpe, 0.025), 8) AS low, round(quantile_cont(sharpe, 0.975), 8) AS high, avg(CASE WHEN sharpe > 0 THEN 1.0 ELSE 0.0 END) AS positive FROM psh")
+def cpcv_distribution(spark, sf_dir: str) -> DataFrame:
+    told = splits.distribution(splits.path_sharpes(split_returns(spark, sf_dir), splits.cpcv_paths(spark, 5, 2)))
+    return told.select("n", *[r(c).alias(c) for c in ("mean", "median", "std", "low", "high")], "positive")
+
+
+@BOOK.add("deflated_sharpe")
+def deflated_sharpe(spark, sf_dir: str) -> DataFrame:
+    return splits.deflated_sharpe_of_trials(returns(spark, sf_dir).where("r IS NOT NULL").withColumnRenamed("id", "trial"))
+
+
+@BOOK.add("pbo_total_return", f"WITH {PBO.split('v AS (SELECT')[0]}v AS (SELECT split, config, inside, s AS v FROM a), {PBO[PBO.index('p AS (SELECT split, config, max(v)'):]} SELECT split, best, rank, round(logit, 8) AS logit FROM best")
+def pbo_total_return(spark, sf_dir: str) -> DataFrame:
+    """With a performance of the caller's own, here the total return."""
+    told = panel(spark, sf_dir)
+    return splits.pbo_splits_by(told, 6, periods_of(told), lambda x: float(x.sum())).withColumn("logit", r("logit"))
+
+
 TRADES = "tr AS (SELECT l_orderkey, l_suppkey, l_linenumber, l_extendedprice AS notional, 1000000.0 + l_suppkey * 1000 AS adv, CASE WHEN l_linenumber % 2 = 0 THEN 150.0 + l_linenumber END AS volatility_bps, l_returnflag = 'R' AS is_short, l_quantity AS days FROM lineitem)"
 
 
