@@ -48,17 +48,38 @@ def row_digest(**columns: Column) -> Column:
     return F.sha2(F.to_json(F.struct(*[columns[k].alias(k) for k in sorted(columns)]), {"ignoreNullFields": "false"}), 256)
 
 
+def _finite(x: Column, what: str) -> Column:
+    """x, which fails if it is no finite number; null stays null."""
+    return F.when(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), F.raise_error(F.lit(f"{what} must be finite")).cast("double")).otherwise(x.cast("double"))
+
+
 def bps(fraction: Column) -> Column:
-    return fraction * 10_000.0
+    return _finite(fraction, "a fraction") * 10_000.0
 
 
 def fraction_of_bps(x: Column) -> Column:
-    return x / 10_000.0
+    return _finite(x, "basis points") / 10_000.0
 
 
 def percent(fraction: Column) -> Column:
-    return fraction * 100.0
+    return _finite(fraction, "a fraction") * 100.0
+
+
+def bps_of_percent(x: Column) -> Column:
+    return _finite(x, "a percentage") * 100.0
+
+
+def percent_of_bps(x: Column) -> Column:
+    return _finite(x, "basis points") / 100.0
 
 
 def usd_of_bps(x: Column, notional: Column) -> Column:
-    return x / 10_000.0 * notional
+    """Of the size of a notional, whichever side it is on."""
+    return fraction_of_bps(x) * F.abs(_finite(notional, "a notional"))
+
+
+def bps_of_usd(cost: Column, notional: Column) -> Column:
+    """A cost as basis points of the size of a notional; of no notional it fails unless the cost is zero."""
+    size = F.abs(_finite(notional, "a notional"))
+    cost = _finite(cost, "a cost")
+    return F.when(size > 0, bps(cost / size)).when(cost == 0, 0.0).when(cost.isNotNull() & size.isNotNull(), F.raise_error(F.lit("a cost of no notional")).cast("double"))

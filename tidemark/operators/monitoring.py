@@ -8,7 +8,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.facts import Refused
+from tidemark.operators.facts import Refused, refuse
 
 #: The floor of a share, the bands of the index, hours until an alert escalates.
 FLOOR, MODERATE, MAJOR, ESCALATE_HOURS = 1e-6, 0.10, 0.25, 4
@@ -165,3 +165,50 @@ def knowledge_lag(rows: DataFrame, limit_seconds: int, by: tuple[str, ...] = ())
     lag = F.unix_micros(F.col("knowledge_time").cast("timestamp")) - F.unix_micros(F.col("valid_from").cast("timestamp"))
     told = rows.groupBy(*by).agg(F.floor(F.max(lag) / 1_000_000).alias("max_lag_seconds"), F.count("*").alias("n"))
     return told.withColumn("breach", F.col("max_lag_seconds") > limit_seconds)
+
+
+def drift_report(reference: DataFrame, observed: DataFrame, bins: int, by: tuple[str, ...] = ("feature",), col: str = "x") -> DataFrame:
+    """feature, n_reference, n_observed, bins, psi, band and status of every feature of either side. What cannot be measured is a row that says why: a feature that one side lacks, or too few reference rows for the bins."""
+    keys, least = list(by), math.ceil((bins - 1) / 0.025)
+    some = F.count_if(F.col(col).isNotNull() & ~F.isnan(col))
+    sizes = reference.groupBy(*keys).agg(some.alias("n_reference")).join(observed.groupBy(*keys).agg(some.alias("n_observed")), keys, "full_outer")
+    status = F.when(F.coalesce("n_reference", F.lit(0)) == 0, "no reference").when(F.coalesce("n_observed", F.lit(0)) == 0, "nothing observed").when(F.col("n_reference") < least, "too few reference rows").otherwise("measured")
+    told = sizes.withColumn("status", status)
+    # One row a feature.
+    fit = F.broadcast(told.where("status = 'measured'").select(*keys))
+    found = psi(reference.join(fit, keys, "left_semi"), observed.join(fit, keys, "left_semi"), bins, by, col)
+    joined = told.join(found, keys, "left")
+    return joined.select(*keys, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_reference", "n_observed")], "bins", "psi", "band", "status")
+
+
+def enough_windows(paths: DataFrame, window: int, tail: float) -> DataFrame:
+    """paths (path, t, r), refused as a whole unless they hold 1 / tail windows that do not overlap, without which the tail is guesswork."""
+    n = paths.groupBy("path").agg(F.floor(F.count("r") / window).alias("_n")).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_n"))  # one row
+    return refuse(paths.crossJoin(F.broadcast(n)), F.col("_n") < math.ceil(1 / tail), "too few independent windows for the tail").select(*paths.columns)
+
+
+def recorded_alerts(raised: DataFrame, store: DataFrame) -> DataFrame:
+    """The alerts (dedup, severity, detail, raised_at) of a batch that a store lacks: the earliest of each dedup key, unless one with that key is open there."""
+    first = raised.groupBy("dedup").agg(F.min_by(F.struct("severity", "detail", "raised_at"), F.struct("raised_at", "severity", "detail")).alias("_a"))
+    there = store.where("acknowledged_at IS NULL").select("dedup").distinct()
+    return first.join(there, "dedup", "left_anti").select("dedup", "_a.severity", "_a.detail", "_a.raised_at")
+
+
+def alert_states(alerts_log: DataFrame, attempts: DataFrame, acknowledgements: DataFrame) -> DataFrame:
+    """alert_id, raised_at, attempts, delivered_at (the first delivery), acknowledged_at (the first) and state: acknowledged, delivered, failing or new. An acknowledgement or an attempt of an unknown alert is refused."""
+    tried = attempts.groupBy("alert_id").agg(F.count("*").alias("attempts"), F.min(F.when(F.col("ok"), F.col("at"))).alias("delivered_at"))
+    done = acknowledgements.groupBy("alert_id").agg(F.min("at").alias("acknowledged_at"))
+    every = alerts_log.join(tried, "alert_id", "full_outer").join(done, "alert_id", "full_outer")
+    every = refuse(every, F.col("raised_at").isNull(), "an unknown alert")
+    state = F.when(F.col("acknowledged_at").isNotNull(), "acknowledged").when(F.col("delivered_at").isNotNull(), "delivered").when(F.col("attempts") > 0, "failing").otherwise("new")
+    return every.select("alert_id", "raised_at", F.coalesce("attempts", F.lit(0)).cast("long").alias("attempts"), "delivered_at", "acknowledged_at", state.alias("state"))
+
+
+def page_of_history(rows: DataFrame, limit: int, at: str = "at", id_col: str = "id", after: tuple | None = None) -> DataFrame:
+    """The newest `limit` rows, ties by the larger id first; `after`, the (at, id) of the last row of the page before, goes on from there without counting rows."""
+    if limit < 1:
+        raise Refused("a page holds one row or more")
+    if after is not None:
+        a, i = (F.lit(x) for x in after)
+        rows = rows.where((F.col(at) < a) | ((F.col(at) == a) & (F.col(id_col) < i)))
+    return rows.orderBy(F.desc(at), F.desc(id_col)).limit(limit)

@@ -81,3 +81,30 @@ def realized_premium(df: DataFrame, periods: int = 12, col: str = "x", by: tuple
 def verdict(t: Column, premium: Column, low: Column, high: Column, threshold: float = 2.0) -> Column:
     """How a realised premium compares with the published range."""
     return F.when(F.abs(t) < threshold, "none").when(F.signum(premium) != F.signum(low), "opposite").when(~premium.between(low, high), "out of range").otherwise("reproduces")
+
+
+#: Annual premia that the public literature leads one to expect, by factor: sign, low and high.
+EXPECTED = """
+momentum_12_1 + 0.03 0.15
+short_term_reversal + 0.03 0.30
+low_volatility + 0.01 0.12
+book_to_price + 0.01 0.08
+earnings_yield + 0.02 0.10
+gross_profitability + 0.01 0.08
+roic + 0.01 0.09
+accruals - -0.12 -0.02
+asset_growth - -0.13 -0.02
+"""
+
+
+def expectations(spark) -> DataFrame:
+    """factor, sign (1 or -1), low and high: what is written down before a factor is measured."""
+    rows = [(f, 1 if sign == "+" else -1, float(low), float(high)) for f, sign, low, high in (line.split() for line in EXPECTED.strip().splitlines())]
+    return spark.createDataFrame(rows, "factor string, sign int, low double, high double")
+
+
+def against_expectations(premia: DataFrame, expected: DataFrame, least_t: float = 2.0) -> DataFrame:
+    """premia (factor, premium, t) with what was expected and the verdict; a factor without an expectation is 'not expected', one without a premium 'not measured'."""
+    told = premia.join(F.broadcast(expected), "factor", "left")
+    found = F.when(F.col("sign").isNull(), "not expected").when(F.col("premium").isNull() | F.col("t").isNull(), "not measured").when(F.abs("t") < least_t, "none").when(F.signum("premium") != F.col("sign"), "opposite").when(~F.col("premium").between(F.col("low"), F.col("high")), "out of range")
+    return told.withColumn("verdict", F.coalesce(found, F.lit("reproduces")))

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
+import json
 import math
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,3 +95,62 @@ def size_series(screened: DataFrame) -> DataFrame:
 
 def only_midnight(bars: DataFrame, col: str = "valid_from") -> DataFrame:
     return refuse(bars, F.col(col) != F.date_trunc("day", F.col(col)), "a day bar must begin at midnight")
+
+
+@dataclass(frozen=True)
+class Criteria:
+    """What makes a security eligible; None asks nothing."""
+
+    exchanges: tuple[str, ...]
+    min_price: float
+    min_adv: float
+    adv_days: int = 20
+    min_market_cap: float | None = None
+    require_borrow: bool = False
+
+    def digest(self) -> str:
+        """SHA-256 of the criteria as canonical JSON; the order in which exchanges are named does not count."""
+        told = asdict(self) | {"exchanges": sorted(set(self.exchanges))}
+        return hashlib.sha256(json.dumps(told, sort_keys=True, separators=(",", ":"), allow_nan=False).encode()).hexdigest()
+
+
+def build(listings: DataFrame, bars: DataFrame, days: list[dt.date], criteria: Criteria, known_at: dt.date | None = None) -> DataFrame:
+    """rebalance_date, id, exchange, price, adv and failed_filters of every security listed on each of the days; members are those without failed filters.
+
+    listings (id, exchange, first_listed_on, delisted_on) and bars (id, date, close, volume) are as they were known; a day after
+    known_at, and one that is named twice, is refused. All days are built in one pass: a bar joins the windows that hold it, of
+    which the caller's days are the broadcast side, and ranks within a security and day.
+    """
+    if not days or len(set(days)) < len(days):
+        raise Refused("one day or more, each once")
+    if known_at is not None and max(days) > known_at:
+        raise Refused("a universe may not be built for a day after what is known")
+    n, back = criteria.adv_days, lookback_days(criteria.adv_days) - 1
+    dates = listings.sparkSession.createDataFrame([(d, d - dt.timedelta(days=back)) for d in days], "rebalance_date date, _from date")
+    inside = bars.join(F.broadcast(dates), (F.col("date") >= F.col("_from")) & (F.col("date") <= F.col("rebalance_date")))
+    recent = Window.partitionBy("rebalance_date", "id").orderBy(F.desc("date"))
+    dollars = F.col("close").cast("decimal(20,6)") * F.col("volume").cast("decimal(12,0)")
+    ranked = inside.select("rebalance_date", "id", "date", "close", dollars.alias("dollars"), F.row_number().over(recent).alias("_k")).where(F.col("_k") <= n)
+    got = ranked.groupBy("rebalance_date", "id").agg(F.max_by("close", "date").alias("price"), F.count("*").alias("_n"), F.sort_array(F.collect_list("dollars")).alias("_v"))  # at most n values
+    middle = (F.element_at("_v", F.lit((n + 1) // 2)) + F.element_at("_v", F.lit(n // 2 + 1))) / F.lit(2).cast("decimal(1,0)")
+    priced = got.select("rebalance_date", "id", "price", F.when(F.col("_n") == n, middle).cast("double").alias("adv"))
+    listed = listings.crossJoin(F.broadcast(dates.select("rebalance_date"))).where(is_listed_on(F.col("rebalance_date")))
+    told = screen(listed.join(priced, ["rebalance_date", "id"], "left"), criteria.exchanges, criteria.min_price, criteria.min_adv, criteria.min_market_cap, criteria.require_borrow)
+    return told.select("rebalance_date", "id", "exchange", "price", "adv", "failed_filters")
+
+
+def members_of(built: DataFrame) -> DataFrame:
+    """(date, id) of the eligible, as turnover and spans take them."""
+    return built.where(F.size("failed_filters") == 0).select(F.col("rebalance_date").alias("date"), "id")
+
+
+def snapshots(built: DataFrame, criteria: Criteria, as_of: dt.datetime) -> DataFrame:
+    """built as rows to append to a store: with the instant of what was known and the digest of the criteria."""
+    return built.withColumns({"as_of": F.lit(as_of), "criteria": F.lit(criteria.digest())})
+
+
+def latest_snapshots(store: DataFrame, criteria: str, cutoff: dt.datetime) -> DataFrame:
+    """Of each rebalance date the rows of the last build under the criteria that was known at the cutoff. A row a build is what is broadcast."""
+    seen = store.where((F.col("criteria") == criteria) & (F.col("as_of") <= F.lit(cutoff)))
+    last = seen.groupBy("rebalance_date").agg(F.max("as_of").alias("as_of"))
+    return seen.join(F.broadcast(last), ["rebalance_date", "as_of"], "left_semi")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import asof_queries, ledger_queries, portfolio_queries, research_queries, source_queries
+from tidemark.plans import asof_queries, ledger_queries, portfolio_queries, record_queries, research_queries, source_queries
 
-PARTS = (asof_queries, research_queries, ledger_queries, portfolio_queries, source_queries)
+PARTS = (asof_queries, research_queries, ledger_queries, portfolio_queries, record_queries, source_queries)
 
 
 def queries() -> dict:

@@ -101,3 +101,25 @@ def parse_headers(headers: DataFrame) -> DataFrame:
             yield pd.DataFrame([one(a, b) for a, b in zip(batch["accession"], batch["body"], strict=True)], columns=["accession", "form", "accepted", "filed", "period", "declared", "documents", "error"])
 
     return headers.select("accession", "body").mapInPandas(run, HEADER)
+
+
+#: Fixed value: where the public archive lies.
+ARCHIVE = "https://www.sec.gov/Archives/edgar"
+
+
+def listing_url(year: Column, quarter: Column) -> Column:
+    """Of a quarter's directory of daily indexes; a quarter that is none fails."""
+    ok = quarter.between(1, 4)
+    return F.when(ok, F.concat(F.lit(f"{ARCHIVE}/daily-index/"), year.cast("string"), F.lit("/QTR"), quarter.cast("string"), F.lit("/index.json"))).when(~ok, F.raise_error(F.lit("a quarter is 1 to 4")).cast("string"))
+
+
+def index_url(day: Column, name: Column) -> Column:
+    """Of a daily index whose name a listing gave; the day says in which quarter it lies."""
+    return F.concat(F.lit(f"{ARCHIVE}/daily-index/"), F.year(day).cast("string"), F.lit("/QTR"), F.quarter(day).cast("string"), F.lit("/"), name)
+
+
+def header_url(cik: Column, accession: Column) -> Column:
+    """Of a filing's header; an accession number of another form fails."""
+    plain = F.regexp_replace(accession, "-", "")
+    ok = accession.rlike("^[0-9]{10}-[0-9]{2}-[0-9]{6}$")
+    return F.when(ok, F.concat(F.lit(f"{ARCHIVE}/data/"), cik.cast("string"), F.lit("/"), plain, F.lit("/"), accession, F.lit("-index-headers.html"))).when(~ok, F.raise_error(F.lit("not an accession number")).cast("string"))
