@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.facts import Refused, refuse
+from tidemark.operators.transforms import quantiles
 
 #: The floor of a share, the bands of the index, hours until an alert escalates.
 FLOOR, MODERATE, MAJOR, ESCALATE_HOURS = 1e-6, 0.10, 0.25, 4
@@ -20,7 +21,7 @@ def reference_edges(df: DataFrame, bins: int, by: tuple[str, ...] = (), col: str
         raise Refused("four bins or more")
     cuts = [k / bins for k in range(1, bins)]
     least = math.ceil((bins - 1) / 0.025)
-    told = df.where(F.col(col).isNotNull() & ~F.isnan(col)).groupBy(*by).agg(F.count("*").alias("n"), F.array_distinct(F.percentile(col, F.array(*[F.lit(c) for c in cuts]))).alias("edges"))
+    told = quantiles(df.where(~F.isnan(col)), by, cuts, col).select(*by, "n", F.array_distinct("q").alias("edges"))
     short = F.when(F.col("n") < least, F.raise_error(F.lit(f"fewer than {least} rows"))).otherwise(F.col("edges"))
     return told.select(*by, "n", short.alias("edges"))
 
@@ -70,7 +71,8 @@ def expectation_band(paths: DataFrame, window: int, tail: float, col: str = "r")
     """Quantiles of the rolling mean over full windows of all paths (path, t, r): low, mid and high."""
     rows = Window.partitionBy("path").orderBy("t").rowsBetween(1 - window, 0)
     rolled = paths.withColumn("_v", F.when(F.count(col).over(rows) == window, F.avg(col).over(rows))).where("_v IS NOT NULL")
-    return rolled.agg(F.count("*").alias("windows"), *[F.percentile("_v", F.lit(q)).alias(n) for n, q in (("low", tail), ("mid", 0.5), ("high", 1 - tail))])
+    told = quantiles(rolled.select(F.lit(0).alias("_one"), "_v"), ("_one",), [tail, 0.5, 1 - tail], "_v")
+    return told.select(F.col("n").alias("windows"), *[F.col("q")[k].alias(n) for k, n in enumerate(("low", "mid", "high"))])
 
 
 def tail_for(budget: float, evaluations: int) -> float:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,23 +19,56 @@ def _value(df: DataFrame, col: str) -> DataFrame:
     return refuse(df, F.abs(col) == float("inf"), "an infinite value")
 
 
-def order_statistics(low: float, high: float, col: str = "x") -> tuple[Column, Column]:
-    """Positions, from 1, of the order statistics that bound a winsorised section: the lower rounds down, the upper up."""
-    n = F.count(col)
-    return F.floor((n - 1) * F.lit(low)) + 1, F.ceil((n - 1) * F.lit(high)) + 1
+def shelf(x: Column) -> Column:
+    """A coarse place of a number that never falls as the number grows: 64 shelves for every doubling, zero in the middle."""
+    size = F.floor(F.log2(F.abs(x)) * 64) + 80_000
+    return F.when(x == 0, F.lit(0)).otherwise(F.signum(x).cast("long") * size).cast("int")
+
+
+def order_values(df: DataFrame, by: tuple[str, ...], ranks: dict[str, Callable[[Column], Column]], col: str = "x") -> DataFrame:
+    """by, n and, for every name, the order statistic of the rank, from 1, that `ranks` gives for n values; nulls do not count.
+
+    Exact, in two levels: counts by shelf, which are summed before they move, tell on which shelf a rank lies, and only the values
+    of those shelves are sorted. So no section is sorted whole by one task, however many values it has.
+    """
+    keys = list(by)
+    present = df.where(F.col(col).isNotNull()).select(*keys, F.col(col).alias("_x"), shelf(F.col(col)).alias("_s"))
+    counts = present.groupBy(*keys, "_s").agg(F.count("*").alias("_c"))
+    section = Window.partitionBy(*keys)  # as many rows as a section has shelves, a few thousand
+    upto = F.sum("_c").over(section.orderBy("_s").rowsBetween(Window.unboundedPreceding, 0))
+    summed = counts.select(*keys, "_s", "_c", upto.alias("_to"), F.sum("_c").over(section).alias("n"))
+    wanted = F.array(*[F.struct(F.lit(k).alias("k"), rank(F.col("n")).cast("long").alias("r")) for k, rank in enumerate(ranks.values())])
+    placed = summed.select("*", F.explode(wanted).alias("_w")).where((F.col("_w.r") <= F.col("_to")) & (F.col("_w.r") > F.col("_to") - F.col("_c")))
+    targets = placed.select(*keys, "_s", "n", F.col("_w.k").alias("_k"), (F.col("_w.r") - (F.col("_to") - F.col("_c"))).alias("_r"))
+    same = lambda a, b, cs: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cs]
+    few = present.alias("p").join(targets.select(*keys, "_s").distinct().alias("q"), same("p", "q", [*keys, "_s"]), "left_semi")
+    ranked = few.withColumn("_i", F.row_number().over(Window.partitionBy(*keys, "_s").orderBy("_x")))
+    met = targets.alias("t").join(ranked.alias("v"), [*same("t", "v", [*keys, "_s"]), F.col("t._r") == F.col("v._i")])
+    return met.groupBy(*[F.col(f"t.{c}").alias(c) for c in keys]).agg(F.max("t.n").alias("n"), *[F.max(F.when(F.col("t._k") == k, F.col("v._x"))).alias(name) for k, name in enumerate(ranks)])
+
+
+def quantiles(df: DataFrame, by: tuple[str, ...], at: list[float], col: str = "x") -> DataFrame:
+    """by, n and q, an array of the quantiles, linear between neighbours."""
+    ranks = {}
+    for k, p in enumerate(at):
+        ranks |= {f"_l{k}": lambda n, p=p: F.floor((n - 1) * F.lit(p)) + 1, f"_h{k}": lambda n, p=p: F.ceil((n - 1) * F.lit(p)) + 1}
+    told = order_values(df, by, ranks, col)
+    part = lambda p: (F.col("n") - 1) * F.lit(p) - F.floor((F.col("n") - 1) * F.lit(p))
+    return told.select(*by, "n", F.array(*[F.when(F.col(f"_l{k}") == F.col(f"_h{k}"), F.col(f"_l{k}")).otherwise(F.col(f"_l{k}") + (F.col(f"_h{k}") - F.col(f"_l{k}")) * part(p)) for k, p in enumerate(at)]).alias("q"))
+
+
+def bounds(df: DataFrame, low: float, high: float, by: tuple[str, ...], col: str) -> DataFrame:
+    """by, _lo and _hi, the order statistics that bound a winsorised section: the lower rounds down, the upper up."""
+    if not 0 <= low < high <= 1:
+        raise Refused(f"bounds must satisfy 0 <= {low} < {high} <= 1")
+    return order_values(df, by, {"_lo": lambda n: F.floor((n - 1) * F.lit(low)) + 1, "_hi": lambda n: F.ceil((n - 1) * F.lit(high)) + 1}, col).drop("n")
 
 
 def winsorize(df: DataFrame, low: float = 0.01, high: float = 0.99, by: tuple[str, ...] = ("date",), col: str = "x") -> DataFrame:
-    """Clip to order statistics of each section. Ranks find them, so no section is gathered into a row."""
-    if not 0 <= low < high <= 1:
-        raise Refused(f"bounds must satisfy 0 <= {low} < {high} <= 1")
+    """Clip to order statistics of each section."""
     df = _value(df, col)
-    present = df.where(F.col(col).isNotNull())
-    ranked = present.select(*by, col, F.row_number().over(Window.partitionBy(*by).orderBy(col)).alias("_k"), F.count("*").over(Window.partitionBy(*by)).alias("_n"))
-    lo, hi = F.floor((F.col("_n") - 1) * F.lit(low)) + 1, F.ceil((F.col("_n") - 1) * F.lit(high)) + 1
-    bounds = ranked.groupBy(*by).agg(F.max(F.when(F.col("_k") == lo, F.col(col))).alias("_lo"), F.max(F.when(F.col("_k") == hi, F.col(col))).alias("_hi"))
     clipped = F.when(F.col(col).isNotNull(), F.greatest("_lo", F.least("_hi", col)))
-    return df.join(bounds, list(by), "left").withColumn(col, clipped).drop("_lo", "_hi")
+    return df.join(bounds(df, low, high, by, col), list(by), "left").withColumn(col, clipped).drop("_lo", "_hi")
 
 
 def zscore(df: DataFrame, by: tuple[str, ...] = ("date",), col: str = "x") -> DataFrame:
@@ -64,10 +99,44 @@ def beta_neutralize(df: DataFrame, beta: str = "beta", by: tuple[str, ...] = ("d
     return df.join(told, list(by), "left").withColumn(col, F.when(ok & F.col(beta).isNotNull(), residual)).drop("_x", "_b", "_c", "_v", "_a", "_n")
 
 
-def transform(df: DataFrame, group: str = "grp", beta: str | None = None) -> DataFrame:
-    """Winsorise, standardise, neutralise by group and, if asked, by beta."""
-    out = neutralize(zscore(winsorize(df)), group)
-    return beta_neutralize(out, beta) if beta else out
+def transform(df: DataFrame, group: str = "grp", beta: str | None = None, low: float = 0.01, high: float = 0.99, by: tuple[str, ...] = ("date",), col: str = "x") -> DataFrame:
+    """Winsorise, standardise, neutralise by group and, if asked, by beta: what the four steps give one after the other.
+
+    After clipping, every step is linear within a group, so one aggregation by section and group holds all that the
+    steps need, and a window over its few rows combines the groups of a section. The rows are then read once more, beside that table.
+    """
+    df = _value(df, col) if beta is None else _value(_value(df, col), beta)
+    edges = bounds(df, low, high, by, col)
+    clipped = df.join(edges, list(by), "left").withColumn(col, F.when(F.col(col).isNotNull(), F.greatest("_lo", F.least("_hi", col)))).drop("_lo", "_hi")
+    x, b = F.col(col), F.col(beta) if beta else F.lit(None).cast("double")
+    pair = x.isNotNull() & b.isNotNull()
+    px, pb = F.when(pair, x), F.when(pair, b)
+    keys = (*by, group)
+    sums = clipped.groupBy(*keys).agg(
+        F.count(x).alias("n"), F.avg(x).alias("m"), F.coalesce(F.var_pop(x), F.lit(0.0)).alias("v"), F.max(F.abs(x)).alias("a"),
+        F.count(pb).alias("pn"), F.avg(px).alias("px"), F.avg(pb).alias("pb"), F.coalesce(F.covar_pop(px, pb), F.lit(0.0)).alias("pc"), F.coalesce(F.var_pop(pb), F.lit(0.0)).alias("pv"), F.max(F.abs(pb)).alias("pa"),
+    )
+    section = Window.partitionBy(*by)
+    over = lambda c: F.sum(c).over(section)
+    told = sums.withColumns({"all_n": over(F.col("n")), "all_m": over(F.col("n") * F.col("m"))}).withColumn("all_m", F.col("all_m") / F.when(F.col("all_n") > 0, F.col("all_n")))
+    s = F.sqrt(over(F.col("n") * (F.col("v") + (F.col("m") - F.col("all_m")) * (F.col("m") - F.col("all_m")))) / F.when(F.col("all_n") >= 2, F.col("all_n") - 1))
+    told = told.withColumns({"s": s, "all_a": F.max("a").over(section)})
+    told = told.withColumn("s", F.when((F.col("all_n") >= 2) & (F.col("s") > TINY * F.col("all_a")), F.col("s")))
+    # From here on a group of one value is missing.
+    told = told.withColumn("ok", (F.col("n") >= 2) & F.col("s").isNotNull())
+    w = F.when(F.col("ok"), F.col("pn")).otherwise(0)
+    told = told.withColumns({"w": w, "g": F.coalesce((F.col("px") - F.col("m")) / F.col("s"), F.lit(0.0)), "h": F.coalesce("pb", F.lit(0.0))})
+    told = told.withColumn("all_p", over(F.col("w")))
+    told = told.withColumns({"all_g": over(F.col("w") * F.col("g")) / F.when(F.col("all_p") > 0, F.col("all_p")), "all_h": over(F.col("w") * F.col("h")) / F.when(F.col("all_p") > 0, F.col("all_p"))})
+    dg, dh = F.col("g") - F.col("all_g"), F.col("h") - F.col("all_h")
+    told = told.withColumns({"all_c": over(F.col("w") * (F.coalesce(F.col("pc") / F.col("s"), F.lit(0.0)) + dg * dh)), "all_v": over(F.col("w") * (F.col("pv") + dh * dh)), "all_b": F.max(F.when(F.col("ok"), F.col("pa"))).over(section)})
+    fit = (F.col("all_p") >= 3) & (F.sqrt(F.col("all_v") / F.when(F.col("all_p") >= 2, F.col("all_p") - 1)) > TINY * F.col("all_b"))
+    told = told.select(*[F.col(c).alias(f"_{c}") for c in keys], F.when(F.col("ok"), F.col("m")).alias("_m"), F.col("s").alias("_s"), F.col("all_g").alias("_all_g"), F.col("all_h").alias("_all_h"), F.when(fit, F.col("all_c") / F.col("all_v")).alias("_k"))
+    joined = clipped.join(told, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys], "left")
+    out = (x - F.col("_m")) / F.col("_s")
+    if beta:
+        out = out - F.col("_all_g") - F.col("_k") * (b - F.col("_all_h"))
+    return joined.withColumn(col, out).select(*df.columns)
 
 
 def realized_premium(df: DataFrame, periods: int = 12, col: str = "x", by: tuple[str, ...] = ()) -> DataFrame:
