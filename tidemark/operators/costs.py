@@ -157,8 +157,8 @@ def covariance(panel: DataFrame, block: int = 64) -> DataFrame:
         found = (x - x.mean()).to_numpy().T @ (y - y.mean()).to_numpy() / max(len(x), 1)
         a, b = np.repeat(x.columns.to_numpy(), y.shape[1]), np.tile(y.columns.to_numpy(), x.shape[1])
         once = (a <= b) if group["p"].iloc[0] == group["q"].iloc[0] else np.ones(len(a), bool)
-        out = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "cov": found.ravel()})[once]
-        return out.astype({"cov": object}).where(out["cov"].notna(), None)
+        # A pair with a hole has no number, which Arrow makes a null.
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "cov": found.ravel()})[once]
 
     return units.groupBy("p", "q").applyInPandas(products, f"a {kind}, b {kind}, cov double")
 
