@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.batches import of_texts
 from tidemark.functions.times import times
 from tidemark.operators.facts import Refused
 
@@ -57,7 +58,7 @@ def chunks(docs: DataFrame, most: int = MAX_CHARS, id_col: str = "doc_id", text_
             rows = [(i, k, a, b, t[a:b]) for i, t in zip(batch[id_col], batch[text_col], strict=True) if t for k, (a, b) in enumerate(chunk(t, most))]
             yield pd.DataFrame(rows, columns=[id_col, "chunk", "start", "end", "text"])
 
-    return docs.select(id_col, text_col).mapInPandas(run, f"{id_col} {kind}, chunk int, start int, end int, text string")
+    return of_texts(docs.select(id_col, text_col)).mapInPandas(run, f"{id_col} {kind}, chunk int, start int, end int, text string")
 
 
 #: What finds the spans of one rule: (start, end, kind) in a text.
@@ -145,7 +146,7 @@ def masked(docs: DataFrame, names: list[tuple[str, str]] = (), id_col: str = "do
             told = [mask(t, rules) if isinstance(t, str) else (None, 0) for t in batch[text_col]]
             yield pd.DataFrame({id_col: batch[id_col], "text": [t for t, _ in told], "n_masked": [n for _, n in told]})
 
-    return docs.select(id_col, text_col).mapInPandas(run, f"{id_col} {kind}, text string, n_masked int")
+    return of_texts(docs.select(id_col, text_col)).mapInPandas(run, f"{id_col} {kind}, text string, n_masked int")
 
 
 def leaks(docs: DataFrame, literals: list[str] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -67,15 +67,18 @@ def waterfall(screened: DataFrame, screens: tuple[str, ...] = ("exchange", "pric
 
 
 def turnover(members: DataFrame) -> DataFrame:
-    """members (date, id): for each date but the first, what entered and left since the date before, and the rate."""
-    dates = members.select("date").distinct()
-    after = dates.select("date", F.lead("date").over(Window.orderBy("date")).alias("next")).where("next IS NOT NULL")  # one row a rebalance date
-    now = members.select("date", "id", F.lit(1).alias("here"))
-    before = members.join(F.broadcast(after), "date").select(F.col("next").alias("date"), "id", F.lit(1).alias("was"))
-    both = now.join(before, ["date", "id"], "full_outer").join(F.broadcast(after.select(F.col("next").alias("date"))), "date", "left_semi")
-    told = both.groupBy("date").agg(F.count_if(F.col("was").isNull()).alias("entered"), F.count_if(F.col("here").isNull()).alias("left"), F.count("here").alias("n"), F.count("was").alias("previous"))
-    total = F.col("previous") + F.col("n")
-    return told.select("date", "entered", "left", "n", "previous", F.when(total > 0, (F.col("entered") + F.col("left")) / total).otherwise(0.0).alias("rate"))
+    """members (date, id), each once: for each date but the first, what entered and left since the date before, and the rate.
+
+    Along a security's dates, numbered, a member has entered if it was none at the date before, and leaves if it is none at the next;
+    so one window by security tells both, and the rest is a row a date.
+    """
+    dates = members.select("date").distinct().select("date", F.row_number().over(Window.orderBy("date")).alias("k"))  # one row a rebalance date
+    along = Window.partitionBy("id").orderBy("k")
+    numbered = members.join(F.broadcast(dates), "date").select("date", "k", F.lag("k").over(along).alias("_was"), F.lead("k").over(along).alias("_next"))
+    each = numbered.groupBy("date", "k").agg(F.count("*").alias("n"), F.count_if(~F.col("_was").eqNullSafe(F.col("k") - 1)).alias("entered"), F.count_if(~F.col("_next").eqNullSafe(F.col("k") + 1)).alias("_leave"))
+    order = Window.orderBy("k")  # one row a rebalance date
+    told = each.select("date", "k", "entered", F.lag("_leave").over(order).alias("left"), "n", F.lag("n").over(order).alias("previous")).where("k > 1")
+    return told.select("date", "entered", "left", "n", "previous", ((F.col("entered") + F.col("left")) / (F.col("previous") + F.col("n"))).alias("rate"))
 
 
 def spans(members: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.batches import of_texts
 from tidemark.operators.facts import refuse
 
 ACCESSION = "^[0-9]{10}-[0-9]{2}-[0-9]{6}$"
@@ -100,7 +101,7 @@ def parse_headers(headers: DataFrame) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame([one(a, b) for a, b in zip(batch["accession"], batch["body"], strict=True)], columns=["accession", "form", "accepted", "filed", "period", "declared", "documents", "error"])
 
-    return headers.select("accession", "body").mapInPandas(run, HEADER)
+    return of_texts(headers.select("accession", "body")).mapInPandas(run, HEADER)
 
 
 #: Fixed value: where the public archive lies.
