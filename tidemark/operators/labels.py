@@ -81,9 +81,17 @@ def uniqueness(spans: DataFrame, by: tuple[str, ...] = ("id",), first: str = "fi
     return spans.join(start, [*keys, first]).join(end, [*keys, last]).withColumn("weight", (F.col("_q") - F.col("_p")) / (F.col(last) - F.col(first) + 1)).drop("_p", "_q")
 
 
-def uniqueness_report(weighted: DataFrame, by: tuple[str, ...] = ("id",)) -> DataFrame:
-    """Labels, their effective number, and the ratio."""
-    return weighted.groupBy(*by).agg(F.count("*").alias("n"), F.sum("weight").alias("effective"), (F.sum("weight") / F.count("*")).alias("ratio"))
+def concurrency(spans: DataFrame, by: tuple[str, ...] = ("id",), first: str = "first", last: str = "last") -> DataFrame:
+    """By id the most spans that cover one bar. Starts and ends count +1 and -1, so no span is unrolled."""
+    edges = spans.select(*by, F.col(first).alias("at"), F.lit(1).alias("d")).unionAll(spans.select(*by, (F.col(last) + 1).alias("at"), F.lit(-1).alias("d"))).groupBy(*by, "at").agg(F.sum("d").alias("d"))
+    running = F.sum("d").over(Window.partitionBy(*by).orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    return edges.withColumn("c", running).groupBy(*by).agg(F.max("c").alias("concurrency"))
+
+
+def uniqueness_report(weighted: DataFrame, by: tuple[str, ...] = ("id",), first: str = "first", last: str = "last") -> DataFrame:
+    """By id the labels, their effective number and its ratio to theirs, the smallest and the largest weight, and the most labels that run at once."""
+    told = weighted.groupBy(*by).agg(F.count("*").alias("n"), F.sum("weight").alias("effective"), (F.sum("weight") / F.count("*")).alias("ratio"), F.min("weight").alias("least"), F.max("weight").alias("most"))
+    return told.join(concurrency(weighted, by, first, last), list(by))
 
 
 def residual_fit(paths: DataFrame, window: int, limit: float = 1e8) -> DataFrame:

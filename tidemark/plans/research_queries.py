@@ -222,6 +222,18 @@ def uniqueness(spark, sf_dir: str) -> DataFrame:
     return labels.uniqueness(spans).select("id", "i", r("weight").alias("weight"))
 
 
+@BOOK.add(
+    "uniqueness_report",
+    f"""WITH {BARRIERS}, s AS (SELECT id, i, i + 1 AS first, i_end AS last FROM lab), cc AS (SELECT s.id, b, count(*) AS c FROM s, LATERAL (SELECT unnest(range(s.first, s.last + 1)) AS b) GROUP BY 1, 2), w AS (SELECT s.id, s.i, avg(1.0 / cc.c) AS weight FROM s JOIN cc ON cc.id = s.id AND cc.b BETWEEN s.first AND s.last GROUP BY 1, 2)
+ SELECT w.id, count(*) AS n, round(sum(weight), 6) AS effective, round(min(weight), 8) AS least, round(max(weight), 8) AS most, any_value(k.c) AS concurrency FROM w JOIN (SELECT id, max(c) AS c FROM cc GROUP BY id) k ON k.id = w.id GROUP BY w.id""",
+)
+def uniqueness_report(spark, sf_dir: str) -> DataFrame:
+    found = labels.triple_barrier(returns(spark, sf_dir), 20, 10, 0.5)
+    spans = found.select("id", "i", (F.col("i") + 1).cast("long").alias("first"), F.col("i_end").alias("last"))
+    told = labels.uniqueness_report(labels.uniqueness(spans))
+    return told.select("id", "n", r("effective", 6).alias("effective"), r("least").alias("least"), r("most").alias("most"), "concurrency")
+
+
 EVENT_TIMES = "ev AS (SELECT event_id AS id, date_diff('minute', TIMESTAMP '2024-01-01', ts) AS start, date_diff('minute', TIMESTAMP '2024-01-01', ts) + 60 + event_id % 600 AS \"end\" FROM events)"
 
 
