@@ -46,6 +46,8 @@ MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 64, 288, np.uint64) |
 MISSED = 1e-6
 #: Sets of a component of candidates that are compared in one unit; a larger component is dealt out as pairs of such parts.
 PART = 128
+#: Bits of the bitmap of candidates at most, eight megabytes; beyond that more texts pass it than need to.
+SLOTS = 1 << 26
 
 
 def shingles(text: str | None, width: int) -> list[bytes]:
@@ -101,16 +103,19 @@ def wide_fingerprint(told: np.ndarray, lanes: int) -> list[int]:
     return np.packbits(2 * counts > len(told), bitorder="little").view(np.int64).tolist()
 
 
-def band_width(similarity: float) -> int:
-    """The most MinHash values a band such that a pair at the similarity shares one of the bands but for a chance of MISSED."""
-    return max((r for r in range(1, 17) if (1 - similarity**r) ** (len(MULTIPLIERS) // r) <= MISSED), default=1)
+def band_width(similarity: float) -> tuple[int, int]:
+    """MinHash values a band and bands, such that a pair at the similarity shares one of the bands but for a chance of MISSED: as wide as five eighths of the multipliers allow, since every band costs a key that travels."""
+    for r in range(16, 0, -1):
+        bands = math.ceil(math.log(MISSED) / math.log1p(-(similarity**r)))
+        if bands * r <= len(MULTIPLIERS) * 5 // 8:
+            return r, bands
+    return 1, len(MULTIPLIERS)
 
 
-def band_keys(told: np.ndarray, width: int) -> list[int]:
+def band_keys(told: np.ndarray, width: int, bands: int) -> list[int]:
     """A key for every `width` MinHash values of a set of hashes; an empty set has none. The band is part of its key."""
     if not len(told):
         return []
-    bands = len(MULTIPLIERS) // width
     used = MULTIPLIERS[: bands * width]
     least = np.min([(told[i : i + 256, None] * used).min(axis=0) for i in range(0, len(told), 256)], axis=0).reshape(bands, width)
     return [int.from_bytes(xxhash.xxh3_64_digest(row.tobytes(), seed=k), "little", signed=True) for k, row in enumerate(least)]
@@ -269,18 +274,34 @@ def spanning(near: np.ndarray) -> Iterator[tuple[int, int]]:
             yield i, j
 
 
+def marks(ids: DataFrame, n: int) -> np.ndarray:
+    """A bitmap of the hashes of n ids (node), of 16 bits an id and SLOTS bits at most, so it never grows beyond that; ids that share a bit pass for each other."""
+    slots = min(SLOTS, max(64, 1 << (16 * max(n, 1) - 1).bit_length()))
+    slot = F.pmod(F.xxhash64("node"), F.lit(slots))
+    words = ids.select(slot.alias("s")).groupBy(F.floor(F.col("s") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 AS int))")).alias("bits")).toArrow()
+    out = np.zeros(slots // 64, np.int64)
+    out[words["w"].to_numpy()] = words["bits"].to_numpy()
+    return out
+
+
 def verified(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
-    """(a, b): links that connect all sets of shingles of one component whose similarity is reached. members: digest, node (the id of a document with that set) and component; docs have ids."""
+    """(a, b): links that connect all sets of shingles of one component whose similarity is reached. members: digest, node (the id of a document with that set) and component; docs have ids.
+
+    Texts stay where they are: a bitmap of bounded size tells which of them can be members, and only the sets of those travel.
+    """
     sizes = members.groupBy("component").agg(F.ceil(F.count("*") / F.lit(PART)).cast("int").alias("parts"))
-    texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).join(members.join(sizes, "component"), "node").select("component", "parts", "digest", "node", "text")
+    sent = docs.sparkSession.sparkContext.broadcast(marks(members, members.count()))
+    slot = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(64 * len(sent.value)))
 
     def told(batch: pa.RecordBatch) -> pa.RecordBatch:
-        """The sets; texts of other rows of the id go."""
-        sets = [shingle_set(t, width) for t in batch.column(4).to_pylist()]
-        right = [set_digest(x) == d for x, d in zip(sets, batch.column(2).to_pylist(), strict=True)]
-        return pa.record_batch([*batch.columns[:4], pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["component", "parts", "digest", "node", "told"]).filter(pa.array(right, pa.bool_()))
+        at = batch.column(2).to_numpy()
+        batch = batch.filter(pa.array((sent.value[at // 64] >> (at % 64)) & 1 == 1))
+        sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
+        return pa.record_batch([batch.column(0), pa.array(map(set_digest, sets), pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["node", "digest", "told"])
 
-    sets = map_batches(texts, told, "component long, parts int, digest long, node long, told array<long>")
+    found = map_batches(docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col), slot.alias("slot")), told, "node long, digest long, told array<long>")
+    # Other texts of an id have another digest.
+    sets = found.join(members.join(sizes, "component"), ["node", "digest"])
     mine = F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int")
     dealt = sets.withColumn("mine", mine).withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("parts = 1 or mine != theirs")
     unit = ["component", "t", "u"]
@@ -309,12 +330,12 @@ def verified(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, wi
 
 def similar_components(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float, lanes: int) -> DataFrame:
     """id and component_id, the smallest id that links reach; docs have ids, which are longs. Every link is a pair of shingle sets whose similarity was computed."""
-    kind, band = docs.schema[id_col].dataType.simpleString(), band_width(similarity)
+    kind, (width_, bands) = docs.schema[id_col].dataType.simpleString(), band_width(similarity)
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
         longs = pa.list_(pa.int64())
-        return pa.record_batch([batch.column(0), pa.array(map(set_digest, sets), pa.int64()), pa.array([wide_fingerprint(x, lanes) for x in sets], longs), pa.array([band_keys(x, band) for x in sets], longs)], names=[id_col, "digest", "fp", "keys"])
+        return pa.record_batch([batch.column(0), pa.array(map(set_digest, sets), pa.int64()), pa.array([wide_fingerprint(x, lanes) for x in sets], longs), pa.array([band_keys(x, width_, bands) for x in sets], longs)], names=[id_col, "digest", "fp", "keys"])
 
     prints = written(map_batches(docs.select(id_col, text_col), rows, f"`{id_col}` {kind}, digest long, fp array<long>, keys array<long>"), "fingerprints")
     # Equal sets are one node, and the document of the smallest id shows its set.
