@@ -48,6 +48,8 @@ MISSED = 1e-6
 PART = 128
 #: Bits of the bitmap of candidates at most, eight megabytes; beyond that more texts pass it than need to.
 SLOTS = 1 << 26
+#: Members, of four numbers each, that are sent to every task rather than dealt out with the sets.
+SMALL = 100_000
 
 
 def shingles(text: str | None, width: int) -> list[bytes]:
@@ -164,6 +166,20 @@ def forest(fps: np.ndarray, radius: int, other: np.ndarray | None = None) -> Ite
                 yield int(a[i]), int(b[j])
 
 
+def marks(rows: DataFrame, value: Column, n: int) -> np.ndarray:
+    """A bitmap of the n values of rows, long and evenly spread, by their rest: 16 bits a value and SLOTS bits at most, so it never grows beyond that; values that share a bit pass for each other."""
+    slots = min(SLOTS, max(64, 1 << (16 * max(n, 1) - 1).bit_length()))
+    words = rows.select(F.pmod(value, F.lit(slots)).alias("s")).groupBy(F.floor(F.col("s") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 AS int))")).alias("bits")).toArrow()
+    out = np.zeros(slots // 64, np.int64)
+    out[words["w"].to_numpy()] = words["bits"].to_numpy()
+    return out
+
+
+def marked(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Which of the slots are set."""
+    return (bitmap[slots // 64] >> (slots % 64)) & 1 == 1
+
+
 def links(nodes: DataFrame, keys: list[Column], radius: int) -> DataFrame:
     """(a, b): links that connect all nodes (fp of one lane, node) that share a key and whose fingerprints differ in at most `radius` bits."""
     keyed = nodes.select(F.col("fp")[0].alias("f0"), "node", F.bit_count(F.col("fp")[0]).alias("bits"), F.explode(F.array(*keys)).alias("k")).select("f0", "node", "bits", "k.c", "k.key")
@@ -172,12 +188,24 @@ def links(nodes: DataFrame, keys: list[Column], radius: int) -> DataFrame:
 
 
 def band_links(nodes: DataFrame, radius: int, lanes: int) -> DataFrame:
-    """(a, b): links that connect all nodes (fp, keys, node) that share a key of a band and whose fingerprints differ in at most `radius` bits. Fingerprints join the keys that meet only."""
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    met = keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+    """(a, b): links that connect all nodes (fp, keys, node) that share a key of a band and whose fingerprints differ in at most `radius` bits.
+
+    Keys are counted first, and a bitmap of bounded size of those that meet tells the nodes which of their keys to send at all.
+    """
+    met = written(nodes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
+    sent = nodes.sparkSession.sparkContext.broadcast(marks(met, F.col("key"), met.count()))
+
+    def passing(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column(1)
+        keys = lists.flatten().to_numpy(zero_copy_only=False)
+        nodes = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        kept = marked(sent.value, keys % (64 * len(sent.value)))
+        return pa.record_batch([pa.array(nodes[kept], pa.int64()), pa.array(keys[kept], pa.int64())], names=["node", "key"])
+
+    keyed = map_batches(nodes.select("node", "keys"), passing, "node long, key long")
     bits = sum((F.bit_count(F.col("fp")[i]) for i in range(lanes)), F.lit(0))
     fps = nodes.select("node", bits.alias("bits"), *[F.col("fp")[i].alias(f"f{i}") for i in range(lanes)])
-    return compared(met.join(fps, "node").withColumn("c", F.lit(0)), radius, lanes)
+    return compared(keyed.join(met, "key").join(fps, "node").withColumn("c", F.lit(0)), radius, lanes)
 
 
 def compared(met: DataFrame, radius: int, lanes: int) -> DataFrame:
@@ -274,34 +302,25 @@ def spanning(near: np.ndarray) -> Iterator[tuple[int, int]]:
             yield i, j
 
 
-def marks(ids: DataFrame, n: int) -> np.ndarray:
-    """A bitmap of the hashes of n ids (node), of 16 bits an id and SLOTS bits at most, so it never grows beyond that; ids that share a bit pass for each other."""
-    slots = min(SLOTS, max(64, 1 << (16 * max(n, 1) - 1).bit_length()))
-    slot = F.pmod(F.xxhash64("node"), F.lit(slots))
-    words = ids.select(slot.alias("s")).groupBy(F.floor(F.col("s") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 AS int))")).alias("bits")).toArrow()
-    out = np.zeros(slots // 64, np.int64)
-    out[words["w"].to_numpy()] = words["bits"].to_numpy()
-    return out
-
-
 def verified(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
     """(a, b): links that connect all sets of shingles of one component whose similarity is reached. members: digest, node (the id of a document with that set) and component; docs have ids.
 
     Texts stay where they are: a bitmap of bounded size tells which of them can be members, and only the sets of those travel.
     """
     sizes = members.groupBy("component").agg(F.ceil(F.count("*") / F.lit(PART)).cast("int").alias("parts"))
-    sent = docs.sparkSession.sparkContext.broadcast(marks(members, members.count()))
+    n = members.count()
+    sent = docs.sparkSession.sparkContext.broadcast(marks(members, F.xxhash64("node"), n))
     slot = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(64 * len(sent.value)))
 
     def told(batch: pa.RecordBatch) -> pa.RecordBatch:
-        at = batch.column(2).to_numpy()
-        batch = batch.filter(pa.array((sent.value[at // 64] >> (at % 64)) & 1 == 1))
+        batch = batch.filter(pa.array(marked(sent.value, batch.column(2).to_numpy())))
         sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
         return pa.record_batch([batch.column(0), pa.array(map(set_digest, sets), pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["node", "digest", "told"])
 
     found = map_batches(docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col), slot.alias("slot")), told, "node long, digest long, told array<long>")
     # Other texts of an id have another digest.
-    sets = found.join(members.join(sizes, "component"), ["node", "digest"])
+    known = members.join(sizes, "component")
+    sets = found.join(F.broadcast(known) if n <= SMALL else known, ["node", "digest"])
     mine = F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int")
     dealt = sets.withColumn("mine", mine).withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("parts = 1 or mine != theirs")
     unit = ["component", "t", "u"]
