@@ -48,7 +48,7 @@ MISSED = 1e-6
 PART = 128
 #: Bits of the bitmap of candidates at most, eight megabytes; beyond that more texts pass it than need to.
 SLOTS = 1 << 26
-#: Members, of four numbers each, that are sent to every task rather than dealt out with the sets.
+#: Rows of a few numbers each that are sent to every task rather than dealt out with sets or texts.
 SMALL = 100_000
 
 
@@ -374,7 +374,8 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """docs with one document of each near-duplicate component: that of the smallest id; of repeated rows of an id one stays. Rows without an id stay."""
     found = written(similar_components(docs.where(F.col(id_col).isNotNull()), id_col, text_col, width, similarity, lanes), "groups")
     gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    left = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    # Few ids come to the texts; many, and the texts move once.
+    left = docs.join(F.broadcast(gone) if gone.count() <= SMALL else gone, id_col, "left_anti").select(*docs.columns)
     if found.groupBy(id_col).count().where("count > 1").isEmpty():
         return left
     return left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(left.where(F.col(id_col).isNull()))
