@@ -8,8 +8,8 @@ binary search in each shard.  Windows at consecutive positions of both texts joi
 longest verbatim matches, whose places are returned.
 
 Defined results: a null text has no words; benchmark items without words have no windows;
-items without an id cannot be named, so they are not among the matches, as in the SQL of op7, but
-documents that hold their windows are removed; repeated rows are judged row by row; an empty benchmark hits
+words in windows of items without an id are hit and documents that hold them are removed, but such an
+item cannot be named, so it is neither among the matches nor counted; repeated rows are judged row by row; an empty benchmark hits
 nothing; columns other than ids and texts are ignored.
 """
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import chain
 
@@ -25,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemark.llm.arrow import map_batches
 from tidemark.llm.shared import written
@@ -114,11 +116,10 @@ def suffix_array(text: np.ndarray, deep: int) -> np.ndarray:
     return np.argsort(rank, kind="stable")
 
 
-def matches(shard: list[list[bytes]], tests: Tests) -> list[list[tuple[int, int, int, int]]]:
-    """For each document of the shard: (item, its word, document word, words) of the longest verbatim matches that hold a window."""
-    out: list[list[tuple[int, int, int, int]]] = [[] for _ in shard]
+def occurrences(shard: list[list[bytes]], tests: Tests) -> Iterator[tuple[int, list[tuple[int, int]], np.ndarray, np.ndarray]]:
+    """For each distinct window that stands in the shard: its words, the items that hold it, its places in the shard, and where documents start there."""
     if not tests.windows or not shard:
-        return out
+        return
     get = tests.vocabulary.get
     starts = np.cumsum([0] + [len(ws) + 1 for ws in shard])
     ids = np.zeros(starts[-1], np.int64)
@@ -126,7 +127,7 @@ def matches(shard: list[list[bytes]], tests: Tests) -> list[list[tuple[int, int,
         ids[at : at + len(ws)] = [get(w, 0) for w in ws]
     places = runs(ids, tests.shortest)
     if not len(places):
-        return out
+        return
     deep = max(tests.windows)
     # The runs, each followed by a zero, which no window has.
     gaps = np.flatnonzero(np.diff(places) > 1) + 1
@@ -134,14 +135,40 @@ def matches(shard: list[list[bytes]], tests: Tests) -> list[list[tuple[int, int,
     order = suffix_array(text, deep)
     order = order[text[order] > 0]
     padded = np.concatenate([text, np.zeros(deep, np.int64)])
-    hits: dict[tuple[int, int, int], list[int]] = defaultdict(list)
     for n, (windows, holders) in tests.windows.items():
         low, high = bounds(windows, order, padded, n, False), bounds(windows, order, padded, n, True)
-        for w in np.flatnonzero(high > low):
-            for at in where[order[low[w] : high[w]]]:
-                d = int(np.searchsorted(starts, at, "right")) - 1
-                for k, i in holders[w]:
-                    hits[d, k, int(at - starts[d]) - i].append(i)
+        for w in np.flatnonzero(high > low).tolist():
+            yield n, holders[w], where[order[low[w] : high[w]]], starts
+
+
+def covered(shard: list[list[bytes]], tests: Tests) -> list[tuple[list[tuple[int, int]], list[str]]]:
+    """For each document of the shard: the stretches (first word, words) that windows cover, and the ids of the items that hold one of them. Each place and each holder of a window is looked at once, never their pairs."""
+    hit = np.zeros(sum(len(ws) + 1 for ws in shard) + 1, np.int64)
+    names: list[set[str]] = [set() for _ in shard]
+    starts = np.cumsum([0] + [len(ws) + 1 for ws in shard])
+    for n, holders, found, _ in occurrences(shard, tests):
+        np.add.at(hit, found, 1)
+        np.add.at(hit, found + n, -1)
+        held = {tests.names[k] for k, _ in holders} - {None}
+        for d in np.unique(np.searchsorted(starts, found, "right") - 1).tolist():
+            names[d] |= held
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], (np.cumsum(hit) > 0).astype(np.int8), [0]])))
+    spans: list[list[tuple[int, int]]] = [[] for _ in shard]
+    for a, b in edges.reshape(-1, 2).tolist():
+        d = int(np.searchsorted(starts, a, "right")) - 1
+        spans[d].append((a - int(starts[d]), b - a))
+    return [(x, sorted(y)) for x, y in zip(spans, names, strict=True)]
+
+
+def matches(shard: list[list[bytes]], tests: Tests) -> list[list[tuple[int, int, int, int]]]:
+    """For each document of the shard: (item, its word, document word, words) of the longest verbatim matches that hold a window."""
+    out: list[list[tuple[int, int, int, int]]] = [[] for _ in shard]
+    hits: dict[tuple[int, int, int], list[int]] = defaultdict(list)
+    for _, holders, found, starts in occurrences(shard, tests):
+        for at in found.tolist():
+            d = int(np.searchsorted(starts, at, "right")) - 1
+            for k, i in holders:
+                hits[d, k, int(at - starts[d]) - i].append(i)
     for (d, k, shift), found in hits.items():
         n = tests.size[k]
         found.sort()
@@ -169,33 +196,54 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int = BLOCK_B
 MATCHES = "array<struct<item:string,item_word:long,doc_word:long,n_words:long>>"
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """id, n_words and matches, the longest verbatim matches with benchmark items that hold a whole window."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    context = docs.sparkSession.sparkContext
-    schema = pa.list_(pa.struct([("item", pa.string()), ("item_word", pa.int64()), ("doc_word", pa.int64()), ("n_words", pa.int64())]))
+SPANS = "array<struct<doc_word:long,n_words:long>>"
+
+
+def scanned(docs: DataFrame, benchmark: DataFrame, columns: dict[str, str], found: Callable[[list[list[bytes]], Tests], list[dict]], id_col: str, text_col: str, item_col: str, item_text_col: str, window: int, block_bytes: int) -> DataFrame:
+    """id, n_words and the columns, arrays of what `found` tells of each document of a shard; those of several blocks of the benchmark are put together."""
+    kind, context = docs.schema[id_col].dataType.simpleString(), docs.sparkSession.sparkContext
+    schema = "".join(f", {c} {t}" for c, t in columns.items())
 
     def scan(rows_in: DataFrame, block: list[tuple[str | None, str | None]]) -> DataFrame:
         sent = context.broadcast(Tests(block, window))  # at most block_bytes of text
+        kinds = {c: to_arrow_type(T.StructType.fromDDL(f"x {t}")[0].dataType) for c, t in columns.items()}
 
         def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-            tests = sent.value
             sizes, told = [], []
             for shard in shards(batch.column(1).to_pylist()):
                 sizes += [len(x) for x in shard]
-                told += [[{"item": tests.names[k], "item_word": i, "doc_word": at, "n_words": n} for k, i, at, n in sorted(found)] for found in matches(shard, tests)]
-            return pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(told, schema), *batch.columns[2:]], names=[id_col, "n_words", "matches", *["tidemark_row"] * (batch.num_columns - 2)])
+                told += found(shard, sent.value)
+            return pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), *[pa.array([x[c] for x in told], t) for c, t in kinds.items()], *batch.columns[2:]], names=[id_col, "n_words", *kinds, *["tidemark_row"] * (batch.num_columns - 2)])
 
-        return map_batches(rows_in, rows, f"`{id_col}` {kind}, n_words long, matches {MATCHES}" + ", tidemark_row long" * (len(rows_in.columns) - 2))
+        return map_batches(rows_in, rows, f"`{id_col}` {kind}, n_words long{schema}" + ", tidemark_row long" * (len(rows_in.columns) - 2))
 
-    told, docs = blocks(benchmark.where(F.col(item_col).isNotNull()), item_col, item_text_col, block_bytes), docs.select(id_col, text_col)
+    told, docs = blocks(benchmark, item_col, item_text_col, block_bytes), docs.select(id_col, text_col)
     first, second = next(told, []), next(told, None)
     if second is None:
         return scan(docs, first)
     # Several blocks: each row has a number that is written before the scans.
     numbered = written(docs.withColumn("tidemark_row", F.monotonically_increasing_id()), "numbered")
-    found = reduce(DataFrame.unionAll, [scan(numbered, block) for block in chain([first, second], told)])
-    return found.groupBy("tidemark_row").agg(F.first(id_col).alias(id_col), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches")).drop("tidemark_row")
+    every = reduce(DataFrame.unionAll, [scan(numbered, block) for block in chain([first, second], told)])
+    return every.groupBy("tidemark_row").agg(F.first(id_col).alias(id_col), F.max("n_words").alias("n_words"), *[F.flatten(F.collect_list(c)).alias(c) for c in columns]).drop("tidemark_row")
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """id, n_words and matches, the longest verbatim matches with benchmark items that hold a whole window: a row for each item and place, so items times repeats where both repeat. `contamination` tells less, and is linear."""
+
+    def found(shard: list[list[bytes]], tests: Tests) -> list[dict]:
+        return [{"matches": [{"item": tests.names[k], "item_word": i, "doc_word": at, "n_words": n} for k, i, at, n in sorted(x)]} for x in matches(shard, tests)]
+
+    return scanned(docs, benchmark.where(F.col(item_col).isNotNull()), {"matches": MATCHES}, found, id_col, text_col, item_col, item_text_col, window, block_bytes)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """id, n_words, spans (the stretches of words that windows cover) and items (the distinct ids of items with such windows, as strings in order)."""
+
+    def found(shard: list[list[bytes]], tests: Tests) -> list[dict]:
+        return [{"spans": [{"doc_word": a, "n_words": n} for a, n in spans], "items": items} for spans, items in covered(shard, tests)]
+
+    told = scanned(docs, benchmark, {"spans": SPANS, "items": "array<string>"}, found, id_col, text_col, item_col, item_text_col, window, block_bytes)
+    return told.withColumn("items", F.array_sort(F.array_distinct("items")))
 
 
 def covered_words(matches: Column) -> Column:
@@ -215,7 +263,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         sent = context.broadcast(Tests(block, window))
 
         def rows(batch: pa.RecordBatch, sent=sent) -> pa.RecordBatch:
-            found = [x for shard in shards(batch.column(fields.names.index(text_col)).to_pylist()) for x in matches(shard, sent.value)]
+            found = [x for shard in shards(batch.column(fields.names.index(text_col)).to_pylist()) for x, _ in covered(shard, sent.value)]
             return batch.filter(pa.array([not x for x in found], pa.bool_()))
 
         docs = map_batches(docs, rows, fields)
@@ -223,6 +271,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def op7_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
-    found = find_contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    told = found.select("doc_id", "n_words", covered_words(F.col("matches")).alias("n_hit"), F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item"]))).alias("items"))
+    found = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    told = found.select("doc_id", "n_words", covered_words(F.col("spans")).alias("n_hit"), "items")
     return told.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

@@ -13,6 +13,11 @@ which is exact, and max-flow runs on the rest.
 The classifier learns from pages that are made by rule, whose content is known because it was
 put there (`made_pages`), so the same weights come out wherever it is trained.
 
+Tags and attributes are read by the rules of HTML: an unquoted value goes on to white space or the
+end of the tag, whatever quotes it holds, and a quoted one to its quote.  A value whose quote never comes ends with
+its tag; a tag that never ends, or a comment, takes the rest of the page.  Reading takes time and memory in
+proportion to the page, however deep its elements lie.
+
 Defined results: a null or empty html has an empty text; a page without content blocks too;
 repeated rows are extracted row by row; an empty table gives an empty result; columns other
 than those named are ignored.  Scripts, styles, forms' controls and hidden elements, inline
@@ -25,10 +30,11 @@ import html
 import math
 import random
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache, lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +44,8 @@ from tidemark.llm.arrow import map_batches
 
 #: Elements by what they mean for a page.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-DROPPED = frozenset("script style noscript template textarea select option button svg math iframe object canvas audio video head title datalist".split())
-RAW = frozenset("script style textarea title iframe noscript".split())
+DROPPED = frozenset("script style noscript template textarea select option button svg iframe object canvas audio video head title datalist".split())
+RAW = {t: re.compile(rf"</{t}(?:[\s/][^>]*+)?>", re.I) for t in "script style textarea title iframe noscript".split()}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of class names, ids and roles that speak for boilerplate, and words that say nothing beside them.
 AWAY_WORDS = frozenset(
@@ -49,8 +55,12 @@ AWAY_WORDS = frozenset(
 PLAIN_WORDS = frozenset("area bar block body bottom box buttons container global group inner item items left link links list main outer page panel primary right row secondary section site slot text thread top unit wrap wrapper".split())
 CONTENT_WORDS = frozenset("article articlebody content entry maincontent post postbody story storybody".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: One attribute, as groups of its name and its value in double, single or no quotes; nothing in it is tried twice.
+ATTRIBUTE = r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|((?!["'>])[^\s>]++)))?+"""
+ATTRIBUTES = re.compile(ATTRIBUTE)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|" + re.sub(r"(?<!\\)\((?!\?)", "(?:", ATTRIBUTE) + ")*+)>")
+#: What is no tag: a comment, which may end at once, and other declarations, instructions and end tags without a name.
+ASIDE = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:[!?]|/(?![a-zA-Z]|\Z))[^>]*+(?:>|\Z)", re.S)
 UNSEEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)(?![\w-])")
 
 #: The most that the evidence of a block counts for, as log odds.
@@ -77,8 +87,10 @@ class Evidence:
 
 @dataclass
 class Block:
+    """A block's text, the number of its element and what the labelling needs to know of it."""
+
     text: str
-    path: tuple[int, ...]
+    number: int
     tag: str
     evidence: Evidence
     n_link: int
@@ -93,21 +105,34 @@ class Open:
     dropped: bool
 
 
-@lru_cache(1 << 14)
+#: Longer sources of attributes are not kept.
+KEPT_SOURCE = 256
+
+
 def attributes(text: str) -> dict[str, str]:
     """Names and values as written in a tag; of a repeated name the first counts."""
+    return kept_attributes(text) if len(text) <= KEPT_SOURCE else read_attributes(text)
+
+
+def read_attributes(text: str) -> dict[str, str]:
     found: dict[str, str] = {}
-    for name, *values in ATTRIBUTE.findall(text):
+    for name, *values in ATTRIBUTES.findall(text):
         found.setdefault(name.lower(), html.unescape("".join(values)))
     return found
 
 
+kept_attributes = lru_cache(1 << 14)(read_attributes)
+
+
 def unseen(told: dict[str, str]) -> bool:
     return "hidden" in told or told.get("aria-hidden", "").lower() == "true" or bool(UNSEEN.search(told.get("style", "").lower()))
 
 
-@lru_cache(1 << 14)
 def named(text: str) -> tuple[float, float, float]:
+    return kept_named(text) if len(text) <= KEPT_SOURCE else read_named(text)
+
+
+def read_named(text: str) -> tuple[float, float, float]:
     """Of a tag's class, id, role and itemprop: whether a whole name speaks for boilerplate, whether just a part of one does, and whether a name speaks for content."""
     told = attributes(text)
     word = part = content = 0.0
@@ -123,6 +148,7 @@ def named(text: str) -> tuple[float, float, float]:
     return word, part, content
 
 
+kept_named = lru_cache(1 << 14)(read_named)
 AWAY_TAGS = frozenset("nav footer aside form menu dialog".split())
 
 
@@ -146,15 +172,22 @@ def within(above: Evidence, tag: str, text: str) -> Evidence:
     )
 
 
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
 @dataclass
 class Page:
     """Reads a page into blocks."""
 
     source: str
     blocks: list[Block] = field(default_factory=list)
+    #: Of each element by number, that of its parent and its depth; 0 is the page.
+    parents: list[int] = field(default_factory=lambda: [0])
+    depths: list[int] = field(default_factory=lambda: [0])
 
     def __post_init__(self) -> None:
-        stack, numbers = [Open("", 0, Evidence(), False)], 0
+        stack = [Open("", 0, Evidence(), False)]
+        open_tags: Counter[str] = Counter()
         parts: list[str] = []
         links, anchor = 0, 0
         at, source = 0, self.source
@@ -165,43 +198,63 @@ class Page:
                 text = " ".join(html.unescape("".join(parts)).split())
                 parts.clear()
                 if text:
-                    self.blocks.append(Block(text, tuple(o.number for o in stack if o.number), stack[-1].tag, stack[-1].evidence, links))
+                    self.blocks.append(Block(text, stack[-1].number, stack[-1].tag, stack[-1].evidence, links))
             links = 0
 
+        def put(tag: str, number: int, evidence: Evidence, dropped: bool) -> None:
+            stack.append(Open(tag, number, evidence, dropped))
+            open_tags[tag] += 1
+
+        def cut(k: int) -> None:
+            for o in stack[k:]:
+                open_tags[o.tag] -= 1
+            del stack[k:]
+
         def close(k: int) -> None:
             flush()
-            del stack[k:]
+            cut(k)
 
-        for m in TOKEN.finditer(source):
-            if m.start() < at:
-                continue
-            if m.start() > at and not stack[-1].dropped:
-                piece = source[at : m.start()]
-                parts.append(piece)
+        def say(end: int) -> None:
+            nonlocal links
+            if end > at and not stack[-1].dropped:
+                parts.append(source[at:end])
                 if anchor:
-                    links += len(piece)
-            at = m.end()
-            tag = m[2]
-            if tag is None:
+                    links += end - at
+
+        seen = 0
+        while (start := source.find("<", seen)) >= 0:
+            m = TAG.match(source, start)
+            if not m:
+                if other := ASIDE.match(source, start):
+                    say(start)
+                    at = seen = other.end()
+                elif source[start + 1 : start + 2].isascii() and source[start + 1 : start + 2].isalpha() or source[start + 1 : start + 2] == "/" and len(source) > start + 2:
+                    say(start)
+                    at = seen = len(source)
+                else:
+                    seen = start + 1
                 continue
-            tag = tag.lower()
+            say(start)
+            at = seen = m.end()
+            tag = m[2].lower()
             if m[1]:
                 if tag == "a":
                     anchor = 0
                 block = tag in BLOCKS
+                if not open_tags[tag]:
+                    if block:
+                        flush()
+                    continue
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag == tag:
                         if block:
                             close(k)
                         else:
-                            del stack[k:]
+                            cut(k)
                         break
                     # An inline end tag reaches no further than its block.
                     if not block and tag not in DROPPED and stack[k].tag in BLOCKS:
                         break
-                else:
-                    if block:
-                        flush()
                 continue
             if tag == "br" or tag == "img":
                 if not stack[-1].dropped:
@@ -216,39 +269,49 @@ class Page:
             if tag in DROPPED:
                 if tag in RAW:
                     # Text of these elements ends at their own end tag and nowhere else.
-                    end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
-                    at = end.end() if end else len(source)
+                    end = RAW[tag].search(source, at)
+                    at = seen = end.end() if end else len(source)
                 elif not m[3].endswith("/"):
-                    stack.append(Open(tag, 0, stack[-1].evidence, True))
+                    put(tag, 0, stack[-1].evidence, True)
                 continue
             if tag not in BLOCKS:
                 if told and unseen(told) and not m[3].endswith("/"):
-                    stack.append(Open(tag, 0, stack[-1].evidence, True))
+                    put(tag, 0, stack[-1].evidence, True)
                 continue
-            if tag == "body" or stack[-1].tag == "head":
+            if open_tags["head"] and (tag == "body" or stack[-1].tag == "head"):
+                close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == "head"))
+            flush()
+            anchor = 0
+            ended = ("p", "li") if tag == "li" else ("p", "dt", "dd") if tag in ("dt", "dd") else ("p",)
+            if any(open_tags[t] for t in ended):
                 for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == "head":
+                    if stack[k].tag in ended:
                         close(k)
                         break
-            flush()
-            anchor = 0
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p" or tag == "li" and stack[k].tag == "li" or tag in ("dt", "dd") and stack[k].tag in ("dt", "dd"):
-                    close(k)
-                    break
-                if stack[k].tag not in ("h1", "h2", "h3", "h4", "h5", "h6"):
-                    break
+                    if stack[k].tag not in HEADINGS:
+                        break
             if tag in VOID:
                 continue
-            numbers += 1
             above = stack[-1]
-            stack.append(Open(tag, numbers, within(above.evidence, tag, m[3]), above.dropped or bool(told) and unseen(told)))
-        if at < len(source) and not stack[-1].dropped:
-            parts.append(source[at:])
+            parent = next(o.number for o in reversed(stack) if o.number or o is stack[0])
+            self.parents.append(parent)
+            self.depths.append(self.depths[parent] + 1)
+            put(tag, len(self.parents) - 1, within(above.evidence, tag, m[3]), above.dropped or bool(told) and unseen(told))
+        say(len(source))
         flush()
 
+    def apart(self, a: Block, b: Block) -> int:
+        """Elements on the way between two blocks. Between neighbours this takes all in all as many steps as the page has elements."""
+        i, j, steps = a.number, b.number, 0
+        while i != j:
+            if self.depths[i] >= self.depths[j]:
+                i = self.parents[i]
+            else:
+                j = self.parents[j]
+            steps += 1
+        return steps
+
 
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 N_FEATURES = 18
 
 
@@ -351,36 +414,31 @@ def max_flow_side(n: int, source: list[float], sink: list[float], edges: list[tu
                 tried[u] += 1
 
 
-def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
+def edges_of(page: Page) -> list[tuple[int, int, float]]:
     """Smoothness: between blocks next to each other, and between blocks of one parent with others between them, halved. It falls with the elements between them in the tree."""
+    blocks = page.blocks
 
-    def weight(a: Block, b: Block) -> float:
-        p, q = a.path, b.path
-        same = 0
-        for x, y in zip(p, q, strict=False):
-            if x != y:
-                break
-            same += 1
-        apart = max(len(p) + len(q) - 2 * same, 2)
-        return NEAR * 2 / apart * (1.0 if a.tag == b.tag and a.evidence == b.evidence else UNLIKE)
+    def weight(a: Block, b: Block, apart: int) -> float:
+        return NEAR * 2 / max(apart, 2) * (1.0 if a.tag == b.tag and a.evidence == b.evidence else UNLIKE)
 
-    edges = [(i, i + 1, weight(blocks[i], blocks[i + 1])) for i in range(len(blocks) - 1)]
-    last: dict[tuple[int, ...], int] = {}
+    edges = [(i, i + 1, weight(a, b, page.apart(a, b))) for i, (a, b) in enumerate(pairwise(blocks))]
+    last: dict[int, int] = {}
     for i, b in enumerate(blocks):
-        parent = b.path[:-1]
+        parent = page.parents[b.number]
         if parent in last and last[parent] < i - 1:
-            edges.append((last[parent], i, weight(blocks[last[parent]], b) / 2))
+            edges.append((last[parent], i, weight(blocks[last[parent]], b, 2) / 2))
         last[parent] = i
     return edges
 
 
-def label(blocks: list[Block], weights: list[float]) -> list[bool]:
+def label(page: Page, weights: list[float]) -> list[bool]:
     """True for the content blocks: the side of the source in the minimum cut."""
+    blocks = page.blocks
     n = len(blocks)
     for i, b in enumerate(blocks):
         z = max(-CAP, min(CAP, sum(w * f for w, f in zip(weights, shape(b, (i + 0.5) / n), strict=True))))
         b.costs = math.log1p(math.exp(-z)), math.log1p(math.exp(z))
-    edges = edges_of(blocks)
+    edges = edges_of(page)
     # Costs beyond all edges of a block settle it, and a settled block is a terminal of its neighbours.
     near: list[list[tuple[int, float]]] = [[] for _ in blocks]
     for u, v, w in edges:
@@ -409,8 +467,8 @@ def label(blocks: list[Block], weights: list[float]) -> list[bool]:
 
 
 def extract(source: str | None, weights: list[float]) -> str:
-    blocks = Page(source or "").blocks
-    return "\n".join(b.text for b, keep in zip(blocks, label(blocks, weights), strict=True) if keep)
+    page = Page(source or "")
+    return "\n".join(b.text for b, keep in zip(page.blocks, label(page, weights), strict=True) if keep)
 
 
 def made_pages(n: int = MADE_PAGES, seed: int = 4) -> Iterator[tuple[str, set[str]]]:

@@ -58,7 +58,7 @@ SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_d
 
 DECONTAMINATION_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce({WORDS}, []) AS w FROM documents),
-q AS (SELECT item_id, coalesce({WORDS}, []) AS w FROM benchmark WHERE item_id IS NOT NULL),
+q AS (SELECT item_id, coalesce({WORDS}, []) AS w FROM benchmark),
 n AS (SELECT DISTINCT item_id, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS g, least(10, len(w)) AS n FROM (SELECT *, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM q WHERE len(w) > 0)),
 z AS (SELECT DISTINCT n FROM n),
 p AS (SELECT doc_id, z.n, w, unnest(range(1, len(w) - z.n + 2)) AS i FROM d, z WHERE len(w) >= z.n),

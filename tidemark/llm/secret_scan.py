@@ -42,7 +42,7 @@ IDENTIFIER_WORDS = (
     "domain download element email encode engine entry error event example execute export factory field file filter folder format frame function gateway generate group handler header helper history host image import index information input instance interface internal item iterator key language layer "
     "length level library limit link list listener load local location logger manager message method metric model module monitor name network node notification number object operation option order output package page parameter parent parser partition password path payment permission pipeline "
     "plugin pointer position process product profile project property protocol provider proxy query queue reader record reference register remote report repository request resource response result role route row rule schema scope search section security segment select sequence server service session setting "
-    "size snapshot source stage start state status storage stream string structure style sub summary support switch system table target task template test text thread time title token tool trace transaction transfer transport tree type update upload user utility validate value variable version view visitor window worker writer"
+    "size snapshot source stage start state status storage stream string structure style sub summary support switch table target task template test text thread time title token tool trace transaction transfer transport tree type update upload user utility validate value variable version view visitor window worker writer"
 )
 
 
@@ -138,15 +138,23 @@ def without_secrets(docs: DataFrame, samples: DataFrame | None = None, id_col: s
     found = secret_spans(row, samples, "_row", "_body")
     spans = F.sort_array(F.concat(*[F.col(kind) for kind in PATTERNS]))
     df = found.select("_row", "text", spans.alias("_spans"))
-    # Text up to each span that begins beyond all before it; spans that overlap share a mark.
-    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("parts"))
+    # Spans in pieces of PIECE, each with the text from where the spans before it end to where its own do: no span looks at the whole text, and none copies what came before.
+    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("_spans") - 1) / PIECE).cast("int"))), lambda k: F.slice("_spans", k * PIECE + 1, PIECE))
+    df = df.withColumn("_pieces", pieces).withColumn("_ends", F.transform("_pieces", lambda p: F.coalesce(F.array_max(F.transform(p, lambda s: s["end"])), F.lit(0))))
+    reach = F.aggregate("_ends", F.array(F.lit(0)), lambda acc, e: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), e))))
+    df = df.withColumn("_reach", reach).withColumn("_parts", F.transform("_pieces", lambda p, k: F.struct(p.alias("spans"), F.element_at("_reach", k + 1).alias("at"), F.substr("text", F.element_at("_reach", k + 1) + 1, F.element_at("_reach", k + 2) - F.element_at("_reach", k + 1)).alias("text"))))
 
-    def step(acc: Column, s: Column) -> Column:
-        apart = s["start"] >= acc["end"]
-        piece = F.concat(F.substr(F.col("text"), acc["end"] + 1, s["start"] - acc["end"]), F.lit(mark))
-        return F.struct(F.greatest(acc["end"], s["end"]).alias("end"), F.when(apart, F.concat(acc["parts"], F.array(piece))).otherwise(acc["parts"]).alias("parts"))
+    def told_of(part: Column) -> Column:
+        """Text up to each span that begins beyond all before it; spans that overlap share a mark."""
+        start = F.struct(part["at"].alias("end"), F.array().cast("array<string>").alias("parts"))
 
-    clean = F.aggregate("_spans", start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substr(F.col("text"), acc["end"] + 1)))
+        def step(acc: Column, s: Column) -> Column:
+            piece = F.concat(F.substr(part["text"], acc["end"] - part["at"] + 1, s["start"] - acc["end"]), F.lit(mark))
+            return F.struct(F.greatest(acc["end"], s["end"]).alias("end"), F.when(s["start"] >= acc["end"], F.concat(acc["parts"], F.array(piece))).otherwise(acc["parts"]).alias("parts"))
+
+        return F.aggregate(part["spans"], start, step, lambda acc: F.array_join(acc["parts"], ""))
+
+    clean = F.concat(F.array_join(F.transform("_parts", told_of), ""), F.substr("text", F.element_at("_reach", -1) + 1))
     df = df.withColumn("_clean", F.when(F.size("_spans") > 0, clean).otherwise(F.col(f"_row.{text_col}")))
     told = {text_col: F.col("_clean")} | ({chars_col: F.length("_clean").cast(docs.schema[chars_col].dataType)} if chars_col else {})
     return df.select(*[told.get(c, F.col(f"_row.{c}")).alias(c) for c in docs.columns])

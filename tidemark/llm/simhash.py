@@ -48,8 +48,6 @@ MISSED = 1e-6
 PART = 128
 #: Bits of the bitmap of candidates at most, eight megabytes; beyond that more texts pass it than need to.
 SLOTS = 1 << 26
-#: Rows of a few numbers each that are sent to every task rather than dealt out with sets or texts.
-SMALL = 100_000
 
 
 def shingles(text: str | None, width: int) -> list[bytes]:
@@ -264,7 +262,11 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """id (a long), fp and component_id, the smallest id that links reach; every link within the radius counts."""
     fps = written(fingerprints(docs, id_col, text_col, width), "fingerprints")
     nodes = written(fps.groupBy("fp").agg(F.min(id_col).alias("node")), "nodes")
-    labels = components(links(nodes.where("node is not null"), exact_keys(nodes.count(), radius), radius))
+    near = links(nodes.where("node is not null"), exact_keys(nodes.count(), radius), radius)
+    # Rows of one id with different fingerprints are one document.
+    several = fps.groupBy(id_col).agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where(F.col(id_col).isNotNull() & (F.col("least") != F.col("most"))).select(id_col)
+    same = fps.join(several, id_col).join(nodes, "fp").select(F.col("node").cast("long").alias("a"), F.col(id_col).cast("long").alias("b"))
+    labels = components(near.union(same))
     known = nodes.join(labels, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return fps.join(known, "fp", "left").select(id_col, "fp", "component_id")
 
@@ -319,8 +321,8 @@ def verified(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, wi
 
     found = map_batches(docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col), slot.alias("slot")), told, "node long, digest long, told array<long>")
     # Other texts of an id have another digest.
-    known = members.join(sizes, "component")
-    sets = found.join(F.broadcast(known) if n <= SMALL else known, ["node", "digest"])
+    known = written(members.join(sizes, "component"), "members")
+    sets = found.join(known, ["node", "digest"])
     mine = F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int")
     dealt = sets.withColumn("mine", mine).withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("parts = 1 or mine != theirs")
     unit = ["component", "t", "u"]
@@ -373,9 +375,9 @@ def similar_components(docs: DataFrame, id_col: str, text_col: str, width: int,
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, lanes: int = WIDE) -> DataFrame:
     """docs with one document of each near-duplicate component: that of the smallest id; of repeated rows of an id one stays. Rows without an id stay."""
     found = written(similar_components(docs.where(F.col(id_col).isNotNull()), id_col, text_col, width, similarity, lanes), "groups")
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    # Few ids come to the texts; many, and the texts move once.
-    left = docs.join(F.broadcast(gone) if gone.count() <= SMALL else gone, id_col, "left_anti").select(*docs.columns)
+    # Written, so that Spark knows its size: below its own threshold the ids come to the texts, else the texts move once.
+    gone = written(found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "gone")
+    left = docs.join(gone, id_col, "left_anti").select(*docs.columns)
     if found.groupBy(id_col).count().where("count > 1").isEmpty():
         return left
     return left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(left.where(F.col(id_col).isNull()))
