@@ -58,7 +58,7 @@ def diagnosis(sectors: np.ndarray, betas: np.ndarray, limits: Limits) -> list[st
 
 
 def optimum(alpha: np.ndarray, cov: np.ndarray, current: np.ndarray, sectors: np.ndarray, betas: np.ndarray, limits: Limits, risk: float = 1.0, trade: float = 0.0, steps: int = 8000) -> np.ndarray:
-    """argmax of alpha w - risk w'Cw - trade |w - current| under the limits, by splitting: a linear system for w, then one projection for caps and gross, one for trades and one for the rows of net, sectors and beta. Refused with its reasons if there is none."""
+    """argmax of alpha w - risk w'Cw - trade |w - current| under the limits, by splitting: linear equations for w, then one projection for caps and gross, one for trades and one for the rows of net, sectors and beta. Refused with its reasons if there is none."""
     if why := diagnosis(sectors, betas, limits):
         raise Refused("; ".join(why))
     n = len(alpha)

@@ -83,7 +83,26 @@ def windowed(spark, sf_dir: str) -> DataFrame:
     return windowed_counts(e).select("start", "event_type", "n", F.col("total").cast("double").alias("total"))
 
 
-@BOOK.add("chunking")
+SPACE = r"[ \t\n\r\f\v]"
+
+
+def cut_sql(at: str, most: int = 1000) -> str:
+    """Where a chunk that begins after `at` characters ends: at the last border of the best rank in its window, from which white space that goes on beyond it is taken away."""
+    window = f"CASE WHEN regexp_matches(substr(text, {at} + {most + 1}, 1), '{SPACE}') THEN regexp_replace(substr(text, {at} + 1, {most}), '{SPACE}+$', '') ELSE substr(text, {at} + 1, {most}) END"
+    ranks = [rf"\n[ \t\r\f\v]*\n{SPACE}*", rf"[.!?…][\"''”’»)\]]*{SPACE}+", f"{SPACE}+"]
+    ends = ", ".join(f"nullif(length(regexp_extract({window}, '(?s)^.*{r}')), 0)" for r in ranks)
+    return f"CASE WHEN length(text) - {at} <= {most} THEN length(text) ELSE {at} + coalesce({ends}, {most}) END"
+
+
+CHUNKS_SQL = f"""
+WITH RECURSIVE c AS (
+  SELECT doc_id, 0 AS chunk, 0 AS start, {cut_sql("0")} AS "end", text FROM documents WHERE text <> ''
+  UNION ALL SELECT doc_id, chunk + 1, "end", {cut_sql('"end"')}, text FROM c WHERE "end" < length(text))
+SELECT doc_id, chunk, start, "end", substr(text, start + 1, "end" - start) AS text FROM c
+"""
+
+
+@BOOK.add("chunking", CHUNKS_SQL)
 def chunking(spark, sf_dir: str) -> DataFrame:
     return text.chunks(table(spark, sf_dir, "documents"), 1000)
 
