@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -13,16 +12,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from tidemark.operators.guard import Refused, every, kind, plans_in, read_only, relations
+
 #: The open end of an interval, and its opposite.
 INFINITY = dt.datetime(9999, 12, 31, 23, 59, 59, 999999, tzinfo=dt.UTC)
 MINUS_INFINITY = dt.datetime(1, 1, 1, tzinfo=dt.UTC)
 TEMPORAL = ("valid_from", "valid_to", "knowledge_time", "is_retraction")
 
 
-class Refused(ValueError):
-    """An input that the operators refuse rather than guess about."""
-
-
 @dataclass(frozen=True)
 class FactSpec:
     """A fact table: its logical key, its payload, the payload that an observation must have, and what breaks ties of equal knowledge times."""
@@ -131,59 +128,49 @@ class AsOf:
         used = self.references(text)
         if not used:
             raise Refused("the query names no registered table")
-        before = {n: self.spark.table(n) for n in used if any(t.isTemporary and t.name.lower() == n.lower() for t in self.spark.catalog.listTables())}
+        held = self.spark._jsparkSession.sessionState().catalog()
+        before = {n: self.spark.table(n) for n in used if held.getTempView(n).isDefined()}
+        frames = {n: self.table(n) for n in used}
         try:
-            for n in used:
-                self.table(n).createOrReplaceTempView(n)
+            for n, df in frames.items():
+                df.createOrReplaceTempView(n)
             told = self.spark.sql(text)
         finally:
             for n in used:
                 self.spark.catalog.dropTempView(n)
             for n, df in before.items():
                 df.createOrReplaceTempView(n)
-        if open_ := unmasked(told, [n for n in used if n in self.facts]):
-            raise Refused(f"a path to {open_} does not pass the check for retractions")
+        read_only(told, frames)
         return no_retractions(told)
 
     def references(self, text: str) -> list[str]:
         """The registered names that a query reads; refused if it reads anything else."""
-        tree = parsed_plan(self.spark, text)
-        kind = re.match(r"[\s:+\-']*(\w+)", tree)[1]
-        if kind not in QUERIES:
-            raise Refused(f"only queries are read here, not {kind}")
-        own = {n.strip().lower() for m in re.finditer(r"^[\s:+\-']*(?:CTE|UnresolvedWith) \[([^\]]*)\]$", tree, re.M) for n in m[1].split(",")}
+        read, own = relations(self.spark, text)
         names = {n.lower(): n for n in [*self.facts, *self.plain]}
         if hidden := own & set(names):
             raise Refused(f"the query's own names hide registered tables: {sorted(hidden)}")
-        read = {m[1].strip().lower() for m in re.finditer(r"UnresolvedRelation \[([^\]]*)\]", tree)} - own
         if strange := read - set(names):
             raise Refused(f"not registered, so not versioned: {sorted(strange)}")
         return sorted(names[n] for n in read)
 
 
-#: Nodes that a parsed query can begin with.
-QUERIES = frozenset("Project Filter Aggregate Sort GlobalLimit LocalLimit Distinct Deduplicate Union Intersect Except CTE UnresolvedWith Join SubqueryAlias UnresolvedRelation UnresolvedHaving WithWindowDefinition Offset UnresolvedSubqueryColumnAliases LateralJoin Pivot Unpivot".split())
-
-
-def parsed_plan(spark: SparkSession, text: str) -> str:
-    """The tree of a text as Spark parses it, before any name is looked up. Texts that could forge a line of the tree are refused."""
-    if re.search(r"(?:CTE|UnresolvedWith)\s*\[", text):
-        raise Refused("the text holds what the plan's own lines look like")
-    return spark._jsparkSession.sessionState().sqlParser().parsePlan(text).treeString()
-
-
 def unmasked(df: DataFrame, names: list[str]) -> list[str]:
-    """The fact tables among `names` that a query reads by a path without the filter that drops retractions."""
-    lines = df._jdf.queryExecution().analyzed().treeString().split("\n")
-    depth = [len(re.match(r"[\s:+\-]*", x)[0]) for x in lines]
-    out = []
-    for i, line in enumerate(lines):
-        m = re.match(r"[\s:+\-]*SubqueryAlias (\S+)", line)
-        if m and (n := m[1].split(".")[-1].lower()) in {x.lower() for x in names} and any("View (" in x or "View [" in x for x in lines[i + 1 : i + 2]):
-            end = next((k for k in range(i + 1, len(lines)) if depth[k] <= depth[i]), len(lines))
-            if not any(re.search(r"Filter NOT _won#?\d*\.is_retraction", x) for x in lines[i + 1 : end]):
-                out.append(n)
-    return out
+    """The fact tables among `names` whose view a query reads without the filter that drops retractions right above its versions."""
+    out: set[str] = set()
+    open_ = [df._jdf.queryExecution().analyzed()]
+    while open_:
+        node = open_.pop()
+        if kind(node) == "View" and (n := str(node.desc().identifier().table()).lower()) in {x.lower() for x in names} and not masks(node.child()):
+            out.add(n)
+        open_ += [*every(node.children()), *plans_in(node)]
+    return sorted(out)
+
+
+def masks(node) -> bool:
+    """Whether a plan is that of visible versions: a projection of a filter that negates the flag of what was chosen."""
+    while kind(node) == "Project":
+        node = node.child()
+    return kind(node) == "Filter" and kind(node.condition()) == "Not" and kind(node.condition().child()) == "GetStructField" and str(node.condition().child().extractFieldName()) == "is_retraction"
 
 
 def no_retractions(df: DataFrame) -> DataFrame:
