@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.costs import YEAR_DAYS
 from tidemark.operators.facts import Refused, refuse
+from tidemark.operators.intervals import interval_join
 
 
 def checked_weights(weights: DataFrame, gross_cap: float, assets: DataFrame | None = None, by: tuple[str, ...] = ("strategy", "t"), tolerance: float = 1e-9) -> DataFrame:
@@ -28,12 +29,14 @@ def checked_weights(weights: DataFrame, gross_cap: float, assets: DataFrame | No
 def visible_at(rows: DataFrame, decisions: DataFrame, at: str = "at", known: str = "knowledge_time") -> DataFrame:
     """rows with the decision each is first visible at: the earliest decision time that is no earlier than its knowledge time; null if it is never seen.
 
-    decisions has one row a decision and is what is broadcast, as one sorted array; each row finds its place there without a join by range.
+    decisions has one row a decision, whose times are in microseconds at the finest: what was learned after the decision before it and until its own time is first seen at it, which is a join by interval.
     """
-    told = decisions.agg(F.array_sort(F.collect_set(at)).alias("_ats"), F.count(at).alias("_n"))
-    told = refuse(told, F.size("_ats") != F.col("_n"), "two decisions at one time").select("_ats")
-    first = F.array_min(F.filter("_ats", lambda x: x >= F.col(known)))
-    return rows.crossJoin(F.broadcast(told)).withColumn("visible_at", first).drop("_ats")
+    told = decisions.where(F.col(at).isNotNull()).groupBy(at).agg(F.count("*").alias("_n"))
+    told = refuse(told, F.col("_n") > 1, "two decisions at one time")
+    kind, step = rows.schema[known].dataType, F.expr("INTERVAL 1 MICROSECOND")
+    before = F.lag(at).over(Window.orderBy(at))
+    spans = told.select(F.col(at).cast(kind).alias("visible_at"), F.coalesce(before + step, F.lit("0001-01-01 00:00:00")).cast(kind).alias("_from"), (F.col(at) + step).cast(kind).alias("_to"))
+    return interval_join(rows, spans, (), known, "_from", "_to", "left").drop("_from", "_to")
 
 
 #: A strategy: from its name, the period, what was seen so far (t, asset, r) and its drifted weights, to its new weights.

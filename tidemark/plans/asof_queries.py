@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import facts as B
+from tidemark.operators.intervals import interval_join, versions_at
 from tidemark.plans.book import Book
 from tidemark.plans.tables import AS_OF, EVENT_FACTS, EVENTS, event_facts, table, visible_sql
 
@@ -152,3 +153,29 @@ def idempotent_append(spark, sf_dir: str) -> DataFrame:
     """What a batch adds of which every row comes twice and half is there already."""
     facts = event_facts(spark, sf_dir)
     return B.new_rows(facts.unionAll(facts), facts.where("seq % 2 = 0"), ("entity", "valid_from", "knowledge_time", "seq")).groupBy("entity").agg(F.count("*").alias("n"))
+
+
+@BOOK.add(
+    "event_versions",
+    f"""WITH {EVENT_FACTS}, p AS (SELECT event_id, user_id, ts, ts - INTERVAL 1 DAY AS at FROM events),
+    m AS (SELECT p.event_id, f.value, f.is_retraction, CAST(f.valid_from AS DATE) AS day, row_number() OVER (PARTITION BY p.event_id, f.valid_from ORDER BY f.knowledge_time DESC, f.seq DESC) AS rn FROM p JOIN event_facts f ON f.entity = p.user_id AND f.valid_from <= p.at AND p.at < f.valid_to AND f.knowledge_time <= p.ts)
+    SELECT p.event_id, m.day, m.value FROM p LEFT JOIN m ON m.event_id = p.event_id AND m.rn = 1 AND NOT m.is_retraction""",
+)
+def event_versions(spark, sf_dir: str) -> DataFrame:
+    """Each event with what was known at its time of its user's fact of the day before."""
+    ts = F.col("ts").cast("timestamp_ntz")
+    points = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("entity"), ts.alias("known"), (ts - F.expr("INTERVAL 1 DAY")).alias("at"))
+    told = versions_at(points, event_facts(spark, sf_dir), EVENTS, columns=("value",), how="left")
+    return told.select("event_id", F.to_date("valid_from").alias("day"), "value")
+
+
+@BOOK.add(
+    "lines_in_transit",
+    "SELECT a.s AS supplier, a.day, count(*) AS n, CAST(sum(CAST(b.l_quantity AS DECIMAL(12,2))) AS DOUBLE) AS quantity FROM (SELECT DISTINCT l_suppkey AS s, CAST(l_shipdate AS DATE) AS day FROM lineitem) a JOIN lineitem b ON b.l_suppkey = a.s AND CAST(b.l_shipdate AS DATE) <= a.day AND a.day < CAST(b.l_shipdate AS DATE) + 30 GROUP BY 1, 2",
+)
+def lines_in_transit(spark, sf_dir: str) -> DataFrame:
+    """By supplier and day on which it sent something: the lines that it sent in the last thirty days, and their pieces."""
+    line, day = table(spark, sf_dir, "lineitem"), F.to_date("l_shipdate")
+    points = line.select(F.col("l_suppkey").alias("supplier"), day.alias("day")).distinct()
+    spans = line.select(F.col("l_suppkey").alias("supplier"), day.alias("sent"), F.date_add(day, 30).alias("got"), F.col("l_quantity").cast("decimal(12,2)").alias("l_quantity"))
+    return interval_join(points, spans, ("supplier",), "day", "sent", "got").groupBy("supplier", "day").agg(F.count("*").alias("n"), F.sum("l_quantity").cast("double").alias("quantity"))
