@@ -7,8 +7,10 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.scratch import new_folder
 from tidemark.operators import facts as B
 from tidemark.operators.intervals import interval_join, versions_at
+from tidemark.operators.store import MonthStore
 from tidemark.plans.book import Book
 from tidemark.plans.tables import AS_OF, EVENT_FACTS, EVENTS, event_facts, table, visible_sql
 
@@ -179,3 +181,16 @@ def lines_in_transit(spark, sf_dir: str) -> DataFrame:
     points = line.select(F.col("l_suppkey").alias("supplier"), day.alias("day")).distinct()
     spans = line.select(F.col("l_suppkey").alias("supplier"), day.alias("sent"), F.date_add(day, 30).alias("got"), F.col("l_quantity").cast("decimal(12,2)").alias("l_quantity"))
     return interval_join(points, spans, ("supplier",), "day", "sent", "got").groupBy("supplier", "day").agg(F.count("*").alias("n"), F.sum("l_quantity").cast("double").alias("quantity"))
+
+
+@BOOK.add("store_range_scan", f"{VIS} SELECT {OUT} FROM vis WHERE valid_from >= TIMESTAMP '2024-01-05' AND valid_from < TIMESTAMP '2024-01-10'")
+def store_range_scan(spark, sf_dir: str) -> DataFrame:
+    """A range of facts from the month store, after two batches that overlap, a compaction between them and late versions after it."""
+    facts, at = event_facts(spark, sf_dir), dt.datetime(2024, 1, 8, tzinfo=dt.UTC)
+    store = MonthStore(spark, new_folder(spark, "store"), EVENTS, facts.schema)
+    store.append(facts.where("seq % 3 != 0"))
+    store.compact(at)
+    store.append(facts)
+    store.compact(at)
+    found = store.read(AS_OF, dt.datetime(2024, 1, 5, tzinfo=dt.UTC), dt.datetime(2024, 1, 10, tzinfo=dt.UTC), ("value",))
+    return found.select("entity", F.to_date("valid_from").alias("day"), "value")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.scratch import new_folder
 from tidemark.operators import text
 from tidemark.plans.book import Book
 from tidemark.plans.tables import table
-from tidemark.sources import filings, macro
+from tidemark.sources import filings, flow, macro
 from tidemark.streaming.ingest import windowed_counts
 
 BOOK = Book()
@@ -152,3 +153,34 @@ def cache_stats(spark, sf_dir: str) -> DataFrame:
     calls = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("key"))
     cache = calls.where("doc_id % 2 = 0").select("key", F.lit("seen").alias("answer")).distinct()
     return text.with_cache(calls, cache)[1].withColumn("hit_rate", F.round("hit_rate", 8))
+
+
+def filing_folder(spark, sf_dir: str) -> str:
+    """A folder of indexes and headers by month: an index line an order, some of them twice; headers but for every 40th, of another form for every 41st, at a time that the clock skips for every 43rd."""
+    folder, o = new_folder(spark, "filings"), table(spark, sf_dir, "orders")
+    day, month = F.date_format("o_orderdate", "yyyyMMdd"), F.date_format("o_orderdate", "yyyyMM")
+    accession = F.concat(F.lpad(F.col("o_orderkey").cast("string"), 10, "0"), F.lit("-24-000001"))
+    form = F.when(F.col("o_orderkey") % 3 == 0, "10-K").otherwise("8-K")
+    line = F.concat_ws("|", F.col("o_custkey").cast("string"), F.concat(F.lit("Company "), F.col("o_custkey").cast("string")), form, day, F.concat(F.lit("edgar/data/"), accession, F.lit(".txt")))
+    lines = o.select(line.alias("value"), month.alias("day"), "o_orderkey")
+    lines.unionAll(lines.where("o_orderkey % 10 = 0")).drop("o_orderkey").repartition("day").write.partitionBy("day").text(f"{folder}/index")
+    accepted = F.when(F.col("o_orderkey") % 43 == 0, "20240310023000").otherwise(F.concat(day, F.lit("1200"), F.lpad((F.col("o_orderkey") % 60).cast("string"), 2, "0")))
+    told = F.when(F.col("o_orderkey") % 41 == 0, "NT 10-K").otherwise(form)
+    body = F.concat(F.lit("<ACCEPTANCE-DATETIME>"), accepted, F.lit("\n<TYPE>"), told, F.lit("\n<FILING-DATE>"), day, F.lit("\n<PERIOD>"), F.date_format("o_orderdate", "yyyyMM"), F.lit("\n<DOCUMENT>\n<TYPE>"), form, F.lit("\n<SEQUENCE>1\n<FILENAME>a.htm\n</DOCUMENT>\n"))
+    o.where("o_orderkey % 40 != 0").select(accession.alias("accession"), body.alias("body"), month.alias("day")).repartition("day").write.partitionBy("day").json(f"{folder}/headers")
+    return folder
+
+
+FILINGS_SQL = """
+WITH o AS (SELECT *, CASE WHEN o_orderkey % 40 = 0 THEN 'no header' WHEN o_orderkey % 41 = 0 THEN 'another form' WHEN o_orderkey % 43 = 0 THEN 'no single instant of acceptance' END AS error FROM orders WHERE o_orderkey % 3 = 0)
+SELECT lpad(CAST(o_orderkey AS VARCHAR), 10, '0') || '-24-000001' AS accession, o_custkey AS cik, 'Company ' || o_custkey AS company, '10-K' AS form, CAST(o_orderdate AS DATE) AS filed,
+  CASE WHEN error IS NULL THEN strftime(timezone('UTC', timezone('America/New_York', CAST(o_orderdate AS TIMESTAMP) + INTERVAL 12 HOUR + to_seconds(o_orderkey % 60))), '%Y-%m-%d %H:%M:%S') END AS accepted,
+  CASE WHEN error IS NULL THEN strftime(o_orderdate, '%Y%m') END AS period, CASE WHEN error IS NULL THEN 1 END AS documents, error FROM o
+"""
+
+
+@BOOK.add("filing_table", FILINGS_SQL)
+def filing_table(spark, sf_dir: str) -> DataFrame:
+    """The annual reports of a folder of indexes and headers."""
+    told = flow.filing_table(spark, filing_folder(spark, sf_dir), ("10-K",))
+    return told.withColumn("accepted", F.date_format("accepted", "yyyy-MM-dd HH:mm:ss"))

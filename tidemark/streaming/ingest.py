@@ -6,30 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.operators.facts import FactSpec, new_rows, refuse
-
-
-def append_once(batch: DataFrame, target: str, key: tuple[str, ...]) -> None:
-    """Appends the rows of a batch that the target lacks, so a batch that is run again adds nothing. Nothing is ever overwritten."""
-    spark = batch.sparkSession
-    known = spark.read.schema(batch.schema).option("mergeSchema", "false")
-    try:
-        there = known.parquet(target)
-        there.limit(0).count()
-    except Exception as e:  # the first batch finds no table
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        there = spark.createDataFrame([], batch.schema)
-    new_rows(batch, there, key).write.mode("append").parquet(target)
+from tidemark.operators.facts import FactSpec
+from tidemark.operators.store import MonthStore
 
 
 def ingest(spark: SparkSession, source: str, schema, target: str, checkpoint: str, spec: FactSpec, max_files: int = 100) -> StreamingQuery:
-    """Reads new files of a folder, refuses knowledge from the future, and appends. The checkpoint moves only after the append; what it repeats is known by its key."""
+    """Reads new files of a folder, refuses knowledge from the future, and appends to the month store at `target`. The checkpoint moves only after the append; what it repeats is known by its key."""
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
-    key = (*spec.key, "valid_from", "knowledge_time", *spec.tie)
 
     def write(batch: DataFrame, number: int) -> None:
-        append_once(refuse(batch, F.col("knowledge_time") > F.current_timestamp().cast(batch.schema["knowledge_time"].dataType), "knowledge from the future"), target, key)
+        MonthStore(spark, target, spec, batch.schema).append(batch)
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
