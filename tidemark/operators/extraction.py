@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.batches import of_texts
 from tidemark.operators import text
 from tidemark.operators.facts import Refused, baseline_of, refuse
 
@@ -122,3 +124,58 @@ def prompt_diffs(versions: DataFrame) -> DataFrame:
     lines = F.split("body", "\n")
     told = versions.select("name", "version", lines.alias("now"), F.lag(lines).over(Window.partitionBy("name").orderBy("version")).alias("was"))
     return told.where("was IS NOT NULL").select("name", "version", F.array_except("now", "was").alias("added"), F.array_except("was", "now").alias("removed"))
+
+
+def edit_script(before: list[str], after: list[str]) -> list[tuple[str, int, int, int, int]]:
+    """(keep, delete, insert or replace, from and to in `before`, from and to in `after`) that tile both, from a longest common subsequence: the furthest reaching paths by number of edits."""
+    n, m = len(before), len(after)
+    reach, trail = {1: 0}, []
+    down = lambda d, k, held: k == -d or k != d and held[k - 1] < held[k + 1]
+    for d in range(n + m + 1):
+        trail.append(dict(reach))
+        for k in range(-d, d + 1, 2):
+            x = reach[k + 1] if down(d, k, reach) else reach[k - 1] + 1
+            while x < n and x - k < m and before[x] == after[x - k]:
+                x += 1
+            reach[k] = x
+        if reach.get(n - m, -1) >= n:
+            break
+    pairs, x, y = [], n, m
+    for d in range(len(trail) - 1, -1, -1):
+        k, held = x - y, trail[d]
+        came = k + 1 if down(d, k, held) else k - 1
+        px = held[came]
+        while x > px and y > px - came:
+            x, y = x - 1, y - 1
+            pairs.append((x, y))
+        x, y = px, px - came
+    out: list[tuple[str, int, int, int, int]] = []
+    i = j = 0
+    for a, b in [*reversed(pairs), (n, m)]:
+        if i < a or j < b:
+            out.append(("insert" if i == a else "delete" if j == b else "replace", i, a, j, b))
+        if a < n and b < m:
+            if out and out[-1][0] == "keep" and out[-1][2] == a and out[-1][4] == b:
+                out[-1] = "keep", out[-1][1], a + 1, out[-1][3], b + 1
+            else:
+                out.append(("keep", a, a + 1, b, b + 1))
+        i, j = a + 1, b + 1
+    return out
+
+
+def applied(before: list[str], script: list[tuple[str, int, int, int, int]], after: list[str]) -> list[str]:
+    """What a script makes of `before`, taking from `after` only what it inserts."""
+    return [x for op, a, b, c, d in script for x in (before[a:b] if op == "keep" else after[c:d])]
+
+
+def prompt_edits(versions: DataFrame) -> DataFrame:
+    """name, version, n, op, was_from, was_to, now_from, now_to: the aligned edit script by lines from the version before it to each version. Order and repeats of lines count. Bodies are prompts, which a person reads; work grows with their lines times their differences."""
+    told = versions.select("name", "version", "body", F.lag("body").over(Window.partitionBy("name").orderBy("version")).alias("was"), F.lag("version").over(Window.partitionBy("name").orderBy("version")).alias("older")).where("older IS NOT NULL")
+    kinds = {c: versions.schema[c].dataType.simpleString() for c in ("name", "version")}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(name, version, n, *step) for name, version, now, was in zip(batch["name"], batch["version"], batch["body"], batch["was"], strict=True) for n, step in enumerate(edit_script((was or "").split("\n"), (now or "").split("\n")))]
+            yield pd.DataFrame(rows, columns=["name", "version", "n", "op", "was_from", "was_to", "now_from", "now_to"])
+
+    return of_texts(told.select("name", "version", "body", "was")).mapInPandas(run, f"name {kinds['name']}, version {kinds['version']}, n int, op string, was_from int, was_to int, now_from int, now_to int")

@@ -136,6 +136,26 @@ def leak_scan(spark, sf_dir: str) -> DataFrame:
     return text.leaks(table(spark, sf_dir, "documents"), ["license"])
 
 
+def found_sql(kind: str, severity: str, pattern: str, found: str = "x", also: str = "true") -> str:
+    """Matches of a pattern with their places: each stands after all gaps up to it and all matches before it. Of a match the last characters are the find."""
+    lists = f"SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS s FROM documents"
+    each = f"SELECT doc_id, unnest(m) AS x, unnest(s[1:len(m)]) AS gap, unnest(range(len(m))) AS i FROM ({lists})"
+    ends = f"SELECT doc_id, x, sum(length(gap) + length(x)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM ({each})"
+    return f"""SELECT doc_id, '{kind}' AS kind, CAST(e - length({found}) AS INT) AS start, CAST(e AS INT) AS "end", '{severity}' AS severity, {found} AS found FROM ({ends}) WHERE {also}"""
+
+
+FINDINGS_SQL = f"""
+WITH f AS ({found_sql("literal:license", "LEAK", r"(?i)\blicense\b")} UNION ALL {found_sql("date", "LEAK", "[0-9]{4}-[0-9]{2}-[0-9]{2}")} UNION ALL {found_sql("quarter", "LEAK", r"(?i)\bQ[1-4]\b")}
+UNION ALL {found_sql("year", "REVIEW", "(?s).?[0-9A-Za-z]+", "right(x, 4)", "regexp_full_match(x, '(?s)[^0-9A-Za-z.,$€£¥#]?(19|20)[0-9]{2}')")})
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start, "end", kind) - 1 AS INT) AS n, kind, start, "end", severity, found FROM f
+"""
+
+
+@BOOK.add("leak_findings", FINDINGS_SQL)
+def leak_findings(spark, sf_dir: str) -> DataFrame:
+    return text.findings(table(spark, sf_dir, "documents"), ["license"])
+
+
 @BOOK.add("content_hash", "SELECT doc_id, sha256(lang || '|' || text) AS key FROM documents")
 def content_hash(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.concat_ws("|", "lang", "text"), 256).alias("key"))
