@@ -66,24 +66,28 @@ def uniqueness(spans: DataFrame, by: tuple[str, ...] = ("id",), first: str = "fi
     """spans with weight: the mean over its bars of 1 / the spans that cover the bar.
 
     Starts and ends count +1 and -1, running sums give the concurrency of every stretch, and a
-    span's mean is a difference of two prefix sums, so no span is unrolled.
+    span's mean is a difference of two prefix sums, so no span is unrolled. Both edges come from one
+    row, so spans are computed once, and one partitioning by id serves the sums and the way back.
     """
+    names, keys = spans.columns, list(by)
     spans = refuse(spans, F.col(first) > F.col(last), "a span that ends before it begins")
-    edges = spans.select(*by, F.col(first).alias("at"), F.lit(1).alias("d")).unionAll(spans.select(*by, (F.col(last) + 1).alias("at"), F.lit(-1).alias("d"))).groupBy(*by, "at").agg(F.sum("d").alias("d"))
-    order = Window.partitionBy(*by).orderBy("at")
-    stretches = edges.select(*by, "at", F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("c"), F.lead("at").over(order).alias("next"))
-    share = F.when(F.col("c") > 0, (F.col("next") - F.col("at")) / F.col("c")).otherwise(0.0)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    prefix = stretches.select(*by, "at", "c", F.coalesce(F.sum(share).over(before), F.lit(0.0)).alias("p"))
-    keys = list(by)
-    start = prefix.select(*keys, F.col("at").alias(first), F.col("p").alias("_p"))
-    end = prefix.select(*keys, (F.col("at") - 1).alias(last), F.col("p").alias("_q"))
-    return spans.join(start, [*keys, first]).join(end, [*keys, last]).withColumn("weight", (F.col("_q") - F.col("_p")) / (F.col(last) - F.col(first) + 1)).drop("_p", "_q")
+    edge = lambda at, d: F.struct(at.cast("long").alias("at"), F.lit(d).alias("d"))
+    edges = spans.select(*names, F.explode(F.array(edge(F.col(first), 1), edge(F.col(last) + 1, -1))).alias("_e")).select(*names, F.col("_e.at").alias("_at"), F.col("_e.d").alias("_d"))
+    order = Window.partitionBy(*keys).orderBy("_at")
+    # Of edges at one place the last alone has a stretch after it, and all of them have one concurrency.
+    told = edges.withColumns({"_c": F.sum("_d").over(order.rangeBetween(Window.unboundedPreceding, 0)), "_next": F.lead("_at").over(order)})
+    told = told.withColumn("_share", F.when(F.col("_c") > 0, (F.col("_next") - F.col("_at")) / F.col("_c")).otherwise(0.0))
+    told = told.withColumn("_p", F.coalesce(F.sum("_share").over(order.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    side = lambda d: F.max(F.when(F.col("_d") == d, F.col("_p")))
+    both = told.groupBy(*names).agg(side(1).alias("_from"), side(-1).alias("_to"), F.count_if(F.col("_d") == 1).cast("int").alias("_n"))
+    weight = (F.col("_to") - F.col("_from")) / (F.col(last) - F.col(first) + 1)
+    return both.select(*names, weight.alias("weight"), F.explode(F.sequence(F.lit(1), "_n")).alias("_k")).drop("_k")
 
 
 def concurrency(spans: DataFrame, by: tuple[str, ...] = ("id",), first: str = "first", last: str = "last") -> DataFrame:
     """By id the most spans that cover one bar. Starts and ends count +1 and -1, so no span is unrolled."""
-    edges = spans.select(*by, F.col(first).alias("at"), F.lit(1).alias("d")).unionAll(spans.select(*by, (F.col(last) + 1).alias("at"), F.lit(-1).alias("d"))).groupBy(*by, "at").agg(F.sum("d").alias("d"))
+    edge = lambda at, d: F.struct(at.alias("at"), F.lit(d).alias("d"))
+    edges = spans.select(*by, F.inline(F.array(edge(F.col(first), 1), edge(F.col(last) + 1, -1)))).groupBy(*by, "at").agg(F.sum("d").alias("d"))
     running = F.sum("d").over(Window.partitionBy(*by).orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
     return edges.withColumn("c", running).groupBy(*by).agg(F.max("c").alias("concurrency"))
 

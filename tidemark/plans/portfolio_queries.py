@@ -9,7 +9,7 @@ from tidemark.operators import backtests, costs, execution, portfolio
 from tidemark.plans.book import Book
 from tidemark.plans.ledger_queries import LOG, order_log
 from tidemark.plans.research_queries import NET, PANEL, panel, periods_of, r, targets
-from tidemark.plans.tables import CROSS_SECTION, cross_section, table
+from tidemark.plans.tables import CROSS_SECTION, bars, cross_section, table
 
 BOOK = Book()
 
@@ -88,10 +88,12 @@ def decision_visibility(spark, sf_dir: str) -> DataFrame:
 
 @BOOK.add("market_sweep")
 def market_sweep(spark, sf_dir: str) -> DataFrame:
-    """As many synthetic markets as there are nations: the best of three books on each."""
-    seeds = table(spark, sf_dir, "nation").count()
+    """A synthetic market for every supplier, as long as its bars and as wide as three books need: the best of them on each."""
+    n = bars(spark, sf_dir).groupBy(F.col("id").alias("seed")).agg(F.count("*").cast("int").alias("n"))
+    rows = n.select("seed", F.explode(F.sequence(F.lit(1), "n")).alias("t")).withColumn("asset", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    returns = rows.withColumn("r", F.when(F.col("asset") == 0, 0.001).otherwise(0.0) + 0.01 * backtests.normal(F.col("seed"), F.col("t"), F.col("asset")))
     configs = spark.createDataFrame([(c, a, 1.0 / (c + 1)) for c in range(3) for a in range(c + 1)], "config int, asset int, w double")
-    return backtests.best_of(backtests.sweep(backtests.market(spark, seeds, 252, 3, edge=0.001), configs))
+    return backtests.best_of(backtests.sweep(returns, configs))
 
 
 @BOOK.add("reachable_beta", f"WITH {CROSS_SECTION}, k AS (SELECT date, grp, beta, row_number() OVER (PARTITION BY date, grp ORDER BY abs(beta) DESC, id) - 1 AS k FROM cs), f AS (SELECT *, greatest(0.0, least(0.07, 0.4 - 0.07 * k)) * sign(beta) AS fill FROM k) SELECT date, grp, round(sum(fill * beta), 8) AS reachable, count(*) FILTER (fill <> 0) AS assets FROM f GROUP BY 1, 2")

@@ -56,12 +56,24 @@ def universe_snapshot_latest(spark, sf_dir: str) -> DataFrame:
     return told.groupBy("rebalance_date").agg(F.count("*").alias("n"), F.max(F.col("as_of") == F.lit(at(2))).alias("rebuilt"))
 
 
-@BOOK.add("expectation_report", "WITH ex(factor, s, low, high) AS (VALUES " + ", ".join(f"('{f}', {1 if s == '+' else -1}, {a}, {b})" for f, s, a, b in (x.split() for x in transforms.EXPECTED.strip().splitlines())) + "), pm AS (SELECT factor, CASE WHEN length(factor) % 4 = 0 THEN NULL ELSE s * length(factor) / 100.0 END AS premium, length(factor) / 5.0 AS t FROM ex UNION ALL SELECT 'unheard_of', 0.1, 5.0) SELECT factor, premium, CASE WHEN s IS NULL THEN 'not expected' WHEN premium IS NULL THEN 'not measured' WHEN abs(t) < 2 THEN 'none' WHEN sign(premium) <> s THEN 'opposite' WHEN NOT premium BETWEEN low AND high THEN 'out of range' ELSE 'reproduces' END AS verdict FROM pm LEFT JOIN ex USING (factor)")
+EXPECTED_ROWS = [line.split() for line in transforms.EXPECTED.strip().splitlines()]
+FACTORS = [*(f for f, *_ in EXPECTED_ROWS), "unheard_of"]
+EXPECTED_SQL = ", ".join(f"('{f}', {1 if s == '+' else -1}, {a}, {b})" for f, s, a, b in EXPECTED_ROWS)
+
+
+@BOOK.add(
+    "expectation_report",
+    f"""WITH ex(factor, s, low, high) AS (VALUES {EXPECTED_SQL}), e AS (SELECT list_extract({FACTORS}, CAST(1 + user_id % {len(FACTORS)} AS BIGINT)) AS factor, CASE WHEN event_type <> 'error' THEN CAST(round(value * 100) AS BIGINT) END AS x FROM events),
+    pm AS (SELECT factor, round((sum(x) / count(x) - 5000) / 50000.0, 9) AS premium, round((sum(x) / count(x) - 5000) / 100.0, 9) AS t FROM e GROUP BY factor)
+    SELECT factor, premium, CASE WHEN s IS NULL THEN 'not expected' WHEN premium IS NULL THEN 'not measured' WHEN abs(t) < 2 THEN 'none' WHEN sign(premium) <> s THEN 'opposite' WHEN NOT premium BETWEEN low AND high THEN 'out of range' ELSE 'reproduces' END AS verdict FROM pm LEFT JOIN ex USING (factor)""",
+)
 def expectation_report(spark, sf_dir: str) -> DataFrame:
-    expected = transforms.expectations(spark)
-    n = F.length("factor")
-    premia = expected.select("factor", F.when(n % 4 != 0, F.col("sign") * n / 100.0).alias("premium"), (n / 5.0).alias("t")).unionAll(spark.createDataFrame([("unheard_of", 0.1, 5.0)], "factor string, premium double, t double"))
-    return transforms.against_expectations(premia, expected).select("factor", "premium", "verdict")
+    """Users stand for factors and how far their values lie from fifty for what was measured."""
+    name = F.element_at(F.array(*map(F.lit, FACTORS)), (1 + F.col("user_id") % len(FACTORS)).cast("int"))
+    e = table(spark, sf_dir, "events").select(name.alias("factor"), F.when(F.col("event_type") != "error", F.round(F.col("value") * 100).cast("long")).alias("x"))
+    apart = F.sum("x") / F.count("x") - 5000
+    premia = e.groupBy("factor").agg(F.round(apart / 50000.0, 9).alias("premium"), F.round(apart / 100.0, 9).alias("t"))
+    return transforms.against_expectations(premia, transforms.expectations(spark)).select("factor", "premium", "verdict")
 
 
 @BOOK.add("drift_report", f"WITH {SAMPLES}, n AS (SELECT feature, count(x) AS n FROM rf GROUP BY 1), m AS (SELECT feature, count(x) AS m FROM ob WHERE feature <> 'view' GROUP BY 1) SELECT feature, coalesce(n, 0) AS n_reference, coalesce(m, 0) AS n_observed, CASE WHEN coalesce(n, 0) = 0 THEN 'no reference' WHEN coalesce(m, 0) = 0 THEN 'nothing observed' WHEN n < 360 THEN 'too few reference rows' ELSE 'measured' END AS status FROM n FULL JOIN m USING (feature)")

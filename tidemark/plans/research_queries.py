@@ -173,7 +173,7 @@ from itertools import combinations  # noqa: E402
 
 from pyspark.sql import Window  # noqa: E402
 
-from tidemark.operators import costs, labels, splits  # noqa: E402
+from tidemark.operators import backtests, costs, labels, splits  # noqa: E402
 
 RETURNS = f"{BARS}, ret AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY date) - 1 AS i, ln(close) - lag(ln(close)) OVER (PARTITION BY id ORDER BY date) AS r FROM bars)"
 
@@ -265,9 +265,14 @@ def cpcv_splits(spark, sf_dir: str) -> DataFrame:
     return splits.cpcv(event_times(spark, sf_dir), 5, 2, 100).groupBy("split", "fold", "role").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
 
-@BOOK.add("cpcv_paths", f"WITH te(split, grp) AS (VALUES {TESTED}) SELECT row_number() OVER (PARTITION BY grp ORDER BY split) - 1 AS path, grp, split FROM te")
+@BOOK.add(
+    "cpcv_paths",
+    f"WITH te(split, grp) AS (VALUES {TESTED}), pa AS (SELECT row_number() OVER (PARTITION BY grp ORDER BY split) - 1 AS path, grp, split FROM te), {EVENT_TIMES}, f AS (SELECT id, ntile(5) OVER (ORDER BY start, id) - 1 AS grp FROM ev) SELECT f.id, pa.path, pa.split FROM f JOIN pa ON pa.grp = f.grp",
+)
 def cpcv_paths(spark, sf_dir: str) -> DataFrame:
-    return splits.cpcv_paths(spark, 5, 2)
+    """By event and path the split whose test tells it."""
+    groups = splits.with_fold(event_times(spark, sf_dir), 5).select("id", F.col("fold").alias("grp"))
+    return groups.join(F.broadcast(splits.cpcv_paths(spark, 5, 2)), "grp").select("id", "path", "split")  # a row a group and path
 
 
 @BOOK.add(
@@ -460,4 +465,8 @@ def buy_and_hold(spark, sf_dir: str) -> DataFrame:
 
 @BOOK.add("seed_sweep")
 def seed_sweep(spark, sf_dir: str) -> DataFrame:
-    return costs.seed_sweep(spark, 32, 252, 8, 0.0, 0.01)
+    """By supplier the Sharpe ratio of noise over as many periods as it has bars: what a ratio of its own has to beat."""
+    n = bars(spark, sf_dir).groupBy(F.col("id").alias("seed")).agg(F.count("*").alias("n"))
+    noise = n.select("seed", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("t")).withColumn("net", 0.01 * backtests.normal(F.col("seed"), F.col("t")))
+    s = F.stddev_samp("net")
+    return noise.groupBy("seed").agg(F.count("*").alias("n"), F.when(s > 0, F.avg("net") / s).alias("sharpe"))

@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.facts import Refused, new_rows
+from tidemark.operators.facts import Refused, new_rows, refuse
 from tidemark.sources.runs import checkpoint_text, latest_checkpoint
 
 RUNS = "source string, run_id string, started_at timestamp, finished_at timestamp, status string, rows long, checkpoint string, error string"
@@ -70,6 +70,8 @@ def run(spark: SparkSession, connector: Connector, target: str, runs: str, now:
     try:
         for batch, after in connector.fetch(spark, at):
             text = checkpoint_text(after)
+            if "knowledge_time" in batch.columns:
+                batch = refuse(batch, F.col("knowledge_time") > F.lit(now()).cast(batch.schema["knowledge_time"].dataType), "knowledge from the future")
             fresh = new_rows(batch, table_at(spark, target, batch.schema), connector.key).persist()
             try:
                 n = fresh.count()
@@ -78,6 +80,8 @@ def run(spark: SparkSession, connector: Connector, target: str, runs: str, now:
             finally:
                 fresh.unpersist()
             record |= {"checkpoint": text, "rows": record["rows"] + n}
+    except (TypeError, AttributeError, NameError):
+        raise  # an error of the program, not of the source
     except Exception as e:
         record |= {"status": "failed", "error": f"{type(e).__name__}: {str(e)[:500]}"}
     record["finished_at"] = now()
