@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import reach
 from tidemark.operators.costs import bounded
 from tidemark.operators.facts import Refused
+from tidemark.operators.reach import NOISE
+from tidemark.operators.risk import Risk, shrunk_factors
 
 
 @dataclass(frozen=True)
 class Limits:
-    """net: sum of weights; cap: of one weight; gross: sum of absolute weights; sector: of the net of one sector; beta: of the beta of the book; tolerance: how far a solution may miss."""
+    """net: sum of weights; cap: of one weight; gross: sum of absolute weights; sector: how far the net of one sector may be from its target; beta: how far the beta of the book; tolerance: how far a solution may miss; targets: (sector, net), 0 for the others; beta_target: of the book."""
 
     net: float = 0.0
     cap: float = 0.1
@@ -23,6 +26,13 @@ class Limits:
     sector: float | None = None
     beta: float | None = None
     tolerance: float = 1e-6
+    targets: tuple[tuple[object, float], ...] = ()
+    beta_target: float = 0.0
+
+    def scaled(self, net: float) -> Limits:
+        """The limits of a book of less net weight: targets shrink with it, bands and caps stay."""
+        share = net / self.net
+        return replace(self, net=net, targets=tuple((s, w * share) for s, w in self.targets), beta_target=self.beta_target * share)
 
 
 def reachable(exposure: np.ndarray, cap: float, gross: float) -> float:
@@ -41,40 +51,48 @@ def diagnosis(sectors: np.ndarray, betas: np.ndarray, limits: Limits) -> list[st
         out.append("net exceeds what all caps hold")
     if abs(limits.net) > limits.gross + limits.tolerance:
         out.append("net exceeds gross")
-    if limits.sector is not None and abs(limits.net) > sum(min(limits.sector, limits.cap * int((sectors == s).sum())) for s in set(sectors.tolist())) + limits.tolerance:
-        out.append("net exceeds what the sectors hold")
-    if limits.beta is not None and n and abs(limits.net) > limits.tolerance:
-        # The beta nearest to zero that a book of this net can have: greedy, smallest betas first.
-        for sign in (1, -1):
-            left, total = abs(limits.net), 0.0
-            for b in sorted(np.sign(limits.net) * sign * betas):
-                used = min(limits.cap, left)
-                total, left = total + used * b, left - used
-            spare = max(0.0, limits.gross - abs(limits.net)) / 2
-            if total - 2 * spare * float(np.abs(betas).max()) > limits.beta + limits.tolerance:
-                out.append("beta cannot be brought within its limit")
-                break
+    if limits.sector is not None:
+        targets, held = dict(limits.targets), 0.0
+        for s in sorted({*sectors.tolist(), *targets}):
+            able, target = limits.cap * int((sectors == s).sum()), np.sign(limits.net) * targets.get(s, 0.0)
+            held += min(target + limits.sector, able)
+            if abs(target) > able + limits.sector + limits.tolerance:
+                out.append(f"the target of sector {s} exceeds what its caps hold")
+        if abs(limits.net) > held + limits.tolerance:
+            out.append("net exceeds what the sectors hold")
+    if limits.beta is not None and n and (ends := reach.range_of(betas, limits.net, limits.cap, limits.gross)):
+        if ends[0] > limits.beta_target + limits.beta + limits.tolerance or ends[1] < limits.beta_target - limits.beta - limits.tolerance:
+            out.append(f"beta cannot be brought within its limit; books of this net reach {ends[0]:.4g} to {ends[1]:.4g}")
     return out
 
 
-def optimum(alpha: np.ndarray, cov: np.ndarray, current: np.ndarray, sectors: np.ndarray, betas: np.ndarray, limits: Limits, risk: float = 1.0, trade: float = 0.0, steps: int = 8000) -> np.ndarray:
-    """argmax of alpha w - risk w'Cw - trade |w - current| under the limits, by splitting: linear equations for w, then one projection for caps and gross, one for trades and one for the rows of net, sectors and beta. Refused with its reasons if there is none."""
+def optimum(alpha: np.ndarray, cov: np.ndarray | Risk, current: np.ndarray, sectors: np.ndarray, betas: np.ndarray, limits: Limits, risk: float = 1.0, trade: float = 0.0, steps: int = 8000) -> np.ndarray:
+    """argmax of alpha w - risk w'Cw - trade |w - current| under the limits, by splitting: linear equations for w, then one projection for caps and gross, one for trades and one for the rows of net, sectors and beta. Refused with its reasons if there is none.
+
+    A covariance given by factors is never made a matrix: the linear equations are solved by its factors and the rows of the limits.
+    """
     if why := diagnosis(sectors, betas, limits):
         raise Refused("; ".join(why))
     n = len(alpha)
     rows, low, high = [np.ones(n)], [limits.net], [limits.net]
     if limits.sector is not None:
-        for s in sorted(set(sectors.tolist())):
-            rows.append((sectors == s).astype(float)), low.append(-limits.sector), high.append(limits.sector)
+        targets = dict(limits.targets)
+        for s in sorted({*sectors.tolist(), *targets}):
+            rows.append((sectors == s).astype(float)), low.append(targets.get(s, 0.0) - limits.sector), high.append(targets.get(s, 0.0) + limits.sector)
     if limits.beta is not None:
-        rows.append(betas.astype(float)), low.append(-limits.beta), high.append(limits.beta)
+        rows.append(betas.astype(float)), low.append(limits.beta_target - limits.beta), high.append(limits.beta_target + limits.beta)
     a, low, high = np.array(rows), np.array(low), np.array(high)
-    rho = max(1e-3, 2 * risk * float(np.trace(cov)) / n)
-    solve = np.linalg.inv(2 * risk * cov + rho * (2 * np.eye(n) + a.T @ a))
+    if isinstance(cov, Risk):
+        rho = max(1e-3, 2 * risk * cov.trace() / n)
+        solve = cov.solver(2 * risk, 2 * rho, np.sqrt(rho) * a)
+    else:
+        rho = max(1e-3, 2 * risk * float(np.trace(cov)) / n)
+        inverse = np.linalg.inv(2 * risk * cov + rho * (2 * np.eye(n) + a.T @ a))
+        solve = lambda v: inverse @ v
     z, y, s = np.zeros(n), current.astype(float).copy(), np.clip(np.zeros(len(a)), low, high)
     u, v, q = np.zeros(n), np.zeros(n), np.zeros(len(a))
     for _ in range(steps):
-        w = solve @ (alpha + rho * (z - u + y - v + a.T @ (s - q)))
+        w = solve(alpha + rho * (z - u + y - v + a.T @ (s - q)))
         old = z
         z = bounded(w + u, limits.cap, limits.gross)
         d = w + v - current
@@ -89,29 +107,44 @@ def optimum(alpha: np.ndarray, cov: np.ndarray, current: np.ndarray, sectors: np
     return z
 
 
-def optimized(rows: DataFrame, limits: Limits, risk: float = 1.0, trade: float = 0.0, ladder: tuple[Limits, ...] = (), by: str = "t") -> DataFrame:
+def optimized(rows: DataFrame, limits: Limits, risk: float = 1.0, trade: float = 0.0, ladder: tuple[Limits, ...] = (), by: str = "t", history: str | None = None, floor: float | None = None) -> DataFrame:
     """t, asset, w and rung of the optimum of every date; rung 0 is the limits given, others are the first of the ladder that can be met, and a date that none can be met at has null weights.
 
-    rows (t, asset, alpha, variance, beta, sector, current): the covariance is that of one market factor, beta_i beta_j v + own
-    variances, so a date needs one row an asset. A date is one group, of the size of its universe.
+    With `floor` there is one rung more: the last limits of the ladder with the most net weight that they leave within reach, if that is
+    no less than floor, with the targets of sectors and beta in proportion. It is not tried for a book without net weight.
+    rows (t, asset, alpha, beta, sector, current) and either a variance, for a covariance of one market factor, beta_i beta_j v + own
+    variances, or in the column `history` an array of each asset's returns over one lookback, for their covariance shrunk as by Ledoit and Wolf,
+    kept as factors. A date needs one row an asset and is one group, of the size of its universe (times the lookback).
     """
     kind, what = rows.schema[by].dataType.simpleString(), rows.schema["asset"].dataType.simpleString()
+    steps = (limits, *ladder)
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
         g = group.sort_values("asset")
-        betas, own = g["beta"].to_numpy(float), g["variance"].to_numpy(float)
-        market = float(np.median(own))
-        cov = np.outer(betas, betas) * market + np.diag(own)
+        betas, sectors = g["beta"].to_numpy(float), g["sector"].to_numpy()
+        if history:
+            cov = shrunk_factors(np.array(g[history].tolist(), dtype=float).T)
+        else:
+            own = g["variance"].to_numpy(float)
+            cov = Risk(own, betas[None, :] * np.sqrt(float(np.median(own))))
+        tell = lambda now: optimum(g["alpha"].to_numpy(float), cov, g["current"].to_numpy(float), sectors, betas, now, risk, trade)
         w, at = None, None
-        for rung, now in enumerate((limits, *ladder)):
+        for rung, now in enumerate(steps):
             try:
-                w, at = optimum(g["alpha"].to_numpy(float), cov, g["current"].to_numpy(float), g["sector"].to_numpy(), betas, now, risk, trade), rung
+                w, at = tell(now), rung
                 break
             except Refused:
                 continue
+        if w is None and floor is not None and steps[-1].net > 0:
+            net = min(reach.most_net(sectors, betas, steps[-1])[0], steps[-1].net)
+            if net >= max(floor, NOISE):
+                try:
+                    w, at = tell(steps[-1].scaled(net)), len(steps)
+                except Refused:
+                    pass
         return pd.DataFrame({by: g[by], "asset": g["asset"], "w": w if w is not None else [None] * len(g), "rung": pd.array([at] * len(g), "Int32")})
 
-    return rows.select(by, "asset", "alpha", "variance", "beta", "sector", "current").groupBy(by).applyInPandas(solve, f"{by} {kind}, asset {what}, w double, rung int")
+    return rows.select(by, "asset", "alpha", history or "variance", "beta", "sector", "current").groupBy(by).applyInPandas(solve, f"{by} {kind}, asset {what}, w double, rung int")
 
 
 def greedy_fill(rows: DataFrame, cap: float, gross: float, by: tuple[str, ...] = ("t",), exposure: str = "beta") -> DataFrame:

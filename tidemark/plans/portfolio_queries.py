@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import backtests, costs, execution, portfolio
+from tidemark.operators import backtests, costs, draws, execution, portfolio, reach, risk
 from tidemark.plans.book import Book
 from tidemark.plans.ledger_queries import LOG, order_log
 from tidemark.plans.research_queries import NET, PANEL, panel, periods_of, r, targets
@@ -73,6 +73,19 @@ def artifact_compare(spark, sf_dir: str) -> DataFrame:
     return backtests.compared(told, told.where("strategy = 0")).select("strategy", "metric", r("difference", 7).alias("difference"), "outside")
 
 
+DRAWN = f"""{NET}, xs AS (SELECT strategy, net, row_number() OVER (PARTITION BY strategy ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY strategy) AS n FROM net), dn AS (SELECT DISTINCT strategy, n, d FROM xs, range(0, 201) u(d)), bk AS (SELECT dn.*, k FROM dn, range(0, 2000) v(k) WHERE k * 10 < n),
+ st AS (SELECT strategy, n, d, k, CASE WHEN d = 0 THEN k * 10 ELSE ('0x' || substr(md5('7:' || d || ':' || k), 1, 8))::UBIGINT::BIGINT % n END AS s FROM bk), po AS (SELECT strategy, n, d, k * 10 + j AS pos, (s + j) % n AS i FROM st, range(0, 10) w(j) WHERE k * 10 + j < n), lg AS (SELECT po.strategy, po.n, d, pos, net, sum(ln(1 + net)) OVER (PARTITION BY po.strategy, d ORDER BY pos) AS p FROM po JOIN xs ON xs.strategy = po.strategy AND xs.i = po.i),
+ dd AS (SELECT *, greatest(0.0, max(p) OVER (PARTITION BY strategy, d ORDER BY pos)) - p AS fall FROM lg), me AS (SELECT strategy, d, avg(net) AS mean, stddev_samp(net) * sqrt(252) AS volatility, avg(net) / stddev_samp(net) * sqrt(252) AS sharpe, exp(sum(ln(1 + net))) - 1 AS total, exp(sum(ln(1 + net)) * 252 / count(*)) - 1 AS annual, 1 - exp(-max(fall)) AS max_drawdown, avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END) AS hit_rate FROM dd GROUP BY 1, 2),
+ lo AS (UNPIVOT me ON mean, volatility, sharpe, total, annual, max_drawdown, hit_rate INTO NAME metric VALUE v)"""
+
+
+@BOOK.add("artifact_intervals", f"WITH {DRAWN} SELECT strategy, metric, round(max(v) FILTER (d = 0), 6) AS value, round(quantile_cont(v, 0.025) FILTER (d > 0), 6) AS low, round(quantile_cont(v, 0.975) FILTER (d > 0), 6) AS high FROM lo GROUP BY 1, 2")
+def artifact_intervals(spark, sf_dir: str) -> DataFrame:
+    """Every metric of every strategy, drawdown and annual return among them, with the interval of 200 drawn paths."""
+    told = draws.resampled(costs.backtest(targets(spark, sf_dir)), 10, 200, 7)
+    return told.select("strategy", "metric", *[r(c, 6).alias(c) for c in ("value", "low", "high")])
+
+
 @BOOK.add("artifact_digest", f"WITH {NET} SELECT strategy, count(*) AS n, sha256(string_agg(t || ':' || CAST(CAST(round(net, 6) AS DECIMAL(38,6)) AS VARCHAR), chr(10) ORDER BY t)) AS digest FROM net GROUP BY strategy")
 def artifact_digest(spark, sf_dir: str) -> DataFrame:
     return backtests.digests(costs.backtest(targets(spark, sf_dir)).withColumn("net", r("net", 6)), 6)
@@ -102,6 +115,42 @@ def reachable_beta(spark, sf_dir: str) -> DataFrame:
     return told.withColumn("reachable", r("reachable"))
 
 
+LONG, SHORT = ("greatest(0.0, least(0.07, (room + 0.1 * {0}) / 2 - 0.07 * {1}))".format(*x) for x in ((1, "a"), (-1, "b")))
+RANGE = f"""{CROSS_SECTION}, e AS (SELECT date, grp, id, beta * s AS x, s, count(*) OVER (PARTITION BY date, grp, s) AS n FROM cs, (VALUES (1), (-1)) v(s)), k AS (SELECT *, least(0.4, 0.07 * n) AS room, row_number() OVER (PARTITION BY date, grp, s ORDER BY x DESC, id DESC) - 1 AS a, row_number() OVER (PARTITION BY date, grp, s ORDER BY x, id) - 1 AS b FROM e),
+ g AS (SELECT date, grp, s, any_value(n) AS n, CASE WHEN 0.1 <= any_value(room) + 1e-9 THEN s * sum(({LONG} - {SHORT}) * x) END AS v FROM k GROUP BY 1, 2, 3)"""
+
+
+@BOOK.add("beta_range", f"WITH {RANGE} SELECT date, grp, CAST(max(n) AS BIGINT) AS n, round(max(v) FILTER (s = -1), 8) AS low, round(max(v) FILTER (s = 1), 8) AS high, CASE WHEN max(v) IS NOT NULL THEN true END AS proved FROM g GROUP BY 1, 2")
+def beta_range(spark, sf_dir: str) -> DataFrame:
+    """The betas that books with a net weight of a tenth can have, by segment and nation, and whether duality proves both ends."""
+    told = reach.exposure_range(cross_section(spark, sf_dir).withColumnRenamed("id", "asset"), 0.1, 0.07, 0.4, ("date", "grp"))
+    proved = (F.abs(F.col("low") - F.col("low_bound")) < 1e-9) & (F.abs(F.col("high") - F.col("high_bound")) < 1e-9)
+    return told.select("date", "grp", "n", r("low").alias("low"), r("high").alias("high"), proved.alias("proved"))
+
+
+@BOOK.add("deployable_net", f"WITH {CROSS_SECTION}, s AS (SELECT date || '/' || grp AS t, id % 5 AS sector, count(*) AS n FROM cs GROUP BY 1, 2) SELECT t, CAST(sum(n) AS BIGINT) AS n, round(least(0.9, sum(least(0.11, 0.04 * n))), 8) AS net, true AS proved FROM s GROUP BY t")
+def deployable_net(spark, sf_dir: str) -> DataFrame:
+    """The most net weight that caps, gross and the limits of five sectors leave to each segment and nation."""
+    rows = cross_section(spark, sf_dir).select(F.concat_ws("/", "date", F.col("grp").cast("string")).alias("t"), F.col("id").alias("asset"), (F.col("id") % 5).alias("sector"), "beta")
+    told = reach.deployable(rows, portfolio.Limits(1.0, 0.04, 0.9, 0.11))
+    return told.select("t", "n", r("net").alias("net"), (F.abs(F.col("net") - F.col("bound")) < 1e-8).alias("proved"))
+
+
+CENTRED = f"{PANEL}, ce AS (SELECT t, config, r - avg(r) OVER (PARTITION BY config) AS x FROM pan), co AS (SELECT a.config AS a, b.config AS b, avg(a.x * b.x) AS c FROM ce a JOIN ce b ON a.t = b.t GROUP BY 1, 2), z AS (SELECT count(DISTINCT config) AS p, count(DISTINCT t) AS n, avg(x * x) AS mu FROM ce), q4 AS (SELECT avg(q * q) AS s4 FROM (SELECT t, sum(x * x) AS q FROM ce GROUP BY t)), sh AS (SELECT p, n, mu, s2 / p - mu * mu AS dispersion, (s4 - s2) / (p * n) AS error FROM z, q4, (SELECT sum(c * c) AS s2 FROM co)), we AS (SELECT *, least(1.0, greatest(0.0, error / dispersion)) AS weight FROM sh)"
+
+
+@BOOK.add("shrinkage", f"WITH {CENTRED} SELECT p AS assets, n AS periods, round(mu, 9) AS mu, round(dispersion * 1e4, 7) AS dispersion, round(error * 1e4, 7) AS error, round(weight, 7) AS weight FROM we")
+def shrinkage(spark, sf_dir: str) -> DataFrame:
+    """How far the covariances of all securities are shrunk; distances in ten thousandths."""
+    told = risk.shrinkage(panel(spark, sf_dir).withColumnRenamed("config", "asset"))
+    return told.select("assets", "periods", r("mu", 9).alias("mu"), *[F.round(F.col(c) * 1e4, 7).alias(c) for c in ("dispersion", "error")], r("weight", 7).alias("weight"))
+
+
+@BOOK.add("shrunk_cov", f"WITH {CENTRED} SELECT a, b, round((1 - weight) * c + CASE WHEN a = b THEN weight * mu ELSE 0 END, 8) AS cov FROM co, we WHERE a <= b")
+def shrunk_cov(spark, sf_dir: str) -> DataFrame:
+    return risk.shrunk(panel(spark, sf_dir).withColumnRenamed("config", "asset")).withColumn("cov", r("cov"))
+
+
 @BOOK.add("portfolio_optimum")
 def portfolio_optimum(spark, sf_dir: str) -> DataFrame:
     """A market-neutral book for every segment and nation, with wider limits where the first cannot be met."""
