@@ -56,12 +56,13 @@ def run(returns: DataFrame, decide: Decide, fee_bps: float = 6.0, borrow_rate_bp
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         name, out, held, equity = group["strategy"].iloc[0], [], {}, 1.0
-        group = group.sort_values(["t", "asset"])
+        group, seen = group.sort_values(["t", "asset"], ignore_index=True), 0
         for t, now in group.groupby("t", sort=True):
             if now["asset"].duplicated().any():
                 raise Refused(f"an asset with two returns at {t}")
             earned = dict(zip(now["asset"], now["r"], strict=True))
-            target = decide(name, t, group[group["t"] < t], dict(held))
+            target = decide(name, t, group.iloc[:seen], dict(held))  # rows are in order, so the past is what lies before
+            seen += len(now)
             if bad := [a for a, w in target.items() if not math.isfinite(w) or w and not math.isfinite(earned.get(a, math.nan))]:
                 raise Refused(f"weights without a return at {t}: {bad[:3]}")
             if sum(map(abs, target.values())) > gross_cap + 1e-9:

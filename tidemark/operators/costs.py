@@ -226,12 +226,20 @@ def bounded(x: np.ndarray, cap: float, gross: float) -> np.ndarray:
     return np.sign(x) * np.minimum(np.maximum(np.abs(x) - high, 0), cap)
 
 
-def constraint_breaches(weights: DataFrame, cap: float, gross: float, sector_cap: float, tolerance: float = 1e-6) -> DataFrame:
-    """weights (t, asset, sector, w): the limits that are broken, one row each."""
+def constraint_breaches(weights: DataFrame, cap: float, gross: float, sector_cap: float, tolerance: float = 1e-6, net: float | None = None, beta: float | None = None, beta_target: float = 0.0) -> DataFrame:
+    """weights (t, asset, sector, w): the limits that are broken, one row each. net is what weights sum to; beta (which needs a column beta) is how far the book's may be from its target."""
     single = weights.where(F.abs("w") > cap + tolerance).select("t", F.lit("position").alias("limit"), F.col("asset").cast("string").alias("what"), F.abs("w").alias("value"))
-    total = weights.groupBy("t").agg(F.sum(F.abs("w")).alias("value")).where(F.col("value") > gross + tolerance).select("t", F.lit("gross").alias("limit"), F.lit("").alias("what"), "value")
     sector = weights.groupBy("t", "sector").agg(F.sum(F.abs("w")).alias("value")).where(F.col("value") > sector_cap + tolerance).select("t", F.lit("sector").alias("limit"), F.col("sector").cast("string").alias("what"), "value")
-    return single.unionByName(total).unionByName(sector)
+    # The limits of whole books come from one aggregation.
+    told = {"gross": (F.sum(F.abs("w")), lambda v: v > gross + tolerance)}
+    if net is not None:
+        told["net"] = (F.sum("w"), lambda v: F.abs(v - net) > tolerance)
+    if beta is not None:
+        told["beta"] = (F.sum(F.col("w") * F.col("beta")), lambda v: F.abs(v - beta_target) > beta + tolerance)
+    books = weights.groupBy("t").agg(*[x.alias(f"_{c}") for c, (x, _) in told.items()])
+    rows = F.array(*[F.when(bad(F.col(f"_{c}")), F.struct(F.lit(c).alias("limit"), F.lit("").alias("what"), F.col(f"_{c}").alias("value"))) for c, (_, bad) in told.items()])
+    whole = books.select("t", F.inline(F.filter(rows, lambda v: v.isNotNull())))
+    return single.unionByName(whole).unionByName(sector)
 
 
 def buy_and_hold(returns: DataFrame, weights: DataFrame, fee_bps: float = 6.0, by: tuple[str, ...] = ("strategy",)) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,28 +99,29 @@ def uniqueness_report(weighted: DataFrame, by: tuple[str, ...] = ("id",), first:
 def residual_fit(paths: DataFrame, window: int, limit: float = 1e8) -> DataFrame:
     """id, i, alpha, market, sector and sigma of the regression of r on market and sector over the last `window` bars.
 
-    paths (id, i, r, m, s). One id is one task's group: its bars fit a worker as they fit a chart. A window that is
-    incomplete, ill-conditioned or without residual variance is missing.
+    paths (id, i, r, m, s). Covariances over the frame of each bar solve the regression, and a pass over the frame tells what it
+    leaves, so one window of an id does it all. A window is missing if it has a number that is none, if its regressors are so
+    close to collinear that `limit` squared times the least variance of a combination of them does not reach the mean squares of all
+    columns (or that rounding hides that variance), or if nothing is left.
     """
     if window < 5:
         raise Refused("a window needs five bars")
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values("i")
-        x, y = np.column_stack([np.ones(len(g)), g["m"], g["s"]]).astype(float), g["r"].to_numpy(float)
-        out = []
-        for k in range(window - 1, len(g)):
-            a, b = x[k - window + 1 : k + 1], y[k - window + 1 : k + 1]
-            if not (np.isfinite(a).all() and np.isfinite(b).all()) or np.linalg.cond(a) > limit:
-                continue
-            w = np.linalg.lstsq(a, b, rcond=None)[0]
-            rest = b - a @ w
-            sigma = float(np.sqrt((rest**2).sum() / (window - 3)))
-            if sigma > 1e-12 * max(1e-300, np.abs(b).max()):
-                out.append((g["id"].iloc[0], int(g["i"].iloc[k]), float(w[0]), float(w[1]), float(w[2]), sigma))
-        return pd.DataFrame(out, columns=["id", "i", "alpha", "market", "sector", "sigma"])
-
-    return paths.groupBy("id").applyInPandas(fit, "id long, i int, alpha double, market double, sector double, sigma double")
+    frame = Window.partitionBy("id").orderBy("i").rowsBetween(1 - window, 0)
+    whole = F.lit(True)
+    for c in "rms":
+        whole = whole & F.col(c).isNotNull() & (F.abs(c) < float("inf"))
+    bars = paths.select("id", "i", *[F.when(whole, F.col(c).cast("double")).alias(c) for c in "rms"])
+    over = {"_n": F.count("r"), "_r": F.avg("r"), "_m": F.avg("m"), "_s": F.avg("s"), "_mm": F.var_pop("m"), "_ss": F.var_pop("s"), "_ms": F.covar_pop("m", "s"), "_mr": F.covar_pop("m", "r"), "_sr": F.covar_pop("s", "r"), "_top": F.max(F.abs("r")), "_v": F.collect_list(F.struct("r", "m", "s"))}
+    told = bars.select("*", *[x.over(frame).alias(c) for c, x in over.items()]).where(F.col("_n") == window)
+    half, turn = (F.col("_mm") + F.col("_ss")) / 2, F.sqrt(F.pow((F.col("_mm") - F.col("_ss")) / 2, 2) + F.col("_ms") * F.col("_ms"))
+    squares = 1 + F.col("_mm") + F.col("_ss") + F.col("_m") * F.col("_m") + F.col("_s") * F.col("_s")
+    told = told.where((half - turn > 1e-13 * (half + turn)) & (squares <= limit * limit * (half - turn)))
+    det = F.col("_mm") * F.col("_ss") - F.col("_ms") * F.col("_ms")
+    told = told.withColumns({"market": (F.col("_mr") * F.col("_ss") - F.col("_sr") * F.col("_ms")) / det, "sector": (F.col("_sr") * F.col("_mm") - F.col("_mr") * F.col("_ms")) / det})
+    told = told.withColumn("alpha", F.col("_r") - F.col("market") * F.col("_m") - F.col("sector") * F.col("_s"))
+    rest = lambda v: v["r"] - F.col("alpha") - F.col("market") * v["m"] - F.col("sector") * v["s"]
+    told = told.withColumn("sigma", F.sqrt(F.aggregate(F.transform("_v", rest), F.lit(0.0), lambda a, x: a + x * x) / (window - 3)))
+    return told.where(F.col("sigma") > 1e-12 * F.col("_top")).select(F.col("id").cast("long").alias("id"), F.col("i").cast("int").alias("i"), "alpha", "market", "sector", "sigma")
 
 
 def residual_barrier(paths: DataFrame, fits: DataFrame, horizon: int, multiple: float = 1.0) -> DataFrame:

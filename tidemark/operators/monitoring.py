@@ -68,7 +68,8 @@ def null_moments(bins: int, n: int) -> tuple[float, float]:
 
 
 def expectation_band(paths: DataFrame, window: int, tail: float, col: str = "r") -> DataFrame:
-    """Quantiles of the rolling mean over full windows of all paths (path, t, r): low, mid and high."""
+    """Quantiles of the rolling mean over full windows of all paths (path, t, r): low, mid and high. Paths too short for such a tail are refused, see `enough_windows`."""
+    paths = enough_windows(paths, window, tail)
     rows = Window.partitionBy("path").orderBy("t").rowsBetween(1 - window, 0)
     rolled = paths.withColumn("_v", F.when(F.count(col).over(rows) == window, F.avg(col).over(rows))).where("_v IS NOT NULL")
     told = quantiles(rolled.select(F.lit(0).alias("_one"), "_v"), ("_one",), [tail, 0.5, 1 - tail], "_v")

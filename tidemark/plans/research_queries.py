@@ -169,6 +169,7 @@ def premia(spark, sf_dir: str) -> DataFrame:
     return told.select("id", r("premium").alias("premium"), r("standard_error").alias("standard_error"), r("t", 6).alias("t"), "n", transforms.verdict(F.col("t"), F.col("premium"), F.lit(0.03), F.lit(0.3), 0.02).alias("verdict"))
 
 
+import math
 from itertools import combinations  # noqa: E402
 
 from pyspark.sql import Window  # noqa: E402
@@ -436,12 +437,27 @@ def constraint_breaches(spark, sf_dir: str) -> DataFrame:
     return costs.constraint_breaches(weights, 0.03, 3.3, 0.85).withColumn("value", r("value"))
 
 
-@BOOK.add("residual_fit")
+FITTED = f"""{RETURNS}, rp AS (SELECT id, i, r, avg(r) OVER (PARTITION BY date) AS m, avg(r) OVER (PARTITION BY date, id % 5) AS s FROM ret WHERE r IS NOT NULL), rw AS (SELECT id, i, count(*) OVER w AS n, avg(r) OVER w AS ar, avg(m) OVER w AS am, avg(s) OVER w AS as_, var_pop(m) OVER w AS mm, var_pop(s) OVER w AS ss, var_pop(r) OVER w AS rr, covar_pop(m, s) OVER w AS ms, covar_pop(m, r) OVER w AS mr, covar_pop(s, r) OVER w AS sr FROM rp WINDOW w AS (PARTITION BY id ORDER BY i ROWS 59 PRECEDING)),
+ rf AS (SELECT *, (mr * ss - sr * ms) / (mm * ss - ms * ms) AS market, (sr * mm - mr * ms) / (mm * ss - ms * ms) AS sector FROM rw WHERE n = 60)"""
+
+
+@BOOK.add("residual_fit", f"WITH {FITTED} SELECT id, CAST(i AS INTEGER) AS i, round(ar - market * am - sector * as_, 6) AS alpha, round(market, 5) AS market, round(sector, 5) AS sector, round(sqrt(60 * (rr - market * mr - sector * sr) / 57), 6) AS sigma FROM rf")
 def residual_fit(spark, sf_dir: str) -> DataFrame:
     """Each security's trailing regression on the means of its day and of its sector on that day."""
     told = returns(spark, sf_dir).where("r IS NOT NULL")
     day, sector = Window.partitionBy("date"), Window.partitionBy("date", F.col("id") % 5)
-    return labels.residual_fit(told.select("id", "i", "r", F.avg("r").over(day).alias("m"), F.avg("r").over(sector).alias("s")), 60)
+    fits = labels.residual_fit(told.select("id", "i", "r", F.avg("r").over(day).alias("m"), F.avg("r").over(sector).alias("s")), 60)
+    return fits.select("id", "i", r("alpha", 6).alias("alpha"), r("market", 5).alias("market"), r("sector", 5).alias("sector"), r("sigma", 6).alias("sigma"))
+
+
+@BOOK.add(
+    "exposure_breaches",
+    f"""WITH {TARGETS}, x AS (SELECT t, sum(w) AS net, sum(w * (asset % 17) / 10.0) AS beta FROM tg GROUP BY t) SELECT t, 'net' AS "limit", '' AS what, round(net, 8) AS value FROM x WHERE abs(net - 1) > 1e-6 UNION ALL SELECT t, 'beta', '', round(beta, 8) FROM x WHERE abs(beta - 1.2) > 0.1 + 1e-6""",
+)
+def exposure_breaches(spark, sf_dir: str) -> DataFrame:
+    """Days on which all books together miss a net weight of 1 or a beta of 1.2."""
+    weights = targets(spark, sf_dir).withColumnRenamed("strategy", "sector").withColumn("beta", F.col("asset") % 17 / 10.0)
+    return costs.constraint_breaches(weights, math.inf, math.inf, math.inf, 1e-6, 1.0, 0.1, 1.2).withColumn("value", r("value"))
 
 
 @BOOK.add("residual_labels")
