@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 import random
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tidemark.operators import costs, factors, labels, ledger, monitoring, splits, text, transforms, universe
-from tidemark.operators.facts import Refused
+from tidemark.operators.facts import FactSpec, Refused
 from tidemark.sources import filings, macro, runs
 
 
@@ -196,3 +197,26 @@ def test_stream_appends_once(spark, tmp_path):
         rows.write.mode("append").parquet(str(tmp_path / "in"))
         ingest(spark, str(tmp_path / "in"), schema, str(tmp_path / "out"), str(tmp_path / "check"), FactSpec("f", ("id",), ("x",))).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 20
+
+
+def test_features_read_what_was_known(spark):
+    day, spec = dt.date(2024, 3, 10), FactSpec("price", ("id",), ("close",), ("close",))
+    at = lambda d, h=0: dt.datetime(2024, 3, d, h)
+    kind = "id long, valid_from timestamp_ntz, valid_to timestamp_ntz, knowledge_time timestamp_ntz, close double, is_retraction boolean"
+    rows = [(1, at(d), at(d + 1), at(d + 1), 100.0 + d, False) for d in range(1, 9)] + [(1, at(7), at(8), at(9), 50.0, False), (1, at(8), at(9), at(12), 999.0, False), (2, at(8), at(9), at(9), 5.0, False)]
+    prices = spark.createDataFrame(rows, kind)
+    ids = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    found = factors.baseline()
+    got = {r.id: r for r in found.compute_asof("short_term_reversal", prices, spec, ids, day, far=2, days=9).collect()}
+    assert got[1].value == pytest.approx(-math.log(108 / 50)) and got[1].as_of == at(10) and got[2].value is None and got[3].value is None and len(got) == 3
+    early = found.compute_asof("short_term_reversal", prices, spec, ids, day, dt.datetime(2024, 3, 8, 12, tzinfo=dt.UTC), far=2, days=9).where("id = 1").first()
+    assert early.value == pytest.approx(-math.log(107 / 106)) and early.as_of == at(8, 12)
+    for requested in (dt.datetime(2024, 3, 10, 1, tzinfo=dt.UTC), dt.datetime(2024, 3, 9), dt.datetime(2024, 3, 9, tzinfo=dt.timezone(dt.timedelta(hours=1)))):
+        with pytest.raises(Refused):
+            found.compute_asof("short_term_reversal", prices, spec, ids, day, requested)
+    with pytest.raises(Refused, match="not an instant"):
+        found.compute_asof("short_term_reversal", prices, spec, ids, dt.datetime(2024, 3, 10))
+    more = lambda *r: prices.unionAll(spark.createDataFrame(list(r), kind))
+    for bad, who in ((prices, ids.unionAll(ids)), (more((1, at(8, 9), at(9), at(9), 1.0, False)), ids), (more((1, at(11), at(12), at(9), 1.0, False)), ids)):
+        with pytest.raises(PySparkException):
+            found.compute_asof("short_term_reversal", bad, spec, who, day, far=2).collect()

@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.facts import Refused, refuse
+from tidemark.operators.facts import AsOf, FactSpec, Refused, literal, refuse
 
 #: Bars back to the ends of the momentum and reversal windows, bars of the volatility and illiquidity windows.
 MONTH, YEAR, VOLATILITY = 22, 253, 252
@@ -93,15 +93,47 @@ class Registry:
 
     def compute(self, name: str, bars: DataFrame, day: dt.date, requested: dt.datetime | None = None, **options) -> DataFrame:
         """(id, value) as of what was knowable at midnight of the day less the factor's lag; bars carry no later knowledge."""
+        self.knowable(name, day, requested)
+        return self.factors[name].compute(bars, day, **options)
+
+    def knowable(self, name: str, day: dt.date, requested: dt.datetime | None = None) -> dt.datetime:
+        """The instant that a factor of a day may be computed at: midnight of the day less the factor's lag, or the earlier one that is requested."""
         if name not in self.factors:
             raise Refused(f"no factor {name}")
         factor = self.factors[name]
+        if isinstance(day, dt.datetime):
+            raise Refused(f"a day, not an instant: {day!r}")
         if factor.compute is None:
             raise Refused(f"{name} needs {factor.needs}, for which there is no source")
         cutoff = dt.datetime.combine(day, dt.time(), dt.UTC) - factor.lag
-        if requested is not None and requested > cutoff:
+        if requested is None:
+            return cutoff
+        if requested.tzinfo is None or requested.utcoffset() != dt.timedelta(0):
+            raise Refused(f"an instant is aware and in UTC: {requested!r}")
+        if requested > cutoff:
             raise Refused(f"{name} may use what was known at {cutoff.isoformat()}, not later")
-        return factor.compute(bars, day, **options)
+        return requested
+
+    def compute_asof(self, name: str, prices: DataFrame, spec: FactSpec, securities: DataFrame, day: dt.date, requested: dt.datetime | None = None, days: int = 400, now: dt.datetime | None = None, **options) -> DataFrame:
+        """(id, value, units, as_of), one row for every security, computed from the versions of prices that were known at the factor's instant.
+
+        prices are facts of key (id) with close (and volume, where the factor needs it); only the `days` before the day are read, and a
+        version of a later bar that is known then is refused, as are two bars of an id on one day, a security that stands twice and one
+        without an id. A security without bars, or with too few, has a null value. The range of valid_from and the instant reach the scan.
+        """
+        at = self.knowable(name, day, requested)
+        if days < 1:
+            raise Refused(f"a window holds a day or more: {days}")
+        told = securities.select("id").groupBy("id").agg(F.count("*").alias("_n"))
+        wanted = refuse(told, (F.col("_n") > 1) | F.col("id").isNull(), "a security that stands twice, or none").select("id")
+        kind = dict(prices.dtypes)["valid_from"]
+        since = literal(dt.datetime.combine(day - dt.timedelta(days=days), dt.time(), dt.UTC), kind)
+        view = AsOf(prices.sparkSession, at, now).with_facts(prices.where(F.col("valid_from") >= since), spec)
+        bars = view.table(spec.name, spec.payload).join(wanted, "id", "left_semi").withColumn("date", F.to_date("valid_from"))
+        bars = bars.withColumn("_n", F.count("*").over(Window.partitionBy("id", "date")))
+        bars = refuse(bars, F.col("_n") > 1, "two bars of one security on one day").drop("_n")
+        found = self.factors[name].compute(bars, day, days=days, **options)
+        return wanted.join(found, "id", "left").select("id", "value", F.lit(self.factors[name].units).alias("units"), literal(at, "timestamp_ntz").alias("as_of"))
 
 
 def baseline() -> Registry:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import factors, transforms, universe
+from tidemark.operators.facts import FactSpec
 from tidemark.plans.book import Book
 from tidemark.plans.tables import BARS, CROSS_SECTION, bars, cross_section, table
 
@@ -111,6 +112,30 @@ def reversal(spark, sf_dir: str) -> DataFrame:
     return REGISTRY.compute("short_term_reversal", _before(spark, sf_dir), DAY, far=8).withColumn("value", r("value"))
 
 
+VERSIONED_BARS = "bv AS (SELECT l_suppkey AS id, CAST(l_shipdate AS DATE) AS date, CAST(l_shipdate AS DATE) + CAST(l_linenumber AS INTEGER) AS k, (CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) * 10000 // CAST(sum(CAST(round(l_quantity * 100) AS BIGINT)) AS BIGINT)) / 10000.0::DOUBLE AS close FROM lineitem GROUP BY 1, 2, 3)"
+
+
+def versioned_bars(spark, sf_dir: str) -> DataFrame:
+    """A bar a supplier and day of shipping, a version of it for each day on which its lines arrive, as many days later as their numbers."""
+    cents = lambda c: F.sum(F.round(F.col(c) * 100).cast("long"))
+    shipped = F.to_date("l_shipdate")
+    sums = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("id"), shipped.cast("timestamp_ntz").alias("valid_from"), F.date_add(shipped, F.col("l_linenumber").cast("int")).cast("timestamp_ntz").alias("knowledge_time")).agg(cents("l_extendedprice").alias("paid"), cents("l_quantity").alias("pieces"))
+    return sums.select("id", "valid_from", (F.col("valid_from") + F.expr("INTERVAL 1 DAY")).alias("valid_to"), "knowledge_time", (F.expr("paid * 10000 div pieces") / 10000.0).alias("close"), F.lit(False).alias("is_retraction"))
+
+
+@BOOK.add(
+    "feature_asof",
+    f"""WITH {VERSIONED_BARS}, vi AS (SELECT id, date, max_by(close, k) AS close FROM bv WHERE k <= DATE '1998-06-01' GROUP BY 1, 2), ra AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY date DESC) AS back FROM vi WHERE date >= DATE '1998-06-01' - 60),
+ va AS (SELECT id, CASE WHEN date_diff('day', max(date), DATE '1998-06-01') <= 10 THEN -ln(max(close) FILTER (back = 1) / max(close) FILTER (back = 8)) END AS value FROM ra GROUP BY id) SELECT s_suppkey AS id, round(value, 8) AS value, 'log return' AS units, TIMESTAMP '1998-06-01' AS as_of FROM supplier LEFT JOIN va ON va.id = s_suppkey""",
+)
+def feature_asof(spark, sf_dir: str) -> DataFrame:
+    """Reversals of all suppliers from the versions of their bars that had arrived by the day."""
+    prices = versioned_bars(spark, sf_dir)
+    securities = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
+    told = REGISTRY.compute_asof("short_term_reversal", prices, FactSpec("price", ("id",), ("close",), ("close",)), securities, DAY, days=60, far=8)
+    return told.withColumn("value", r("value"))
+
+
 @BOOK.add("low_volatility", factor_sql(f"CASE WHEN count(r) = 30 AND {FRESH} THEN -stddev_samp(r) * sqrt(252) END", 400, 30))
 def low_volatility(spark, sf_dir: str) -> DataFrame:
     return REGISTRY.compute("low_volatility", _before(spark, sf_dir), DAY, n=30).withColumn("value", r("value"))
