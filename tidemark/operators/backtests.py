@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.costs import YEAR_DAYS
+from tidemark.operators.costs import YEAR_DAYS, in_windows
 from tidemark.operators.facts import Refused, refuse
 from tidemark.operators.intervals import interval_join
 
@@ -88,6 +88,30 @@ def chained(tested: DataFrame, by: tuple[str, ...] = ("strategy",)) -> DataFrame
     return told.withColumn("equity", F.exp(F.sum(F.log1p("net")).over(Window.partitionBy(*by).orderBy("t").rowsBetween(Window.unboundedPreceding, 0))))
 
 
+def window_spread(net: DataFrame, benchmark: DataFrame, windows: list[tuple[int, int, int, int, int]], periods: float = 252.0, tail: float = 0.05, by: tuple[str, ...] = ("strategy",)) -> DataFrame:
+    """by, side, windows, mean, deviation, least, low, median, high, most and positive: how the Sharpe ratios of the test windows of a walk-forward vary, for the strategy and for the benchmark over the same periods; ahead: in how many windows the strategy's is the higher one.
+
+    net (by, t, net), benchmark (t, net) with one return a period, windows as from `costs.walk_forward`. A test period of a strategy without a return of the
+    benchmark is refused, so one side never stands without the other; a window without dispersion on a side has no ratio there and is left out of that side.
+    The benchmark is as long as the calendar; it is joined by period and not broadcast by us. One shuffle by period, one by strategy.
+    """
+    if not 0 < tail < 0.5:
+        raise Refused("a tail lies between 0 and a half")
+    base = benchmark.groupBy("t").agg(F.max("net").alias("_b"), F.count("*").alias("_n"))
+    base = refuse(base, F.col("_n") > 1, "two returns of the benchmark in one period").drop("_n")
+    told = in_windows(net.select(*by, "t", "net"), windows).where("role = 'test'").join(base, "t", "left")
+    told = refuse(told, F.col("_b").isNull(), "a period without a return of the benchmark")
+    ratio = lambda c: F.when(F.stddev_samp(c) > 0, F.avg(c) / F.stddev_samp(c) * math.sqrt(periods))
+    each = told.groupBy(*by, "window").agg(ratio("net").alias("_s"), ratio("_b").alias("_b"))
+    ahead = F.count_if(F.col("_s") > F.col("_b")).alias("ahead")
+
+    def side(name: str, c: str) -> Column:
+        ends = F.percentile(c, [tail, 0.5, 1 - tail])
+        return F.struct(F.lit(name).alias("side"), F.count(c).alias("windows"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("deviation"), F.min(c).alias("least"), ends[0].alias("low"), ends[1].alias("median"), ends[2].alias("high"), F.max(c).alias("most"), F.count_if(F.col(c) > 0).alias("positive"), ahead).alias(f"_{name}")
+
+    return each.groupBy(*by).agg(side("strategy", "_s"), side("benchmark", "_b")).select(*by, F.inline(F.array("_strategy", "_benchmark")))
+
+
 def aggregated(chain: DataFrame, by: tuple[str, ...] = ("strategy",)) -> DataFrame:
     """By strategy over all windows: windows, periods, the sums of turnover, cost and borrow, the total return, and the least and the largest return of a window."""
     each = chain.groupBy(*by, "window").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("turnover", "cost", "borrow")], F.sum(F.log1p("net")).alias("_log"))

@@ -82,6 +82,11 @@ def uniqueness(spans: DataFrame, by: tuple[str, ...] = ("id",), first: str = "fi
     return both.select(*names, weight.alias("weight"), F.explode(F.sequence(F.lit(1), "_n")).alias("_k")).drop("_k")
 
 
+def normalized(weighted: DataFrame, by: tuple[str, ...] = ("id",)) -> DataFrame:
+    """weighted with normalized: the weight over the mean weight of its id, so that the weights of an id sum to its labels."""
+    return weighted.withColumn("normalized", F.col("weight") / F.avg("weight").over(Window.partitionBy(*by)))
+
+
 def concurrency(spans: DataFrame, by: tuple[str, ...] = ("id",), first: str = "first", last: str = "last") -> DataFrame:
     """By id the most spans that cover one bar. Starts and ends count +1 and -1, so no span is unrolled."""
     edge = lambda at, d: F.struct(at.alias("at"), F.lit(d).alias("d"))

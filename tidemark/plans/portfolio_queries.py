@@ -56,6 +56,18 @@ def walk_forward_aggregate(spark, sf_dir: str) -> DataFrame:
     return told.select("strategy", "windows", "n", r("turnover", 6).alias("turnover"), r("cost", 10).alias("cost"), r("borrow", 10).alias("borrow"), *[r(c, 7).alias(c) for c in ("total", "worst_window", "best_window")])
 
 
+SPREAD = f"""{TESTED_SQL}, bm AS (SELECT t, avg(net) AS b FROM net GROUP BY t), wi AS (SELECT te.strategy, "window", avg(te.net) / stddev_samp(te.net) * sqrt(252) AS s, avg(b) / stddev_samp(b) * sqrt(252) AS b FROM te JOIN bm ON bm.t = te.t GROUP BY 1, 2), si AS (SELECT strategy, 'strategy' AS side, s AS v, s > b AS ahead FROM wi UNION ALL SELECT strategy, 'benchmark', b, s > b FROM wi)"""
+
+
+@BOOK.add("window_spread", f"WITH {SPREAD} SELECT strategy, side, count(v) AS windows, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS deviation, round(min(v), 6) AS least, round(quantile_cont(v, 0.05), 6) AS low, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.95), 6) AS high, round(max(v), 6) AS most, count(*) FILTER (v > 0) AS positive, count(*) FILTER (ahead) AS ahead FROM si GROUP BY 1, 2")
+def window_spread(spark, sf_dir: str) -> DataFrame:
+    """How the strategies' ratios vary from window to window beside those of their mean, the benchmark."""
+    rows = targets(spark, sf_dir)
+    net = costs.backtest(rows)
+    told = backtests.window_spread(net, net.groupBy("t").agg(F.avg("net").alias("net")), costs.walk_forward(periods_of(rows) - 1, 100, 30, 5))
+    return told.select("strategy", "side", "windows", *[r(c, 6).alias(c) for c in ("mean", "deviation", "least", "low", "median", "high", "most")], "positive", "ahead")
+
+
 SUMMARY = f"""{NET}, mo AS (SELECT strategy, count(*) AS n, avg(net) AS m, stddev_samp(net) AS s, var_pop(net) AS v, exp(sum(ln(1 + net))) - 1 AS total, avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END) AS p FROM net GROUP BY 1),
  mm AS (SELECT mo.*, q.g, q.k, m / s AS sh FROM mo JOIN (SELECT net.strategy, avg(pow(net - m, 3)) / pow(any_value(v), 1.5) AS g, avg(pow(net - m, 4)) / pow(any_value(v), 2) AS k FROM net JOIN mo ON mo.strategy = net.strategy GROUP BY 1) q ON q.strategy = mo.strategy),
  sm AS (SELECT strategy, 'mean' AS metric, m AS value, s / sqrt(n) AS e FROM mm UNION ALL SELECT strategy, 'volatility', s * sqrt(252), s * sqrt(252) / sqrt(2 * (n - 1)) FROM mm UNION ALL SELECT strategy, 'sharpe', sh * sqrt(252), sqrt((1 - g * sh + (k - 1) / 4 * sh * sh) / (n - 1)) * sqrt(252) FROM mm UNION ALL SELECT strategy, 'total', total, NULL FROM mm UNION ALL SELECT strategy, 'hit_rate', p, sqrt(p * (1 - p) / n) FROM mm)"""

@@ -248,6 +248,18 @@ def uniqueness(spark, sf_dir: str) -> DataFrame:
     return labels.uniqueness(spans).select("id", "i", r("weight").alias("weight"))
 
 
+@BOOK.add(
+    "uniqueness_normalized",
+    f"""WITH {BARRIERS}, s AS (SELECT id, i, i + 1 AS first, i_end AS last FROM lab), cc AS (SELECT s.id, b, count(*) AS c FROM s, LATERAL (SELECT unnest(range(s.first, s.last + 1)) AS b) GROUP BY 1, 2), w AS (SELECT s.id, s.i, avg(1.0 / cc.c) AS weight FROM s JOIN cc ON cc.id = s.id AND cc.b BETWEEN s.first AND s.last GROUP BY 1, 2)
+ SELECT id, i, round(weight / avg(weight) OVER (PARTITION BY id), 8) AS normalized FROM w""",
+)
+def uniqueness_normalized(spark, sf_dir: str) -> DataFrame:
+    """The weights of each security's labels, scaled to sum to their number."""
+    found = labels.triple_barrier(returns(spark, sf_dir), 20, 10, 0.5)
+    spans = found.select("id", "i", (F.col("i") + 1).cast("long").alias("first"), F.col("i_end").alias("last"))
+    return labels.normalized(labels.uniqueness(spans)).select("id", "i", r("normalized").alias("normalized"))
+
+
 @BOOK.add(
     "uniqueness_report",
     f"""WITH {BARRIERS}, s AS (SELECT id, i, i + 1 AS first, i_end AS last FROM lab), cc AS (SELECT s.id, b, count(*) AS c FROM s, LATERAL (SELECT unnest(range(s.first, s.last + 1)) AS b) GROUP BY 1, 2), w AS (SELECT s.id, s.i, avg(1.0 / cc.c) AS weight FROM s JOIN cc ON cc.id = s.id AND cc.b BETWEEN s.first AND s.last GROUP BY 1, 2)

@@ -38,6 +38,30 @@ def parse(lines: DataFrame) -> DataFrame:
     return refuse(out.join(n, "run_id"), F.col("_n") > 1, "a run that stands twice").select(*COLUMNS)
 
 
+def append(trials: DataFrame, path: str) -> int:
+    """Adds the trials (COLUMNS) to the ledger in a folder, and returns how many trials it holds then.
+
+    What is there is neither rewritten nor moved: the new lines are files of their own, which Spark commits together. The ledger must exist,
+    since a fresh one would start the count at zero. A run that it holds, or that stands twice in the batch, one without an id, and a cell with
+    a pipe or a line break are refused, and then nothing is added.
+    """
+    if set(trials.columns) != set(COLUMNS):
+        raise Refused(f"columns are {COLUMNS}")
+    there = read(trials.sparkSession, path)
+    cells = [F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")).alias(c) for c in COLUMNS]
+    told = trials.select(*cells)
+    bad = F.lit(False)
+    for c in COLUMNS:
+        bad = bad | F.col(c).rlike(r"[|\r\n]")
+    told = refuse(told, bad, "a cell may hold no pipe and no line break")
+    told = refuse(told, F.col("run_id") == "", "a trial without a run")
+    seen = told.groupBy("run_id").agg(F.count("*").alias("_n")).join(there.select("run_id", F.lit(1).alias("_there")), "run_id", "left")
+    seen = refuse(seen, (F.col("_n") > 1) | F.col("_there").isNotNull(), "a run that stands twice").select("run_id")
+    lines = told.join(seen, "run_id").select(F.concat(F.lit("| "), F.concat_ws(" | ", *COLUMNS), F.lit(" |")).alias("value"))
+    lines.write.mode("append").text(path)
+    return count(read(trials.sparkSession, path))
+
+
 def count(trials: DataFrame) -> int:
     """How many trials there were, for the deflation of the best."""
     return trials.count()
