@@ -1,11 +1,13 @@
 """Spreads over test windows beside the benchmark's, breaches of whole books, weights that sum to their labels, and a ledger that only grows."""
 
+import datetime as dt
+
 import numpy as np
 import pytest
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 
-from tidemark.operators import backtests, costs, labels
+from tidemark.operators import backtests, costs, execution, labels
 from tidemark.operators.facts import Refused
 from tidemark.sources import trials
 
@@ -71,3 +73,20 @@ def test_a_ledger_only_grows(spark, tmp_path):
         trials.append(batch(("d", "s", None, 1.0, None)), str(tmp_path / "none"))
     with pytest.raises(Refused):
         trials.append(batch(("d", "s", None, 1.0, None)).drop("note"), str(path))
+
+
+def test_slices_know_no_later_session(spark):
+    day = lambda k: dt.date(2024, 1, k)
+    sessions = spark.createDataFrame([(1, day(2), 0, 10), (1, day(2), 1, 30), (1, day(4), 0, 1000), (1, day(4), 1, 0), (1, day(2), 7, 99), (2, day(9), 0, 5), (3, day(1), 1, 4)], "security int, session_date date, bucket int, volume long")
+    parents = spark.createDataFrame([(1, 1, day(2), 40), (2, 1, day(3), 40), (3, 1, day(4), 40), (4, 1, day(5), 1040), (5, 2, day(9), 40), (6, 9, day(9), 40), (7, 3, day(2), 40)], "parent int, security int, session_date date, quantity long")
+    got = {}
+    for r in execution.vwap_asof(parents, sessions, (0, 1), (3, 1), 0).collect():
+        got.setdefault(r.parent, {})[r.idx] = r.shares
+    assert got == {1: {0: 30, 1: 10}, 2: {0: 10, 1: 30}, 3: {0: 10, 1: 30}, 4: {0: 1010, 1: 30}, 5: {0: 30, 1: 10}, 6: {0: 30, 1: 10}, 7: {0: 0, 1: 40}}
+    with pytest.raises(FAILS):
+        execution.vwap_asof(parents, sessions, (0, 1)).collect()
+    assert execution.vwap_asof(parents.where("parent IN (2, 4)"), sessions, (0, 1)).count() == 4
+    for bad in (((), None), ((0, 0), None), ((0, 1), (1,)), ((0, 1), (1, 0))):
+        with pytest.raises(Refused):
+            execution.vwap_asof(parents, sessions, *bad)
+    assert execution.vwap_asof(parents.where("false"), sessions, (0, 1)).count() == 0 and execution.vwap_asof(parents, sessions.where("false"), (0, 1), (1, 1)).count() == 14

@@ -105,6 +105,35 @@ def vwap(parents: DataFrame, profile: DataFrame, least: int = 1) -> DataFrame:
     return sliced(parents, profile.select("security", F.col("bucket").alias("idx"), F.col("volume").cast("long").alias("weight")), least, ("security",))
 
 
+def forecast_weights(parents: DataFrame, sessions: DataFrame, buckets: tuple[int, ...], curve: tuple[int, ...] | None = None) -> DataFrame:
+    """parent, idx and weight: for each parent (parent, security, session_date) what its security traded in each bucket over all sessions before the parent's own.
+
+    sessions (security, session_date, bucket, volume), of which a row of a bucket that is none of ours is left aside. A security that traded nothing before
+    takes the curve, a weight a bucket, such as `ledger.u_curve` or equal ones; without a curve it is refused. Volumes run up once along each security and
+    bucket, with a row of no volume for each day on which a parent asks, so a parent meets one row a bucket and no session is joined with all later parents.
+    """
+    if not buckets or len(set(buckets)) != len(buckets) or curve is not None and (len(curve) != len(buckets) or min(curve) < 1):
+        raise Refused("distinct buckets, and a curve of a positive weight for each")
+    of = F.explode(F.array(*[F.struct(F.lit(b).alias("idx"), F.lit(c).cast("long").alias("_curve")) for b, c in zip(buckets, curve or [None] * len(buckets), strict=True)])).alias("_b")
+    days = sessions.where(F.col("bucket").isin(*buckets)).groupBy("security", "session_date", F.col("bucket").alias("idx")).agg(F.sum("volume").cast("long").alias("_v"))
+    days = refuse(days, F.col("_v") < 0, "a negative volume")
+    asked = parents.select("security", "session_date").distinct().select("security", "session_date", of).select("security", "session_date", "_b.idx", F.lit(0).cast("long").alias("_v"))
+    both = days.withColumn("_asked", F.lit(0)).unionByName(asked.withColumn("_asked", F.lit(1)))
+    before = Window.partitionBy("security", "idx").orderBy(F.datediff("session_date", F.lit("1970-01-01"))).rangeBetween(Window.unboundedPreceding, -1)
+    told = both.withColumn("_c", F.coalesce(F.sum("_v").over(before), F.lit(0))).where("_asked = 1").groupBy("security", "session_date").agg(F.map_from_entries(F.collect_list(F.struct("idx", "_c"))).alias("_m"))  # a bucket each
+    rows = parents.select("parent", "security", "session_date").join(told, ["security", "session_date"], "left").select("parent", "_m", of).select("parent", "_b.idx", "_b._curve", F.coalesce(F.try_element_at("_m", F.col("_b.idx")), F.lit(0)).alias("_c"))
+    some = F.sum("_c").over(Window.partitionBy("parent")) > 0
+    if curve is None:
+        rows = refuse(rows.withColumn("_some", some), ~F.col("_some"), "a parent without weights")
+        return rows.select("parent", "idx", F.col("_c").alias("weight"))
+    return rows.select("parent", "idx", F.when(some, F.col("_c")).otherwise(F.col("_curve")).alias("weight"))
+
+
+def vwap_asof(parents: DataFrame, sessions: DataFrame, buckets: tuple[int, ...], curve: tuple[int, ...] | None = None, least: int = 1) -> DataFrame:
+    """Slices of parents (parent, security, session_date, quantity) in proportion to `forecast_weights`, which know no session of the parent's day or later."""
+    return sliced(parents.select("parent", "quantity"), forecast_weights(parents, sessions, buckets, curve), least, ("parent",))
+
+
 def settlements(reserved: DataFrame, outcomes: DataFrame) -> DataFrame:
     """The ledger rows that outcomes (call_id, actual; null actual: released) add to reservations (call_id, provider, window, amount): delta is what was used less what was reserved.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import backtests, costs, draws, execution, portfolio, reach, risk
+from tidemark.operators import backtests, costs, draws, execution, ledger, portfolio, reach, risk
 from tidemark.plans.book import Book
 from tidemark.plans.ledger_queries import LOG, order_log
 from tidemark.plans.research_queries import NET, PANEL, panel, periods_of, r, targets
@@ -194,6 +194,19 @@ def vwap(spark, sf_dir: str) -> DataFrame:
     return execution.vwap(parents(spark, sf_dir), profile, 10)
 
 
+FORECAST = f"""p AS (SELECT o_orderkey AS parent, o_custkey % 7 AS security, o_orderkey % 900 AS quantity, CAST(o_orderdate AS DATE) AS day FROM orders), cu AS (SELECT security, idx, d, sum(v) OVER (PARTITION BY security, idx ORDER BY d) AS c FROM (SELECT l_suppkey % 7 AS security, CAST(l_linenumber AS INTEGER) AS idx, CAST(l_shipdate AS DATE) AS d, sum(CAST(round(l_quantity) AS BIGINT)) AS v FROM lineitem GROUP BY 1, 2, 3)),
+ g AS (SELECT parent, security, day, CAST(i AS INTEGER) AS idx FROM p, range(1, 8) u(i)), w0 AS (SELECT g.parent AS pid, g.idx, CAST(coalesce(c, 0) AS BIGINT) AS v FROM g ASOF LEFT JOIN cu ON g.security = cu.security AND g.idx = cu.idx AND g.day > cu.d), w AS (SELECT pid, idx, CAST(CASE WHEN sum(v) OVER (PARTITION BY pid) > 0 THEN v ELSE 36 + 2 * (2 * idx - 8) * (2 * idx - 8) END AS BIGINT) AS weight FROM w0)"""
+
+
+@BOOK.add("vwap_asof", f"WITH {FORECAST}, {SLICED.format(on='ON p.parent = w.pid')}")
+def vwap_asof(spark, sf_dir: str) -> DataFrame:
+    """Orders sliced by what their security had shipped before their day, by a U-shaped curve where that is nothing."""
+    day = F.to_date("o_orderdate").alias("session_date")
+    asked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("parent"), (F.col("o_custkey") % 7).alias("security"), (F.col("o_orderkey") % 900).alias("quantity"), day)
+    sessions = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 7).alias("security"), F.to_date("l_shipdate").alias("session_date"), F.col("l_linenumber").cast("int").alias("bucket"), F.round("l_quantity").cast("long").alias("volume"))
+    return execution.vwap_asof(asked, sessions, tuple(range(1, 8)), tuple(ledger.u_curve(7)), 10)
+
+
 @BOOK.add("fill_events", f"WITH {LOG}, o AS (SELECT order_id, sum(fill) + order_id % 3 AS ordered FROM lg GROUP BY order_id), f AS (SELECT order_id, sequence, fill AS quantity, CAST(sum(fill) OVER (PARTITION BY order_id ORDER BY sequence) AS BIGINT) AS filled FROM lg) SELECT f.*, CASE WHEN filled = ordered THEN 'fill_complete' ELSE 'partial_fill' END AS event FROM f JOIN o USING (order_id)")
 def fill_events(spark, sf_dir: str) -> DataFrame:
     log = order_log(spark, sf_dir)

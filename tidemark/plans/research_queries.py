@@ -474,7 +474,7 @@ def constraint_breaches(spark, sf_dir: str) -> DataFrame:
     return costs.constraint_breaches(weights, 0.03, 3.3, 0.85).withColumn("value", r("value"))
 
 
-FITTED = f"""{RETURNS}, rp AS (SELECT id, i, r, avg(r) OVER (PARTITION BY date) AS m, avg(r) OVER (PARTITION BY date, id % 5) AS s FROM ret WHERE r IS NOT NULL), rw AS (SELECT id, i, count(*) OVER w AS n, avg(r) OVER w AS ar, avg(m) OVER w AS am, avg(s) OVER w AS as_, var_pop(m) OVER w AS mm, var_pop(s) OVER w AS ss, var_pop(r) OVER w AS rr, covar_pop(m, s) OVER w AS ms, covar_pop(m, r) OVER w AS mr, covar_pop(s, r) OVER w AS sr FROM rp WINDOW w AS (PARTITION BY id ORDER BY i ROWS 59 PRECEDING)),
+FITTED = f"""{RETURNS}, rp AS (SELECT id, i, r, avg(r) OVER (PARTITION BY date) AS m, avg(r) OVER (PARTITION BY date, id % 5) AS s, row_number() OVER (PARTITION BY id ORDER BY i) AS rn FROM ret WHERE r IS NOT NULL), rw AS (SELECT id, i, rn, count(*) OVER w AS n, avg(r) OVER w AS ar, avg(m) OVER w AS am, avg(s) OVER w AS as_, var_pop(m) OVER w AS mm, var_pop(s) OVER w AS ss, var_pop(r) OVER w AS rr, covar_pop(m, s) OVER w AS ms, covar_pop(m, r) OVER w AS mr, covar_pop(s, r) OVER w AS sr FROM rp WINDOW w AS (PARTITION BY id ORDER BY i ROWS 59 PRECEDING)),
  rf AS (SELECT *, (mr * ss - sr * ms) / (mm * ss - ms * ms) AS market, (sr * mm - mr * ms) / (mm * ss - ms * ms) AS sector FROM rw WHERE n = 60)"""
 
 
@@ -497,7 +497,11 @@ def exposure_breaches(spark, sf_dir: str) -> DataFrame:
     return costs.constraint_breaches(weights, math.inf, math.inf, math.inf, 1e-6, 1.0, 0.1, 1.2).withColumn("value", r("value"))
 
 
-@BOOK.add("residual_labels")
+RESIDUAL = f"""{FITTED}, sg AS (SELECT *, sqrt(60 * (rr - market * mr - sector * sr) / 57) AS sigma FROM rf), rc AS (SELECT f.id, f.i, p.rn - f.rn AS k, sum(p.r - f.market * p.m - f.sector * p.s) OVER (PARTITION BY f.id, f.i ORDER BY p.rn) AS c, 0.5 * f.sigma * sqrt(10) AS width FROM sg f JOIN rp p ON p.id = f.id AND p.rn BETWEEN f.rn + 1 AND f.rn + 10),
+ rh AS (SELECT id, i, count(*) AS n, min(k) FILTER (abs(c) >= width) AS bar, arg_min(sign(c), k) FILTER (abs(c) >= width) AS hit FROM rc GROUP BY 1, 2)"""
+
+
+@BOOK.add("residual_labels", f"WITH {RESIDUAL} SELECT id, CAST(i AS INTEGER) AS i, CAST(coalesce(hit, 0) AS INTEGER) AS outcome, CAST(i + coalesce(bar, 10) AS BIGINT) AS i_end FROM rh WHERE n = 10")
 def residual_labels(spark, sf_dir: str) -> DataFrame:
     """Barriers of what day and sector leave of each security's return."""
     told = returns(spark, sf_dir).where("r IS NOT NULL")
