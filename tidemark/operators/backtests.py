@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.costs import YEAR_DAYS, in_windows
+from tidemark.operators.costs import YEAR_DAYS, _wiped, grown_log, in_windows
 from tidemark.operators.facts import Refused, refuse
 from tidemark.operators.intervals import interval_join
 
@@ -43,14 +44,15 @@ def visible_at(rows: DataFrame, decisions: DataFrame, at: str = "at", known: str
 Decide = Callable[[object, object, pd.DataFrame, dict], dict]
 
 
-def run(returns: DataFrame, decide: Decide, fee_bps: float = 6.0, borrow_rate_bps: float = 100.0, days: int = 1, gross_cap: float = 10.0) -> DataFrame:
+def run(returns: DataFrame, decide: Decide, fee_bps: float = 6.0, borrow_rate_bps: float = 100.0, days: int = 1, gross_cap: float = 10.0, wiped: str = "refuse") -> DataFrame:
     """strategy, t, turnover, cost, borrow, net and equity of strategies that decide period by period.
 
     returns (strategy, t, asset, r). Before each period `decide` sees the returns of earlier periods only. It pays for the change from
     the drifted weights, then borrow on what is short, then earns. A weight of an asset without a return in the period, gross exposure
-    above the cap and a wiped out portfolio are refused. Decisions follow from each other, so a strategy is one group, as long as its calendar;
+    above the cap and a wiped out portfolio are refused; the latter is told to its last period, without an equity, if wiped is "keep". Decisions follow from each other, so a strategy is one group, as long as its calendar;
     strategies run side by side. Where targets do not depend on the past, `costs.backtest` needs no group.
     """
+    strict = _wiped(wiped)
     kind = returns.schema["strategy"].dataType.simpleString()
     time = returns.schema["t"].dataType.simpleString()
 
@@ -71,21 +73,23 @@ def run(returns: DataFrame, decide: Decide, fee_bps: float = 6.0, borrow_rate_bp
             cost, borrow = turnover * fee_bps / 10_000, math.fsum(-w for w in target.values() if w < 0) * borrow_rate_bps / 10_000 * days / YEAR_DAYS
             gross = math.fsum(w * earned[a] for a, w in target.items() if w)
             net = (1 - cost) * (1 - borrow) * (1 + gross) - 1
-            if gross <= -1 or net <= -1:
+            if strict and (gross <= -1 or net <= -1):
                 raise Refused(f"the portfolio is wiped out at {t}")
-            equity *= 1 + net
-            held = {a: w * (1 + earned[a]) / (1 + gross) for a, w in target.items() if w}
+            equity *= 1 + net if net >= -1 else math.nan
+            held = {a: float(np.divide(w * (1 + earned[a]), 1 + gross)) for a, w in target.items() if w} if gross == -1 else {a: w * (1 + earned[a]) / (1 + gross) for a, w in target.items() if w}
             out.append((name, t, turnover, cost, borrow, net, equity))
         return pd.DataFrame(out, columns=["strategy", "t", "turnover", "cost", "borrow", "net", "equity"])
 
-    return returns.select("strategy", "t", "asset", "r").groupBy("strategy").applyInPandas(one, f"strategy {kind}, t {time}, turnover double, cost double, borrow double, net double, equity double")
+    told = returns.select("strategy", "t", "asset", "r").groupBy("strategy").applyInPandas(one, f"strategy {kind}, t {time}, turnover double, cost double, borrow double, net double, equity double")
+    # pandas hands over a number that is none as a null.
+    return told if strict else told.withColumns({c: F.coalesce(c, F.lit(math.nan)) for c in ("turnover", "cost", "net", "equity")})
 
 
 def chained(tested: DataFrame, by: tuple[str, ...] = ("strategy",)) -> DataFrame:
     """tested (strategy, window, t, turnover, cost, borrow, net), the test rows of a walk-forward, with equity along all windows; two windows that test one period are refused."""
     twice = tested.withColumn("_n", F.count("*").over(Window.partitionBy(*by, "t")))
     told = refuse(twice, F.col("_n") > 1, "two windows test one period").drop("_n")
-    return told.withColumn("equity", F.exp(F.sum(F.log1p("net")).over(Window.partitionBy(*by).orderBy("t").rowsBetween(Window.unboundedPreceding, 0))))
+    return told.withColumn("equity", F.exp(F.sum(grown_log(F.col("net"))).over(Window.partitionBy(*by).orderBy("t").rowsBetween(Window.unboundedPreceding, 0))))
 
 
 def window_spread(net: DataFrame, benchmark: DataFrame, windows: list[tuple[int, int, int, int, int]], periods: float = 252.0, tail: float = 0.05, by: tuple[str, ...] = ("strategy",)) -> DataFrame:
@@ -114,7 +118,7 @@ def window_spread(net: DataFrame, benchmark: DataFrame, windows: list[tuple[int,
 
 def aggregated(chain: DataFrame, by: tuple[str, ...] = ("strategy",)) -> DataFrame:
     """By strategy over all windows: windows, periods, the sums of turnover, cost and borrow, the total return, and the least and the largest return of a window."""
-    each = chain.groupBy(*by, "window").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("turnover", "cost", "borrow")], F.sum(F.log1p("net")).alias("_log"))
+    each = chain.groupBy(*by, "window").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("turnover", "cost", "borrow")], F.sum(grown_log(F.col("net"))).alias("_log"))
     return each.groupBy(*by).agg(F.count("*").alias("windows"), F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in ("turnover", "cost", "borrow")], F.expm1(F.sum("_log")).alias("total"), F.expm1(F.min("_log")).alias("worst_window"), F.expm1(F.max("_log")).alias("best_window"))
 
 
@@ -125,7 +129,7 @@ def summary(net: DataFrame, periods: float = 252.0, z: float = 1.959963984540054
     One aggregation.
     """
     n, m, s = F.count("net").cast("double"), F.avg("net"), F.stddev_samp("net")
-    told = net.groupBy(*by).agg(n.alias("n"), m.alias("m"), s.alias("s"), F.skewness("net").alias("g"), (F.kurtosis("net") + 3).alias("k"), F.expm1(F.sum(F.log1p("net"))).alias("total"), F.avg((F.col("net") > 0).cast("double")).alias("p"))
+    told = net.groupBy(*by).agg(n.alias("n"), m.alias("m"), s.alias("s"), F.skewness("net").alias("g"), (F.kurtosis("net") + 3).alias("k"), F.expm1(F.sum(grown_log(F.col("net")))).alias("total"), F.avg((F.col("net") > 0).cast("double")).alias("p"))
     told = refuse(told, (F.col("n") < 3) | ~F.coalesce(F.col("s") > 0, F.lit(False)), "three returns or more, with dispersion")
     root = math.sqrt(periods)
     ratio = F.col("m") / F.col("s")

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.costs import _wiped, grown_log
 from tidemark.operators.facts import Refused, refuse
 
 METRICS = ("mean", "volatility", "sharpe", "total", "annual", "max_drawdown", "hit_rate")
@@ -27,18 +28,19 @@ def _path(x: Column) -> Column:
 
 def _after(a: Column, b: Column) -> Column:
     """The stretch a followed by the stretch b."""
+    below = F.when((a["total"] == -math.inf) | (b["low"] == -math.inf), math.inf).otherwise(a["high"] - a["total"] - b["low"])  # after a loss of all
     return F.struct(
         (a["total"] + b["total"]).alias("total"),
         F.greatest(a["high"], a["total"] + b["high"]).alias("high"),
         F.least(a["low"], a["total"] + b["low"]).alias("low"),
-        F.greatest(a["fall"], b["fall"], a["high"] - a["total"] - b["low"]).alias("fall"),
+        F.greatest(a["fall"], b["fall"], below).alias("fall"),
         (a["s"] + b["s"]).alias("s"),
         (a["q"] + b["q"]).alias("q"),
         (a["up"] + b["up"]).alias("up"),
     )
 
 
-def paths(net: DataFrame, block: int, draws: int, seed: int, periods: float = 252.0, by: tuple[str, ...] = ("strategy",)) -> DataFrame:
+def paths(net: DataFrame, block: int, draws: int, seed: int, periods: float = 252.0, by: tuple[str, ...] = ("strategy",), wiped: str = "refuse") -> DataFrame:
     """by, draw and the metrics of each drawn path; draw 0 is the path itself.
 
     Draw d of n returns joins ceil(n / block) blocks, the last cut to fit; block k starts at the first eight hex digits of
@@ -46,17 +48,18 @@ def paths(net: DataFrame, block: int, draws: int, seed: int, periods: float = 25
     series of one length are drawn alike, which pairs them. The drawdown counts the start at 1; the Sharpe ratio is null without dispersion.
     What a block adds to a path is told once for each start, so a draw costs as many steps as it has blocks. A series is
     one row of an array as long as its calendar; all work on it needs the one shuffle by series. Ties in t are ordered by return.
-    Nulls, numbers that are none, returns of -1 or less and series shorter than two or than a block are refused.
+    Nulls, numbers that are none, returns of -1 or less and series shorter than two or than a block are refused; with wiped "keep"
+    returns of -1 or less are not, and total, annual and drawdown of a path with a loss of more than all are no number.
     """
     if block < 1 or draws < 2:
         raise Refused("a block of a period or more, and two draws or more")
-    each = Window.partitionBy(*by)
+    strict, each = _wiped(wiped), Window.partitionBy(*by)
     in_order = each.orderBy("t", "_x")  # sums in one order, so that they do not depend on how rows arrive
     x = F.col("net").cast("double")
-    rows = refuse(net.select(*by, "t", x.alias("_x")), F.col("_x").isNull() | F.isnan("_x") | (F.col("_x") <= -1) | (F.col("_x") == math.inf), "a return that is no number above -1")
+    rows = refuse(net.select(*by, "t", x.alias("_x")), F.col("_x").isNull() | F.isnan("_x") | (F.abs("_x") == math.inf) | (F.lit(strict) & (F.col("_x") <= -1)), "a return that is no number above -1")
     rows = rows.select(*by, "_x", F.count("*").over(each).alias("_n"), F.avg("_x").over(in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_m"), (F.row_number().over(in_order) - 1).alias("_i"))
     rows = refuse(rows, F.col("_n") < max(2, block), "fewer returns than a block, or than two")
-    one = F.struct((F.col("_x") - F.col("_m")).alias("c"), F.log1p("_x").alias("l"), (F.col("_x") > 0).cast("double").alias("up"))
+    one = F.struct((F.col("_x") - F.col("_m")).alias("c"), grown_log(F.col("_x")).alias("l"), (F.col("_x") > 0).cast("double").alias("up"))
     # The first returns stand behind the last once more, so that a block that goes round is a frame.
     round_ = rows.select(*by, "_n", "_m", one.alias("_v"), F.explode(F.when(F.col("_i") < block - 1, F.array("_i", F.col("_i") + F.col("_n"))).otherwise(F.array("_i"))).alias("_i"))
     framed = round_.withColumn("_a", F.collect_list("_v").over(each.orderBy("_i").rowsBetween(0, block - 1))).where("_i < _n")
@@ -92,7 +95,7 @@ def paths(net: DataFrame, block: int, draws: int, seed: int, periods: float = 25
     )
 
 
-def resampled(net: DataFrame, block: int, draws: int, seed: int, periods: float = 252.0, level: float = 0.95, by: tuple[str, ...] = ("strategy",)) -> DataFrame:
+def resampled(net: DataFrame, block: int, draws: int, seed: int, periods: float = 252.0, level: float = 0.95, by: tuple[str, ...] = ("strategy",), wiped: str = "refuse") -> DataFrame:
     """by, metric, value, low and high: METRICS of every series with the interval that `level` of the drawn paths fall in.
 
     Draws in which a metric has no number are left out of its interval; a metric with fewer than two that have one is refused.
@@ -100,7 +103,7 @@ def resampled(net: DataFrame, block: int, draws: int, seed: int, periods: float
     if not 0 < level < 1:
         raise Refused("the level lies between 0 and 1")
     ends, taken = [(1 - level) / 2, (1 + level) / 2], F.col("draw") > 0
-    each = paths(net, block, draws, seed, periods, by).groupBy(*by)
+    each = paths(net, block, draws, seed, periods, by, wiped).groupBy(*by)
     told = each.agg(*[F.struct(F.lit(m).alias("metric"), F.max(F.when(~taken, F.col(m))).alias("value"), F.percentile(F.when(taken, F.col(m)), ends).alias("ends"), F.count(F.when(taken, F.col(m))).alias("n")).alias(m) for m in METRICS])
     rows = told.select(*by, F.inline(F.array(*METRICS)))
     return refuse(rows, F.col("n") < 2, "a metric without two draws that have a number").select(*by, "metric", "value", F.col("ends")[0].alias("low"), F.col("ends")[1].alias("high"))
