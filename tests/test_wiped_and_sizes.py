@@ -8,7 +8,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from tidemark.operators import backtests, costs, draws
+from tidemark.operators import backtests, costs, draws, execution, ledger
 
 #: Strategy 0 loses more than all in its third period, strategy 1 never does.
 ROWS = [(s, t, a, 1.5, (-0.8 if s == 0 and t == 2 else 0.01 * (1 + (t * 7 + a + s) % 5))) for s in range(2) for t in range(12) for a in range(2)]
@@ -58,3 +58,14 @@ def test_decisions_go_on_after_a_book_is_wiped_out(spark):
     got = {(r.strategy, r.t): r for r in backtests.run(returns, decide, wiped="keep").collect()}
     want = {(r.strategy, r.t): r for r in costs.backtest(spark.createDataFrame(ROWS, BOOKS), wiped="keep").collect()}
     assert len(got) == 24 and all(got[k].net == pytest.approx(want[k].net) and got[k].equity == pytest.approx(want[k].equity, nan_ok=True) for k in want)
+
+
+def test_slices_move_no_parents(spark):
+    """Slices are told within a parent's row: neither its parents nor their slices are shuffled or sorted."""
+    parents = spark.createDataFrame([(1, 25), (2, 7), (3, 100)], "parent long, quantity long")
+    curve = spark.createDataFrame([(2, 3), (0, 2), (1, 1)], "idx int, weight long")
+    told = ledger.apportion(parents, curve, 1)
+    assert sorted(map(tuple, told.collect())) == [(1, 0, 8), (1, 1, 5), (1, 2, 12), (2, 0, 2), (2, 1, 2), (2, 2, 3), (3, 0, 33), (3, 1, 17), (3, 2, 50)]
+    for df in (told, execution.twap(parents, 3, 5)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "hashpartitioning" not in plan

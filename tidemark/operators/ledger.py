@@ -154,14 +154,22 @@ def u_curve(n: int, edge: int = 3) -> list[int]:
     return [span + (edge - 1) * (2 * i - (n - 1)) ** 2 for i in range(n)] if n > 1 else [1]
 
 
+#: What is used in a lambda is bound by a list of one element, since a column would be told anew for every element.
+DEALT = """transform(array(struct(CAST(_rest AS BIGINT) AS rest, CAST(_base AS BIGINT) AS base, _w AS w)), s -> transform(array(aggregate(s.w, 0L, (a, v) -> a + coalesce(v.weight, 0L))), total ->
+ transform(array(array_sort(transform(s.w, v -> struct(-((s.rest * v.weight) % total) AS behind, v.idx AS idx, s.rest * v.weight div total AS part)))), p -> transform(array(s.rest - aggregate(p, 0L, (a, v) -> a + coalesce(v.part, 0L))), short ->
+ transform(p, (v, k) -> struct(v.idx AS idx, s.base + v.part + IF(k < short, 1L, 0L) AS shares)))[0])[0])[0])[0]"""
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """parent, idx and shares of rows (parent, _base, _rest, _w: an array of idx and weight in order of idx): whole parts of the rest, then one each by largest remainder, ties by index.
+
+    All of it is done within a parent's row, so nothing is shuffled or sorted, however many parents there are.
+    """
+    return rows.select("parent", F.inline(F.expr(DEALT)))
+
+
 def apportion(parents: DataFrame, weights: DataFrame, least: int = 0) -> DataFrame:
     """Shares of each parent's quantity in proportion to weights (idx, weight): everyone gets the minimum, then whole parts, then one each by largest remainder, ties by index."""
-    told = parents.join(F.broadcast(weights))
-    order = Window.partitionBy("parent")
-    rest = F.col("quantity") - F.lit(least) * F.count("*").over(order)
-    told = told.withColumns({"_rest": rest, "_sum": F.sum("weight").over(order)})
-    told = refuse(told, F.col("_rest") < 0, "less than the minimum for every slice")
-    told = told.withColumns({"_part": F.expr("_rest * weight div _sum"), "_left": F.expr("(_rest * weight) % _sum")})
-    rank = F.row_number().over(order.orderBy(F.desc("_left"), "idx"))
-    missing = F.col("_rest") - F.sum("_part").over(order)
-    return told.select("parent", "idx", (F.lit(least) + F.col("_part") + (rank <= missing).cast("long")).alias("shares"))
+    told = parents.join(F.broadcast(weights.agg(F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias("_w")).where(F.size("_w") > 0)))  # one row, the caller's curve
+    told = told.withColumn("_base", F.lit(least)).withColumn("_rest", F.col("quantity") - F.lit(least) * F.size("_w"))
+    return dealt(refuse(told, F.col("_rest") < 0, "less than the minimum for every slice"))
