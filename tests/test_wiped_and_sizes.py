@@ -9,6 +9,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tidemark.operators import backtests, costs, draws, execution, ledger
+from tidemark.plans import tables
 
 #: Strategy 0 loses more than all in its third period, strategy 1 never does.
 ROWS = [(s, t, a, 1.5, (-0.8 if s == 0 and t == 2 else 0.01 * (1 + (t * 7 + a + s) % 5))) for s in range(2) for t in range(12) for a in range(2)]
@@ -69,3 +70,12 @@ def test_slices_move_no_parents(spark):
     for df in (told, execution.twap(parents, 3, 5)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Window" not in plan and "hashpartitioning" not in plan
+
+
+def test_tasks_of_bars_grow_in_number(spark, monkeypatch):
+    """Rows of a task stay the same as the table grows, and bars and all that goes by security need one shuffle."""
+    monkeypatch.setattr(tables, "TASK_ROWS", 100)
+    monkeypatch.setattr(tables, "WORTH", 10)
+    assert [tables.spread(spark.range(n), "id").rdd.getNumPartitions() for n in (5, 35, 350, 3000)] == [1, 4, 4, 30]
+    plan = tables.bars(spark, "/root/testdata/sf0.001").groupBy("id").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning") == 1
