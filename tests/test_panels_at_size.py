@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 
-from tidemark.operators import costs
+from tidemark.operators import costs, risk
 
 
 def plan(df):
@@ -39,3 +39,19 @@ def test_assets_of_the_same_periods_have_a_covariance(spark):
     with pytest.raises(PySparkException):
         costs.covariance(panel(spark, x).unionAll(panel(spark, x).limit(1)))
     assert costs.covariance(panel(spark, x).where("false")).count() == 0
+
+
+@pytest.mark.parametrize("t,n", [(7, 40), (40, 7), (9, 9)])
+def test_shrinkage_does_not_copy_the_panel(spark, monkeypatch, t, n):
+    """Products of periods are sums of each task's assets and those of assets are told by strips, both without a copy of the panel; they agree."""
+    x = np.random.default_rng(n).normal(size=(t, n)) * 0.02
+    want, weight = costs.ledoit_wolf(x)
+    for most in (4096, 2):
+        monkeypatch.setattr(risk, "PERIODS", most)
+        told = risk.shrinkage(panel(spark, x), 3)
+        assert "Generate" not in plan(told) and ("CartesianProduct" in plan(told)) == (t >= n or most == 2)
+        got = told.first()
+        assert got.weight == pytest.approx(weight, abs=1e-9) and got.mu == pytest.approx(np.trace(want) / n)
+    pairs = risk.shrunk(panel(spark, x), 3)
+    assert "Generate" not in plan(pairs)
+    assert {(r.a, r.b): pytest.approx(r["cov"], abs=1e-12) for r in pairs.collect()} == {(a, b): want[a, b] for a in range(n) for b in range(a, n)}
