@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.facts import Refused, refuse
 
 UP, NEITHER, DOWN, AMBIGUOUS = 1, 0, -1, -128
+#: Bars that Python works on at once, at least.
+LEAST_ROWS = 50_000
 
 
 def log_returns(bars: DataFrame) -> DataFrame:
@@ -101,32 +108,81 @@ def uniqueness_report(weighted: DataFrame, by: tuple[str, ...] = ("id",), first:
     return told.join(concurrency(weighted, by, first, last), list(by))
 
 
+def in_order(batches: Iterator[pa.RecordBatch], columns: str, back: int, ahead: int, work: Callable[[np.ndarray, np.ndarray, dict[str, np.ndarray]], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What `work` tells of a task's bars, which come by id and place (_id, _none if there is no id, _i, _n from 1, and columns of numbers): it gets some LEAST_ROWS bars at once with the `back` before and the `ahead` after them, and is told which of them are its own.
+
+    Held are these bars, whatever the length of an id.
+    """
+    held, rows, before = [], 0, 0
+    names = ["_id", "_none", "_i", "_n", *columns]
+
+    def told(last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal held, rows, before
+        data = {c: np.concatenate([h[c] for h in held]) for c in names}
+        n = data["_n"]
+        if ((n[1:] != 1) & ((n[1:] != n[:-1] + 1) | (data["_id"][1:] != data["_id"][:-1]))).any():
+            raise ValueError("bars of an id are not in order")
+        end = len(n) if last else len(n) - ahead
+        yield work(np.arange(before, end), n, data)
+        keep = max(0, end - back)
+        held, before = [{c: v[keep:] for c, v in data.items()}], end - keep
+        rows = len(n) - keep
+
+    for batch in batches:
+        held.append({c: batch.column(c).to_numpy(zero_copy_only=False) for c in names})
+        rows += batch.num_rows
+        if rows >= LEAST_ROWS + back + ahead:
+            yield from told(False)
+    if rows:
+        yield from told(True)
+
+
+def fitted(at: np.ndarray, n: np.ndarray, data: dict[str, np.ndarray], window: int, limit: float) -> tuple[np.ndarray, ...]:
+    """Which of the places `at` have a fit, and alpha, market, sector and sigma of these."""
+    at = at[n[at] >= window]
+    out = []
+    for some in np.array_split(at, -(-len(at) // 4096)) if len(at) else ():
+        with np.errstate(all="ignore"):
+            r, m, s = (sliding_window_view(data[c], window)[some - window + 1] for c in "rms")
+            top = np.abs(r).max(axis=1)
+            mean = [v.mean(axis=1) for v in (r, m, s)]
+            r, m, s = (v - a[:, None] for v, a in zip((r, m, s), mean, strict=True))
+            of = lambda x, y: np.einsum("ij,ij->i", x, y) / window
+            mm, ss, ms, mr, sr = of(m, m), of(s, s), of(m, s), of(m, r), of(s, r)
+            half, turn = (mm + ss) / 2, np.sqrt(((mm - ss) / 2) ** 2 + ms * ms)
+            squares = 1 + mm + ss + mean[1] ** 2 + mean[2] ** 2
+            good = (half - turn > 1e-13 * (half + turn)) & (squares <= limit * limit * (half - turn))
+            det = mm * ss - ms * ms
+            market, sector = (mr * ss - sr * ms) / det, (sr * mm - mr * ms) / det
+            rest = r - market[:, None] * m - sector[:, None] * s
+            sigma = np.sqrt(of(rest, rest) * window / (window - 3))
+            good &= sigma > 1e-12 * top
+        out.append([v[good] for v in (some, mean[0] - market * mean[1] - sector * mean[2], market, sector, sigma)])
+    return tuple(np.concatenate(v) for v in zip(*out, strict=True)) if out else (at, *[np.empty(0)] * 4)
+
+
+def _bars(paths: DataFrame) -> DataFrame:
+    """paths by id, in the order of i, numbered from 1 within each; a number that is none is no number at all (NaN) in Python."""
+    order = Window.partitionBy("id").orderBy("i")
+    return paths.select(F.coalesce(F.col("id").cast("long"), F.lit(0)).alias("_id"), F.col("id").isNull().alias("_none"), F.col("i").cast("long").alias("_i"), F.row_number().over(order).alias("_n"), *[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in "rms"])
+
+
 def residual_fit(paths: DataFrame, window: int, limit: float = 1e8) -> DataFrame:
     """id, i, alpha, market, sector and sigma of the regression of r on market and sector over the last `window` bars.
 
     paths (id, i, r, m, s). Covariances over the frame of each bar solve the regression, and a pass over the frame tells what it
-    leaves, so one window of an id does it all. A window is missing if it has a number that is none, if its regressors are so
+    leaves; frames are views of the bars in order, so none is gathered. A window is missing if it has a number that is none, if its regressors are so
     close to collinear that `limit` squared times the least variance of a combination of them does not reach the mean squares of all
     columns (or that rounding hides that variance), or if nothing is left.
     """
     if window < 5:
         raise Refused("a window needs five bars")
-    frame = Window.partitionBy("id").orderBy("i").rowsBetween(1 - window, 0)
-    whole = F.lit(True)
-    for c in "rms":
-        whole = whole & F.col(c).isNotNull() & (F.abs(c) < float("inf"))
-    bars = paths.select("id", "i", *[F.when(whole, F.col(c).cast("double")).alias(c) for c in "rms"])
-    over = {"_n": F.count("r"), "_r": F.avg("r"), "_m": F.avg("m"), "_s": F.avg("s"), "_mm": F.var_pop("m"), "_ss": F.var_pop("s"), "_ms": F.covar_pop("m", "s"), "_mr": F.covar_pop("m", "r"), "_sr": F.covar_pop("s", "r"), "_top": F.max(F.abs("r")), "_v": F.collect_list(F.struct("r", "m", "s"))}
-    told = bars.select("*", *[x.over(frame).alias(c) for c, x in over.items()]).where(F.col("_n") == window)
-    half, turn = (F.col("_mm") + F.col("_ss")) / 2, F.sqrt(F.pow((F.col("_mm") - F.col("_ss")) / 2, 2) + F.col("_ms") * F.col("_ms"))
-    squares = 1 + F.col("_mm") + F.col("_ss") + F.col("_m") * F.col("_m") + F.col("_s") * F.col("_s")
-    told = told.where((half - turn > 1e-13 * (half + turn)) & (squares <= limit * limit * (half - turn)))
-    det = F.col("_mm") * F.col("_ss") - F.col("_ms") * F.col("_ms")
-    told = told.withColumns({"market": (F.col("_mr") * F.col("_ss") - F.col("_sr") * F.col("_ms")) / det, "sector": (F.col("_sr") * F.col("_mm") - F.col("_mr") * F.col("_ms")) / det})
-    told = told.withColumn("alpha", F.col("_r") - F.col("market") * F.col("_m") - F.col("sector") * F.col("_s"))
-    rest = lambda v: v["r"] - F.col("alpha") - F.col("market") * v["m"] - F.col("sector") * v["s"]
-    told = told.withColumn("sigma", F.sqrt(F.aggregate(F.transform("_v", rest), F.lit(0.0), lambda a, x: a + x * x) / (window - 3)))
-    return told.where(F.col("sigma") > 1e-12 * F.col("_top")).select(F.col("id").cast("long").alias("id"), F.col("i").cast("int").alias("i"), "alpha", "market", "sector", "sigma")
+
+    def work(at: np.ndarray, n: np.ndarray, data: dict[str, np.ndarray]) -> pa.RecordBatch:
+        at, *found = fitted(at, n, data, window, limit)
+        return pa.RecordBatch.from_arrays([pa.array(data["_id"][at], mask=data["_none"][at]), pa.array(data["_i"][at].astype(np.int32)), *map(pa.array, found)], ["id", "i", "alpha", "market", "sector", "sigma"])
+
+    return _bars(paths).mapInArrow(lambda batches: in_order(batches, "rms", window - 1, 0, work), "id long, i int, alpha double, market double, sector double, sigma double")
 
 
 def residual_barrier(paths: DataFrame, fits: DataFrame, horizon: int, multiple: float = 1.0) -> DataFrame:

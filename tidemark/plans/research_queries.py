@@ -480,12 +480,19 @@ FITTED = f"""{RETURNS}, rp AS (SELECT id, i, r, avg(r) OVER (PARTITION BY date)
  rf AS (SELECT *, (mr * ss - sr * ms) / (mm * ss - ms * ms) AS market, (sr * mm - mr * ms) / (mm * ss - ms * ms) AS sector FROM rw WHERE n = 60)"""
 
 
+def residual_paths(spark, sf_dir: str) -> DataFrame:
+    """Returns beside the means of their day and of their sector on that day. A row a day and sector is what is broadcast, so bars stay where they are."""
+    told = returns(spark, sf_dir).where("r IS NOT NULL").withColumn("sector", F.col("id") % 5)
+    sums = told.groupBy("date", "sector").agg(F.sum("r").alias("total"), F.count("*").alias("n"))
+    day = Window.partitionBy("date")
+    means = sums.select(F.col("date").alias("_date"), F.col("sector").alias("_sector"), (F.sum("total").over(day) / F.sum("n").over(day)).alias("m"), (F.col("total") / F.col("n")).alias("s"))
+    return told.join(F.broadcast(means), F.col("date").eqNullSafe(F.col("_date")) & F.col("sector").eqNullSafe(F.col("_sector"))).select("id", "i", "r", "m", "s")
+
+
 @BOOK.add("residual_fit", f"WITH {FITTED} SELECT id, CAST(i AS INTEGER) AS i, round(ar - market * am - sector * as_, 6) AS alpha, round(market, 5) AS market, round(sector, 5) AS sector, round(sqrt(60 * (rr - market * mr - sector * sr) / 57), 6) AS sigma FROM rf")
 def residual_fit(spark, sf_dir: str) -> DataFrame:
     """Each security's trailing regression on the means of its day and of its sector on that day."""
-    told = returns(spark, sf_dir).where("r IS NOT NULL")
-    day, sector = Window.partitionBy("date"), Window.partitionBy("date", F.col("id") % 5)
-    fits = labels.residual_fit(told.select("id", "i", "r", F.avg("r").over(day).alias("m"), F.avg("r").over(sector).alias("s")), 60)
+    fits = labels.residual_fit(residual_paths(spark, sf_dir), 60)
     return fits.select("id", "i", r("alpha", 6).alias("alpha"), r("market", 5).alias("market"), r("sector", 5).alias("sector"), r("sigma", 6).alias("sigma"))
 
 
@@ -506,9 +513,7 @@ RESIDUAL = f"""{FITTED}, sg AS (SELECT *, sqrt(60 * (rr - market * mr - sector *
 @BOOK.add("residual_labels", f"WITH {RESIDUAL} SELECT id, CAST(i AS INTEGER) AS i, CAST(coalesce(hit, 0) AS INTEGER) AS outcome, CAST(i + coalesce(bar, 10) AS BIGINT) AS i_end FROM rh WHERE n = 10")
 def residual_labels(spark, sf_dir: str) -> DataFrame:
     """Barriers of what day and sector leave of each security's return."""
-    told = returns(spark, sf_dir).where("r IS NOT NULL")
-    day, sector = Window.partitionBy("date"), Window.partitionBy("date", F.col("id") % 5)
-    paths = told.select("id", "i", "r", F.avg("r").over(day).alias("m"), F.avg("r").over(sector).alias("s"))
+    paths = residual_paths(spark, sf_dir)
     return labels.residual_barrier(paths, labels.residual_fit(paths, 60), 10, 0.5)
 
 
