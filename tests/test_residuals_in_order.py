@@ -1,4 +1,4 @@
-"""Residual fits as streams of bars: the same at every length of a batch, without frames and without a join."""
+"""Residual fits and labels as streams of bars: the same at every length of a batch, without frames and without a join."""
 
 import numpy as np
 import pytest
@@ -13,7 +13,7 @@ def paths(spark, sizes=(40, 3, 90, 7, 25)):
 
 
 def test_fits_gather_no_frames(spark):
-    for told in (labels.residual_fit(paths(spark), 6),):
+    for told in (labels.residual_fit(paths(spark), 6), labels.residual_labels(paths(spark), 6, 4)):
         plan = told._jdf.queryExecution().executedPlan().toString()
         assert "collect_list" not in plan and "Join" not in plan and plan.count("hashpartitioning(id") == 1
 
@@ -35,9 +35,13 @@ def test_streams_cut_anywhere_tell_the_same(spark, batch):
     try:
         fits = labels.residual_fit(paths(spark), 6)
         got = {(r.id, r.i): (r.alpha, r.market, r.sector, r.sigma) for r in fits.collect()}
+        told = {(r.id, r.i): (r.outcome, r.i_end) for r in labels.residual_labels(paths(spark), 6, 4, 0.6).where("id IS NOT NULL").collect()}
+        # Places here are even numbers, and an end is the place of the event and the bars after it.
+        parted = {(r.id, r.i): (r.outcome, r.i_end) for r in labels.residual_barrier(paths(spark), fits, 4, 0.6).collect()}
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-7, abs=1e-10) for k in want)
+    assert told == parted and len(told) > 80
 
 
 def test_little_is_held(monkeypatch):

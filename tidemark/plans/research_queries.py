@@ -513,8 +513,7 @@ RESIDUAL = f"""{FITTED}, sg AS (SELECT *, sqrt(60 * (rr - market * mr - sector *
 @BOOK.add("residual_labels", f"WITH {RESIDUAL} SELECT id, CAST(i AS INTEGER) AS i, CAST(coalesce(hit, 0) AS INTEGER) AS outcome, CAST(i + coalesce(bar, 10) AS BIGINT) AS i_end FROM rh WHERE n = 10")
 def residual_labels(spark, sf_dir: str) -> DataFrame:
     """Barriers of what day and sector leave of each security's return."""
-    paths = residual_paths(spark, sf_dir)
-    return labels.residual_barrier(paths, labels.residual_fit(paths, 60), 10, 0.5)
+    return labels.residual_labels(residual_paths(spark, sf_dir), 60, 10, 0.5)
 
 
 @BOOK.add(
