@@ -7,10 +7,10 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tidemark.operators.costs import YEAR_DAYS, _wiped, grown_log, in_windows
+from tidemark.operators.costs import YEAR_DAYS, _over, _wiped, grown_log, in_windows
 from tidemark.operators.facts import Refused, refuse
 from tidemark.operators.intervals import interval_join
 
@@ -49,8 +49,8 @@ def run(returns: DataFrame, decide: Decide, fee_bps: float = 6.0, borrow_rate_bp
 
     returns (strategy, t, asset, r). Before each period `decide` sees the returns of earlier periods only. It pays for the change from
     the drifted weights, then borrow on what is short, then earns. A weight of an asset without a return in the period, gross exposure
-    above the cap and a wiped out portfolio are refused; the latter is told to its last period, without an equity, if wiped is "keep". Decisions follow from each other, so a strategy is one group, as long as its calendar;
-    strategies run side by side. Where targets do not depend on the past, `costs.backtest` needs no group.
+    above the cap and a wiped out portfolio are refused; the latter is told to its last period, without an equity, if wiped is "keep". Decisions follow from each other, so a strategy is one group, all its
+    assets and periods in one task; strategies run side by side. Where an asset's weight follows from its own past, `ruled` needs no group.
     """
     strict = _wiped(wiped)
     kind = returns.schema["strategy"].dataType.simpleString()
@@ -85,6 +85,48 @@ def run(returns: DataFrame, decide: Decide, fee_bps: float = 6.0, borrow_rate_bp
     return told if strict else told.withColumns({c: F.coalesce(c, F.lit(math.nan)) for c in ("turnover", "cost", "net", "equity")})
 
 
+#: A rule: from the window of an asset's past to its new weight, by strategy, t, asset and r, which is the asset's return in its period before.
+Rule = Callable[[WindowSpec], Column]
+
+
+def ruled(returns: DataFrame, rule: Rule, fee_bps: float = 6.0, borrow_rate_bps: float = 100.0, days: int = 1, gross_cap: float = 10.0, wiped: str = "refuse") -> DataFrame:
+    """What `run` tells, of strategies that are asked before each period for one asset at a time: books of any width, none of them in one task.
+
+    returns (strategy, t, asset, r). The return of the period that is decided on is not in the rule's sight: `r` is the one before, null in an asset's first period, and F.avg("r").over(past)
+    is the mean of all before. A strategy's calendar has the periods of any of its assets; what is held and has no return in the next one is sold then. `run`'s refusals hold.
+    The panel moves once, by asset, or not at all if it lies so; gross returns, a row a strategy and period, are what is broadcast, and sums by period leave a task as a row each.
+    """
+    strict = _wiped(wiped)
+    path = Window.partitionBy("strategy", "asset").orderBy("t")
+    returns = refuse(returns, F.expr("strategy IS NULL OR t IS NULL OR asset IS NULL"), "a return of no strategy, period or asset")
+    rows = returns.select("strategy", "t", "asset", F.lag("r").over(path).alias("r"), F.col("r").alias("_r"))
+    rows = rows.select("strategy", "t", "asset", "_r", rule(path.rowsBetween(Window.unboundedPreceding, 0)).cast("double").alias("_w"))
+    finite = lambda c: F.coalesce(F.abs(F.col(c)) < math.inf, F.lit(False))
+    rows = refuse(rows, ~finite("_w") | (F.col("_w") != 0) & ~finite("_r"), "a weight that is no number, or without a return")
+    earned = F.when(F.col("_w") != 0, F.col("_w") * F.col("_r")).otherwise(0.0)
+    short = F.sum(F.when(F.col("_w") < 0, -F.col("_w")).otherwise(0.0))
+    period = rows.groupBy("strategy", "t").agg(F.sum(earned).alias("_gross"), short.alias("_short"), F.sum(F.abs("_w")).alias("_book"))
+    period = refuse(period, F.col("_book") > gross_cap + 1e-9, "gross exposure above the cap")
+    if strict:
+        period = refuse(period, F.col("_gross") <= -1, "the portfolio is wiped out")
+    calendar = Window.partitionBy("strategy").orderBy("t")
+    spans = period.select("strategy", "t", "_gross", F.lag("t").over(calendar).alias("_before"), F.lead("t").over(calendar).alias("_next"))
+    drift = F.when(F.col("_w") != 0, _over(F.col("_w") * (1 + F.col("_r")), 1 + F.col("_gross"))).otherwise(0.0)
+    held = rows.join(F.broadcast(spans), ["strategy", "t"]).withColumn("_d", drift)
+    held = held.withColumns({"_last": F.lag("t").over(path), "_had": F.lag("_d").over(path), "_then": F.lead("t").over(path)})
+    held = refuse(held, F.col("_last") == F.col("t"), "an asset with two returns in a period")
+    traded = F.abs(F.col("_w") - F.when(F.col("_last") == F.col("_before"), F.col("_had")).otherwise(0.0))
+    left = F.when(F.col("_then") == F.col("_next"), 0.0).otherwise(F.abs("_d"))
+    moved = held.groupBy("strategy", "t").agg(F.sum(traded).alias("_traded"), F.sum(left).alias("_left"))
+    told = period.join(moved, ["strategy", "t"]).withColumn("turnover", F.col("_traded") + F.coalesce(F.lag("_left").over(calendar), F.lit(0.0)))
+    told = told.withColumns({"cost": F.col("turnover") * fee_bps / 10_000, "borrow": F.col("_short") * borrow_rate_bps / 10_000 * days / YEAR_DAYS})
+    told = told.withColumn("net", (1 - F.col("cost")) * (1 - F.col("borrow")) * (1 + F.col("_gross")) - 1)
+    if strict:
+        told = refuse(told, F.col("net") <= -1, "the portfolio is wiped out")
+    equity = F.exp(F.sum(grown_log(F.col("net"))).over(calendar.rowsBetween(Window.unboundedPreceding, 0)))
+    return told.select("strategy", "t", "turnover", "cost", "borrow", "net", equity.alias("equity"))
+
+
 def chained(tested: DataFrame, by: tuple[str, ...] = ("strategy",)) -> DataFrame:
     """tested (strategy, window, t, turnover, cost, borrow, net), the test rows of a walk-forward, with equity along all windows; two windows that test one period are refused."""
     twice = tested.withColumn("_n", F.count("*").over(Window.partitionBy(*by, "t")))
